@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import window_dedup
+from . import piece_codec, window_dedup
 
 QUERIES = {
+    "op9_piece_codec": piece_codec.op9_piece_codec,
     "op10_window_dedup": window_dedup.op10_window_dedup,
 }
 
