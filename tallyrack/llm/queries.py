@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import piece_codec, window_dedup
+from . import piece_codec, wavelet_shards, window_dedup
 
 QUERIES = {
+    "op6_wavelet_shards": wavelet_shards.op6_wavelet_shards,
     "op9_piece_codec": piece_codec.op9_piece_codec,
     "op10_window_dedup": window_dedup.op10_window_dedup,
 }
