@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import piece_codec, wavelet_shards, window_dedup
+from . import chat_format, piece_codec, quality_rules, wavelet_shards, window_dedup
 
 QUERIES = {
+    "op2_chat_format": chat_format.op2_chat_format,
+    "op4_quality_rules": quality_rules.op4_quality_rules,
     "op6_wavelet_shards": wavelet_shards.op6_wavelet_shards,
     "op9_piece_codec": piece_codec.op9_piece_codec,
     "op10_window_dedup": window_dedup.op10_window_dedup,
 }
 
 SQL = {
+    "op2_chat_format": chat_format.SQL,
     "op10_window_dedup": window_dedup.SQL,
 }
