@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat_format, piece_codec, quality_rules, wavelet_shards, window_dedup
+from . import byte_gru, chat_format, piece_codec, quality_rules, wavelet_shards, window_dedup
 
 QUERIES = {
+    "op5_byte_gru": byte_gru.op5_byte_gru,
     "op2_chat_format": chat_format.op2_chat_format,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op6_wavelet_shards": wavelet_shards.op6_wavelet_shards,
