@@ -18,7 +18,7 @@ other columns are ignored; an empty table gives no shard and no rows.
 
 from __future__ import annotations
 
-import re
+import string
 import struct
 import zlib
 from array import array
@@ -55,9 +55,9 @@ class WaveletMatrix:
             packed = np.packbits(bits, bitorder="little")
             planes.append(packed)
             ranks.append(cls._directory(packed))
-            low = seq[~bits]
+            low = np.compress(~bits, seq)
             zeros.append(len(low))
-            seq = np.concatenate((low, seq[bits]))
+            seq = np.concatenate((low, np.compress(bits, seq)))
         return cls(planes, zeros, ranks, len(values), np.asarray(doc_ids, dtype=np.int64), np.asarray(doc_sizes, dtype=np.int64))
 
     @staticmethod
@@ -167,8 +167,8 @@ class WaveletMatrix:
             bits = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
             here = np.empty(self.n, dtype=kind)
             zero = self.zeros[level]
-            here[~bits] = below[:zero]
-            here[bits] = below[zero:] | kind(1 << (self.levels - 1 - level))
+            here[np.flatnonzero(~bits)] = below[:zero]
+            here[np.flatnonzero(bits)] = below[zero:] | kind(1 << (self.levels - 1 - level))
             below = here
         return below
 
@@ -181,47 +181,73 @@ class WaveletMatrix:
 
 
 class _Pieces(dict):
-    def __init__(self, encoder, lead: str):
+    """Ids of stretches that start with ``lead``, as little-endian bytes."""
+
+    def __init__(self, owner: ByteLevelEncoder, lead: str):
         super().__init__()
-        self.encoder, self.lead = encoder, lead
+        self.owner, self.lead = owner, lead
 
     def __missing__(self, part: str) -> bytes:
-        value = self.encoder(self.lead + part)
-        self[part] = value
+        core = part.rstrip(string.punctuation)
+        if not core.isalpha():
+            value = self[part] = self.owner.whole(self.lead + part)
+        elif len(core) < len(part):  # letters and marks never share a piece
+            return self[core] + self.owner.marks[part[len(core) :]]
+        else:
+            value = self[part] = self.owner.letters(self.lead + part)
         return value
 
     def shrink(self, most: int) -> None:
+        """Keep the entries that came first, the common ones."""
         if len(self) > most:
-            for key in list(islice(self, len(self) - most // 2)):
+            for key in list(islice(self, most * 2 // 3, None)):
                 del self[key]
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write visible Latin-1 bytes as themselves, the others from U+0100 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return {b: chr(b if b in visible else next(hidden)) for b in range(256)}
+
+
 class ByteLevelEncoder:
     """The tokenizers library with a bounded table in front of it.
 
     Byte-level pre-tokenization starts a piece at a lone space between two
     other characters and treats a lone line end between two as a piece, so such
-    stretches are encoded once per worker.  A text with any other white space
-    goes to the library whole.
+    stretches are encoded once per worker; a stretch of letters is one piece
+    and goes to the library's merge model at once.  A text with any other white
+    space goes to the library whole.
     """
 
-    ODD = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0 ᠎ -     　]|^[ \n]|[ \n]$|[ \n][ \n]")
+    ODD = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 450_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model, self.table = self.library.model, _byte_letters()
         self.most = most
-        self.heads, self.rest = _Pieces(self.whole, ""), _Pieces(self.whole, " ")
+        self.heads, self.rest = _Pieces(self, ""), _Pieces(self, " ")
+        self.marks = _Marks(self)
         self.line = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def letters(self, text: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(text.encode().decode("latin1").translate(self.table))]).tobytes()
+
+    def plain(self, text: str) -> bool:
+        if text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
+            return False
+        return not any(c in text for c in self.ODD)
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.ODD.search(text):
+        if not self.plain(text):
             return self.whole(text)
         heads, rest, lines = self.heads, self.rest.__getitem__, []
         for row in text.split("\n"):
@@ -232,8 +258,18 @@ class ByteLevelEncoder:
         return self.line.join(lines)
 
     def shrink(self) -> None:
-        self.heads.shrink(self.most)
+        self.heads.shrink(self.most // 4)
         self.rest.shrink(self.most)
+        self.marks.shrink(self.most // 16)
+
+
+class _Marks(_Pieces):
+    def __init__(self, owner: ByteLevelEncoder):
+        super().__init__(owner, "")
+
+    def __missing__(self, part: str) -> bytes:
+        value = self[part] = self.owner.whole(part)
+        return value
 
 
 _ENCODERS: dict[str, ByteLevelEncoder] = {}
@@ -261,7 +297,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 0
                 pa.array([len(values)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([data], pa.binary()),
             ], names=["part", "seq", "first", "n_tokens", "n_docs", "payload"])
 
-        for batch in batches:
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = e.encode(text or "")
                 ids.append(key)
