@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_gru, chat_format, piece_codec, quality_rules, wavelet_shards, window_dedup
+from . import byte_gru, chat_format, jaccard_join, piece_codec, quality_rules, wavelet_shards, window_dedup
 
 QUERIES = {
+    "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op5_byte_gru": byte_gru.op5_byte_gru,
     "op2_chat_format": chat_format.op2_chat_format,
     "op4_quality_rules": quality_rules.op4_quality_rules,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op7_jaccard_join": jaccard_join.SQL,
     "op2_chat_format": chat_format.SQL,
     "op10_window_dedup": window_dedup.SQL,
 }
