@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_gru, chat_format, jaccard_join, piece_codec, quality_rules, suffix_dedup, wavelet_shards, window_dedup
+from . import byte_gru, chat_format, jaccard_join, piece_codec, quality_rules, suffix_dedup, template_decontam, wavelet_shards, window_dedup
 
 QUERIES = {
+    "op1_template_decontam": template_decontam.op1_template_decontam,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op5_byte_gru": byte_gru.op5_byte_gru,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_template_decontam": template_decontam.SQL,
     "op7_jaccard_join": jaccard_join.SQL,
     "op2_chat_format": chat_format.SQL,
     "op10_window_dedup": window_dedup.SQL,
