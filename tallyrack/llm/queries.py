@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_gru, chat_format, jaccard_join, piece_codec, quality_rules, suffix_dedup, template_decontam, wavelet_shards, window_dedup
+from . import byte_gru, chat_format, hidden_markov, jaccard_join, piece_codec, quality_rules, suffix_dedup, template_decontam, wavelet_shards, window_dedup
 
 QUERIES = {
+    "op3_hidden_markov": hidden_markov.op3_hidden_markov,
     "op1_template_decontam": template_decontam.op1_template_decontam,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
