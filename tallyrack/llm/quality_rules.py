@@ -179,13 +179,25 @@ def learn(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col
     return DecisionList(tuple(tuple(Condition(f, above, threshold(f, b)) for f, above, b in rule) for rule in rules))
 
 
-def judged(docs: DataFrame, rules: DecisionList, text_col: str = "text") -> DataFrame:
-    """``docs`` with the statistics, base_failed and kept."""
-    return statistics(docs, text_col).withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("kept", ~F.col("base_failed") & F.expr(rules.sql))
+def verdict(rules: DecisionList) -> Column:
+    """Whether a row of statistics is kept."""
+    return ~F.expr(BASE_FAILED) & F.expr(rules.sql)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` that pass the base rules and the list learned from ``labels``, all columns kept.
+
+    The statistics are written once, for learning and for the verdict; texts
+    then move at most once.
+    """
+    text_hash = F.xxhash64(F.col("text").cast("string"))
+    stats = written(statistics(docs.select("doc_id", text_hash.alias("text_hash"), "text")).drop("text"), "quality-statistics")
+    rules = learn(stats, labels)
+    bad = stats.where(~verdict(rules)).select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (text_hash == F.col("_bad_hash")), "left_anti")
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
     stats = written(statistics(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("text"), "quality-statistics")
     rules = learn(stats, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    failed = F.expr(BASE_FAILED)
-    return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.expr(rules.sql)).alias("kept"))
+    return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.expr(BASE_FAILED).alias("base_failed"), verdict(rules).alias("kept"))
