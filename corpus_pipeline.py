@@ -2,9 +2,53 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from tallyrack.llm.jaccard_join import keep_one_per_component
+from tallyrack.llm.piece_codec import encode_decode
+from tallyrack.llm.quality_rules import keep_good
+from tallyrack.llm.suffix_dedup import remove_repeated_bytes
+from tallyrack.llm.template_decontam import drop_contaminated
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the learned decision list."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each component of five-word shingle similarity 0.8 or more."""
+    return keep_one_per_component(docs, width=5, threshold=80)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes of strings of 200 bytes that recur; n_chars follows."""
+    cut = remove_repeated_bytes(docs)
+    columns = {"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}
+    return cut.select(*[columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark question."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every text, and the text they decode to."""
+    return encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("benchmark decontamination", decontamination),
+    ("SentencePiece encoding and decoding", pieces),
+]
+
+#: SQL can't express learned rules and piece merges; tests hold the rows against a plain version.
 ORACLE_SQL = None
 
 
