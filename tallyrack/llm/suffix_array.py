@@ -11,10 +11,12 @@ a placed suffix places those whose Lyndon word ends where it starts.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 
 
-def suffix_array(values: np.ndarray) -> list[int]:
+def suffix_array(values: np.ndarray) -> array:
     """Order of the suffixes of ``values`` (any integers), as if a least symbol stood behind them."""
     n = len(values) + 1
     text = np.empty(n, dtype=np.int64)
@@ -29,11 +31,12 @@ def suffix_array(values: np.ndarray) -> list[int]:
     group_of[first] = starts[which]
     place_of = np.empty(n, dtype=np.int64)
     place_of[first] = np.arange(n)
-    order, group, place = first.tolist(), group_of.tolist(), place_of.tolist()
-    end = [0] * (n + 1)
+    order, group, place = (array("q" if n >> 31 else "i", x.astype("i8" if n >> 31 else "i4").tobytes()) for x in (first, group_of, place_of))
+    kind = order.typecode
+    end = array(kind, bytes(order.itemsize * (n + 1)))
     for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
         end[a] = b
-    prev = [-1] * n
+    prev = array(kind, [-1]) * n
 
     high = n
     while high > 0:
@@ -84,8 +87,8 @@ def suffix_array(values: np.ndarray) -> list[int]:
             for a, b in tops.items():
                 low = end[a]
                 end[low] = b  # also restores a group that moved as a whole
-    result = [0] * n
-    slot = list(range(n))
+    result = array(kind, bytes(order.itemsize * n))
+    slot = array(kind, range(n))
     result[0] = n - 1
     for i in range(n):
         s = result[i]

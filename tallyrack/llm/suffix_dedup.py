@@ -35,7 +35,7 @@ from .common import _ODD, _ODD_INV, LAST_ID, U64, blocks_of, mix64, pack_sorted,
 from .suffix_array import suffix_array
 
 GRAM = 32
-BUCKET = 16384
+BUCKET = 8192
 CHUNK = 1 << 20
 ENTRY = [("rh", "<u8"), ("lk", "<u4"), ("rk", "<u4"), ("pos", "<u4"), ("len", "<u2"), ("off", "<u2"), ("dup", "u1")]
 LARGEST = U64(0xFFFFFFFFFFFFFFFF)
@@ -52,6 +52,10 @@ def _spans_hash(sums, a, b):
     return mix64((sums[b] - sums[a]) * powers(_ODD, len(sums))[a])
 
 
+def _spans_hash_at(sums, start, length):
+    return mix64((sums[start + length] - sums[start]) * powers(_ODD, len(sums))[start])
+
+
 def block_runs(texts: list[bytes], length: int):
     """Anchor hashes and entries of all runs; pos counts bytes from the block's start."""
     anchors, entries, base, i = [], [], 0, 0
@@ -89,7 +93,7 @@ def block_runs(texts: list[bytes], length: int):
             e["lk"] = np.where(left, _spans_hash(sums, np.maximum(anchor - half, 0), anchor + gram) | U64(1), U64(0)).astype(np.uint32)
             e["rk"] = np.where(right, _spans_hash(sums, anchor, np.minimum(anchor + gram + half, n)) | U64(1), U64(0)).astype(np.uint32)
             e["pos"], e["len"], e["off"] = start + base, stop - start, off
-            anchors.append(grams[anchor])
+            anchors.append(mix64(grams[anchor]))  # least hashes are small; mixed again they spread over all parts
             entries.append(e)
         base += n
         i = j
@@ -163,8 +167,9 @@ def _judge(group: pa.Table) -> pa.Table:
         deal = np.maximum(1, -(-runs // BUCKET))
         salt = (one["rh"] % deal.astype(U64)).astype(np.int64)
         by_block = np.argsort(blocks[spans], kind="stable")
-        for blk, part in _by_value(blocks[spans][by_block]):
-            x = e[spans][by_block][part]
+        marked, homes = e[spans][by_block], blocks[spans][by_block]
+        for blk, part in _by_value(homes):
+            x = marked[part]
             out.append((blk, 0, x["pos"].tobytes(), x["len"].tobytes(), None, None))
         at = np.flatnonzero(need)
         at = np.repeat(at, deal[at])  # a copy for each pair of blocks of a crowded anchor
@@ -206,22 +211,31 @@ def _fetch(docs: pa.Table, wanted: pa.Table) -> pa.Table:
 def repeated_windows(runs: list[bytes], whole: np.ndarray, length: int) -> np.ndarray:
     """For the concatenated runs, whether the window at each byte is repeated; ``whole`` runs repeat for certain."""
     sizes = np.array([len(r) for r in runs])
-    ends = np.cumsum(sizes)
+    base = np.cumsum(sizes) - sizes
     data = b"".join(runs)
-    hashes = mix64((lambda s: (s[length:] - s[:-length]) * powers(_ODD, len(s))[: len(s) - length])(_prefix_sums(np.frombuffer(data, dtype=np.uint8))))
-    owner = np.repeat(np.arange(len(runs)), sizes)[: len(hashes)]
-    inside = np.arange(len(hashes)) + length <= ends[owner]
-    at = np.flatnonzero(inside)
+    places, hashes, owners, i = [], [], [], 0
+    while i < len(runs):
+        j = max(i + 1, int(np.searchsorted(base, base[i] + CHUNK)))
+        n = int(base[j - 1] + sizes[j - 1] - base[i])
+        sums = _prefix_sums(np.frombuffer(data, dtype=np.uint8, count=n, offset=int(base[i])))
+        owner = np.repeat(np.arange(i, j), np.maximum(sizes[i:j] - length + 1, 0))
+        rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        start = base[owner] - base[i] + rank
+        hashes.append(_spans_hash_at(sums, start, length))
+        places.append(start + base[i])
+        owners.append(owner)
+        i = j
+    at, owner = np.concatenate(places), np.concatenate(owners)
     if len(at):
-        _, inverse, counts = np.unique(hashes[at], return_inverse=True, return_counts=True)
+        _, inverse, counts = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
     marked = np.zeros(len(data), dtype=bool)
-    marked[at] = whole[owner[at]]
+    marked[at] = whole[owner]
     if not len(at):
         return marked
     hot = counts[inverse] > 1
     # stretches of recurring windows; equal ones are kept once
-    place = at[hot]
-    edge = np.flatnonzero(np.concatenate(([True], (np.diff(place) != 1) | (owner[place[1:]] != owner[place[:-1]]), [True]))) if len(place) else np.zeros(1, dtype=np.int64)
+    place, own = at[hot], owner[hot]
+    edge = np.flatnonzero(np.concatenate(([True], (np.diff(place) != 1) | (own[1:] != own[:-1]), [True]))) if len(place) else np.zeros(1, dtype=np.int64)
     stretches: dict[bytes, list[int]] = {}
     for start, stop in zip(place[edge[:-1]].tolist(), (place[edge[1:] - 1] + 1).tolist(), strict=True):
         stretches.setdefault(data[start : stop - 1 + length], []).append(start)
@@ -249,7 +263,7 @@ def repeated_windows(runs: list[bytes], whole: np.ndarray, length: int) -> np.nd
     return marked
 
 
-def _compare(length: int, limit: int = 4 << 20):
+def _compare(length: int, limit: int = CHUNK):
     def flush(rows):
         blk, pos, whole, runs = zip(*rows, strict=True)
         whole = np.array(whole)
@@ -311,13 +325,14 @@ def _cut(kinds: pa.Schema, names: list[str]):
                 removed.append(0)
                 n_spans.append(0)
                 kept.append(text)
-        columns = [docs[n].combine_chunks() for n in names] + [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())]
+        columns = [docs[n].combine_chunks() for n in names] + [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())]
         return pa.table([c.cast(f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
     return cut
 
 
 def remove_repeated_bytes(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", rows_per_block: int = 4096) -> DataFrame:
-    """``docs`` with __n_bytes, __n_removed, __n_spans and __kept (binary; a cut may fall inside a character)."""
+    """``docs`` with __n_bytes, __n_removed, __n_spans, __kept (binary; a cut may fall inside a character)
+    and __text (the same without characters that a cut broke)."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = docs.sparkSession
@@ -332,7 +347,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 200, id_col: str = "doc
     compared = runs.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket").select("bucket", "blk", "pos", "whole", "data").mapInArrow(_compare(length), SPAN_DDL)
     spans = judged.where("kind = 0").union(compared).select("blk", "pos", "len")
     names = [c for c in docs.columns if c != text_col] + ["text"]
-    schema = T.StructType([dealt.schema[n] for n in names] + [T.StructField(n, T.LongType()) for n in ("__n_bytes", "__n_removed", "__n_spans")] + [T.StructField("__kept", T.BinaryType())])
+    schema = T.StructType([dealt.schema[n] for n in names] + [T.StructField(n, T.LongType()) for n in ("__n_bytes", "__n_removed", "__n_spans")] + [T.StructField("__kept", T.BinaryType()), T.StructField("__text", T.StringType())])
     return dealt.groupBy("blk").cogroup(spans.groupBy("blk")).applyInArrow(_cut(to_arrow_schema(schema), names), schema)
 
 
