@@ -68,7 +68,7 @@ def prediction_set(p: Column, threshold: Column) -> Column:
 
 def parse_prompt(c: Column) -> Column:
     """struct(subject, relation) of ``subject [SEP] relation``; null unless both parts are there."""
-    parts = F.transform(F.split(c, r"\[SEP\]"), F.trim)
+    parts = F.transform(F.split(c, r"\[SEP\]"), lambda x: F.trim(x))
     ok = (F.size(parts) == 2) & (F.get(parts, 0) != "") & (F.get(parts, 1) != "")
     return F.when(ok, F.struct(F.get(parts, 0).alias("subject"), F.get(parts, 1).alias("relation")))
 
