@@ -43,25 +43,43 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             counts: Counter = Counter()
-            for text in utf8(batch.column(0)):
-                counts.update(text.lower().split())
+            for i in range(0, batch.num_rows, 1000):
+                counts.update(b"\n".join(utf8(batch.column(0).slice(i, 1000))).lower().split())
             counts[b""] += batch.num_rows
             yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "c"])
 
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def common_words(counts: DataFrame) -> tuple[list[bytes], np.ndarray]:
+    """The commonest words, at most TOP, by descending count then word, and their counts.
+
+    Words are first counted by size class of their count (a power of 2**(1/16)),
+    so only words that are kept leave the executors.
+    """
+    size = F.floor(F.log2(F.col("c")) * 16)
+    classes = sorted(((r["k"], r["n"]) for r in counts.groupBy(size.alias("k")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    least, held = None, 0
+    for k, n in classes:
+        held += n
+        if held > TOP:
+            break
+        least = k
+    if least is None:
+        return [], np.zeros(0, dtype=np.int64)
+    table = counts.where(size >= least).select("word", "c").toArrow().sort_by([("c", "descending"), ("word", "ascending")])
+    return table["word"].to_pylist(), np.asarray(table["c"], dtype=np.int64)
+
+
 class _Words(dict):
-    """(symbol, log10(c + 1), known) of a word; unknown counts are nan."""
+    """A common word's rank, or -1 - symbol for another word."""
 
-    def __init__(self, top: list[tuple[bytes, int]]):
-        super().__init__()
-        for rank, (word, c) in enumerate(top):
-            self[word] = (rank if rank < OWN else OWN + (zlib.crc32(word) & (SHARED - 1)), float(np.log10(c + 1)))
+    def __init__(self, top: list[bytes]):
+        super().__init__(zip(top, range(len(top)), strict=True))
         self.fixed = len(self)
 
-    def __missing__(self, word: bytes):
-        value = self[word] = (OWN + (zlib.crc32(word) & (SHARED - 1)), None)
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = -1 - OWN - (zlib.crc32(word) & (SHARED - 1))
         return value
 
     def shrink(self) -> None:
@@ -70,26 +88,35 @@ class _Words(dict):
                 del self[word]
 
 
-def symbolized(docs: DataFrame, top: list[tuple[bytes, int]]) -> DataFrame:
-    """uid, doc_id, held_out, n_tokens, n_known, log_all, log_shared (sums of log10(c+1) where c is known here), symbols, rare."""
+def symbols_of(top: list[bytes]) -> np.ndarray:
+    """The symbol of each common word."""
+    return np.array([i if i < OWN else OWN + (zlib.crc32(w) & (SHARED - 1)) for i, w in enumerate(top)], dtype=np.uint16)
+
+
+def symbolized(docs: DataFrame, top: list[bytes], counts: np.ndarray) -> DataFrame:
+    """uid, doc_id, held_out, n_tokens, n_known, log_all, log_shared (sums of log10(c+1) of common words), symbols, rare."""
 
     def run(batches):
         words = _Words(top)
+        symbol = np.append(symbols_of(top), 0).astype(np.uint16)
+        log_c = np.append(np.log10(counts + 1.0), 0.0)
+        log_s = np.where(symbol >= OWN, log_c, 0.0)
         for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             n, known, log_all, log_shared, symbols, rare = [], [], [], [], [], []
             for text in utf8(batch.column(3)):
                 tokens = text.lower().split()
                 tokens.append(b"")
-                found = [words[t] for t in tokens]
-                ids = np.array([x[0] for x in found], dtype=np.uint16)
-                logs = np.array([x[1] for x in found], dtype=np.float64)
-                ok = ~np.isnan(logs)
+                found = np.fromiter(map(words.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+                other = np.flatnonzero(found < 0)
+                ranks = np.maximum(found, -1)
+                ids = symbol[ranks]
+                ids[other] = -1 - found[other]
                 n.append(len(tokens))
-                known.append(int(ok.sum()))
-                log_all.append(float(logs[ok].sum()))
-                log_shared.append(float(logs[ok & (ids >= OWN)].sum()))
+                known.append(len(tokens) - len(other))
+                log_all.append(float(log_c[ranks].sum()))
+                log_shared.append(float(log_s[ranks].sum()))
                 symbols.append(ids.tobytes())
-                rare.append([{"word": w, "tf": k} for w, k in Counter(tokens[i] for i in np.flatnonzero(~ok).tolist()).items()])
+                rare.append([{"word": w, "tf": k} for w, k in Counter([tokens[i] for i in other.tolist()]).items()])
             words.shrink()
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), batch.column(2), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(log_all, pa.float64()),
@@ -227,20 +254,21 @@ def score_documents(docs: DataFrame, passes: int = 2) -> DataFrame:
     counts = written(word_counts(docs.where("NOT held_out")), "hmm-counts")
     whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = int(whole["n"]), int(whole["v"])
-    top = [(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(TOP).collect()]
-    own = spark.createDataFrame([(w,) for w, _ in top[:OWN]], "word binary")
-    rest = counts.join(F.broadcast(own), "word", "left_anti")  # at most OWN rows
-    shared = rest.groupBy(F.crc32("word").bitwiseAND(F.lit(SHARED - 1)).alias("b")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
-    unigram = np.ones(SYMBOLS)
-    unigram[: min(OWN, len(top))] += [c for _, c in top[:OWN]]
-    share = np.ones(SHARED)
+    top, c = common_words(counts)
+    shared = counts.groupBy(F.crc32("word").bitwiseAND(F.lit(SHARED - 1)).alias("b")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
+    mass = np.ones(SHARED)
+    seen = np.zeros(SHARED)
     for r in shared:
-        unigram[OWN + r["b"]] += r["c"]
-        share[r["b"]] += r["c"] + r["v"]
+        mass[r["b"]] += r["c"] + r["v"]
+        seen[r["b"]] += r["c"]
+    own = np.array([zlib.crc32(w) & (SHARED - 1) for w in top[:OWN]], dtype=np.int64)
+    np.subtract.at(mass, own, c[:OWN] + 1)
+    np.subtract.at(seen, own, c[:OWN])
+    unigram = 1 + np.concatenate((np.pad(c[:OWN], (0, OWN - len(c[:OWN]))), seen))
     unigram /= unigram.sum()
-    log_share = np.concatenate((np.zeros(OWN), np.log10(share)))
+    log_share = np.concatenate((np.zeros(OWN), np.log10(mass)))
 
-    table = written(symbolized(docs, top), "hmm-symbols")
+    table = written(symbolized(docs, top, c), "hmm-symbols")
     model = HiddenMarkov.start(unigram)
     for _ in range(passes):
         model = baum_welch(table, model, unigram)
