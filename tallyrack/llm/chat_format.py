@@ -56,12 +56,12 @@ def unescape_role(role: Column) -> Column:
 
 
 def _run_machine(roles: Column, template: Template) -> Column:
-    """Fold the roles: state (null once refused) and the index of the first refused turn."""
+    """Fold the roles: state (empty once refused) and the index of the first refused turn."""
     def step(a: Column, role: Column) -> Column:
-        state = F.lit(None).cast("string")
+        state = F.lit("")
         for (at, by), to in template.moves.items():
             state = F.when((a["state"] == at) & (role == by), F.lit(to)).otherwise(state)
-        at_error = F.coalesce(a["error"], F.when(state.isNull(), a["k"]))
+        at_error = F.coalesce(a["error"], F.when(state == "", a["k"]))
         return F.struct(state.alias("state"), at_error.alias("error"), (a["k"] + 1).alias("k"))
 
     first = F.struct(F.lit(template.start).alias("state"), F.lit(None).cast("int").alias("error"), F.lit(0).alias("k"))

@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import string
 from array import array
 from itertools import islice
 
@@ -27,7 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-KEPT = 300_000
+KEPT = 240_000
+ROWS = 256
+SHORT = 64
 #: A stretch is a run of spaces with what follows; a line end stands alone.
 _CUT = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 _CUT_SPACE = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -53,8 +56,9 @@ class _Stretches(dict):
         return value
 
     def shrink(self) -> None:
+        """Keep the entries that came first, the common ones."""
         if len(self) > KEPT:
-            for key in list(islice(self, len(self) - KEPT // 2)):
+            for key in list(islice(self, KEPT * 2 // 3, None)):
                 del self[key]
 
 
@@ -67,6 +71,7 @@ class PieceCodec:
         pieces = [lib.id_to_piece(i) for i in range(n)]
         plain = [i for i in range(n) if not (lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i) or lib.is_unused(i))]
         self.pieces = {pieces[i]: (lib.get_score(i), i) for i in plain}
+        self.scores = {p: s for p, (s, _) in self.pieces.items()}
         self.bytes = {int(pieces[i][3:5], 16): i for i in range(n) if lib.is_byte(i)}
         self.begin, self.end, self.unknown = lib.bos_id(), lib.eos_id(), lib.unk_id()
         self.surface = [b""] * n
@@ -83,11 +88,13 @@ class PieceCodec:
         self.check = check
         self.words = _Stretches(self, SPACE)
         self.heads = _Stretches(self, "")
-        self.small: dict[str, list[int]] = {}
+        self.small: dict[str, array] = {}
         self.line = array("I", self.agenda("\n")).tobytes()
 
     def agenda(self, text: str) -> list[int]:
         """Merge by score, then leftmost, until no adjacent pair is a piece."""
+        if len(text) <= SHORT:
+            return self.ids_of(self.short_agenda(text))
         symbols: list[str | None] = list(text)
         n = len(symbols)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
@@ -111,11 +118,12 @@ class PieceCodec:
                 offer(left, behind)
             if before[left] >= 0:
                 offer(before[left], left)
+        return self.ids_of([s for s in symbols if s is not None])
+
+    def ids_of(self, symbols: list[str]) -> list[int]:
         ids: list[int] = []
         for s in symbols:
-            if s is None:
-                continue
-            if found := pieces.get(s):
+            if found := self.pieces.get(s):
                 ids.append(found[1])
             elif self.bytes:
                 ids.extend(self.bytes[b] for b in s.encode())
@@ -123,19 +131,37 @@ class PieceCodec:
                 ids.append(self.unknown)
         return ids
 
+    def short_agenda(self, text: str) -> list[str]:
+        """The same agenda kept as a list: quicker than a heap for the length of words."""
+        parts, score, none = list(text), self.scores.get, float("-inf")
+        agenda = [score(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while agenda:
+            best = max(agenda)
+            if best == none:
+                break
+            i = agenda.index(best)
+            parts[i] += parts[i + 1]
+            del parts[i + 1], agenda[i]
+            if i < len(agenda):
+                agenda[i] = score(parts[i] + parts[i + 1], none)
+            if i:
+                agenda[i - 1] = score(parts[i - 1] + parts[i], none)
+        return parts
+
     def encode_stretch(self, text: str) -> list[int]:
-        joined, small, ids, start = self.joined, self.small, [], 0
-        for i in range(1, len(text) + 1):
-            if i == len(text) or (text[i - 1], text[i]) not in joined:
-                piece = text[start:i]
-                found = small.get(piece)
-                if found is None:
-                    found = self.agenda(piece)
-                    if len(piece) <= 64:
-                        small[piece] = found
-                ids += found
-                start = i
-        return ids
+        """Marks behind a word stand apart if no piece joins them to it."""
+        core = text.rstrip(string.punctuation)
+        if core and len(core) < len(text) and (core[-1], text[len(core)]) not in self.joined:
+            return [*self.stretch(core), *self.stretch(text[len(core) :])]
+        return list(self.stretch(text))
+
+    def stretch(self, text: str) -> array:
+        found = self.small.get(text)
+        if found is None:
+            found = array("I", self.agenda(text))
+            if len(text) <= SHORT:
+                self.small[text] = found
+        return found
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids, begin and end included."""
@@ -185,7 +211,8 @@ class PieceCodec:
                         raise Codec(f"{text!r} decodes as {got!r}")
             table.shrink()
         if len(self.small) > KEPT:
-            self.small.clear()
+            for key in list(islice(self.small, KEPT * 2 // 3, None)):
+                del self.small[key]
 
 
 def codec(path: str) -> PieceCodec:
@@ -194,12 +221,20 @@ def codec(path: str) -> PieceCodec:
     return _CODECS[path]
 
 
+def _sliced(batches):
+    """Record batches of few rows: what a worker holds stays small whatever arrives."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS):
+            yield batch.slice(i, ROWS)
+        pa.default_memory_pool().release_unused()
+
+
 def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id column, ids (little-endian 32-bit, begin and end included), n_tokens and decoded text."""
 
     def run(batches):
         c = codec(model_path)
-        for batch in batches:
+        for batch in _sliced(batches):
             ids = [c.encode(t or "") for t in batch.column(1).to_pylist()]
             c.verify_fresh()
             yield pa.RecordBatch.from_arrays([
@@ -217,7 +252,7 @@ def encode_digests(docs: DataFrame, model_path: str) -> DataFrame:
     def run(batches):
         c = codec(model_path)
         sha = hashlib.sha256
-        for batch in batches:
+        for batch in _sliced(batches):
             n, ids_sha, text_sha = [], [], []
             for t in batch.column(1).to_pylist():
                 ids = c.encode(t or "")

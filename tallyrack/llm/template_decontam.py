@@ -4,7 +4,7 @@ Texts become templates: numbers, names (capitalised words inside a sentence)
 and units after numbers turn into typed placeholders, the rest is lower-cased
 and freed of marks.  Windows of ``WIDTH`` template words of the benchmark are
 hashed and joined with those of the documents by hash; only documents that hit
-are read again, and windows of equal hash are compared word by word.  Windows with fewer than half literal words count for nothing.
+are read again, and windows of equal hash are compared word by word.  Windows of which fewer than half of the words have letters count for nothing.
 
 Matches of a document and an item are grouped by their offset.  A group is an
 occurrence of the question if its slots are consistent: each value of a
@@ -65,7 +65,7 @@ def item_windows(items: DataFrame, item_col: str = "item_id", text_col: str = "t
     base = base.where(F.size("t") >= SHORTEST).withColumn("width", F.least(F.size("t"), F.lit(WIDTH)))
     at = F.explode(F.sequence(F.lit(0), F.size("t") - F.col("width"))).alias("at")
     rows = base.select("item", "width", "t", "w", at).select("item", "width", "at", F.slice("t", F.col("at") + 1, F.col("width")).alias("words"), F.slice("w", F.col("at") + 1, F.col("width")).alias("literals"))
-    rows = rows.where(2 * F.size(F.filter("words", lambda x: ~_is_slot(x))) >= F.col("width")).dropDuplicates()
+    rows = rows.where(2 * F.size(F.filter("words", lambda x: x.rlike(r"\p{L}"))) >= F.col("width")).dropDuplicates()
     totals = rows.groupBy("item").agg(F.countDistinct("at").alias("n_windows"))
     return rows.withColumn("hash", F.xxhash64("words")).join(totals.withColumnRenamed("item", "own"), F.col("item").eqNullSafe(F.col("own"))).drop("own")
 
@@ -126,7 +126,7 @@ c AS (SELECT side, id, regexp_extract_all(regexp_replace(y, '[^\p{{L}}\p{{N}}' |
              regexp_extract_all(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}' || chr(57344) || '-' || chr(57346) || '\s]+', '', 'g'), '[^\s]+') AS w FROM b),
 items AS (SELECT *, least(len(t), {WIDTH}) AS width FROM c WHERE side = 'b' AND len(t) >= {SHORTEST}),
 iw AS (SELECT DISTINCT id AS item_id, width, p - 1 AS spot, t[p:p+width-1] AS words, w[p:p+width-1] AS lits FROM (SELECT *, unnest(range(1, len(t) - width + 2)) AS p FROM items)),
-ok AS (SELECT * FROM iw WHERE 2 * len([x FOR x IN words IF NOT regexp_matches(x, '[' || chr(57344) || '-' || chr(57346) || ']')]) >= width),
+ok AS (SELECT * FROM iw WHERE 2 * len([x FOR x IN words IF regexp_matches(x, '\p{{L}}')]) >= width),
 tot AS (SELECT item_id, count(DISTINCT spot) AS item_windows FROM ok GROUP BY item_id),
 dw AS (SELECT id AS doc_id, width, p - 1 AS pos, t[p:p+width-1] AS words, w[p:p+width-1] AS lits
        FROM (SELECT c.*, width, unnest(range(1, greatest(len(t) - width + 2, 1))) AS p FROM c, (SELECT DISTINCT width FROM items) WHERE side = 'd')),
