@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyrack.functions import canonical
 from tallyrack.functions import scalars as S
-from tallyrack.operators import audit, calibration, count_index, decision, finite, learning, monitor, wmc
+from tallyrack.operators import audit, calibration, count_index, decision, finite, graph, learning, monitor, records, run, wmc
+from tallyrack.sources import archive
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -484,3 +486,126 @@ def scalar_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def normalize_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", S.normalize_text(F.substring("text", 1, 200)).alias("surface"))
+
+
+# ------------------------------------------------------------- records and runs
+
+_ENVELOPES = """
+SELECT CAST(s_suppkey AS VARCHAR) AS record_id, CASE s_suppkey % 4 WHEN 0 THEN 'success' WHEN 1 THEN 'approximate' WHEN 2 THEN 'timeout' ELSE 'inconsistent' END AS status,
+  CASE s_suppkey % 3 WHEN 0 THEN 'exact' ELSE 'not_applicable' END AS exactness, CASE s_suppkey % 5 WHEN 0 THEN 'training' WHEN 1 THEN 'streaming' WHEN 2 THEN 'other' ELSE 'not_applicable' END AS part,
+  CASE WHEN s_suppkey % 7 <> 0 THEN 'p' END AS partition_id, s_suppkey % 2 = 0 AS has_result, s_suppkey % 3 AS n_errors, s_suppkey % 2 AS n_warnings, s_suppkey % 50 AS used, CASE WHEN s_suppkey % 6 <> 0 THEN 40 END AS budget FROM supplier
+"""
+
+
+@query(f"""
+WITH r AS ({_ENVELOPES}), i AS (SELECT record_id, list_sort([x FOR x IN [
+  CASE WHEN part NOT IN ('training', 'development', 'calibration', 'final_test', 'streaming', 'not_applicable') THEN 'partition' END, CASE WHEN part <> 'not_applicable' AND partition_id IS NULL THEN 'partition_id_missing' END,
+  CASE WHEN status IN ('success', 'approximate') AND NOT has_result THEN 'result_missing' END, CASE WHEN status NOT IN ('success', 'approximate') AND has_result THEN 'result_forbidden' END,
+  CASE WHEN status NOT IN ('success', 'approximate') AND n_errors = 0 THEN 'error_missing' END, CASE WHEN status = 'success' AND n_errors > 0 THEN 'error_forbidden' END,
+  CASE WHEN status = 'approximate' AND n_warnings = 0 THEN 'warning_missing' END, CASE WHEN status NOT IN ('success', 'approximate') AND exactness <> 'not_applicable' THEN 'exactness' END,
+  CASE WHEN used > budget THEN 'budget_exceeded' END] IF x IS NOT NULL]) AS issues FROM r)
+SELECT record_id, array_to_string(issues, ',') AS issues, len(issues) = 0 AS ok FROM i
+""")
+def validate_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _t(spark, sf_dir, "supplier").createOrReplaceTempView("_supplier")
+    rows = spark.sql(_ENVELOPES.replace("FROM supplier", "FROM _supplier").replace("AS VARCHAR", "AS STRING")).withColumnRenamed("part", "partition")
+    return records.validate_records(rows).select("record_id", F.array_join("issues", ",").alias("issues"), "ok")
+
+
+@query("""
+SELECT 'o' || o_orderkey AS record_id, ord, CASE ord WHEN 0 THEN 'source' ELSE 'evidence' END AS kind, CASE ord WHEN 0 THEN 'c' || o_custkey ELSE o_orderpriority END AS id,
+  CASE ord WHEN 0 THEN 'derived_from' ELSE 'supports' END AS relation FROM orders, (SELECT unnest([0, 1]) AS ord) WHERE o_orderkey % 10 = 0
+""")
+def lineage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edge = lambda k, i, r: F.struct(F.lit(k).alias("kind"), i.alias("id"), F.lit(r).alias("relation"))
+    rows = _t(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select(F.concat(F.lit("o"), "o_orderkey").alias("record_id"), F.array(edge("source", F.concat(F.lit("c"), "o_custkey"), "derived_from"), edge("evidence", F.col("o_orderpriority"), "supports")).alias("lineage"))
+    return records.lineage_edges(rows)
+
+
+_LEDGER = """
+SELECT o_custkey % 20 AS model_id, o_orderkey AS ordinal, 'e' || (o_orderkey - CASE WHEN o_orderkey % 23 = 0 THEN 20 ELSE 0 END) AS evidence_id,
+  CASE o_orderkey % 5 WHEN 0 THEN 'exact_duplicate' WHEN 1 THEN 'correlated' ELSE 'independent' END AS dependence, CASE WHEN o_orderkey % 3 = 0 THEN 'e' || (o_orderkey - 20 * (o_orderkey % 4 - 1)) END AS parent_id, o_totalprice > 150000 AS factor_key
+FROM orders WHERE o_orderkey < 4000
+"""
+
+
+@query(f"""
+WITH e AS ({_LEDGER}), j AS (SELECT e.*, p.ordinal AS po, p.factor_key AS pf, row_number() OVER (PARTITION BY e.model_id, e.evidence_id ORDER BY e.ordinal) = 1 AS first
+  FROM e LEFT JOIN e p ON p.model_id = e.model_id AND p.evidence_id = e.parent_id)
+SELECT model_id, ordinal, evidence_id, CASE WHEN NOT first THEN 'duplicate_id' WHEN parent_id IS NOT NULL AND (po IS NULL OR po >= ordinal) THEN 'invalid_schema' WHEN dependence IN ('correlated', 'unknown') THEN 'unsupported_input'
+  WHEN dependence = 'exact_duplicate' AND parent_id IS NULL THEN 'invalid_schema' WHEN dependence = 'exact_duplicate' AND factor_key <> pf THEN 'invalid_schema' ELSE 'success' END AS status FROM j
+""")
+def validate_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _t(spark, sf_dir, "orders").createOrReplaceTempView("_orders")
+    return records.validate_ledger(spark.sql(_LEDGER.replace("FROM orders", "FROM _orders")))
+
+
+@query(f"""
+WITH RECURSIVE l AS ({_LITERALS}), v AS (SELECT DISTINCT formula_id * 100 + abs(lit) AS node, 1000000 + clause_id AS other FROM l WHERE clause_id < 200),
+b AS (SELECT node, other FROM v UNION SELECT other, node FROM v), r AS (SELECT node, node AS x FROM b UNION SELECT r.node, b.other FROM r JOIN b ON b.node = r.x)
+SELECT node, min(x) AS component FROM r GROUP BY node
+""")
+def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lits = _literals(spark, sf_dir).where("clause_id < 200")
+    return graph.connected_components(lits.selectExpr("formula_id * 100 + abs(lit) AS src", "1000000 + clause_id AS dst"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0")
+def resume_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _t(spark, sf_dir, "orders").select("o_orderkey")
+    return records.remaining(orders, orders.where("o_orderkey % 3 = 0"), orders.where("o_orderkey % 5 = 0"), "o_orderkey")
+
+
+@query("SELECT c_custkey, CASE WHEN o THEN 'unexpected' ELSE 'missing' END AS side FROM (SELECT c_custkey, c_custkey % 4 = 0 AS e, c_custkey % 6 = 0 AS o FROM customer) WHERE e <> o")
+def index_set_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "customer").select("c_custkey")
+    return records.set_difference_report(rows.where("c_custkey % 4 = 0"), rows.where("c_custkey % 6 = 0"), "c_custkey")
+
+
+_JOBS = "SELECT s_name AS name, CASE s_suppkey % 3 WHEN 0 THEN 'queued' WHEN 1 THEN 'in_progress' ELSE 'completed' END AS state, TIMESTAMP '2024-01-01 00:00:00' + s_suppkey * INTERVAL 1 MINUTE AS started FROM supplier"
+
+
+@query(f"""
+WITH j AS ({_JOBS}) SELECT count(*) AS total, count(*) FILTER (state = 'queued') AS queued, count(*) FILTER (state = 'in_progress') AS running, count(*) FILTER (state = 'completed') AS completed,
+  max(greatest(0, epoch(TIMESTAMP '2024-01-02 00:00:00') - epoch(started)))  FILTER (state = 'in_progress')::BIGINT AS longest_running FROM j
+""".replace("FILTER (state = 'in_progress')::BIGINT", "FILTER (state = 'in_progress')"))
+def worker_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = _t(spark, sf_dir, "supplier").selectExpr("s_name AS name", "CASE s_suppkey % 3 WHEN 0 THEN 'queued' WHEN 1 THEN 'in_progress' ELSE 'completed' END AS state", "TIMESTAMP '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, CAST(s_suppkey AS INT), 0) AS started")
+    return records.worker_summary(jobs, "2024-01-02 00:00:00").withColumn("longest_running", F.col("longest_running").cast("double"))
+
+
+@query("SELECT job, seq, state, before FROM (SELECT *, lag(state) OVER (PARTITION BY job ORDER BY seq) AS before FROM (SELECT user_id AS job, event_id AS seq, event_type AS state FROM events)) WHERE before IS NULL OR before <> state")
+def state_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.state_changes(_t(spark, sf_dir, "events").select(F.col("user_id").alias("job"), F.col("event_id").alias("seq"), F.col("event_type").alias("state")))
+
+
+@query(f"""
+WITH m AS ({_MODELS}) SELECT CAST(formula_id AS VARCHAR) AS formula_id, CASE WHEN formula_id % 4 = 0 THEN 'unauthorized' ELSE 'success' END AS status,
+  CASE WHEN formula_id % 4 <> 0 THEN CAST(models AS VARCHAR) END AS num, CASE WHEN formula_id % 4 = 0 THEN 'abstain' ELSE 'act' END AS decision, CASE WHEN formula_id % 4 = 0 THEN 'not_applicable' ELSE 'exact' END AS exactness FROM m
+""")
+def run_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _formula_texts(spark, sf_dir).withColumn("partition", F.when(F.col("formula_id").cast("int") % 4 == 0, "training").otherwise("development"))
+    return run.run_formulas(texts, "build-1").select("formula_id", "status", "num", "decision", "exactness")
+
+
+@query(f"""
+WITH n AS (SELECT formula_id, clause_id, list(DISTINCT lit) AS s FROM ({_LITERALS}) GROUP BY ALL), u AS (SELECT formula_id, clause_id, unnest(s) AS x FROM n)
+SELECT u.formula_id, u.clause_id, CAST(count(DISTINCT abs(x)) AS BIGINT) AS width,
+  CAST((1 << count(DISTINCT abs(x))) - CASE WHEN count(*) = count(DISTINCT abs(x)) THEN 1 ELSE 0 END AS BIGINT) AS ones FROM u GROUP BY ALL
+""")
+def clause_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = run.clause_factors(_literals(spark, sf_dir))
+    return got.select("formula_id", "clause_id", F.size("scope").cast("long").alias("width"), F.aggregate("table", F.lit(0).cast("long"), lambda a, x: a + x).alias("ones"))
+
+
+@query(f"""
+WITH n AS (SELECT formula_id, clause_id, list(DISTINCT lit) AS s FROM ({_LITERALS}) GROUP BY ALL), c AS (SELECT * FROM n WHERE len([x FOR x IN s IF list_contains(s, -x)]) = 0)
+SELECT count(DISTINCT formula_id) AS formulas, count(DISTINCT formula_id) AS parsed, CAST(count(DISTINCT formula_id) * 8 AS BIGINT) AS variables, count(*) AS clauses, CAST(sum(len(s)) AS BIGINT) AS literals, CAST(max(len(s)) AS BIGINT) AS longest FROM c
+""")
+def audit_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.audit_rollup(archive.audit_formulas(_formula_texts(spark, sf_dir))).select("formulas", "parsed", "variables", "clauses", "literals", "longest")
+
+
+@query()
+def canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "events").select("event_id", canonical.check_canonical("props").alias("c")).select("event_id", "c.status")
