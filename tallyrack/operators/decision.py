@@ -9,7 +9,6 @@ Risk = sum(weight * loss) / total + lambda * cost, compared by cross-multiplying
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -33,11 +32,19 @@ def expected_risks(state: DataFrame, action: DataFrame, loss: DataFrame, lambda_
 
 
 def decide(risks: DataFrame, abstain_num: int, abstain_den: int) -> DataFrame:
-    """Least risk, then priority, then id; abstain if it is not below the abstention risk."""
+    """Least risk, then priority, then id; abstain if it is not below the abstention risk.
+
+    Risks are compared by cross-multiplying, so any denominators may meet; a
+    product past 38 digits raises.  A request has at most some hundred actions.
+    """
     ok = risks.where("status = 'admissible'")
-    # one denominator for a request makes ratios comparable as integers
-    common = ok.withColumn("scale", F.max("risk_den").over(W.partitionBy("request_id")))
-    value = (F.col("risk_num") * (F.col("scale") / F.col("risk_den")).cast("decimal(20,0)")).cast("decimal(38,0)")
-    best = common.groupBy("request_id").agg(F.min(F.struct(value.alias("value"), "priority", "action_id", "scale")).alias("b"))
-    abstains = F.col("b.value") * abstain_den >= F.col("b.scale") * abstain_num
-    return best.select("request_id", F.when(abstains, "abstain").otherwise("act").alias("decision"), F.when(~abstains, F.col("b.action_id")).alias("action_id"), F.col("b.value").cast("long").alias("best_num"), F.col("b.scale").cast("long").alias("best_den"))
+    actions = F.collect_list(F.struct("risk_num", "risk_den", "priority", "action_id"))
+
+    def order(a, b):
+        left, right = a["risk_num"] * b["risk_den"], b["risk_num"] * a["risk_den"]
+        by = lambda x, y, rest: F.when(x < y, F.lit(-1)).when(x > y, F.lit(1)).otherwise(rest)
+        return by(left, right, by(a["priority"], b["priority"], by(a["action_id"], b["action_id"], F.lit(0))))
+
+    best = ok.groupBy("request_id").agg(F.get(F.array_sort(actions, order), F.lit(0)).alias("b"))
+    abstains = F.col("b.risk_num") * abstain_den >= F.col("b.risk_den") * abstain_num
+    return best.select("request_id", F.when(abstains, "abstain").otherwise("act").alias("decision"), F.when(~abstains, F.col("b.action_id")).alias("action_id"), F.col("b.risk_num").cast("long").alias("best_num"), F.col("b.risk_den").cast("long").alias("best_den"))
