@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket
+from .common import crc_bucket, tidy_batches
 
 WINDOW = 64
 f32 = np.float32
@@ -224,6 +224,7 @@ def predict(docs: DataFrame, model: ByteGru | None, id_col: str = "doc_id", text
     if model is None:
         return rows.select(id_col, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
 
+    @tidy_batches
     def run(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()

@@ -12,41 +12,24 @@ Rows
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+import ctypes
+import ctypes.util
+import functools
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyrack.sources.shared import shared_dir, written
+
+__all__ = ["shared_dir", "written"]
+
 U64 = np.uint64
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 LAST_ID = (1 << 63) - 1
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share; set here only when the session has none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or None
-    if not found:
-        found = spark.conf.get("tallyrack.local.shared", None)
-        if not found:
-            found = "file://" + tempfile.mkdtemp(prefix="tallyrack-")
-            atexit.register(shutil.rmtree, found[7:], ignore_errors=True)
-            spark.conf.set("tallyrack.local.shared", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and read it back: lineage ends at files every machine sees."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -93,7 +76,52 @@ def range_index(key: Column, bounds: list[int], fan: int = 64) -> Column:
     return F.when(level == 0, F.lit(0)).otherwise((level - 1) * fan + within).cast("int")
 
 
-# ---------------------------------------------------------------- numpy side
+# ---------------------------------------------------------------- worker side
+
+
+@functools.cache
+def _libc():
+    name = ctypes.util.find_library("c")
+    found = ctypes.CDLL(name) if name else None
+    return found if hasattr(found, "malloc_trim") else None
+
+
+def give_back() -> None:
+    """Hand freed memory to the system: Python workers live on beside other stages."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc().malloc_trim(0)
+
+
+def tidy(function):
+    """A grouped function of one table, or of two, that gives memory back after each group."""
+    def one(table):
+        try:
+            return function(table)
+        finally:
+            give_back()
+
+    def two(left, right):
+        try:
+            return function(left, right)
+        finally:
+            give_back()
+
+    return two if function.__code__.co_argcount == 2 else one
+
+
+def tidy_batches(function):
+    """A batch iterator that gives memory back when its task ends."""
+    @functools.wraps(function)
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+    return run
+
 
 _WS = np.zeros(256, dtype=bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True

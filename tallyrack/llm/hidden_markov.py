@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, utf8, written
+from .common import crc_bucket, tidy_batches, utf8, written
 
 OWN, SHARED, TOP = 8192, 8192, 1 << 18
 SYMBOLS = OWN + SHARED
@@ -40,6 +40,7 @@ f32 = np.float32
 def word_counts(docs: DataFrame) -> DataFrame:
     """word (binary, empty for the end token), c over all rows of ``text``."""
 
+    @tidy_batches
     def run(batches):
         for batch in batches:
             counts: Counter = Counter()
@@ -96,6 +97,7 @@ def symbols_of(top: list[bytes]) -> np.ndarray:
 def symbolized(docs: DataFrame, top: list[bytes], counts: np.ndarray) -> DataFrame:
     """uid, doc_id, held_out, n_tokens, n_known, log_all, log_shared (sums of log10(c+1) of common words), symbols, rare."""
 
+    @tidy_batches
     def run(batches):
         words = _Words(top)
         symbol = np.append(symbols_of(top), 0).astype(np.uint16)
@@ -222,6 +224,7 @@ def baum_welch(table: DataFrame, model: HiddenMarkov, unigram: np.ndarray, prior
     k = len(model.first)
     names = [f"s{i}" for i in range(k)]
 
+    @tidy_batches
     def run(batches):
         first, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((SYMBOLS, k))
         for _, docs in _in_batches(batches, 0):
@@ -273,6 +276,7 @@ def score_documents(docs: DataFrame, passes: int = 2) -> DataFrame:
     for _ in range(passes):
         model = baum_welch(table, model, unigram)
 
+    @tidy_batches
     def run(batches):
         for held, found in _in_batches(batches, 1):
             logs = model.forward(_Packed(found), False)[0] / np.log(10) - np.array([log_share[d].sum() for d in found])

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, U64, blocks_of, hashed_documents, mix64, pack_sorted, rolling, shuffle_partitions, unpack_sorted, utf8, written
+from .common import blocks_of, hashed_documents, LAST_ID, mix64, pack_sorted, rolling, shuffle_partitions, tidy, tidy_batches, U64, unpack_sorted, utf8, written
 from .components import components
 
 BUCKET = 2048
@@ -62,6 +62,7 @@ def _sorted_block(group: pa.Table):
 
 
 def _send(width: int, bits: int):
+    @tidy
     def send(group: pa.Table) -> pa.Table:
         sets = shingle_sets(_sorted_block(group)[1], width)
         values, counts = np.unique(np.concatenate(sets), return_counts=True)
@@ -76,6 +77,7 @@ def _send(width: int, bits: int):
     return send
 
 
+@tidy
 def _answer(group: pa.Table) -> pa.Table:
     lists = [unpack_sorted(x) for x in group["packed"].to_pylist()]
     values = np.concatenate(lists)
@@ -100,6 +102,7 @@ def _describe(width: int, threshold: int):
         ("uid", "key", "text_hash", "n", "fp1", "fp2", "rare", "low", "prefix", "shared"),
         (*[pa.int64()] * 8, pa.list_(pa.int64()), pa.binary()), strict=True)])
 
+    @tidy
     def describe(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return kinds.empty_table()
@@ -211,6 +214,7 @@ def _linked(threshold: int):
         ids, sizes, labels, sets = zip(*{r[0]: r for r in rows}.values(), strict=True)
         return links(np.array(ids), np.array(sizes), [np.frombuffer(s, dtype="<u8") for s in sets], np.array(labels), threshold)
 
+    @tidy_batches
     def run(batches):
         bucket, rows = None, []
         for batch in batches:

@@ -27,8 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy_batches
+
 SPACE = "▁"
-KEPT = 240_000
+KEPT = 450_000
 ROWS = 256
 SHORT = 64
 #: A stretch is a run of spaces with what follows; a line end stands alone.
@@ -44,21 +46,26 @@ class Codec(Exception):
 class _Stretches(dict):
     """Ids, as little-endian bytes, of stretches up to a space or line end."""
 
-    def __init__(self, codec: PieceCodec, prefix: str):
+    def __init__(self, codec: PieceCodec, prefix: str, most: int):
         super().__init__()
-        self.codec, self.prefix, self.fresh = codec, prefix, []
+        self.codec, self.prefix, self.most, self.fresh = codec, prefix, most, []
 
     def __missing__(self, part: str) -> bytes:
-        ids = self.codec.encode_stretch(self.prefix + part)
-        value = array("I", ids).tobytes()
+        core = part.rstrip(string.punctuation)
+        if core and len(core) < len(part) and (core[-1], part[len(core)]) not in self.codec.joined:
+            value = self[core] + self.codec.heads[part[len(core) :]]  # no piece joins the marks to the word
+            if len(self) < self.most // 3:
+                self[part] = value
+            return value
+        ids = self.codec.agenda(self.prefix + part)
+        value = self[part] = array("I", ids).tobytes()
         self.fresh.append((part, ids))
-        self[part] = value
         return value
 
     def shrink(self) -> None:
         """Keep the entries that came first, the common ones."""
-        if len(self) > KEPT:
-            for key in list(islice(self, KEPT * 2 // 3, None)):
+        if len(self) > self.most:
+            for key in list(islice(self, self.most * 2 // 3, None)):
                 del self[key]
 
 
@@ -86,9 +93,8 @@ class PieceCodec:
         self.by_space = not any(b == SPACE and a != SPACE for a, b in self.joined)
         self.by_line = not any("\n" in pair for pair in self.joined)
         self.check = check
-        self.words = _Stretches(self, SPACE)
-        self.heads = _Stretches(self, "")
-        self.small: dict[str, array] = {}
+        self.words = _Stretches(self, SPACE, KEPT)
+        self.heads = _Stretches(self, "", KEPT // 4)
         self.line = array("I", self.agenda("\n")).tobytes()
 
     def agenda(self, text: str) -> list[int]:
@@ -148,27 +154,12 @@ class PieceCodec:
                 agenda[i - 1] = score(parts[i - 1] + parts[i], none)
         return parts
 
-    def encode_stretch(self, text: str) -> list[int]:
-        """Marks behind a word stand apart if no piece joins them to it."""
-        core = text.rstrip(string.punctuation)
-        if core and len(core) < len(text) and (core[-1], text[len(core)]) not in self.joined:
-            return [*self.stretch(core), *self.stretch(text[len(core) :])]
-        return list(self.stretch(text))
-
-    def stretch(self, text: str) -> array:
-        found = self.small.get(text)
-        if found is None:
-            found = array("I", self.agenda(text))
-            if len(text) <= SHORT:
-                self.small[text] = found
-        return found
-
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids, begin and end included."""
         body = b""
         if text:
             if not self.bytes or not self.by_space:
-                body = array("I", self.encode_stretch(SPACE + text.replace(" ", SPACE))).tobytes()
+                body = array("I", self.agenda(SPACE + text.replace(" ", SPACE))).tobytes()
             else:
                 body = self._by_parts(text)
         return array("I", [self.begin]).tobytes() + body + array("I", [self.end]).tobytes()
@@ -210,9 +201,12 @@ class PieceCodec:
                     if text.replace(SPACE, " ") != got:
                         raise Codec(f"{text!r} decodes as {got!r}")
             table.shrink()
-        if len(self.small) > KEPT:
-            for key in list(islice(self.small, KEPT * 2 // 3, None)):
-                del self.small[key]
+
+
+    def forget(self) -> None:
+        """Drop the tables; a worker may serve other stages next."""
+        self.words.clear()
+        self.heads.clear()
 
 
 def codec(path: str) -> PieceCodec:
@@ -226,12 +220,12 @@ def _sliced(batches):
     for batch in batches:
         for i in range(0, batch.num_rows, ROWS):
             yield batch.slice(i, ROWS)
-        pa.default_memory_pool().release_unused()
 
 
 def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id column, ids (little-endian 32-bit, begin and end included), n_tokens and decoded text."""
 
+    @tidy_batches
     def run(batches):
         c = codec(model_path)
         for batch in _sliced(batches):
@@ -241,6 +235,7 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
                 batch.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()),
                 pa.array([c.decode(x) for x in ids], pa.string()),
             ], names=[id_col, "ids", "n_tokens", "decoded"])
+        c.forget()
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, ids binary, n_tokens long, decoded string")
@@ -249,6 +244,7 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 def encode_digests(docs: DataFrame, model_path: str) -> DataFrame:
     """As ``encode_decode``, with digests in place of ids and text."""
 
+    @tidy_batches
     def run(batches):
         c = codec(model_path)
         sha = hashlib.sha256
@@ -261,6 +257,7 @@ def encode_digests(docs: DataFrame, model_path: str) -> DataFrame:
                 text_sha.append(sha(c.decode(ids).encode()).hexdigest())
             c.verify_fresh()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        c.forget()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

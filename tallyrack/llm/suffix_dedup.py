@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _ODD, _ODD_INV, LAST_ID, U64, blocks_of, mix64, pack_sorted, powers, shuffle_partitions, unpack_sorted, utf8, written
+from .common import blocks_of, LAST_ID, mix64, _ODD, _ODD_INV, pack_sorted, powers, shuffle_partitions, tidy, tidy_batches, U64, unpack_sorted, utf8, written
 from .suffix_array import suffix_array
 
 GRAM = 32
@@ -113,6 +113,7 @@ PACKED = pa.schema([("part", pa.int32()), ("blk", pa.int32()), ("kind", pa.int32
 
 
 def _send(length: int, bits: int):
+    @tidy
     def send(group: pa.Table) -> pa.Table:
         block = group["blk"][0].as_py()
         anchors, e = block_runs(_sorted_block(group)[1], length)
@@ -141,6 +142,7 @@ def _shared(anchors: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (counts[inverse] > 1) & (keys != 0)
 
 
+@tidy
 def _judge(group: pa.Table) -> pa.Table:
     """Which runs repeat as a whole, and which need their bytes compared (kind 1), by block."""
     out, anchors, entries, blocks = [], [], [], []
@@ -194,6 +196,7 @@ def _by_value(ranked: np.ndarray):
 RUN = pa.schema([("bucket", pa.int64()), ("blk", pa.int32()), ("pos", pa.int64()), ("whole", pa.bool_()), ("data", pa.binary())])
 
 
+@tidy
 def _fetch(docs: pa.Table, wanted: pa.Table) -> pa.Table:
     if not docs.num_rows or not wanted.num_rows:
         return RUN.empty_table()
@@ -283,6 +286,7 @@ def _compare(length: int, limit: int = CHUNK):
         out = [(b, 0, start[order][p].astype("<u4").tobytes(), (last - first + length)[order][p].astype("<u2").tobytes(), None, None) for b, p in _by_value(blocks[order])]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), SPAN, strict=True)], schema=SPAN)
 
+    @tidy_batches
     def run(batches):
         bucket, rows, held = None, [], 0
         for batch in batches:
@@ -301,6 +305,7 @@ def _compare(length: int, limit: int = CHUNK):
 
 
 def _cut(kinds: pa.Schema, names: list[str]):
+    @tidy
     def cut(docs: pa.Table, spans: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return kinds.empty_table()

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, shared_dir, shuffle_partitions
+from .common import LAST_ID, shared_dir, shuffle_partitions, tidy_batches
 
 MAGIC = b"WVMX\x01"
 SHARD = "part int, seq int, first long, n_tokens long, n_docs long, payload binary"
@@ -192,7 +192,9 @@ class _Pieces(dict):
         if not core.isalpha():
             value = self[part] = self.owner.whole(self.lead + part)
         elif len(core) < len(part):  # letters and marks never share a piece
-            return self[core] + self.owner.marks[part[len(core) :]]
+            value = self[core] + self.owner.marks[part[len(core) :]]
+            if len(self) < self.owner.most // 3:
+                self[part] = value
         else:
             value = self[part] = self.owner.letters(self.lead + part)
         return value
@@ -257,6 +259,11 @@ class ByteLevelEncoder:
             lines.append(b"".join([head, *map(rest, parts)]))
         return self.line.join(lines)
 
+    def forget(self) -> None:
+        """Drop the tables; a worker may serve other stages next."""
+        for table in (self.heads, self.rest, self.marks):
+            table.clear()
+
     def shrink(self) -> None:
         self.heads.shrink(self.most // 4)
         self.rest.shrink(self.most)
@@ -284,6 +291,7 @@ def encoder(path: str) -> ByteLevelEncoder:
 def write_shards(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 0, shard_tokens: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Tokenize, order by id and write wavelet-matrix shards to the folder ``out``."""
 
+    @tidy_batches
     def run(batches):
         e, part = encoder(tokenizer_path), TaskContext.get().partitionId()
         end = array("I", [end_id]).tobytes()
@@ -311,6 +319,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 0
             e.shrink()
         if ids:
             yield shard()
+        e.forget()
 
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))
     spark = docs.sparkSession
@@ -328,6 +337,7 @@ def read_shards(spark, path: str) -> DataFrame:
         at += n
     offsets = spark.createDataFrame(starts, "part int, base long")
 
+    @tidy_batches
     def run(batches):
         for batch in batches:
             for base, first, payload in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):

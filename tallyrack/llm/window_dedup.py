@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, U64, blocks_of, covered, hashed_documents, pack_sorted, rolling, shuffle_partitions, unpack_sorted, utf8
+from .common import blocks_of, covered, hashed_documents, LAST_ID, pack_sorted, rolling, shuffle_partitions, tidy, U64, unpack_sorted, utf8
 
 ANSWER = "blk int, part int, n long, bits binary"
 RESULT = "doc_id long, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept_text string"
@@ -50,6 +50,7 @@ def _sorted_block(group: pa.Table):
 
 
 def _send(width: int, bits: int):
+    @tidy
     def send(group: pa.Table) -> pa.Table:
         block = group["blk"][0].as_py()
         _, hashes, _ = block_windows(_sorted_block(group)[1], width)
@@ -63,6 +64,7 @@ def _send(width: int, bits: int):
     return send
 
 
+@tidy
 def _answer(group: pa.Table) -> pa.Table:
     group = group.sort_by([("blk", "ascending")])
     lists = [unpack_sorted(x) for x in group["packed"].to_pylist()]
@@ -77,6 +79,7 @@ def _answer(group: pa.Table) -> pa.Table:
 
 
 def _cut(width: int):
+    @tidy
     def cut(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "removed": pa.array([], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), "kept_text": pa.array([], pa.string())})
