@@ -259,11 +259,6 @@ class ByteLevelEncoder:
             lines.append(b"".join([head, *map(rest, parts)]))
         return self.line.join(lines)
 
-    def forget(self) -> None:
-        """Drop the tables; a worker may serve other stages next."""
-        for table in (self.heads, self.rest, self.marks):
-            table.clear()
-
     def shrink(self) -> None:
         self.heads.shrink(self.most // 4)
         self.rest.shrink(self.most)
@@ -319,7 +314,6 @@ def write_shards(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 0
             e.shrink()
         if ids:
             yield shard()
-        e.forget()
 
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))
     spark = docs.sparkSession
