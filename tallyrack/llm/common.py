@@ -178,7 +178,7 @@ def word_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, mix64(raw + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
-def hashed_documents(texts: list[bytes], lower: bool = False, chunk: int = 1 << 20):
+def hashed_documents(texts: list[bytes], lower: bool = False, chunk: int = 1 << 19):
     """Yield (index of first document, word counts, word hashes) for runs of documents."""
     i = 0
     while i < len(texts):

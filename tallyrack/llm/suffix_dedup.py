@@ -36,7 +36,7 @@ from .suffix_array import suffix_array
 
 GRAM = 32
 BUCKET = 8192
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 ENTRY = [("rh", "<u8"), ("lk", "<u4"), ("rk", "<u4"), ("pos", "<u4"), ("len", "<u2"), ("off", "<u2"), ("dup", "u1")]
 LARGEST = U64(0xFFFFFFFFFFFFFFFF)
 
