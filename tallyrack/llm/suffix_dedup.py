@@ -288,16 +288,18 @@ def _compare(length: int, limit: int = CHUNK):
 
     @tidy_batches
     def run(batches):
-        bucket, rows, held = None, [], 0
+        bucket, rows, held, here = None, [], 0, set()
         for batch in batches:
             for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != bucket and held >= limit:
                     if (found := flush(rows)) is not None:
                         yield found
-                    rows, held = [], 0
+                    rows, held, here = [], 0, set()
                 bucket = key
-                rows.append(row)
-                held += len(row[3])
+                if (row[0], row[1]) not in here:  # a dealt run stands in several buckets, and must not meet itself
+                    here.add((row[0], row[1]))
+                    rows.append(row)
+                    held += len(row[3])
         if rows and (found := flush(rows)) is not None:
             yield found
 

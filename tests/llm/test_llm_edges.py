@@ -228,6 +228,26 @@ def test_suffix_dedup(spark, rows, none, monkeypatch):
     assert suffix_dedup.remove_repeated_bytes(none).count() == 0 and set(rows.columns) <= set(suffix_dedup.remove_repeated_bytes(rows).columns)
 
 
+def test_suffix_dedup_crowded_anchor_equals_plain(spark, monkeypatch):
+    """An anchor dealt over several buckets: a run that stands in two of them does not repeat itself."""
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 2)
+    rng = random.Random(6)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    line, longer = some(160), some(230)
+    texts = [some(300) + line + some(300) for _ in range(9)] + [some(50) + longer[k : k + 215] + some(90) for k in (0, 5, 9, 15)] + [some(40) + longer + some(40)]
+    seen = {}
+    for t in texts:
+        for k in range(len(t) - 199):
+            seen[t[k : k + 200]] = seen.get(t[k : k + 200], 0) + 1
+    want = {}
+    for i, t in enumerate(texts):
+        gone = {j for k in range(len(t) - 199) if seen[t[k : k + 200]] > 1 for j in range(k, k + 200)}
+        want[i] = "".join(c for j, c in enumerate(t) if j not in gone)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["__text"] for r in suffix_dedup.remove_repeated_bytes(df).collect()} == want
+    assert all(want[i] == texts[i] for i in range(9)) and all(len(want[i]) < len(texts[i]) for i in range(9, 14))
+
+
 def test_piece_codec(spark, rows, none):
     path = public_tokenizers.path("piece_bpe_32k.model")
     got = piece_codec.encode_decode(rows, path).collect()
