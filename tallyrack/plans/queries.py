@@ -479,13 +479,13 @@ SELECT doc_id, regexp_full_match(source, '[A-Za-z0-9][A-Za-z0-9._:-]{0,127}') AS
 def scalar_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents")
     even, yes = F.col("doc_id") % 2 == 0, F.lit(True)
-    return docs.select("doc_id", S.valid_identifier(F.col("source")).alias("source_ok"), S.valid_identifier(F.left("text", F.lit(40))).alias("text_ok"),
+    return docs.select("doc_id", S.valid_identifier(F.col("source")).alias("source_ok"), S.valid_identifier(F.col("text")).alias("text_ok"),
                        S.bit_width(F.col("doc_id") % 64).cast("long").alias("width"), S.causal_policy(F.col("doc_id") % 3 == 0, ~even, yes, yes, yes).alias("causal"))
 
 
 @query()
 def normalize_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select("doc_id", S.normalize_text(F.substring("text", 1, 200)).alias("surface"))
+    return _t(spark, sf_dir, "documents").select("doc_id", S.normalize_text("text").alias("surface"))
 
 
 # ------------------------------------------------------------- records and runs

@@ -21,3 +21,15 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_surfaces_and_identifiers_use_the_whole_text(spark, tmp_path):
+    import unicodedata
+
+    texts = [None, "", "  Ａ\tﬁne  STRAẞE \n", "Wort ß ﬀ " * 90, "a" * 40, "a" * 128, "a" * 129, "b" * 40 + " c", "x.y:z-1_"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'s' AS source")
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["surface"] for r in QUERIES["normalize_surfaces"](spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()) for i, t in enumerate(texts)}
+    okay = {r["doc_id"] for r in QUERIES["scalar_checks"](spark, str(tmp_path)).where("text_ok").collect()}
+    assert okay == {4, 5, 8}
