@@ -4,7 +4,7 @@ Texts become templates: numbers, names (capitalised words inside a sentence)
 and units after numbers turn into typed placeholders, the rest is lower-cased
 and freed of marks.  Windows of ``WIDTH`` template words of the benchmark are
 hashed and joined with those of the documents by hash; only documents that hit
-are read again, and windows of equal hash are compared word by word.  Windows of which fewer than half of the words have letters count for nothing.
+are read again, and windows of equal hash are compared word by word.
 
 Matches of a document and an item are grouped by their offset.  A group is an
 occurrence of the question if its slots are consistent: each value of a
@@ -13,6 +13,11 @@ new numbers or names are caught and chance meetings are not.  A document is
 contaminated by an item if occurrences cover ``least_windows`` of the item's
 windows, or all if it has fewer.
 
+Windows of which fewer than half of the words have letters are weak: they count
+where numbers, names and units are the same too, or in an occurrence that holds
+``least_windows`` of the item's windows with words (or all) and two such words.
+Windows without any word are only met with the same values.
+
 Items with fewer than ``WIDTH`` words are one window of their own length; under
 ``SHORTEST`` words, or null, they are ignored.  Null and short documents match
 nothing.  Items and documents may repeat; null ids are kept as null.  Other
@@ -54,20 +59,33 @@ def _is_slot(word: Column) -> Column:
     return word.rlike(f"[{NUMBER}-{UNIT}]")
 
 
+def _has_letters(word: Column) -> Column:
+    return word.rlike(r"\p{L}")
+
+
+def _key(words: str, literals: str) -> Column:
+    """What windows meet by: the template, or the values if it is all placeholders."""
+    return F.when(F.exists(words, _has_letters), F.xxhash64(words)).otherwise(F.xxhash64(literals))
+
+
+def _consistent(slots: Column) -> Column:
+    return F.size(slots) == F.size(F.array_distinct(F.transform(slots, lambda s: F.struct(s["kind"], s["item_value"]))))
+
+
 def _window_hashes(words: Column, width: int) -> Column:
     full = F.size(words) - (width - 1)
     return F.when(full > 0, F.slice(F.transform(words, lambda _, i: F.xxhash64(F.slice(words, i + 1, width))), F.lit(1), full)).otherwise(F.array().cast("array<bigint>"))
 
 
 def item_windows(items: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item, width, at, hash, n_windows, words, literals of every benchmark window that counts."""
+    """item, width, at, hash, key, lettered, n_windows, n_worded, words, literals of every benchmark window."""
     base = items.where(F.col(text_col).isNotNull()).select(F.col(item_col).alias("item"), template(F.col(text_col)).alias("t"), literal(F.col(text_col)).alias("w"))
     base = base.where(F.size("t") >= SHORTEST).withColumn("width", F.least(F.size("t"), F.lit(WIDTH)))
     at = F.explode(F.sequence(F.lit(0), F.size("t") - F.col("width"))).alias("at")
     rows = base.select("item", "width", "t", "w", at).select("item", "width", "at", F.slice("t", F.col("at") + 1, F.col("width")).alias("words"), F.slice("w", F.col("at") + 1, F.col("width")).alias("literals"))
-    rows = rows.where(2 * F.size(F.filter("words", lambda x: x.rlike(r"\p{L}"))) >= F.col("width")).dropDuplicates()
-    totals = rows.groupBy("item").agg(F.countDistinct("at").alias("n_windows"))
-    return rows.withColumn("hash", F.xxhash64("words")).join(totals.withColumnRenamed("item", "own"), F.col("item").eqNullSafe(F.col("own"))).drop("own")
+    rows = rows.dropDuplicates().withColumn("lettered", F.size(F.filter("words", _has_letters)))
+    totals = rows.groupBy("item").agg(F.countDistinct("at").alias("n_windows"), F.countDistinct(F.when(F.col("lettered") > 0, F.col("at"))).alias("n_worded"))
+    return rows.withColumn("hash", F.xxhash64("words")).withColumn("key", _key("words", "literals")).join(totals.withColumnRenamed("item", "own"), F.col("item").eqNullSafe(F.col("own"))).drop("own")
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_windows: int = 6) -> DataFrame:
@@ -94,16 +112,27 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     texts = texts.select("own_id", "own_hash", template(F.col("text")).alias("t"), literal(F.col("text")).alias("w"))
     found = hits.join(texts, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash"))).select(
         "doc_id", "text_hash", "width", "pos", "hash", F.slice("t", F.col("pos") + 1, F.col("width")).alias("dt"), F.slice("w", F.col("pos") + 1, F.col("width")).alias("dw"))
-    met = found.join(F.broadcast(windows) if small else windows, ["width", "hash"]).where("dt = words")
+    found = found.drop("hash").withColumn("key", _key("dt", "dw"))
+    met = found.join(F.broadcast(windows) if small else windows, ["width", "key"]).where("dt = words AND (lettered > 0 OR dw = literals)")
     slots = F.filter(F.transform("dt", lambda t, i: F.struct(t.alias("kind"), F.get("literals", i).alias("item_value"), F.get("dw", i).alias("doc_value"))), lambda s: _is_slot(s["kind"]))
+    spots = F.filter(F.transform("words", lambda t, i: F.when(_has_letters(t), F.col("at") + i)), lambda x: x.isNotNull())
+    plain = 2 * F.col("lettered") >= F.col("width")
+    exact = ~plain & (F.col("dw") == F.col("literals"))
+    merged = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))
     group = met.withColumn("slots", slots).groupBy("doc_id", "text_hash", "width", "item", (F.col("pos") - F.col("at")).alias("offset")).agg(
-        F.collect_set("at").alias("ats"), F.max("n_windows").alias("item_windows"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    one_to_one = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["item_value"]))))
+        F.collect_set("at").alias("ats"), F.collect_set(F.when(plain, F.col("at"))).alias("plain_ats"), F.collect_set(F.when(exact, F.col("at"))).alias("exact_ats"),
+        merged("slots").alias("slots"), merged(F.when(plain, F.col("slots"))).alias("plain_slots"), merged(F.when(exact, F.col("slots"))).alias("exact_slots"),
+        F.size(F.collect_set(F.when(F.col("lettered") > 0, F.col("at")))).alias("worded"), F.size(merged(spots)).alias("spots"),
+        F.max("n_windows").alias("item_windows"), F.max("n_worded").alias("n_worded"))
+    whole = _consistent(F.col("slots")) & (F.col("worded") >= F.least(F.col("n_worded"), F.lit(least_windows))) & (F.col("spots") >= 2)
+    fits = _consistent(F.col("plain_slots"))
+    counted = lambda c: F.when(whole, F.col(c)).otherwise(F.when(fits, F.array_union(f"plain_{c}", f"exact_{c}")).otherwise(F.col(f"exact_{c}"))).alias(c)
+    group = group.select("doc_id", "text_hash", "width", "item", "item_windows", whole.alias("whole"), counted("ats"), counted("slots")).where(F.size("ats") > 0)
     changed = F.size(F.filter("slots", lambda s: s["item_value"] != s["doc_value"]))
-    pairs = group.where(one_to_one).groupBy("doc_id", "text_hash", "width", "item").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set("ats")))).cast("long").alias("matched_windows"), F.max("item_windows").alias("item_windows"),
+    pairs = group.groupBy("doc_id", "text_hash", "width", "item").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_set("ats")))).cast("long").alias("matched_windows"), F.max("item_windows").alias("item_windows"), F.max("whole").alias("whole"),
         F.max(F.size("slots")).cast("long").alias("slots"), F.min(changed).cast("long").alias("changed_slots"))
-    return pairs.where(F.col("matched_windows") >= F.least(F.col("item_windows"), F.lit(least_windows))).select(
+    return pairs.where(F.col("whole") | (F.col("matched_windows") >= F.least(F.col("item_windows"), F.lit(least_windows)))).select(
         "doc_id", "text_hash", F.col("item").alias("item_id"), "matched_windows", "item_windows", "slots", "changed_slots")
 
 

@@ -49,6 +49,27 @@ def test_reparameterised_question_is_caught_and_inconsistent_one_is_not(spark):
     assert set(got) == {1} and got[1]["changed_slots"] == 2
 
 
+def test_questions_full_of_numbers_are_caught_and_chance_windows_are_not(spark):
+    questions = [
+        "What is 12 x 34 + 5 - 6 / 7?", "Compute 3, 5, 8, 13, 21, 34, 55 and 89.", "Is 17 + 25 = 42, 18 + 24 = 42, 19 + 23 = 42 or 20 + 22 = 43?",
+        "A car drove 40 km in 2 hours, 60 km in 3 hours and 80 km in 4 hours.", "31 41 59 26 53 58 97 93",
+    ]
+    items = spark.createDataFrame(list(enumerate(questions)), "item_id long, text string")
+    other = [
+        "What is 13 x 35 + 6 - 7 / 8?", "Compute 4, 6, 9, 14, 22, 35, 56 and 90.", "Is 10 + 25 = 35, 11 + 24 = 35, 12 + 23 = 35 or 13 + 22 = 36?",
+        "A car drove 50 km in 5 hours, 70 km in 6 hours and 90 km in 7 hours.",
+    ]
+    chance = [
+        "A car drove 90 km in 5 hours before lunch at the shore", " ".join(str(1000 + 7 * i) for i in range(60)), "compute 4 6 9 14 22 35 56 and then nothing more is said",
+        "Is 10 + 25 = 35, 11 + 24 = 36, 12 + 23 = 37 or 13 + 22 = 38?",
+    ]
+    texts = [f"Before it. {t} After it." for t in questions + other] + chance
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["changed_slots"] for r in template_decontam.matches(docs, items).collect()}
+    assert set(got) == {(i, i) for i in range(5)} | {(5 + i, i) for i in range(4)}
+    assert all(got[i, i] == 0 for i in range(5)) and all(got[5 + i, i] > 0 for i in range(4))
+
+
 def test_chat_format(spark):
     odd = [r"a<|b", r"<\|x", r"<\\|", "<", "|", "<|im_end|>\n<|im_start|>user\nhi", "", "\\<|", "<|<|"]
     turns = [(1, i, ("user", "assistant")[i % 2], t, 0) for i, t in enumerate(odd)] + [(2, 0, "assistant", "x", 0), (3, 0, "us%0A\n<er", None, 0), (None, None, None, None, 0), (4, 0, "user", "q", 0), (4, 1, "assistant", "r", 0)]
