@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: Fixed value: two-sided 95 per cent point of the normal distribution.
 Z95 = 1.959963984540054
@@ -91,3 +91,19 @@ def _normalize(text: str) -> str:
 def normalize_text(values: pd.Series) -> pd.Series:
     """NFKC, case folding and single spaces; Spark has no built-in for the first two."""
     return values.map(lambda v: None if v is None else _normalize(v))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _first_surfaces(values: pd.Series) -> pd.Series:
+    def first(surfaces):
+        kept: dict[str, str] = {}
+        for v in surfaces:
+            if v is not None and (key := _normalize(v)):
+                kept.setdefault(key, v.strip())
+        return list(kept.values())
+    return values.map(first)
+
+
+def subject_surfaces(prompt: Column, *lists: Column) -> Column:
+    """The prompt's subject, then the surfaces of ``lists`` in order; of equal normalised ones the first."""
+    return _first_surfaces(F.concat(F.array(parse_prompt(prompt)["subject"]), *[F.coalesce(x, F.array().cast("array<string>")) for x in lists]))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyrack.functions.scalars import Z95, entropy, log_loss, prediction_set, wilson
+from tallyrack.functions.scalars import Z95, entropy, log_loss, prediction_set, valid_identifier, wilson
 
 
 def validate(forecasts: DataFrame) -> DataFrame:
@@ -20,6 +20,16 @@ def validate(forecasts: DataFrame) -> DataFrame:
     return forecasts.withColumn("status", F.when(bad, "invalid_schema").when(again, "duplicate").otherwise("success"))
 
 
+def overlapping_ids(partitions: dict[str, DataFrame]) -> DataFrame:
+    """observation_id, n, partitions of ids that repeat within or across partitions, or are not valid; empty if all are apart."""
+    every = None
+    for name, rows in partitions.items():
+        one = rows.select(F.col("observation_id").cast("string").alias("observation_id"), F.lit(name).alias("partition"))
+        every = one if every is None else every.unionByName(one)
+    found = every.groupBy("observation_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("partition")).alias("partitions"))
+    return found.where((F.col("n") > 1) | ~valid_identifier(F.col("observation_id")))
+
+
 def proper_scores(forecasts: DataFrame) -> DataFrame:
     """One row per score: mean, standard error and normal interval (from 0)."""
     y = F.col("y")

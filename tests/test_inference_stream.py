@@ -80,3 +80,16 @@ def test_learner_stream_equals_batch(spark, tmp_path):
     for r in seen:
         if r["status"] == "accepted":
             assert abs(batch[r["stream_id"], r["seq"]] - r["p_mix"]) < 1e-9
+
+
+def test_partitions_apart(spark):
+    ids = lambda *x: spark.createDataFrame([(v,) for v in x], "observation_id string")
+    assert calibration.overlapping_ids({"fitting": ids("a", "b"), "calibration": ids("c"), "final": ids("d")}).count() == 0
+    got = calibration.overlapping_ids({"fitting": ids("a", "b", "b"), "calibration": ids("c", "a"), "final": ids("d", "not valid", None)}).collect()
+    assert {(r["observation_id"], r["n"], *r["partitions"]) for r in got} == {("a", 2, "calibration", "fitting"), ("b", 2, "fitting"), ("not valid", 1, "final"), (None, 1, "final")}
+
+
+def test_subject_surfaces(spark):
+    rows = spark.createDataFrame([("Straße [SEP] in", ["STRASSE", " Weg ", None, ""], ["weg", "Ａllee"]), ("no subject", None, ["x", "X"])], "prompt string, a array<string>, b array<string>")
+    got = [r["s"] for r in rows.select(S.subject_surfaces(F.col("prompt"), F.col("a"), F.col("b")).alias("s")).collect()]
+    assert got == [["Straße", "Weg", "Ａllee"], ["x"]]
