@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyrack.llm.common import written
 from tallyrack.llm.jaccard_join import keep_one_per_component
 from tallyrack.llm.piece_codec import encode_decode
 from tallyrack.llm.quality_rules import keep_good
@@ -53,7 +54,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; each is written under the shared folder, and the next one reads that."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-stage{k}")
     return docs

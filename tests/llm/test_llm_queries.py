@@ -1,6 +1,7 @@
 """Training-data queries: SQL where there is some, plain versions elsewhere, all on whole tables."""
 
 import collections
+import glob
 import hashlib
 import math
 import re
@@ -129,3 +130,52 @@ def test_pipeline_stages_keep_and_drop(spark, docs):
             text = dict(zip(before.doc_id, before.text, strict=True))
             assert all(text[i] == d for i, d in zip(after.doc_id, after.decoded, strict=True))
         now = spark.createDataFrame(after[names], now.schema) if k < 4 else now
+
+
+def test_pipeline_writes_stages_that_equal_plain_ones(spark, docs):
+    """Rows and texts of every stage that ``run`` wrote."""
+    import duckdb
+
+    import corpus_pipeline as C
+    from tallyrack.sources.shared import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    old = set(glob.glob(f"{folder}/pipeline-stage*"))
+    last = C.run(spark, SF).toPandas()
+    new = sorted(set(glob.glob(f"{folder}/pipeline-stage*")) - old)
+    assert len(new) == 5
+    stages = [pd.read_parquet(p) for p in new]
+    rows = lambda x: dict(zip(x.doc_id, x.text, strict=True))
+
+    verdicts = QUERIES["op4_quality_rules"](spark, SF).toPandas()  # its statistics have a plain version above
+    now = {i: t for i, t in rows(docs).items() if i in set(verdicts[verdicts.kept].doc_id)}
+    assert rows(stages[0]) == now
+
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, w in ((i, WORDS.findall(t.lower())) for i, t in now.items())}
+    lead = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            both = a < b and len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                la, lb = lead[a], lead[b]
+                lead = {i: min(la, lb) if v in (la, lb) else v for i, v in lead.items()}
+    now = {i: t for i, t in now.items() if lead[i] == i}
+    assert rows(stages[1]) == now
+
+    seen = collections.Counter(d[k : k + 200] for d in map(str.encode, now.values()) for k in range(len(d) - 199))
+    for i, t in now.items():
+        d = t.encode()
+        gone = np.zeros(len(d), dtype=bool)
+        for k in range(len(d) - 199):
+            if seen[d[k : k + 200]] > 1:
+                gone[k : k + 200] = True
+        now[i] = bytes(np.frombuffer(d, np.uint8)[~gone]).decode("utf-8", "ignore")
+    assert rows(stages[2]) == now
+
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": list(now), "text": list(now.values())}))
+    con.register("benchmark", pd.read_parquet(f"{SF}/benchmark.parquet"))
+    bad = {r[0] for r in con.execute(SQL["op1_template_decontam"]).fetchall()}
+    now = {i: t for i, t in now.items() if i not in bad}
+    assert rows(stages[3]) == now
+    assert dict(zip(last.doc_id, last.decoded, strict=True)) == dict(zip(stages[4].doc_id, stages[4].decoded, strict=True)) == now
