@@ -191,23 +191,23 @@ class ByteGru:
         return sums / np.maximum(1, np.array([len(t) for t in texts]))[:, None]
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 500, max_langs: int = 64, sample_chars: int = 640) -> ByteGru | None:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 500, sample_chars: int = 640) -> ByteGru | None:
     """Train on a bounded sample of labelled rows; None if there is none."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang_col).limit(max_langs).collect()}
+    share = (1_000_000 * F.least(F.lit(1.0), 1.5 * per_lang / F.count("*"))).cast("long")
+    shares = rows.groupBy(F.col(lang_col).alias("_lang")).agg(share.alias("_share"))
+    counts = shares.collect()  # a row per language
     if not counts:
         return None
+    shares = labelled.sparkSession.createDataFrame(counts, shares.schema)
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1_000_000))
-    share = F.lit(-1)
-    for lang, n in counts.items():
-        share = F.when(F.col(lang_col) == lang, F.lit(int(1_000_000 * min(1.0, 1.5 * per_lang / n)))).otherwise(share)
     start = F.pmod(F.xxhash64(F.col(id_col), F.lit(5)), F.greatest(F.length(text_col) - sample_chars, F.lit(1))).cast("int") + 1
-    got = rows.where(draw < share).select(F.col(lang_col).alias("lang"), F.substring(F.col(text_col), start, F.lit(sample_chars)).alias("text"), F.xxhash64(id_col).alias("h")).limit(2 * per_lang * len(counts)).collect()
-    langs = sorted({r["lang"] for r in got})
+    got = rows.join(F.broadcast(shares), F.col(lang_col) == F.col("_lang")).where(draw < F.col("_share")).select(F.col(lang_col).alias("lang"), F.substring(F.col(text_col), start, F.lit(sample_chars)).alias("text"), F.xxhash64(id_col).alias("h")).limit(2 * per_lang * len(counts)).collect()
+    langs = sorted({r["lang"] for r in got if r["text"]})
     windows, labels = [], []
     for r in sorted(got, key=lambda r: (r["h"] or 0, r["lang"], r["text"])):
         data = r["text"].encode()
-        for at in range(0, len(data) - WINDOW // 2, WINDOW // 2):
+        for at in range(0, max(len(data) - WINDOW // 2, min(1, len(data))), WINDOW // 2):  # short texts give one window
             windows.append(data[at : at + WINDOW].ljust(WINDOW, b" "))
             labels.append(langs.index(r["lang"]))
     if not windows:

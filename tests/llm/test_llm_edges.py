@@ -148,6 +148,12 @@ def test_byte_gru(spark, rows, none):
     assert model.documents([text, b""]).shape == (2, 2) and each.size
 
 
+def test_byte_gru_learns_every_language_and_short_texts(spark):
+    texts = [(i, f"text number {i} of a language that few write", f"l{i % 70}") for i in range(140)] + [(200 + i, "ab cd ef", "short") for i in range(3)] + [(300, "", "empty")]
+    model = byte_gru.fit(spark.createDataFrame(texts, "doc_id long, text string, lang string"))
+    assert model.langs == sorted({f"l{i}" for i in range(70)} | {"short"})
+
+
 def test_byte_gru_gradient():
     """Backpropagation through time against finite differences."""
     model, rng = byte_gru.ByteGru(["a", "b", "c"], hidden=3), np.random.default_rng(1)
