@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, shared_dir, shuffle_partitions, tidy_batches
+from .common import shared_dir, shuffle_partitions, tidy_batches
 
 MAGIC = b"WVMX\x01"
 SHARD = "part int, seq int, first long, n_tokens long, n_docs long, payload binary"
@@ -41,7 +41,7 @@ _COUNT = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 class WaveletMatrix:
     """Bit planes over ``n`` values with rank and select; ``doc_ids`` and ``doc_sizes`` cut them into documents."""
 
-    def __init__(self, planes: list[np.ndarray], zeros: list[int], ranks: list[np.ndarray], n: int, doc_ids: np.ndarray, doc_sizes: np.ndarray):
+    def __init__(self, planes: list[np.ndarray], zeros: list[int], ranks: list[np.ndarray], n: int, doc_ids: pa.Array, doc_sizes: np.ndarray):
         self.planes, self.zeros, self.ranks, self.n = planes, zeros, ranks, n
         self.levels, self.doc_ids, self.doc_sizes = len(planes), doc_ids, doc_sizes
 
@@ -58,7 +58,7 @@ class WaveletMatrix:
             low = np.compress(~bits, seq)
             zeros.append(len(low))
             seq = np.concatenate((low, np.compress(bits, seq)))
-        return cls(planes, zeros, ranks, len(values), np.asarray(doc_ids, dtype=np.int64), np.asarray(doc_sizes, dtype=np.int64))
+        return cls(planes, zeros, ranks, len(values), pa.array(doc_ids, pa.int64()), np.asarray(doc_sizes, dtype=np.int64))
 
     @staticmethod
     def _directory(packed: np.ndarray) -> np.ndarray:
@@ -70,7 +70,8 @@ class WaveletMatrix:
         import zstandard
 
         head = struct.pack("<BQQ", self.levels, self.n, len(self.doc_ids))
-        body = [head, self.doc_ids.astype("<i8").tobytes(), self.doc_sizes.astype("<i8").tobytes()]
+        absent = np.asarray(self.doc_ids.is_null())  # written as the complement of the size
+        body = [head, np.asarray(self.doc_ids.fill_null(0)).astype("<i8").tobytes(), np.where(absent, ~self.doc_sizes, self.doc_sizes).astype("<i8").tobytes()]
         for plane, zero, rank in zip(self.planes, self.zeros, self.ranks, strict=True):
             body += [struct.pack("<QQQ", zero, len(rank), len(plane)), rank.astype("<u4").tobytes(), plane.tobytes()]
         return MAGIC + zstandard.ZstdCompressor(level=1).compress(b"".join(body))
@@ -95,7 +96,7 @@ class WaveletMatrix:
             planes.append(np.frombuffer(raw, np.uint8, n_plane, at + 4 * n_rank))
             zeros.append(zero)
             at += 4 * n_rank + n_plane
-        return cls(planes, zeros, ranks, n, ids, sizes)
+        return cls(planes, zeros, ranks, n, pa.array(ids, mask=sizes < 0), np.where(sizes < 0, ~sizes, sizes))
 
     def _bit(self, level: int, i: int) -> int:
         return int(self.planes[level][i >> 3] >> (i & 7) & 1)
@@ -175,8 +176,8 @@ class WaveletMatrix:
     def documents(self):
         """Yield (doc_id, start in the shard, values)."""
         values, at = self.values(), 0
-        for doc, size in zip(self.doc_ids.tolist(), self.doc_sizes.tolist(), strict=True):
-            yield (None if doc == LAST_ID else doc), at, values[at : at + size]
+        for doc, size in zip(self.doc_ids.to_pylist(), self.doc_sizes.tolist(), strict=True):
+            yield doc, at, values[at : at + size]
             at += size
 
 
@@ -217,13 +218,15 @@ class ByteLevelEncoder:
     """The tokenizers library with a bounded table in front of it.
 
     Byte-level pre-tokenization starts a piece at a lone space between two
-    other characters and treats a lone line end between two as a piece, so such
-    stretches are encoded once per worker; a stretch of letters is one piece
-    and goes to the library's merge model at once.  A text with any other white
-    space goes to the library whole.
+    other characters and treats a lone line end between two as a piece, so the
+    texts of a batch are cut there, each distinct stretch is looked up or
+    encoded once, and the ids are gathered by stretch.  A stretch of letters is
+    one piece and goes to the library's merge model at once.  A text with any
+    other white space goes to the library whole.
     """
 
-    ODD = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+    #: white space (fixed values) that pieces may share, or that stands at an end or next to other white space
+    ODD = "^[ \n]|[ \n]$|[ \n][ \n]|[\t\x0b\x0c\r\x1c\x1d\x1e\x1f\u0085\u00a0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000]"
 
     def __init__(self, path: str, most: int = 450_000):
         from tokenizers import Tokenizer
@@ -241,28 +244,54 @@ class ByteLevelEncoder:
     def letters(self, text: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(text.encode().decode("latin1").translate(self.table))]).tobytes()
 
-    def plain(self, text: str) -> bool:
-        if text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
-            return False
-        return not any(c in text for c in self.ODD)
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if not self.plain(text):
-            return self.whole(text)
-        heads, rest, lines = self.heads, self.rest.__getitem__, []
-        for row in text.split("\n"):
-            parts = row.split(" ")
-            head = heads[parts[0]]
-            del parts[0]
-            lines.append(b"".join([head, *map(rest, parts)]))
-        return self.line.join(lines)
-
-    def shrink(self) -> None:
+    def encode_all(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, each with the end id behind it, and their numbers."""
+        import pyarrow.compute as pc
+
+        if not len(texts):
+            return np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)
+        odd = pc.match_substring_regex(texts, self.ODD)
+        lines = pc.split_pattern(pc.if_else(odd, "", texts), "\n")
+        parts = pc.split_pattern(lines.flatten(), " ")
+        coded = parts.flatten().dictionary_encode()
+        words, key = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        heads = np.asarray(parts.offsets)[:-1]
+        first = np.asarray(lines.offsets)[:-1]  # a text's first line; every text has one, every line has a head
+        lone = np.ones(len(key), dtype=bool)
+        lone[heads] = False
+        used = np.zeros(len(words), dtype=bool)
+        used[key[lone]] = True
+        rest = np.flatnonzero(used).tolist()
+        pieces = list(map(self.rest.__getitem__, words if len(rest) == len(words) else [words[i] for i in rest]))
+        place = np.zeros(len(words), dtype=np.int64)
+        place[used] = np.arange(len(rest))
+        head = key[heads]
+        key = place[key]
+        # a head brings the line end before it, or the end id of the text before
+        end = array("I", [end_id]).tobytes()
+        for lead, which in ((self.line, np.setdiff1d(np.arange(len(heads)), first, assume_unique=True)), (end, first)):
+            own, back = np.unique(head[which], return_inverse=True)
+            key[heads[which]] = len(pieces) + back
+            pieces += [lead + self.heads[words[i]] for i in own.tolist()]
+        whole = np.flatnonzero(np.asarray(odd))
+        key[heads[first[whole]]] = len(pieces) + np.arange(len(whole))
+        pieces += [end + self.whole(texts[i].as_py()) for i in whole.tolist()]
+        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) // 4
+        found = sizes[key]
+        stop = np.cumsum(found)
+        source = np.repeat((np.cumsum(sizes) - sizes)[key] - (stop - found), found)
+        source += np.arange(len(source))
+        ids = np.empty(len(source), dtype="<u4")
+        np.take(np.frombuffer(b"".join(pieces), dtype="<u4"), source[1:], out=ids[:-1])
+        ids[-1] = end_id
         self.heads.shrink(self.most // 4)
         self.rest.shrink(self.most)
         self.marks.shrink(self.most // 16)
+        return ids, np.add.reduceat(found, heads[first])
+
+    def encode(self, text: str) -> bytes:
+        """The ids of one text, without an end id."""
+        return self.encode_all(pa.array([text]), 0)[0][:-1].tobytes()
 
 
 class _Marks(_Pieces):
@@ -283,46 +312,60 @@ def encoder(path: str) -> ByteLevelEncoder:
     return _ENCODERS[path]
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 0, shard_tokens: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
+def _slices(batches, most_bytes: int):
+    """Cut batches (id, text, bytes of the text) to about ``most_bytes`` of text; a longer text stays whole."""
+    for batch in batches:
+        ends, start = np.cumsum(np.asarray(batch.column(2))), 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
+def write_shards(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 0, shard_tokens: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 8 << 20) -> None:
     """Tokenize, order by id and write wavelet-matrix shards to the folder ``out``."""
 
     @tidy_batches
     def run(batches):
         e, part = encoder(tokenizer_path), TaskContext.get().partitionId()
-        end = array("I", [end_id]).tobytes()
-        ids, sizes, pieces, held, first, seq = [], [], [], 0, 0, 0
+        ids, sizes, tokens, held, first, seq = [], [], [], 0, 0, 0
 
         def shard() -> pa.RecordBatch:
-            values = np.frombuffer(b"".join(pieces), dtype="<u4")
-            data = WaveletMatrix.build(values, ids, sizes).to_bytes()
+            values = np.concatenate(tokens)
+            data = WaveletMatrix.build(values, pa.concat_arrays(ids), np.concatenate(sizes)).to_bytes()
             return pa.RecordBatch.from_arrays([
                 pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([first], pa.int64()),
-                pa.array([len(values)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([data], pa.binary()),
+                pa.array([len(values)], pa.int64()), pa.array([sum(map(len, sizes))], pa.int64()), pa.array([data], pa.binary()),
             ], names=["part", "seq", "first", "n_tokens", "n_docs", "payload"])
 
-        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = e.encode(text or "")
-                ids.append(key)
-                sizes.append(len(found) // 4 + 1)
-                pieces += (found, end)
-                held += sizes[-1]
+        for batch in _slices(batches, slice_bytes):
+            values, counts = e.encode_all(batch.column(1).fill_null(""), end_id)
+            ends, start = np.cumsum(counts), 0
+            while start < len(counts):  # a shard ends with the document that fills it
+                before = int(ends[start - 1]) if start else 0
+                stop = min(len(counts), int(np.searchsorted(ends, before + shard_tokens - held)) + 1)
+                ids.append(batch.column(0).slice(start, stop - start))
+                sizes.append(counts[start:stop])
+                tokens.append(values[before : ends[stop - 1]])
+                held += int(ends[stop - 1]) - before
                 if held >= shard_tokens:
                     yield shard()
                     first, seq = first + held, seq + 1
-                    ids, sizes, pieces, held = [], [], [], 0
-            e.shrink()
+                    ids, sizes, tokens, held = [], [], [], 0
+                start = stop
         if ids:
             yield shard()
 
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))
     spark = docs.sparkSession
-    dealt = docs.select(key.alias("key"), F.col(text_col).cast("string").alias("text")).repartitionByRange(shuffle_partitions(spark), "key").sortWithinPartitions("key", "text")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("size"))
+    dealt = rows.repartitionByRange(shuffle_partitions(spark), F.asc_nulls_last("id")).sortWithinPartitions(F.asc_nulls_last("id"), "text")
     dealt.mapInArrow(run, SHARD).write.option("compression", "none").parquet(out)
 
 
-def read_shards(spark, path: str) -> DataFrame:
-    """One row per document of the shards: doc_id, start, n_tokens, ids (little-endian 32-bit)."""
+def read_shards(spark, path: str, with_ids: bool = True) -> DataFrame:
+    """One row per document of the shards: doc_id, start, n_tokens, ids_crc32 and, unless left out, ids (little-endian 32-bit)."""
     shards = spark.read.schema(SHARD).parquet(path)
     totals = sorted((r["part"], r["n"]) for r in shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
     starts, at = [], 0
@@ -335,12 +378,18 @@ def read_shards(spark, path: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for base, first, payload in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                rows = [(d, base + first + s, len(v), v.astype("<u4").tobytes()) for d, s, v in WaveletMatrix.from_bytes(payload).documents()]
-                ids, at, n, raw = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(raw, pa.binary()), pa.array([zlib.crc32(x) for x in raw], pa.int64())], names=["doc_id", "start", "n_tokens", "ids", "ids_crc32"])
-
+                shard = WaveletMatrix.from_bytes(payload)
+                raw = memoryview(shard.values().astype("<u4")).cast("B")
+                ends = 4 * np.cumsum(shard.doc_sizes)
+                cuts = list(zip((ends - 4 * shard.doc_sizes).tolist(), ends.tolist(), strict=True))
+                columns = [shard.doc_ids, pa.array(base + first + ends // 4 - shard.doc_sizes), pa.array(shard.doc_sizes), pa.array([zlib.crc32(raw[a:b]) for a, b in cuts], pa.int64())]
+                if with_ids:
+                    columns.append(pa.array([raw[a:b] for a, b in cuts], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
     # one row per task that wrote shards
-    return shards.join(F.broadcast(offsets), "part").select("base", "first", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")
+    return shards.join(F.broadcast(offsets), "part").select("base", "first", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def op6_wavelet_shards(spark, sf_dir: str) -> DataFrame:
@@ -350,4 +399,4 @@ def op6_wavelet_shards(spark, sf_dir: str) -> DataFrame:
 
     out = f"{shared_dir(spark)}/wavelet-{uuid.uuid4().hex}"
     write_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), out)
-    return read_shards(spark, out).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_shards(spark, out, with_ids=False)

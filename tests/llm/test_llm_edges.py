@@ -193,6 +193,20 @@ def test_byte_level_encoder_equals_library():
     for _ in range(3000):
         text = "".join(rng.choice(" \n\t aeb.1<s>é'▁中 😀\r\xa0") for _ in range(rng.randint(0, 12)))
         assert e.encode(text) == e.whole(text)
+    texts = ["".join(rng.choice(["the", "Zug", " ", " ", " ", "\n", ".", "7", "  ", "é", "x<s>"]) for _ in range(rng.randint(0, 30))) for _ in range(2000)]
+    ids, sizes = e.encode_all(pa.array(texts), 9)
+    want = [[*e.library.encode(t, add_special_tokens=False).ids, 9] for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_greatest_id_is_no_null(spark, tmp_path):
+    """2**63 - 1 is an id like any other; null ids come behind it."""
+    last = (1 << 63) - 1
+    df = spark.createDataFrame([(None, "b"), (last, "a"), (last, None), (3, "c")], "doc_id long, text string")
+    out = str(tmp_path / "last")
+    wavelet_shards.write_shards(df, public_tokenizers.path("byte_bpe_50k.json"), out)
+    got = wavelet_shards.read_shards(spark, out).orderBy("start").collect()
+    assert [(r["doc_id"], r["n_tokens"]) for r in got] == [(3, 2), (last, 1), (last, 2), (None, 2)]
 
 
 def test_jaccard(spark, rows, none):
