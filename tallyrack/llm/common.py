@@ -15,6 +15,9 @@ from __future__ import annotations
 import ctypes
 import ctypes.util
 import functools
+import itertools
+import math
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,7 +30,6 @@ __all__ = ["shared_dir", "written"]
 U64 = np.uint64
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
-LAST_ID = (1 << 63) - 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,21 +49,96 @@ def crc_bucket(column: str, buckets: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(buckets))
 
 
-def blocks_of(docs: DataFrame, id_col: str, rows_per_block: int, most: int = 1 << 14) -> Column:
-    """A column that numbers ranges of ascending ids, about ``rows_per_block`` rows each.
+def free_name(wanted: str, columns: list[str]) -> str:
+    """``wanted``, with underscores behind it where ``columns`` have it already (names ignore case)."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
 
-    One narrow aggregate reads the id column.  Rows of equal id share a block;
-    null ids are in the last one.  Past ``most`` blocks the blocks get larger.
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+@dataclass(frozen=True)
+class Blocks:
+    """How documents are dealt: ``number`` names a row's block, ``base`` ascends with the id.
+
+    Blocks of one ``base`` hold rows of one id (or of null ids) only.
+    """
+
+    number: Column
+    base: Column
+    count: int
+    bytes: int
+
+    def tasks(self, spark: SparkSession, per_task: int = 64 << 20) -> int:
+        """Tasks that deal with about ``per_task`` bytes of text each."""
+        return max(shuffle_partitions(spark), -(-self.bytes // per_task))
+
+    def bits(self, spark: SparkSession, per_part: int = 64 << 20) -> int:
+        """Leading bits of a hash that name a part of what the blocks send."""
+        return min(18, max(0, (self.tasks(spark, per_part) - 1).bit_length()))
+
+
+#: a row counts once for itself and once for each so many bytes
+UNIT_BYTES = 4096
+
+
+def blocks_of(docs: DataFrame, id_col: str, text_col: str, units: int = 5000, quantiles: int = 2048) -> Blocks:
+    """Blocks of ascending ids that hold about ``units`` rows or pieces of UNIT_BYTES.
+
+    One aggregate reads ids and lengths.  Ranges follow the quantiles of the
+    ids, each row counted by its length; a range still too large is cut evenly
+    between its ends, and one that holds a single id, or null ids, by text.
     """
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))
-    n = docs.count()
-    wanted = min(most, max(1, -(-n // rows_per_block)))
+    rows = docs.select(F.col(id_col).cast("long").alias("k"), F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias("s"))
+    points = [i / quantiles for i in range(1, quantiles)]
+    row = rows.select("k", "s", F.posexplode(F.sequence(F.lit(0), F.floor(F.col("s") / UNIT_BYTES).cast("int"))).alias("u", "_")).agg(
+        F.count("*").alias("units"), F.coalesce(F.sum(F.when(F.col("u") == 0, F.col("s"))), F.lit(0)).alias("bytes"), F.count_if(F.col("k").isNull()).alias("absent"),
+        F.min("k").alias("least"), F.max("k").alias("greatest"), F.percentile_approx("k", points, F.lit(20 * quantiles)).alias("cuts")).first()
+    cell, cuts = (row["units"] - row["absent"]) / quantiles, list(row["cuts"] or [])
+    #: upper bound of each range but the last, and into how many blocks it is cut; single: all rows have one id
     bounds: list[int] = []
-    if wanted > 1:
-        at = [i / wanted for i in range(1, wanted)]
-        row = docs.agg(F.percentile_approx(key, at, F.lit(max(10_000, 20 * wanted))).alias("b")).first()
-        bounds = sorted(set(row["b"] or []))
-    return range_index(key, bounds)
+    parts: list[tuple[int, bool]] = []
+    step, inner = max(1, int(units // max(cell, 1e-9))), max(1, math.ceil(cell / units))
+    held = 0
+    for value, same in itertools.groupby(cuts):
+        n = len(list(same))
+        if n > 1 and (n + 1) * cell > 2 * units:  # an id with rows for several blocks
+            if not bounds or bounds[-1] < value - 1:
+                bounds.append(value - 1)
+                parts.append((inner, False))
+            bounds.append(value)
+            parts.append((math.ceil((n + 1) * cell / units), True))
+            held = 0
+        else:
+            held += n
+            if held >= step and (not bounds or bounds[-1] < value):
+                bounds.append(value)
+                parts.append((inner, False))
+                held = 0
+    parts.append((inner, False))
+    none = max(1, math.ceil(row["absent"] / units))
+    first = list(itertools.accumulate([n for n, _ in parts], initial=0))
+    key, by_text = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))
+    at = range_index(key, bounds)
+    pick = lambda values, kind: F.get(F.array(*[F.lit(v).cast(kind) for v in values]), at)
+    if max(n for n, _ in parts) == 1:
+        number = base = pick(first[:-1], "int") if bounds else F.lit(0)
+    else:
+        low = [row["least"], *bounds]
+        high = [*bounds, row["greatest"]]
+        n = pick([p for p, _ in parts], "long")
+        along = F.floor((key - pick(low, "long")).cast("double") / pick([max(1, b - a) for a, b in zip(low, high, strict=True)], "double") * n).cast("long")
+        along = F.greatest(F.lit(0).cast("long"), F.least(n - 1, along))
+        single = pick([one for _, one in parts], "boolean")
+        base = (pick(first[:-1], "long") + F.when(single, F.lit(0).cast("long")).otherwise(along)).cast("int")
+        number = (pick(first[:-1], "long") + F.when(single, F.pmod(by_text, n)).otherwise(along)).cast("int")
+    last = F.lit(first[-1])
+    absent = key.isNull()
+    return Blocks(F.when(absent, (last + F.pmod(by_text, F.lit(none))).cast("int")).otherwise(number), F.when(absent, last).otherwise(base), first[-1] + none, int(row["bytes"]))
 
 
 def range_index(key: Column, bounds: list[int], fan: int = 64) -> Column:

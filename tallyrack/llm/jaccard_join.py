@@ -17,8 +17,10 @@
     components are one bucket, and trees are run once more.
 5.  Connected components of the verified links give component_id.
 
-Buckets over ``BUCKET`` classes are dealt into blocks, and in step 4 into all
-pairs of blocks, so that no task holds an unbounded bucket and no link is lost.
+Buckets over ``BUCKET`` classes are dealt into blocks.  In step 4 a bucket holds
+sets of two neighbouring size bands only, as sizes of linked sets differ by the
+threshold at most, and a larger one is dealt into all pairs of blocks; so no
+task holds an unbounded bucket and no link is lost.
 
 Null texts and texts without words have an empty set and no link.  Null ids
 come last in the order of ids.  Rows of equal id are different documents, told
@@ -27,6 +29,7 @@ apart by their texts' order.  Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -34,11 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks_of, hashed_documents, LAST_ID, mix64, pack_sorted, rolling, shuffle_partitions, tidy, tidy_batches, U64, unpack_sorted, utf8, written
+from .common import blocks_of, hashed_documents, mix64, pack_sorted, quoted, rolling, shuffle_partitions, tidy, tidy_batches, U64, unpack_sorted, utf8, written
 from .components import components
 
 BUCKET = 2048
 LEAF = 16
+#: at most so many crowded tokens (of 20 bytes) are broadcast; beyond, joins on a token are cut into slices
+FEW, SLICES = 1 << 18, 8
 DOCUMENT = "uid long, key long, text_hash long, n long, fp1 long, fp2 long, rare long, low long, prefix array<long>, shared binary"
 
 
@@ -57,7 +62,7 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
 
 
 def _sorted_block(group: pa.Table):
-    group = group.sort_by([("key", "ascending"), ("text", "ascending")])
+    group = group.sort_by([("absent", "ascending"), ("key", "ascending"), ("text", "ascending")])
     return group, utf8(group["text"].combine_chunks())
 
 
@@ -238,35 +243,44 @@ def _in_buckets(rows: DataFrame, threshold: int) -> DataFrame:
     return dealt.mapInArrow(_linked(threshold), "src long, dst long")
 
 
-def similar_documents(docs: DataFrame, width: int, threshold: int, id_col: str = "doc_id", text_col: str = "text", rows_per_block: int = 4096) -> DataFrame:
-    """key (id, null as the largest), text_hash, n_shingles, uid, component (least uid), component_key."""
+def similar_documents(docs: DataFrame, width: int, threshold: int, id_col: str = "doc_id", text_col: str = "text", units: int = 5000) -> DataFrame:
+    """key (the id), text_hash, n_shingles, uid, component (least uid), component_key."""
     spark = docs.sparkSession
-    bits = max(0, (shuffle_partitions(spark) - 1).bit_length())
-    dealt = docs.select(
-        blocks_of(docs, id_col, rows_per_block).alias("blk"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("key"),
-        F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"),
-    )
-    sent = dealt.select("blk", "key", "text", "text_hash").groupBy("blk").applyInArrow(_send(width, bits), "part int, blk int, packed binary, counts binary")
-    answers = sent.groupBy("part").applyInArrow(_answer, "blk int, part int, df binary")
+    blocks = blocks_of(docs, id_col, text_col, units)
+    bits, tasks = blocks.bits(spark), blocks.tasks(spark)
+    key, text = F.col(quoted(id_col)).cast("long"), F.col(quoted(text_col)).cast("string")
+    dealt = docs.select(blocks.number.alias("blk"), key.isNull().alias("absent"), key.alias("key"), text.alias("text"), F.xxhash64(text).alias("text_hash")).repartition(tasks, "blk")
+    sent = dealt.groupBy("blk").applyInArrow(_send(width, bits), "part int, blk int, packed binary, counts binary")
+    answers = sent.repartition(tasks, "part").groupBy("part").applyInArrow(_answer, "blk int, part int, df binary")
     known = written(dealt.groupBy("blk").cogroup(answers.groupBy("blk")).applyInArrow(_describe(width, threshold), DOCUMENT), "jaccard-documents")
     alive = known.where("prefix IS NOT NULL")
     classes = written(alive.groupBy("fp1", "fp2").agg(
         F.min("uid").alias("uid"), *[F.first(c).alias(c) for c in ("n", "rare", "low", "prefix", "shared")]), "jaccard-classes")
 
-    spots = classes.select("uid", "n", "shared", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("rare").alias("token")), F.struct(F.lit(1).alias("kind"), F.col("low").alias("token")))).alias("b")).select("uid", "n", "shared", "b.kind", "b.token")
-    full = spots.groupBy("kind", "token").agg(F.count("*").alias("size")).where(F.col("size") > BUCKET)
-    salted = spots.join(full, ["kind", "token"], "left").withColumn("salt", F.pmod(F.xxhash64("uid"), F.coalesce(F.ceil(F.col("size") / BUCKET), F.lit(1)).cast("long")))
-    near = written(_in_buckets(salted.select(F.xxhash64("kind", "token", "salt").alias("bucket"), "uid", "n", F.col("uid").alias("label"), "shared"), threshold), "jaccard-links")
+    kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("rare").alias("token")), F.struct(F.lit(1).alias("kind"), F.col("low").alias("token")))).alias("b")
+    spots = classes.select("uid", "n", "shared", kinds).select("uid", "n", "shared", "b.kind", "b.token")
+    full = written(spots.groupBy("kind", "token").agg(F.count("*").alias("size")).where(F.col("size") > BUCKET), "jaccard-full")
+    if full.count() <= FEW:
+        sized = spots.join(F.broadcast(full), ["kind", "token"], "left")  # counted above
+    else:
+        slices = F.array(*[F.lit(i) for i in range(SLICES)])
+        sized = spots.withColumn("slice", F.pmod(F.xxhash64("uid"), F.lit(SLICES)).cast("int")).join(full.withColumn("slice", F.explode(slices)), ["kind", "token", "slice"], "left")
+    salt = F.pmod(F.xxhash64("uid", F.lit(3)), F.coalesce(F.ceil(F.col("size") / BUCKET), F.lit(1)).cast("long"))
+    near = written(_in_buckets(sized.select(F.xxhash64("kind", "token", salt).alias("bucket"), "uid", "n", F.col("uid").alias("label"), "shared"), threshold), "jaccard-links")
 
     labels = components(near)
-    named = classes.select("uid", "prefix").join(labels.withColumnRenamed("node", "uid"), "uid", "left").select("uid", F.coalesce("label", "uid").alias("label"), "prefix")
-    tokens = named.select("uid", "label", F.explode("prefix").alias("token"))
+    named = classes.select("uid", "n", "prefix").join(labels.withColumnRenamed("node", "uid"), "uid", "left").select("uid", "n", F.coalesce("label", "uid").alias("label"), "prefix")
+    tokens = named.select("uid", "n", "label", F.explode("prefix").alias("token"), F.pmod(F.xxhash64("uid"), F.lit(SLICES)).cast("int").alias("slice"))
     open_tokens = tokens.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("z")).where("a <> z")
-    rest = tokens.join(open_tokens, "token").select("a", "z", "uid", "label").distinct()
-    sizes = rest.groupBy("a", "z").agg(F.ceil(F.count("*") / (2 * BUCKET)).cast("int").alias("blocks"))
-    paired = rest.join(sizes, ["a", "z"]).withColumn("i", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    bucket = F.xxhash64("a", "z", F.least("i", "j"), F.greatest("i", "j")).alias("bucket")
-    wide = paired.select(bucket, "uid", "label").join(classes.select("uid", "n", "shared"), "uid")
+    open_tokens = open_tokens.withColumn("slice", F.explode(F.array(*[F.lit(i) for i in range(SLICES)])))  # a frequent one is met in several tasks
+    rest = tokens.join(open_tokens, ["token", "slice"]).select("a", "z", "uid", "n", "label").distinct()
+    # a little wider than the threshold allows, so rounding can't set linked sizes two bands apart
+    band = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / threshold) * (1 + 1e-9))) if threshold < 100 else F.col("n")
+    rest = rest.withColumn("band", F.explode(F.array(band, band + 1)))
+    sizes = rest.groupBy("a", "z", "band").agg(F.ceil(F.count("*") / (2 * BUCKET)).cast("int").alias("blocks"))
+    paired = rest.join(sizes, ["a", "z", "band"]).withColumn("i", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    bucket = F.xxhash64("a", "z", "band", F.least("i", "j"), F.greatest("i", "j")).alias("bucket")
+    wide = paired.select(bucket, "uid", "n", "label").join(classes.select("uid", "shared"), "uid")
     far = _in_buckets(wide, threshold)
 
     final = components(labels.select(F.col("node").alias("src"), F.col("label").alias("dst")).union(far))
@@ -280,25 +294,20 @@ def similar_documents(docs: DataFrame, width: int, threshold: int, id_col: str =
     return in_class.union(alone)
 
 
-def _id(column: str):
-    return F.when(F.col(column) != LAST_ID, F.col(column))
-
-
 def jaccard_components(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id (least id reachable by links) of every document."""
-    found = similar_documents(docs, width, threshold)
-    return found.select(_id("key").alias("doc_id"), "n_shingles", _id("component_key").alias("component_id"))
+    return similar_documents(docs, width, threshold).select(F.col("key").alias("doc_id"), "n_shingles", F.col("component_key").alias("component_id"))
 
 
 def keep_one_per_component(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
-    """``docs`` with the first document of each component only, all columns kept."""
+    """``docs`` with the first document of each component only, all columns kept, whatever their names."""
     found = written(similar_documents(docs, width, threshold).select("key", "text_hash", (F.col("uid") == F.col("component")).alias("first")), "jaccard-kept")
-    marked = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))).withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
-    per_row = found.groupBy(F.col("key").alias("_key"), F.col("text_hash").alias("_hash")).agg(F.max("first").alias("_first"), F.count("*").alias("_rows"))
-    kept = marked.join(per_row.where("_first"), ["_key", "_hash"])
-    if per_row.where("_first AND _rows > 1").isEmpty():
-        return kept.select(*docs.columns)
-    return kept.where("_rows = 1").unionByName(kept.where("_rows > 1").dropDuplicates(["_key", "_hash"])).select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("hash"))
+    per_row = found.groupBy("key", "text_hash").agg(F.max("first").alias("first"), F.count("*").alias("n"))
+    kept = rows.join(per_row.where("first"), F.col("id").eqNullSafe(F.col("key")) & (F.col("hash") == F.col("text_hash")))
+    if not per_row.where("first AND n > 1").isEmpty():  # of repeated rows one stays
+        kept = kept.where("n = 1").unionByName(kept.where("n > 1").dropDuplicates(["id", "hash"]))
+    return kept.select("row.*")
 
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:
