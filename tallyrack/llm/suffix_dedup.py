@@ -1,43 +1,49 @@
 """Suffix-array dedup: remove every byte in a string of ``length`` bytes that also starts elsewhere.
 
-1.  Anchors.  Each window of ``length`` bytes names the least hash of its
-    ``GRAM``-byte grams, leftmost among equals, so equal windows name equal grams
-    at equal distance.  Windows in a row with one anchor are a run; a block of
-    documents sends one compact entry per distinct run to the part that the
-    anchor's hash names.  Equal runs repeat as a whole.
-2.  Runs that differ but share an anchor, and more than half of what a window
-    needs on one side of it, may share some windows: their bytes go to buckets
-    by anchor.  There, runs are trimmed to stretches of windows whose hash
-    recurs, and the suffix array of the distinct stretches, built by linear
-    grouping, decides: neighbours with a common prefix of
-    ``length`` are the repeated windows.
-3.  Blocks take the marked spans and cut their documents.
-
-Identical pieces are merged before they move, so a passage that a third of all
-documents hold costs an entry per block; an anchor with more than ``BUCKET``
-different runs is dealt into all pairs of blocks of runs.  Decisions use the
-input, not what is left.
+1.  Pieces.  Each window of ``length`` bytes names the least hash of its
+    ``GRAM``-byte grams, leftmost among equals, as its anchor, so equal windows
+    name equal grams at equal distance.  Windows in a row with one anchor, at
+    nearly the same distance from it, are a piece; its key hashes the bytes that
+    all windows of that anchor and distance have in common, so equal windows
+    stand in pieces of equal key.
+2.  Routing.  Blocks of documents send their distinct keys, as packed gaps, to
+    the part that the leading bits name, and learn of each whether any other
+    piece has it, and whether many different ones have.
+3.  Equal pieces of a block are merged by their bytes.  Pieces whose key others
+    have go to a bucket by key.  Pieces of a crowded key are first cut into
+    windows; windows whose hash recurs go to a bucket each.
+4.  In a bucket, equal pieces are merged by their bytes, and the suffix array of
+    the stretches that may recur in different pieces, built by linear grouping,
+    decides: neighbours with a common prefix of ``length`` are repeated windows.
+5.  Blocks take the marked spans and cut their documents.
+
+Hashes only say what must meet; bytes decide.  A passage that a third of all
+documents hold costs one piece per block, and no bucket grows with the number
+of documents around a passage.  Decisions use the input, not what is left.
 
 Null texts are empty.  Repeated rows are different documents that repeat each
-other.  Null ids are allowed and come last.  All columns of the input are
-carried through.
+other.  Null ids are allowed.  All columns of the input are carried through,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks_of, LAST_ID, mix64, _ODD, _ODD_INV, pack_sorted, powers, shuffle_partitions, tidy, tidy_batches, U64, unpack_sorted, utf8, written
+from .common import blocks_of, free_name, mix64, _ODD, _ODD_INV, pack_sorted, powers, quoted, tidy, tidy_batches, U64, unpack_sorted, utf8, written
 from .suffix_array import suffix_array
 
 GRAM = 32
-BUCKET = 8192
+GROUPS = 4
+#: different pieces of one key past which its windows are told apart before they meet
+CROWD = 64
 CHUNK = 1 << 19
-ENTRY = [("rh", "<u8"), ("lk", "<u4"), ("rk", "<u4"), ("pos", "<u4"), ("len", "<u2"), ("off", "<u2"), ("dup", "u1")]
+PIECE = [("hash", "<u8"), ("pos", "<u4"), ("len", "<u2")]
 LARGEST = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -48,19 +54,16 @@ def _prefix_sums(buf: np.ndarray) -> np.ndarray:
     return sums
 
 
-def _spans_hash(sums, a, b):
-    return mix64((sums[b] - sums[a]) * powers(_ODD, len(sums))[a])
+def _spans_hash(sums, start, stop):
+    return mix64((sums[stop] - sums[start]) * powers(_ODD, len(sums))[start])
 
 
-def _spans_hash_at(sums, start, length):
-    return mix64((sums[start + length] - sums[start]) * powers(_ODD, len(sums))[start])
-
-
-def block_runs(texts: list[bytes], length: int):
-    """Anchor hashes and entries of all runs; pos counts bytes from the block's start."""
-    anchors, entries, base, i = [], [], 0, 0
+def block_pieces(texts: list[bytes], length: int):
+    """Keys and pieces of all texts; pos counts bytes from the block's start, hash is that of the bytes."""
+    keys, pieces, base, i = [], [], 0, 0
     gram = min(GRAM, length)
-    reach, half = length - gram + 1, (length - gram) // 2
+    reach = length - gram + 1
+    step = -(-reach // GROUPS)
     while i < len(texts):
         j, size = i, 0
         while j < len(texts) and (j == i or size + len(texts[j]) <= CHUNK):
@@ -70,243 +73,337 @@ def block_runs(texts: list[bytes], length: int):
         n = int(lengths.sum())
         count = n - length + 1
         if count > 0:
-            buf = np.frombuffer(b"".join(texts[i:j]), dtype=np.uint8)
-            sums = _prefix_sums(buf)
+            sums = _prefix_sums(np.frombuffer(b"".join(texts[i:j]), dtype=np.uint8))
             grams = mix64((sums[gram:] - sums[:-gram]) * powers(_ODD, n)[: n - gram + 1])
-            shift = U64(max(24, n.bit_length()))
-            keys = np.full(-(-len(grams) // reach) * reach, LARGEST)
-            keys[: len(grams)] = (grams >> shift << shift) | np.arange(len(grams), dtype=U64)
-            rows = keys.reshape(-1, reach)
+            shift = U64(32)
+            ranked = np.full(-(-len(grams) // reach) * reach, LARGEST)
+            ranked[: len(grams)] = (grams >> shift << shift) | np.arange(len(grams), dtype=U64)
+            rows = ranked.reshape(-1, reach)
             ahead = np.minimum.accumulate(rows, axis=1).ravel()
             behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
             at = (np.minimum(behind[:count], ahead[reach - 1 : reach - 1 + count]) & ((U64(1) << shift) - U64(1))).astype(np.int64)
             owner = np.repeat(np.arange(j - i), lengths)[:count]
             inside = np.arange(count) + length <= np.cumsum(lengths)[owner]
-            cut = np.concatenate(([True], (at[1:] != at[:-1]) | ~inside[:-1] | (owner[1:] != owner[:-1])))
+            group = (at - np.arange(count)) // step
+            cut = np.concatenate(([True], (at[1:] != at[:-1]) | (group[1:] != group[:-1]) | ~inside[:-1] | (owner[1:] != owner[:-1])))
             start = np.flatnonzero(inside & cut)
             stop = np.flatnonzero(inside & np.concatenate((cut[1:] | ~inside[1:], [True]))) + length
-            anchor = at[start]
-            off = anchor - start
-            e = np.zeros(len(start), dtype=ENTRY)
-            e["rh"] = _spans_hash(sums, start, stop) ^ mix64((off.astype(U64) << U64(32)) | (stop - start).astype(U64))
-            left, right = off >= half, stop - anchor - gram >= half
-            e["lk"] = np.where(left, _spans_hash(sums, np.maximum(anchor - half, 0), anchor + gram) | U64(1), U64(0)).astype(np.uint32)
-            e["rk"] = np.where(right, _spans_hash(sums, anchor, np.minimum(anchor + gram + half, n)) | U64(1), U64(0)).astype(np.uint32)
-            e["pos"], e["len"], e["off"] = start + base, stop - start, off
-            anchors.append(mix64(grams[anchor]))  # least hashes are small; mixed again they spread over all parts
-            entries.append(e)
+            anchor, group = at[start], group[start]
+            near, far = group * step, np.minimum((group + 1) * step, reach) - 1  # least and greatest distance of the group
+            keys.append(mix64(_spans_hash(sums, anchor - near, anchor - far + length) ^ group.astype(U64)))
+            e = np.zeros(len(start), dtype=PIECE)
+            e["hash"], e["pos"], e["len"] = _spans_hash(sums, start, stop), start + base, stop - start
+            pieces.append(e)
         base += n
         i = j
-    if not entries:
-        return np.empty(0, dtype=U64), np.zeros(0, dtype=ENTRY)
-    return np.concatenate(anchors), np.concatenate(entries)
+    if not pieces:
+        return np.empty(0, dtype=U64), np.zeros(0, dtype=PIECE)
+    return np.concatenate(keys), np.concatenate(pieces)
 
 
 def _sorted_block(group: pa.Table):
-    group = group.sort_by([("__key", "ascending"), ("text", "ascending")])
+    group = group.sort_by([("absent", "ascending"), ("key", "ascending"), ("text", "ascending")])
     return group, utf8(group["text"].combine_chunks())
 
 
-SPAN = pa.schema([("blk", pa.int32()), ("kind", pa.int32()), ("pos", pa.binary()), ("len", pa.binary()), ("bucket", pa.binary()), ("whole", pa.binary())])
-SPAN_DDL = "blk int, kind int, pos binary, len binary, bucket binary, whole binary"
-PACKED = pa.schema([("part", pa.int32()), ("blk", pa.int32()), ("kind", pa.int32()), ("anchors", pa.binary()), ("entries", pa.binary())])
+def _parts(values: np.ndarray, bits: int) -> list[slice]:
+    """Where ascending hashes fall into parts by their leading bits."""
+    edges = np.searchsorted(values, np.arange(1, 1 << bits).astype(U64) << U64(64 - bits)) if bits else []
+    edges = [0, *edges, len(values)]
+    return [slice(int(a), int(b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def _by_value(ranked: np.ndarray):
+    edges = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1], [True]))) if len(ranked) else []
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield int(ranked[a]), slice(a, b)
+
+
+SENT = pa.schema([("part", pa.int32()), ("blk", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("digests", pa.binary())])
+SENT_DDL = "part int, blk int, keys binary, counts binary, digests binary"
+CODES = pa.schema([("blk", pa.int32()), ("part", pa.int32()), ("codes", pa.binary())])
 
 
 def _send(length: int, bits: int):
+    """Each distinct key of a block, with the number (at most 255) and a digest of its different pieces."""
     @tidy
     def send(group: pa.Table) -> pa.Table:
+        import zlib
+
         block = group["blk"][0].as_py()
-        anchors, e = block_runs(_sorted_block(group)[1], length)
-        order = np.lexsort((e["pos"], e["rh"], anchors))
-        anchors, e = anchors[order], e[order]
+        keys, e = block_pieces(_sorted_block(group)[1], length)
+        order = np.lexsort((e["hash"], keys))
+        keys, hashes = keys[order], e["hash"][order]
         rows = []
-        if len(e):
-            first = np.concatenate(([True], (anchors[1:] != anchors[:-1]) | (e["rh"][1:] != e["rh"][:-1])))
-            which = np.cumsum(first) - 1
-            many = np.bincount(which) > 1
-            inner = e[many[which]]  # runs that recur in the block repeat for certain
-            if len(inner):
-                rows.append((block % (1 << bits), 1, inner["pos"].tobytes(), inner["len"].tobytes()))
-            anchors, e = anchors[first], e[first]
-            e["dup"] = many
-            cuts = np.searchsorted(anchors, np.arange(1, 1 << bits).astype(U64) << U64(64 - bits)) if bits else []
-            rows += [(p, 0, pack_sorted(a), x.tobytes()) for p, (a, x) in enumerate(zip(np.split(anchors, cuts), np.split(e, cuts), strict=True)) if len(a)]
-        columns = list(zip(*rows, strict=True)) or [()] * 4
-        return pa.table([pa.array(columns[0], pa.int32()), pa.array([block] * len(rows), pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())], schema=PACKED)
+        if len(keys):
+            new_key = np.concatenate(([True], keys[1:] != keys[:-1]))
+            distinct = new_key | np.concatenate(([True], hashes[1:] != hashes[:-1]))
+            first = np.flatnonzero(new_key[distinct])
+            keys, hashes = keys[new_key], hashes[distinct]
+            counts = np.minimum(np.diff(np.append(first, len(hashes))), 255).astype(np.uint8)
+            digests = np.add.reduceat(hashes, first).astype(np.uint32)
+            rows = [(p, block, pack_sorted(keys[x]), zlib.compress(counts[x].tobytes(), 1), digests[x].tobytes()) for p, x in enumerate(_parts(keys, bits)) if x.stop > x.start]
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, SENT, strict=True)], schema=SENT)
     return send
 
 
-def _shared(anchors: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Whether another run of the same anchor has the same key; key 0 is none."""
-    _, inverse, counts = np.unique(mix64(anchors) ^ keys.astype(U64), return_inverse=True, return_counts=True)
-    return (counts[inverse] > 1) & (keys != 0)
-
-
 @tidy
-def _judge(group: pa.Table) -> pa.Table:
-    """Which runs repeat as a whole, and which need their bytes compared (kind 1), by block."""
-    out, anchors, entries, blocks = [], [], [], []
-    for blk, kind, a, x in zip(*(group[c].to_pylist() for c in ("blk", "kind", "anchors", "entries")), strict=True):
-        if kind == 1:
-            out.append((blk, 0, a, x, None, None))
-        else:
-            anchors.append(unpack_sorted(a))
-            entries.append(np.frombuffer(x, dtype=ENTRY))
-            blocks.append(np.full(len(entries[-1]), blk))
-    if entries:
-        anchors, e, blocks = np.concatenate(anchors), np.concatenate(entries), np.concatenate(blocks)
-        order = np.lexsort((e["pos"], blocks, e["rh"], anchors))
-        anchors, e, blocks = anchors[order], e[order], blocks[order]
-        first = np.concatenate(([True], (anchors[1:] != anchors[:-1]) | (e["rh"][1:] != e["rh"][:-1])))
-        which = np.cumsum(first) - 1
-        whole = (np.bincount(which) > 1) | (np.bincount(which, weights=e["dup"]) > 0)
-        alone = np.flatnonzero(first)
-        a, one = anchors[alone], e[alone]
-        new = np.concatenate(([True], a[1:] != a[:-1]))
-        runs = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
-        need = (runs > 1) & (_shared(a, one["lk"]) | _shared(a, one["rk"]))
-        spans = whole[which] & (e["dup"] == 0)
-        deal = np.maximum(1, -(-runs // BUCKET))
-        salt = (one["rh"] % deal.astype(U64)).astype(np.int64)
-        by_block = np.argsort(blocks[spans], kind="stable")
-        marked, homes = e[spans][by_block], blocks[spans][by_block]
-        for blk, part in _by_value(homes):
-            x = marked[part]
-            out.append((blk, 0, x["pos"].tobytes(), x["len"].tobytes(), None, None))
-        at = np.flatnonzero(need)
-        at = np.repeat(at, deal[at])  # a copy for each pair of blocks of a crowded anchor
-        partner = np.arange(len(at)) - np.searchsorted(at, at)
-        low, high = np.minimum(salt[at], partner), np.maximum(salt[at], partner)
-        bucket = mix64(a[at] + mix64((low.astype(U64) << U64(32)) | high.astype(U64))) >> U64(1)
-        home = blocks[alone][at]
-        by_block = np.argsort(home, kind="stable")
-        for blk, part in _by_value(home[by_block]):
-            k = at[by_block][part]
-            out.append((blk, 1, one["pos"][k].tobytes(), one["len"][k].tobytes(), bucket[by_block][part].astype("<i8").tobytes(), whole[k].astype(np.uint8).tobytes()))
-    columns = list(zip(*out, strict=True)) or [()] * 6
-    return pa.table([pa.array(c, f.type) for c, f in zip(columns, SPAN, strict=True)], schema=SPAN)
+def _route(group: pa.Table) -> pa.Table:
+    """Of each key of each block: 0 if no other piece has it, 2 if over CROWD different ones may, else 1."""
+    import zlib
+
+    lists = [unpack_sorted(x) for x in group["keys"].to_pylist()]
+    keys = np.concatenate(lists)
+    counts = np.concatenate([np.frombuffer(zlib.decompress(x), dtype=np.uint8) for x in group["counts"].to_pylist()]).astype(np.int64)
+    digests = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in group["digests"].to_pylist()])
+    order = np.lexsort((counts, digests, keys))
+    ranked = keys[order]
+    new_key = np.concatenate(([True], ranked[1:] != ranked[:-1]))
+    last_alike = np.concatenate((new_key[1:] | (digests[order][1:] != digests[order][:-1]), [True]))
+    first = np.flatnonzero(new_key)
+    total = np.add.reduceat(counts[order], first)
+    different = np.add.reduceat(np.where(last_alike, counts[order], 0), first)
+    code = np.empty(len(keys), dtype=np.uint8)
+    code[order] = np.where(total < 2, 0, np.where(different > CROWD, 2, 1))[np.cumsum(new_key) - 1]
+    found = np.split(code, np.cumsum([len(x) for x in lists])[:-1])
+    return pa.table([group["blk"].combine_chunks(), group["part"].combine_chunks(), pa.array([zlib.compress(x.tobytes(), 1) for x in found], pa.binary())], schema=CODES)
+
+
+#: kind 0: spans pos, len of the block; 1: a piece for the bucket ``key``; 2: packed window hashes for part ``key``; 3: a piece of a crowded key
+FOUND = pa.schema([("blk", pa.int32()), ("kind", pa.int32()), ("key", pa.int64()), ("at", pa.int64()), ("dup", pa.bool_()), ("data", pa.binary()), ("pos", pa.binary()), ("len", pa.binary())])
+FOUND_DDL = "blk int, kind int, key long, at long, dup boolean, data binary, pos binary, len binary"
+PIECES = pa.schema([("key", pa.int64()), ("blk", pa.int32()), ("at", pa.int64()), ("dup", pa.bool_()), ("data", pa.binary())])
+PIECES_DDL = "key long, blk int, at long, dup boolean, data binary"
+
+
+def _merge(pieces: list[bytes]) -> np.ndarray:
+    """For each piece, the index of the first one with the same bytes."""
+    seen: dict[bytes, int] = {}
+    return np.fromiter((seen.setdefault(x, i) for i, x in enumerate(pieces)), dtype=np.int64, count=len(pieces))
+
+
+def window_hashes(pieces: list[bytes], length: int):
+    """Hash, piece and place in the piece of every window."""
+    sizes = np.array([len(x) for x in pieces], dtype=np.int64)
+    hashes, owners, places, i = [], [], [], 0
+    ends = np.cumsum(sizes)
+    while i < len(pieces):
+        before = int(ends[i - 1]) if i else 0
+        j = max(i + 1, int(np.searchsorted(ends, before + CHUNK, side="right")))
+        sums = _prefix_sums(np.frombuffer(b"".join(pieces[i:j]), dtype=np.uint8))
+        count = np.maximum(sizes[i:j] - length + 1, 0)
+        owner = np.repeat(np.arange(i, j), count)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        start = (ends - sizes)[owner] - before + place
+        hashes.append(_spans_hash(sums, start, start + length))
+        owners.append(owner)
+        places.append(place)
+        i = j
+    if not hashes:
+        return np.empty(0, dtype=U64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    return np.concatenate(hashes), np.concatenate(owners), np.concatenate(places)
 
 
-def _by_value(ranked: np.ndarray):
-    edges = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1], [True]))) if len(ranked) else []
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        yield int(ranked[a]), slice(a, b)
+def _same_windows(pieces: list[bytes], length: int):
+    """Of windows whose hash recurs in the list: hashes, owners, places, and the first with the same bytes."""
+    hashes, owners, places = window_hashes(pieces, length)
+    _, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+    hot = np.flatnonzero(counts[inverse] > 1) if len(hashes) else np.empty(0, dtype=np.int64)
+    first = _merge([pieces[o][p : p + length] for o, p in zip(owners[hot].tolist(), places[hot].tolist(), strict=True)])
+    return hashes, owners, places, hot, first
 
 
-RUN = pa.schema([("bucket", pa.int64()), ("blk", pa.int32()), ("pos", pa.int64()), ("whole", pa.bool_()), ("data", pa.binary())])
+def _gather(length: int, bits: int):
+    """What a block finds in itself, and what must meet the pieces of other blocks."""
+    @tidy
+    def gather(docs: pa.Table, codes: pa.Table) -> pa.Table:
+        import zlib
+
+        if not docs.num_rows or not codes.num_rows:
+            return FOUND.empty_table()
+        block, texts = docs["blk"][0].as_py(), _sorted_block(docs)[1]
+        keys, e = block_pieces(texts, length)
+        code = np.concatenate([np.frombuffer(zlib.decompress(x), dtype=np.uint8) for x in codes.sort_by([("part", "ascending")])["codes"].to_pylist()])
+        _, which, counts = np.unique(keys, return_inverse=True, return_counts=True)
+        pick = np.flatnonzero((code[which] > 0) | (counts[which] > 1))
+        pick = pick[np.argsort(keys[pick], kind="stable")]
+        keys, code, e = keys[pick], code[which][pick], e[pick]
+        data = b"".join(texts)
+        pieces = [data[a : a + n] for a, n in zip(e["pos"].tolist(), e["len"].tolist(), strict=True)]
+        first = _merge(pieces)
+        alone = first == np.arange(len(first))
+        dup = np.bincount(first, minlength=len(first))[first] > 1
+        new_key = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, dtype=bool)
+        kinds = np.add.reduceat(alone.astype(np.int64), np.flatnonzero(new_key))[np.cumsum(new_key) - 1] if len(keys) else np.zeros(0, dtype=np.int64)
+        spans = [(e["pos"][dup], e["len"][dup])]
+        out = []
+        crowded = np.flatnonzero(alone & (code == 2))
+        if len(crowded):
+            own = [pieces[i] for i in crowded.tolist()]
+            at, twice = e["pos"][crowded].astype(np.int64), dup[crowded]
+            hashes, owners, places, hot, same = _same_windows(own, length)
+            if len(hot):
+                many = np.bincount(same, minlength=len(same))[same] > 1
+                spans.append(((at[owners[hot]] + places[hot])[many].astype("<u4"), np.full(int(many.sum()), length, dtype="<u2")))
+            values = np.unique(hashes)
+            out += [(block, 2, p, None, None, pack_sorted(values[x]), None, None) for p, x in enumerate(_parts(values, bits)) if x.stop > x.start]
+            out += [(block, 3, None, a, t, x, None, None) for a, t, x in zip(at.tolist(), twice.tolist(), own, strict=True)]
+        for i in np.flatnonzero(alone & (code != 2) & ((code == 1) | (kinds > 1))).tolist():
+            out.append((block, 1, int(keys[i] >> U64(1)), int(e["pos"][i]), bool(dup[i]), pieces[i], None, None))
+        pos, size = (np.concatenate(x) for x in zip(*spans, strict=True))
+        if len(pos):
+            out.append((block, 0, None, None, None, None, pos.tobytes(), size.tobytes()))
+        columns = list(zip(*out, strict=True)) or [()] * 8
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, FOUND, strict=True)], schema=FOUND)
+    return gather
 
 
 @tidy
-def _fetch(docs: pa.Table, wanted: pa.Table) -> pa.Table:
-    if not docs.num_rows or not wanted.num_rows:
-        return RUN.empty_table()
-    data = b"".join(_sorted_block(docs)[1])
-    block, rows = docs["blk"][0].as_py(), ([], [], [], [])
-    for pos, size, bucket, whole in zip(*(wanted[c].to_pylist() for c in ("pos", "len", "bucket", "whole")), strict=True):
-        pos, size = np.frombuffer(pos, "<u4"), np.frombuffer(size, "<u2")
-        rows[0].append(np.frombuffer(bucket, "<i8"))
-        rows[1].append(pos)
-        rows[2].append(np.frombuffer(whole, np.uint8))
-        rows[3].extend(data[a : a + b] for a, b in zip(pos.tolist(), size.tolist(), strict=True))
-    return pa.table([pa.array(np.concatenate(rows[0])), pa.array(np.full(len(rows[3]), block, dtype=np.int32)), pa.array(np.concatenate(rows[1]).astype(np.int64)), pa.array(np.concatenate(rows[2]).astype(bool)), pa.array(rows[3], pa.binary())], schema=RUN)
-
-
-def repeated_windows(runs: list[bytes], whole: np.ndarray, length: int) -> np.ndarray:
-    """For the concatenated runs, whether the window at each byte is repeated; ``whole`` runs repeat for certain."""
-    sizes = np.array([len(r) for r in runs])
+def _recurring(group: pa.Table) -> pa.Table:
+    """Of each window hash of each block, whether another block has it."""
+    lists = [unpack_sorted(x) for x in group["data"].to_pylist()]
+    _, inverse, counts = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    found = np.split(counts[inverse] > 1, np.cumsum([len(x) for x in lists])[:-1])
+    return pa.table([group["blk"].combine_chunks(), group["key"].combine_chunks().cast(pa.int32()), pa.array([np.packbits(x).tobytes() for x in found], pa.binary())], schema=CODES)
+
+
+def _windows(length: int, bits: int):
+    """The distinct windows of crowded keys that other blocks have too, each for a bucket of its own."""
+    @tidy
+    def windows(pieces: pa.Table, answers: pa.Table) -> pa.Table:
+        if not pieces.num_rows or not answers.num_rows:
+            return PIECES.empty_table()
+        block, data = pieces["blk"][0].as_py(), pieces["data"].to_pylist()
+        at, twice = np.asarray(pieces["at"]), np.asarray(pieces["dup"])
+        hashes, owners, places = window_hashes(data, length)
+        values = np.unique(hashes)
+        answers = answers.sort_by([("part", "ascending")])
+        sizes = [x.stop - x.start for x in _parts(values, bits) if x.stop > x.start]
+        known = np.concatenate([np.unpackbits(np.frombuffer(b, dtype=np.uint8), count=n).astype(bool) for n, b in zip(sizes, answers["codes"].to_pylist(), strict=True)])
+        hot = np.flatnonzero(known[np.searchsorted(values, hashes)])
+        owners, places, hashes = owners[hot], places[hot], hashes[hot]
+        found = [data[o][p : p + length] for o, p in zip(owners.tolist(), places.tolist(), strict=True)]
+        first = _merge(found)
+        dup = (np.bincount(first, minlength=len(first)) > 1) | np.isin(np.arange(len(first)), first[twice[owners]])
+        alone = np.flatnonzero(first == np.arange(len(first)))
+        return pa.table([
+            pa.array((hashes[alone] >> U64(1)).astype(np.int64)), pa.array(np.full(len(alone), block, dtype=np.int32)), pa.array(at[owners[alone]] + places[alone]),
+            pa.array(dup[alone]), pa.array([found[i] for i in alone.tolist()], pa.binary())], schema=PIECES)
+    return windows
+
+
+def repeated_windows(pieces: list[bytes], many: np.ndarray, length: int) -> np.ndarray:
+    """For the bytes of different pieces one after another, whether the window that starts there is repeated.
+
+    All windows of the pieces that ``many`` marks are: those stand in several
+    places.  For the others, stretches of windows whose hash recurs here are
+    merged if equal, and the order of all their suffixes shows equal windows
+    side by side.
+    """
+    sizes = np.array([len(x) for x in pieces], dtype=np.int64)
     base = np.cumsum(sizes) - sizes
-    data = b"".join(runs)
-    places, hashes, owners, i = [], [], [], 0
-    while i < len(runs):
-        j = max(i + 1, int(np.searchsorted(base, base[i] + CHUNK)))
-        n = int(base[j - 1] + sizes[j - 1] - base[i])
-        sums = _prefix_sums(np.frombuffer(data, dtype=np.uint8, count=n, offset=int(base[i])))
-        owner = np.repeat(np.arange(i, j), np.maximum(sizes[i:j] - length + 1, 0))
-        rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
-        start = base[owner] - base[i] + rank
-        hashes.append(_spans_hash_at(sums, start, length))
-        places.append(start + base[i])
-        owners.append(owner)
-        i = j
-    at, owner = np.concatenate(places), np.concatenate(owners)
-    if len(at):
-        _, inverse, counts = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-    marked = np.zeros(len(data), dtype=bool)
-    marked[at] = whole[owner]
-    if not len(at):
+    marked = np.zeros(int(sizes.sum()), dtype=bool)
+    hashes, owners, places = window_hashes(pieces, length)
+    marked[base[owners] + places] = many[owners]
+    _, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+    hot = counts[inverse] > 1 if len(hashes) else np.zeros(0, dtype=bool)
+    place, own = places[hot], owners[hot]
+    if not len(place):
         return marked
-    hot = counts[inverse] > 1
-    # stretches of recurring windows; equal ones are kept once
-    place, own = at[hot], owner[hot]
-    edge = np.flatnonzero(np.concatenate(([True], (np.diff(place) != 1) | (own[1:] != own[:-1]), [True]))) if len(place) else np.zeros(1, dtype=np.int64)
+    edge = np.flatnonzero(np.concatenate(([True], (np.diff(place) != 1) | (own[1:] != own[:-1]), [True])))
     stretches: dict[bytes, list[int]] = {}
-    for start, stop in zip(place[edge[:-1]].tolist(), (place[edge[1:] - 1] + 1).tolist(), strict=True):
-        stretches.setdefault(data[start : stop - 1 + length], []).append(start)
+    sure: dict[bytes, bool] = {}
+    for o, a, b in zip(own[edge[:-1]].tolist(), place[edge[:-1]].tolist(), (place[edge[1:] - 1] + length).tolist(), strict=True):
+        text = pieces[o][a:b]
+        stretches.setdefault(text, []).append(int(base[o]) + a)
+        sure[text] = sure.get(text, False) or bool(many[o])
     joined = b"\0".join(stretches)
-    base = np.cumsum([0] + [len(t) + 1 for t in stretches])
-    proved = np.zeros(len(joined) + 1, dtype=bool)
-    window = np.zeros(len(joined) + 1, dtype=bool)
-    for start, (text, places) in zip(base.tolist(), stretches.items(), strict=False):
-        window[start : start + len(text) - length + 1] = True
-        proved[start : start + len(text) - length + 1] = len(places) > 1
+    starts = np.cumsum([0] + [len(t) + 1 for t in stretches])
+    window, proved = np.zeros(len(joined) + 1, dtype=bool), np.zeros(len(joined) + 1, dtype=bool)
+    for a, (text, at) in zip(starts.tolist(), stretches.items(), strict=False):
+        window[a : a + len(text) - length + 1] = True
+        proved[a : a + len(text) - length + 1] = len(at) > 1 or sure[text]
     symbols = np.frombuffer(joined, dtype=np.uint8).astype(np.int64) + 1
-    symbols[base[1:-1] - 1] = 0
+    symbols[starts[1:-1] - 1] = 0
     before, names = -1, window.tolist()
-    for s in suffix_array(symbols) if stretches else []:
-        if names[s]:
-            if before >= 0 and joined[s : s + length] == joined[before : before + length]:
-                proved[s] = proved[before] = True
-            before = s
+    for i in suffix_array(symbols):
+        if names[i]:
+            if before >= 0 and joined[i : i + length] == joined[before : before + length]:
+                proved[i] = proved[before] = True
+            before = i
         else:
             before = -1
-    for start, (text, places) in zip(base.tolist(), stretches.items(), strict=False):
-        found = proved[start : start + len(text) - length + 1]
-        for k in places:
+    for a, (text, at) in zip(starts.tolist(), stretches.items(), strict=False):
+        found = proved[a : a + len(text) - length + 1]
+        for k in at:
             marked[k : k + len(found)] |= found
     return marked
 
 
+SPAN = pa.schema([("blk", pa.int32()), ("pos", pa.binary()), ("len", pa.binary())])
+
+
 def _compare(length: int, limit: int = CHUNK):
-    def flush(rows):
-        blk, pos, whole, runs = zip(*rows, strict=True)
-        whole = np.array(whole)
-        marked = repeated_windows(list(runs), whole, length)
-        sizes = np.array([len(r) for r in runs])
-        base = np.cumsum(sizes) - sizes
-        owner = np.repeat(np.arange(len(runs)), sizes)
-        at = np.flatnonzero(marked & ~whole[owner])
+    """Over pieces sorted by bucket: the spans of those that repeat."""
+    def flush(blk, pos, dup, pieces):
+        first = _merge(pieces)
+        alone = np.flatnonzero(first == np.arange(len(first)))
+        many = (np.bincount(first, minlength=len(first)) > 1) | np.isin(np.arange(len(first)), first[dup])
+        different = [pieces[i] for i in alone.tolist()]
+        marked = repeated_windows(different, many[alone], length)
+        sizes = np.array([len(x) for x in different], dtype=np.int64)
+        owner, base = np.repeat(alone, sizes), np.zeros(len(pieces), dtype=np.int64)
+        base[alone] = np.cumsum(sizes) - sizes
+        at = np.flatnonzero(marked)
         if not len(at):
             return None
         edge = np.flatnonzero(np.concatenate(([True], (np.diff(at) != 1) | (owner[at[1:]] != owner[at[:-1]]), [True])))
-        first, last = at[edge[:-1]], at[edge[1:] - 1]
-        run = owner[first]
-        start = np.array(pos)[run] + first - base[run]
-        blocks = np.array(blk)[run]
-        order = np.argsort(blocks, kind="stable")
-        out = [(b, 0, start[order][p].astype("<u4").tobytes(), (last - first + length)[order][p].astype("<u2").tobytes(), None, None) for b, p in _by_value(blocks[order])]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), SPAN, strict=True)], schema=SPAN)
+        low, own = at[edge[:-1]], owner[at[edge[:-1]]]
+        size, low = at[edge[1:] - 1] - low + length, low - base[own]
+        order = np.argsort(own, kind="stable")
+        low, size, own = low[order], size[order], own[order]
+        # each piece takes the spans of the first one with its bytes
+        a, b = np.searchsorted(own, first), np.searchsorted(own, first, side="right")
+        a, b = np.where(dup, 0, a), np.where(dup, 0, b)
+        piece = np.repeat(np.arange(len(pieces)), b - a)
+        span = np.arange(len(piece)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)
+        order = np.argsort(blk[piece], kind="stable")
+        home, start, size = blk[piece][order], (pos[piece] + low[span])[order].astype("<u4"), size[span][order].astype("<u2")
+        out = [(b, start[x].tobytes(), size[x].tobytes()) for b, x in _by_value(home)]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), SPAN, strict=True)], schema=SPAN) if out else None
 
     @tidy_batches
     def run(batches):
-        bucket, rows, held, here = None, [], 0, set()
+        held: list = []
+        size, last = 0, None
         for batch in batches:
-            for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != bucket and held >= limit:
-                    if (found := flush(rows)) is not None:
+            keys = np.asarray(batch.column(0))
+            if not len(keys):
+                continue
+            cuts = np.flatnonzero(np.concatenate(([keys[0] != last], keys[1:] != keys[:-1]))).tolist()
+            last, done = keys[-1], 0
+            weight = np.concatenate(([0], np.cumsum(np.asarray(pc.binary_length(batch.column(4))).astype(np.int64))))
+            for cut in cuts:
+                if size + int(weight[cut] - weight[done]) >= limit:
+                    held.append(batch.slice(done, cut - done))
+                    if (found := flush(*_columns(held))) is not None:
                         yield found
-                    rows, held, here = [], 0, set()
-                bucket = key
-                if (row[0], row[1]) not in here:  # a dealt run stands in several buckets, and must not meet itself
-                    here.add((row[0], row[1]))
-                    rows.append(row)
-                    held += len(row[3])
-        if rows and (found := flush(rows)) is not None:
+                    held, size, done = [], 0, cut
+            held.append(batch.slice(done))
+            size += int(weight[-1] - weight[done])
+        if held and (found := flush(*_columns(held))) is not None:
             yield found
 
     return run
 
 
-def _cut(kinds: pa.Schema, names: list[str]):
+def _columns(batches: list[pa.RecordBatch]):
+    table = pa.Table.from_batches(batches)
+    return np.asarray(table["blk"]), np.asarray(table["at"]), np.asarray(table["dup"]), table["data"].to_pylist()
+
+
+def _cut(kinds: pa.Schema):
     @tidy
     def cut(docs: pa.Table, spans: pa.Table) -> pa.Table:
         if not docs.num_rows:
@@ -332,33 +429,42 @@ def _cut(kinds: pa.Schema, names: list[str]):
                 removed.append(0)
                 n_spans.append(0)
                 kept.append(text)
-        columns = [docs[n].combine_chunks() for n in names] + [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())]
+        columns = [docs["row"].combine_chunks(), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())]
         return pa.table([c.cast(f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
     return cut
 
 
-def remove_repeated_bytes(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", rows_per_block: int = 4096) -> DataFrame:
-    """``docs`` with __n_bytes, __n_removed, __n_spans, __kept (binary; a cut may fall inside a character)
-    and __text (the same without characters that a cut broke)."""
+def remove_repeated_bytes(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", units: int = 5000) -> DataFrame:
+    """``docs`` with texts that lack the repeated bytes, and a last column ``repeated``.
+
+    ``repeated`` (with underscores behind it where the input has that name) is a
+    struct of n_bytes, n_removed, n_spans and kept, the remaining bytes; a cut
+    may fall inside a character, which the text then lacks.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = docs.sparkSession
-    bits = max(0, (shuffle_partitions(spark) - 1).bit_length())
+    blocks = blocks_of(docs, id_col, text_col, units)
+    bits, tasks = blocks.bits(spark), blocks.tasks(spark)
+    others = [c for c in docs.columns if c != text_col]
     dealt = docs.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.col(text_col).cast("string").alias("text"),
-        blocks_of(docs, id_col, rows_per_block).alias("blk"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("__key"),
-    )
-    sent = dealt.groupBy("blk").applyInArrow(_send(length, bits), "part int, blk int, kind int, anchors binary, entries binary")
-    judged = written(sent.groupBy("part").applyInArrow(_judge, SPAN_DDL), "suffix-runs")
-    runs = dealt.groupBy("blk").cogroup(judged.where("kind = 1").groupBy("blk")).applyInArrow(_fetch, "bucket long, blk int, pos long, whole boolean, data binary")
-    compared = runs.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket").select("bucket", "blk", "pos", "whole", "data").mapInArrow(_compare(length), SPAN_DDL)
-    spans = judged.where("kind = 0").union(compared).select("blk", "pos", "len")
-    names = [c for c in docs.columns if c != text_col] + ["text"]
-    schema = T.StructType([dealt.schema[n] for n in names] + [T.StructField(n, T.LongType()) for n in ("__n_bytes", "__n_removed", "__n_spans")] + [T.StructField("__kept", T.BinaryType()), T.StructField("__text", T.StringType())])
-    return dealt.groupBy("blk").cogroup(spans.groupBy("blk")).applyInArrow(_cut(to_arrow_schema(schema), names), schema)
+        F.struct(*[F.col(quoted(c)) for c in others]).alias("row"), F.col(quoted(text_col)).cast("string").alias("text"), blocks.number.alias("blk"),
+        F.col(quoted(id_col)).isNull().alias("absent"), F.col(quoted(id_col)).cast("long").alias("key"),
+    ).repartition(tasks, "blk")
+    sent = dealt.groupBy("blk").applyInArrow(_send(length, bits), SENT_DDL)
+    codes = sent.repartition(tasks, "part").groupBy("part").applyInArrow(_route, "blk int, part int, codes binary")
+    found = written(dealt.groupBy("blk").cogroup(codes.groupBy("blk")).applyInArrow(_gather(length, bits), FOUND_DDL), "suffix-pieces")
+    answers = found.where("kind = 2").select("key", "blk", "data").groupBy("key").applyInArrow(_recurring, "blk int, part int, codes binary")
+    crowded = found.where("kind = 3").select("blk", "at", "dup", "data").groupBy("blk").cogroup(answers.groupBy("blk")).applyInArrow(_windows(length, bits), PIECES_DDL)
+    pieces = found.where("kind = 1").select("key", "blk", "at", "dup", "data").union(crowded)
+    compared = pieces.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(_compare(length), "blk int, pos binary, len binary")
+    spans = found.where("kind = 0").select("blk", "pos", "len").union(compared)
+    schema = T.StructType([dealt.schema["row"], *[T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept", T.BinaryType()), T.StructField("text", T.StringType())])
+    cut = dealt.groupBy("blk").cogroup(spans.groupBy("blk")).applyInArrow(_cut(to_arrow_schema(schema)), schema)
+    report = F.struct("n_bytes", "n_removed", "n_spans", "kept").alias(free_name("repeated", docs.columns))
+    return cut.select(*[F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns], report)
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return remove_repeated_bytes(docs).select(
-        "doc_id", F.col("__n_bytes").alias("n_bytes"), F.col("__n_removed").alias("n_removed"), F.col("__n_spans").alias("n_spans"), F.sha2("__kept", 256).alias("kept_sha256"))
+    return remove_repeated_bytes(docs).select("doc_id", "repeated.n_bytes", "repeated.n_removed", "repeated.n_spans", F.sha2("repeated.kept", 256).alias("kept_sha256"))

@@ -5,11 +5,14 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 
 import public_tokenizers
+from pyspark.sql import functions as F
+
 from tallyrack.llm import byte_gru, chat_format, components, hidden_markov, jaccard_join, piece_codec, quality_rules, suffix_dedup, template_decontam, wavelet_shards, window_dedup
-from tallyrack.llm.common import pack_sorted, range_index, unpack_sorted
+from tallyrack.llm.common import blocks_of, pack_sorted, range_index, unpack_sorted
 from tallyrack.llm.suffix_array import suffix_array
 
 LONG = " ".join(f"word{i % 977}x{i % 31}" for i in range(30_000))
@@ -207,6 +210,36 @@ def test_greatest_id_is_no_null(spark, tmp_path):
     wavelet_shards.write_shards(df, public_tokenizers.path("byte_bpe_50k.json"), out)
     got = wavelet_shards.read_shards(spark, out).orderBy("start").collect()
     assert [(r["doc_id"], r["n_tokens"]) for r in got] == [(3, 2), (last, 1), (last, 2), (None, 2)]
+    twice = spark.createDataFrame([(None, PASSAGE), (last, PASSAGE), (last, PASSAGE), (4, "x " + PASSAGE)], "doc_id long, text string")
+    got = [(r["doc_id"], r["n_removed"]) for r in window_dedup.remove_repeated_windows(twice).collect()]
+    assert sorted(got, key=str) == [(4, 0), (last, 60), (last, 60), (None, 60)]
+    alone = twice.where(f"doc_id = {last} OR doc_id IS NULL")
+    assert [(r["doc_id"], r["component_id"]) for r in jaccard_join.jaccard_components(alone.limit(3), 4, 85).orderBy(F.asc_nulls_last("doc_id")).collect()] == [(last, last), (last, last), (None, last)]
+
+
+def test_blocks_follow_rows_bytes_and_hot_ids(spark):
+    rows = [(i, "a" * (i % 7)) for i in range(300)] + [(77, f"hot {i}") for i in range(400)] + [(None, f"none {i}") for i in range(200)] + [(1000 + i, "long " * 20_000) for i in range(6)] + [(9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    blocks = blocks_of(df, "doc_id", "text", units=40, quantiles=32)
+    got = df.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n"), blocks.number.alias("b"), blocks.base.alias("base")).collect()
+    per = {}
+    for r in got:
+        per.setdefault(r["b"], []).append(r)
+    assert max(len(x) for x in per.values()) < 200 and max(sum(r["n"] for r in x) for x in per.values()) <= 400_000 and max(per) < blocks.count
+    assert len({r["b"] for r in got if r["doc_id"] == 77}) > 3 and len({r["base"] for r in got if r["doc_id"] == 77}) == 1
+    known = sorted((r["doc_id"], r["base"], r["b"]) for r in got if r["doc_id"] is not None)
+    assert [x[1] for x in known] == sorted(x[1] for x in known)
+    assert all(len({r["doc_id"] for r in x}) == 1 for x in per.values() if x[0]["doc_id"] in (77, None))
+    none = blocks_of(df.limit(0), "doc_id", "text")
+    assert (none.count, none.bytes) == (2, 0)
+
+
+def test_results_do_not_depend_on_blocks(spark, rows):
+    more = rows.select("doc_id", "text").unionByName(spark.createDataFrame([(9, f"{PASSAGE} {i % 5}") for i in range(60)] + [(None, f"{PASSAGE} {i % 9}") for i in range(30)], "doc_id long, text string"))
+    for op, kind in ((lambda u: window_dedup.remove_repeated_windows(more, units=u).select("doc_id", "n_removed", "kept_text"), str),
+                     (lambda u: suffix_dedup.remove_repeated_bytes(more, units=u).select("doc_id", "repeated.n_removed", "repeated.n_spans", "text"), str),
+                     (lambda u: jaccard_join.similar_documents(more, 4, 85, units=u).select("key", "n_shingles", "component_key"), str)):
+        assert sorted(map(tuple, op(5000).collect()), key=kind) == sorted(map(tuple, op(3).collect()), key=kind)
 
 
 def test_jaccard(spark, rows, none):
@@ -259,34 +292,81 @@ def test_suffix_array():
 
 
 def test_suffix_dedup(spark, rows, none, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "BUCKET", 2)
-    got = suffix_dedup.remove_repeated_bytes(rows).collect()
+    monkeypatch.setattr(suffix_dedup, "CROWD", 1)
+    clash = rows.withColumnsRenamed({"n_words": "repeated", "hash": "blk"}).selectExpr("*", "1 AS key", "2 AS absent", "3 AS row", "4 AS n_bytes", "doc_id AS `a.b`", "lang AS __text")
+    out = suffix_dedup.remove_repeated_bytes(clash)
+    got = out.collect()
     by = {}
     for r in got:
-        by.setdefault(r["doc_id"], []).append((r["__n_bytes"], r["__n_removed"], r["__text"]))
+        by.setdefault(r["doc_id"], []).append((r["repeated_"]["n_bytes"], r["repeated_"]["n_removed"], r["text"]))
+        assert (r["a.b"], r["__text"], r["key"], r["absent"], r["row"], r["n_bytes"]) == (r["doc_id"], r["lang"], 1, 2, 3, 4)
     assert len(got) == len(ROWS) and by[5][0][1] == len(LONG) and by[5][0][2] == ""
     assert by[7][0][2] == " tail here" and by[8][0][2] == "head there " and by[9][0][1] == by[9][0][0] and by[3][0][1] == 0
-    assert suffix_dedup.remove_repeated_bytes(none).count() == 0 and set(rows.columns) <= set(suffix_dedup.remove_repeated_bytes(rows).columns)
+    assert out.columns == [*clash.columns, "repeated_"] and suffix_dedup.remove_repeated_bytes(none).count() == 0
 
 
-def test_suffix_dedup_crowded_anchor_equals_plain(spark, monkeypatch):
-    """An anchor dealt over several buckets: a run that stands in two of them does not repeat itself."""
-    monkeypatch.setattr(suffix_dedup, "BUCKET", 2)
+def _left_of(texts: list[str], length: int) -> list[str]:
+    """Plain removal of every character in a string of ``length`` that starts twice."""
+    seen: dict = {}
+    for t in texts:
+        for k in range(len(t) - length + 1):
+            seen[t[k : k + length]] = seen.get(t[k : k + length], 0) + 1
+    gone = [{j for k in range(len(t) - length + 1) if seen[t[k : k + length]] > 1 for j in range(k, k + length)} for t in texts]
+    return ["".join(c for j, c in enumerate(t) if j not in out) for t, out in zip(texts, gone, strict=True)]
+
+
+def test_suffix_dedup_crowded_key_equals_plain(spark, monkeypatch):
+    """Many different texts around a line, with and without windows in common."""
+    monkeypatch.setattr(suffix_dedup, "CROWD", 2)
     rng = random.Random(6)
     some = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
-    line, longer = some(160), some(230)
+    line, longer = some(190), some(230)
     texts = [some(300) + line + some(300) for _ in range(9)] + [some(50) + longer[k : k + 215] + some(90) for k in (0, 5, 9, 15)] + [some(40) + longer + some(40)]
-    seen = {}
-    for t in texts:
-        for k in range(len(t) - 199):
-            seen[t[k : k + 200]] = seen.get(t[k : k + 200], 0) + 1
-    want = {}
-    for i, t in enumerate(texts):
-        gone = {j for k in range(len(t) - 199) if seen[t[k : k + 200]] > 1 for j in range(k, k + 200)}
-        want[i] = "".join(c for j, c in enumerate(t) if j not in gone)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r["doc_id"]: r["__text"] for r in suffix_dedup.remove_repeated_bytes(df).collect()} == want
-    assert all(want[i] == texts[i] for i in range(9)) and all(len(want[i]) < len(texts[i]) for i in range(9, 14))
+    got = {r["doc_id"]: r["text"] for r in suffix_dedup.remove_repeated_bytes(df, units=3).collect()}
+    want = _left_of(texts, 200)
+    assert [got[i] for i in range(len(texts))] == want
+    assert want[:9] == texts[:9] and all(len(want[i]) < len(texts[i]) for i in range(9, 14))
+
+
+def _suffix_dedup_here(texts: list[str], blocks: int, bits: int, length: int) -> list[str]:
+    """The operator's own steps without Spark."""
+    s = suffix_dedup
+    order = sorted(range(len(texts)), key=lambda i: (i % blocks, i))
+    docs = {b: pa.table({"blk": pa.array([b] * len(k), pa.int32()), "absent": [False] * len(k), "key": k, "text": [texts[i] for i in k], "row": k}) for b in range(blocks) if (k := [i for i in order if i % blocks == b])}
+    by = lambda t, c: {v: t.filter(pa.compute.equal(t[c], v)) for v in set(t[c].to_pylist())}
+    sent = pa.concat_tables([s._send(length, bits)(d) for d in docs.values()])
+    codes = by(pa.concat_tables([s.CODES.empty_table(), *map(s._route, by(sent, "part").values())]), "blk")
+    found = pa.concat_tables([s.FOUND.empty_table(), *[s._gather(length, bits)(d, codes.get(b, s.CODES.empty_table())) for b, d in docs.items()]])
+    kinds = by(found, "kind")
+    none = s.FOUND.empty_table()
+    answers = by(pa.concat_tables([s.CODES.empty_table(), *map(s._recurring, by(kinds.get(2, none), "key").values())]), "blk")
+    crowded = [s._windows(length, bits)(t, answers.get(b, s.CODES.empty_table())) for b, t in by(kinds.get(3, none), "blk").items()]
+    pieces = pa.concat_tables([kinds.get(1, none).select(["key", "blk", "at", "dup", "data"]), *crowded]).sort_by("key")
+    spans = pa.concat_tables([kinds.get(0, none).select(["blk", "pos", "len"]), pa.Table.from_batches(list(s._compare(length, 200)(iter(pieces.to_batches(7)))), s.SPAN)])
+    schema = pa.schema([("row", pa.int64()), *[(n, pa.int64()) for n in ("n_bytes", "n_removed", "n_spans")], ("kept", pa.binary()), ("text", pa.string())])
+    spans = by(spans, "blk")
+    out = pa.concat_tables([s._cut(schema)(d, spans.get(b, s.SPAN.empty_table())) for b, d in docs.items()])
+    return [t for _, t in sorted(zip(out["row"].to_pylist(), out["text"].to_pylist(), strict=True))]
+
+
+@pytest.mark.parametrize("weak", [64, 9, 3])
+def test_suffix_dedup_with_colliding_hashes_equals_plain(monkeypatch, weak):
+    """Hashes of a few bits: bytes still decide."""
+    strong = suffix_dedup.mix64
+    monkeypatch.setattr(suffix_dedup, "mix64", lambda x: strong(x) >> np.uint64(64 - weak) << np.uint64(64 - weak))
+    monkeypatch.setattr(suffix_dedup, "GRAM", 4)
+    rng, removed = random.Random(weak), 0
+    for trial in range(60):
+        monkeypatch.setattr(suffix_dedup, "CROWD", rng.choice([1, 2, 64]))
+        letters = rng.choice(["ab", "abcd", "abcdefghijklmnop"])
+        texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(rng.randint(1, 12))]
+        shared = "".join(rng.choice(letters) for _ in range(30))
+        texts += [t[: rng.randint(0, 20)] + shared[rng.randint(0, 9) : rng.randint(15, 30)] + t[20:] for t in texts] + rng.sample(texts, 1)
+        want = _left_of(texts, 12)
+        assert _suffix_dedup_here(texts, rng.choice([1, 2, 5]), rng.choice([0, 2]), 12) == want
+        removed += sum(map(len, texts)) - sum(map(len, want))
+    assert removed > 1000
 
 
 def test_piece_codec(spark, rows, none):
@@ -314,7 +394,6 @@ def test_window_dedup(spark, rows, none):
 def test_packing_and_ranges(spark):
     for v in ([], [5], [0, 1, 2**64 - 1], list(range(0, 999, 7))):
         assert unpack_sorted(pack_sorted(np.array(v, dtype=np.uint64))).tolist() == v
-    from pyspark.sql import functions as F
     bounds = list(range(0, 2000, 10))
     got = spark.range(0, 2100, 7).select("id", range_index(F.col("id"), bounds).alias("k")).collect()
     assert all(r["k"] == sum(b < r["id"] for b in bounds) for r in got)
