@@ -42,7 +42,7 @@ from .components import components
 
 BUCKET = 2048
 LEAF = 16
-#: at most so many crowded tokens (of 20 bytes) are broadcast; beyond, joins on a token are cut into slices
+#: at most so many crowded groups (of some 30 bytes) are broadcast; beyond, joins on a group are cut into slices
 FEW, SLICES = 1 << 18, 8
 DOCUMENT = "uid long, key long, text_hash long, n long, fp1 long, fp2 long, rare long, low long, prefix array<long>, shared binary"
 
@@ -243,6 +243,15 @@ def _in_buckets(rows: DataFrame, threshold: int) -> DataFrame:
     return dealt.mapInArrow(_linked(threshold), "src long, dst long")
 
 
+def _with_sizes(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """``rows`` (with uid) with the size of their group where it is over ``most``, null elsewhere; no group meets in one task."""
+    full = written(rows.groupBy(*keys).agg(F.count("*").alias("size")).where(F.col("size") > most), "jaccard-full")
+    if full.count() <= FEW:
+        return rows.join(F.broadcast(full), keys, "left")  # counted here
+    cut = rows.withColumn("slice", F.pmod(F.xxhash64("uid"), F.lit(SLICES)).cast("int"))
+    return cut.join(full.withColumn("slice", F.explode(F.array(*[F.lit(i) for i in range(SLICES)]))), [*keys, "slice"], "left").drop("slice")
+
+
 def similar_documents(docs: DataFrame, width: int, threshold: int, id_col: str = "doc_id", text_col: str = "text", units: int = 5000) -> DataFrame:
     """key (the id), text_hash, n_shingles, uid, component (least uid), component_key."""
     spark = docs.sparkSession
@@ -259,12 +268,7 @@ def similar_documents(docs: DataFrame, width: int, threshold: int, id_col: str =
 
     kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("rare").alias("token")), F.struct(F.lit(1).alias("kind"), F.col("low").alias("token")))).alias("b")
     spots = classes.select("uid", "n", "shared", kinds).select("uid", "n", "shared", "b.kind", "b.token")
-    full = written(spots.groupBy("kind", "token").agg(F.count("*").alias("size")).where(F.col("size") > BUCKET), "jaccard-full")
-    if full.count() <= FEW:
-        sized = spots.join(F.broadcast(full), ["kind", "token"], "left")  # counted above
-    else:
-        slices = F.array(*[F.lit(i) for i in range(SLICES)])
-        sized = spots.withColumn("slice", F.pmod(F.xxhash64("uid"), F.lit(SLICES)).cast("int")).join(full.withColumn("slice", F.explode(slices)), ["kind", "token", "slice"], "left")
+    sized = _with_sizes(spots, ["kind", "token"], BUCKET)
     salt = F.pmod(F.xxhash64("uid", F.lit(3)), F.coalesce(F.ceil(F.col("size") / BUCKET), F.lit(1)).cast("long"))
     near = written(_in_buckets(sized.select(F.xxhash64("kind", "token", salt).alias("bucket"), "uid", "n", F.col("uid").alias("label"), "shared"), threshold), "jaccard-links")
 
@@ -277,8 +281,8 @@ def similar_documents(docs: DataFrame, width: int, threshold: int, id_col: str =
     # a little wider than the threshold allows, so rounding can't set linked sizes two bands apart
     band = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / threshold) * (1 + 1e-9))) if threshold < 100 else F.col("n")
     rest = rest.withColumn("band", F.explode(F.array(band, band + 1)))
-    sizes = rest.groupBy("a", "z", "band").agg(F.ceil(F.count("*") / (2 * BUCKET)).cast("int").alias("blocks"))
-    paired = rest.join(sizes, ["a", "z", "band"]).withColumn("i", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    n_blocks = F.coalesce(F.ceil(F.col("size") / (2 * BUCKET)), F.lit(1)).cast("int")
+    paired = _with_sizes(rest, ["a", "z", "band"], 2 * BUCKET).withColumn("blocks", n_blocks).withColumn("i", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     bucket = F.xxhash64("a", "z", "band", F.least("i", "j"), F.greatest("i", "j")).alias("bucket")
     wide = paired.select(bucket, "uid", "n", "label").join(classes.select("uid", "shared"), "uid")
     far = _in_buckets(wide, threshold)

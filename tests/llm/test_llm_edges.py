@@ -252,8 +252,10 @@ def test_jaccard(spark, rows, none):
     assert kept.columns == rows.columns and ids.count(9) == 1 and 6 not in ids and 4 not in ids and 5 in ids
 
 
-def test_jaccard_random_equals_plain(spark, monkeypatch):
+@pytest.mark.parametrize("few", [1 << 18, 0])
+def test_jaccard_random_equals_plain(spark, monkeypatch, few):
     monkeypatch.setattr(jaccard_join, "BUCKET", 4)
+    monkeypatch.setattr(jaccard_join, "FEW", few)
     rng, texts = random.Random(9), []
     for _ in range(12):
         base = [f"w{rng.randint(0, 400)}" for _ in range(rng.randint(3, 60))]
