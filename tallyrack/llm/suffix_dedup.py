@@ -39,7 +39,7 @@ from .common import blocks_of, free_name, mix64, _ODD, _ODD_INV, pack_sorted, po
 from .suffix_array import suffix_array
 
 GRAM = 32
-GROUPS = 4
+GROUPS = 2
 #: different pieces of one key past which its windows are told apart before they meet
 CROWD = 64
 CHUNK = 1 << 19
@@ -249,7 +249,8 @@ def _gather(length: int, bits: int):
             values = np.unique(hashes)
             out += [(block, 2, p, None, None, pack_sorted(values[x]), None, None) for p, x in enumerate(_parts(values, bits)) if x.stop > x.start]
             out += [(block, 3, None, a, t, x, None, None) for a, t, x in zip(at.tolist(), twice.tolist(), own, strict=True)]
-        for i in np.flatnonzero(alone & (code != 2) & ((code == 1) | (kinds > 1))).tolist():
+        ready = np.flatnonzero(alone & (code != 2) & ((code == 1) | (kinds > 1)))
+        for i in ready[np.argsort(e["pos"][ready])].tolist():  # neighbours overlap, which files keep small
             out.append((block, 1, int(keys[i] >> U64(1)), int(e["pos"][i]), bool(dup[i]), pieces[i], None, None))
         pos, size = (np.concatenate(x) for x in zip(*spans, strict=True))
         if len(pos):
