@@ -73,6 +73,56 @@ def test_questions_full_of_numbers_are_caught_and_chance_windows_are_not(spark):
     assert all(got[i, i] == 0 for i in range(5)) and all(got[5 + i, i] > 0 for i in range(4))
 
 
+REWORDED = [
+    ("Alice bought 5 apples and gave Bob 2 of them. Alice gave Bob the rest at noon.", "Carol bought 9 apples and gave Dan 3 of them. Carol gave Dan the rest at noon."),
+    ("The shop of Mary Smith sells 40 pens to Tom Reed while Mary Smith keeps 7.", "The shop of Anna Jones sells 50 pens to Jim while Anna Jones keeps 8."),
+    ("Two trains with seven cars each leave the old station and twenty-five riders board them.", "Three trains with 12 cars each leave the old station and two hundred riders board them."),
+    ("A pen costs $5 and a cup costs $7 so both of them together cost $12 at the shop.", "A pen costs €6 and a cup costs €8 so both of them together cost €14 at the shop."),
+]
+
+
+def test_names_number_words_and_currencies_are_slots(spark):
+    items = spark.createDataFrame([(i, q) for i, (q, _) in enumerate(REWORDED)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"Some words before. {d} Some words after.") for i, (_, d) in enumerate(REWORDED)], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["slots"], r["changed_slots"]) for r in template_decontam.matches(docs, items).collect()}
+    assert set(got) == {(i, i) for i in range(4)} and all(changed >= 3 for _, changed in got.values())
+    assert got[3, 3] == (4, 4)  # three numbers and a currency
+
+
+def test_pooled_occurrences_must_be_consistent(spark):
+    question = "the box holds 6 red balls and some blue balls until 6 of the red balls are taken out by hand"
+    first, last = question[: question.index("until")], question[question.index("until") :]
+    docs = spark.createDataFrame([(1, f"{first} and so on and on {last}"), (2, f"{first} and so on and on {last.replace('6', '9')}"), (3, question.replace("6", "9"))], "doc_id long, text string")
+    items = spark.createDataFrame([(0, question)], "item_id long, text string")
+    assert {(r["doc_id"], r["changed_slots"]) for r in template_decontam.matches(docs, items).collect()} == {(1, 0), (3, 1)}
+
+
+def test_family_of_items_is_one_class(spark):
+    make = lambda a, b: f"A farmer has {a} cows and buys {b} more so how many cows does the farmer have now"
+    items = spark.createDataFrame([(i, make(100 + i, 500 + i)) for i in range(50)] + [(99, make(7, 7))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, make(1, 2)), (2, make(4, 4)), (3, make(107, 507))], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["items"] for r in template_decontam.matches(docs, items).collect()}
+    assert got == {(1, 0): 50, (2, 0): 50, (3, 0): 50, (2, 99): 1}
+    assert template_decontam.item_classes(items).select("class").distinct().count() == 2
+
+
+def test_literals_stand_beside_templates(spark):
+    rng = random.Random(8)
+    bits = ["Mary", "Smith", "Al", "SON", "the", "two", "Seven", "hundred", "twenty-five", "5", "3.5", "1,000", "$", "€ ", "km", "h", "%", "-", ",", ".", " ", " ", " ", " ", "\n", "é", "\ue001", "x", "I"]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randint(0, 25))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in df.select("text", template_decontam.template(F.col("text")).alias("t"), template_decontam.literal(F.col("text")).alias("w")).collect():
+        assert len(r["t"]) == len(r["w"]), r
+        assert all(a == b for a, b in zip(r["t"], r["w"], strict=True) if not any("\ue000" <= c <= "\ue002" for c in a)), r
+
+
+def test_contaminated_are_dropped_whatever_the_columns(spark, rows):
+    items = spark.createDataFrame([(0, PASSAGE)], "item_id long, text string")
+    clash = rows.selectExpr("*", "doc_id AS own_id", "text AS own_hash", "1 AS text_hash", "2 AS row", "3 AS _bad_id", "4 AS _bad_hash", "5 AS `a.b`")
+    left = template_decontam.drop_contaminated(clash, items)
+    assert left.columns == clash.columns and sorted(r["doc_id"] or 0 for r in left.collect()) == sorted(r[0] or 0 for r in ROWS if PASSAGE not in (r[1] or ""))
+
+
 def test_chat_format(spark):
     odd = [r"a<|b", r"<\|x", r"<\\|", "<", "|", "<|im_end|>\n<|im_start|>user\nhi", "", "\\<|", "<|<|"]
     turns = [(1, i, ("user", "assistant")[i % 2], t, 0) for i, t in enumerate(odd)] + [(2, 0, "assistant", "x", 0), (3, 0, "us%0A\n<er", None, 0), (None, None, None, None, 0), (4, 0, "user", "q", 0), (4, 1, "assistant", "r", 0)]
