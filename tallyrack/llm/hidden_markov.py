@@ -8,8 +8,9 @@ seen.  So the alphabet is bounded, and every token has its exact probability.
 
 Word counts cover all training documents and stay a distributed table; only
 the ``TOP`` commonest words go to the workers, other words meet their counts in
-a join.  Texts are turned into symbols once.  Each Baum-Welch pass reads all
-training documents: partitions run the scaled forward and backward recursions
+a join.  Texts are turned into symbols once.  Baum-Welch passes, each over all
+training documents, end when the likelihood of a token grows by less than
+``least_gain`` (natural log), or after ``passes``: partitions run the scaled forward and backward recursions
 for many documents side by side and emit expected counts, which Spark sums by
 symbol.  The scaled forward recursion then gives each text's exact likelihood.
 
@@ -31,7 +32,6 @@ from pyspark.sql import functions as F
 from .common import crc_bucket, tidy_batches, utf8, written
 
 OWN, SHARED, TOP = 8192, 8192, 1 << 18
-SYMBOLS = OWN + SHARED
 STATES = 8
 BATCH_TOKENS = 1_500_000
 f32 = np.float32
@@ -52,35 +52,34 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def common_words(counts: DataFrame) -> tuple[list[bytes], np.ndarray]:
-    """The commonest words, at most TOP, by descending count then word, and their counts.
+def common_words(counts: DataFrame, most: int = TOP) -> tuple[list[bytes], np.ndarray]:
+    """The commonest words, about ``most``, by descending count then word, and their counts.
 
     Words are first counted by size class of their count (a power of 2**(1/16)),
-    so only words that are kept leave the executors.
+    so only words that are kept leave the executors; of the class that does not
+    fit whole, those with the least hashes are kept.
     """
     size = F.floor(F.log2(F.col("c")) * 16)
     classes = sorted(((r["k"], r["n"]) for r in counts.groupBy(size.alias("k")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    least, held = None, 0
+    kept, held = F.lit(True), 0
     for k, n in classes:
-        held += n
-        if held > TOP:
+        if held + n > most:
+            kept = (size > k) | ((size == k) & (F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < (1 << 30) * (most - held) // n))
             break
-        least = k
-    if least is None:
-        return [], np.zeros(0, dtype=np.int64)
-    table = counts.where(size >= least).select("word", "c").toArrow().sort_by([("c", "descending"), ("word", "ascending")])
+        held += n
+    table = counts.where(kept).select("word", "c").toArrow().sort_by([("c", "descending"), ("word", "ascending")])
     return table["word"].to_pylist(), np.asarray(table["c"], dtype=np.int64)
 
 
 class _Words(dict):
     """A common word's rank, or -1 - symbol for another word."""
 
-    def __init__(self, top: list[bytes]):
+    def __init__(self, top: list[bytes], own: int, shared: int):
         super().__init__(zip(top, range(len(top)), strict=True))
-        self.fixed = len(self)
+        self.fixed, self.own, self.shared = len(self), own, shared
 
     def __missing__(self, word: bytes) -> int:
-        value = self[word] = -1 - OWN - (zlib.crc32(word) & (SHARED - 1))
+        value = self[word] = -1 - self.own - (zlib.crc32(word) & (self.shared - 1))
         return value
 
     def shrink(self) -> None:
@@ -89,20 +88,20 @@ class _Words(dict):
                 del self[word]
 
 
-def symbols_of(top: list[bytes]) -> np.ndarray:
+def symbols_of(top: list[bytes], own: int, shared: int) -> np.ndarray:
     """The symbol of each common word."""
-    return np.array([i if i < OWN else OWN + (zlib.crc32(w) & (SHARED - 1)) for i, w in enumerate(top)], dtype=np.uint16)
+    return np.array([i if i < own else own + (zlib.crc32(w) & (shared - 1)) for i, w in enumerate(top)], dtype=np.uint16)
 
 
-def symbolized(docs: DataFrame, top: list[bytes], counts: np.ndarray) -> DataFrame:
+def symbolized(docs: DataFrame, top: list[bytes], counts: np.ndarray, own: int = OWN, shared: int = SHARED) -> DataFrame:
     """uid, doc_id, held_out, n_tokens, n_known, log_all, log_shared (sums of log10(c+1) of common words), symbols, rare."""
 
     @tidy_batches
     def run(batches):
-        words = _Words(top)
-        symbol = np.append(symbols_of(top), 0).astype(np.uint16)
+        words = _Words(top, own, shared)
+        symbol = np.append(symbols_of(top, own, shared), 0).astype(np.uint16)
         log_c = np.append(np.log10(counts + 1.0), 0.0)
-        log_s = np.where(symbol >= OWN, log_c, 0.0)
+        log_s = np.where(symbol >= own, log_c, 0.0)
         for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             n, known, log_all, log_shared, symbols, rare = [], [], [], [], [], []
             for text in utf8(batch.column(3)):
@@ -219,62 +218,74 @@ def _in_batches(batches, column: int):
         yield held, docs
 
 
-def baum_welch(table: DataFrame, model: HiddenMarkov, unigram: np.ndarray, prior: float = 50.0) -> HiddenMarkov:
-    """One pass over all training documents."""
-    k = len(model.first)
+def baum_welch(table: DataFrame, model: HiddenMarkov, unigram: np.ndarray, prior: float = 50.0) -> tuple[HiddenMarkov, float]:
+    """One pass over all training documents: the next model, and the natural log-likelihood under ``model``."""
+    k, n_symbols = len(model.first), len(unigram)
     names = [f"s{i}" for i in range(k)]
 
     @tidy_batches
     def run(batches):
-        first, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((SYMBOLS, k))
+        first, moves, emits, whole = np.zeros(k), np.zeros((k, k)), np.zeros((n_symbols, k)), np.zeros(k)
         for _, docs in _in_batches(batches, 0):
-            a, b, c, _ = model.expected(_Packed(docs))
+            a, b, c, log = model.expected(_Packed(docs))
+            whole[0] += log
             first += a
             moves += b
             emits += c
         used = np.flatnonzero(emits.any(axis=1))
-        rows = np.concatenate((first[None], moves, emits[used]))
-        ids = np.concatenate((np.arange(-k - 1, 0), used))
+        rows = np.concatenate((whole[None], first[None], moves, emits[used]))
+        ids = np.concatenate((np.arange(-k - 2, 0), used))
         if len(used):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), *(pa.array(rows[:, i]) for i in range(k))], names=["symbol", *names])
 
     counted = table.where("NOT held_out").select("symbols").mapInArrow(run, "symbol int, " + ", ".join(f"{n} double" for n in names))
-    first, moves, emits = np.ones(k), np.ones((k, k)), prior * np.tile(unigram[:, None], (1, k))
+    first, moves, emits, log = np.ones(k), np.ones((k, k)), prior * np.tile(unigram[:, None], (1, k)), 0.0
     for row in counted.groupBy("symbol").agg(*[F.sum(n).alias(n) for n in names]).collect():
         values = np.array(row[1:])
         if row[0] >= 0:
             emits[row[0]] += values
+        elif row[0] == -k - 2:
+            log = float(values[0])
         elif row[0] == -k - 1:
             first += values
         else:
             moves[row[0] + k] += values
-    return HiddenMarkov(first / first.sum(), moves / moves.sum(axis=1, keepdims=True), emits / emits.sum(axis=0))
+    return HiddenMarkov(first / first.sum(), moves / moves.sum(axis=1, keepdims=True), emits / emits.sum(axis=0)), log
+
+
+def train(table: DataFrame, unigram: np.ndarray, n: int, passes: int = 3, least_gain: float = 0.01) -> tuple[HiddenMarkov, list[float]]:
+    """The model, and the log-likelihood that each pass found of the ``n`` training tokens."""
+    model, logs = HiddenMarkov.start(unigram), []
+    while len(logs) < passes:
+        after, log = baum_welch(table, model, unigram)
+        logs.append(log)
+        model = after
+        if len(logs) > 1 and logs[-1] - logs[-2] < least_gain * n:
+            break
+    return model, logs
 
 
-def score_documents(docs: DataFrame, passes: int = 2) -> DataFrame:
-    """docs: doc_id, text, held_out.  doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
+def score_documents(docs: DataFrame, passes: int = 3, own: int = OWN, shared: int = SHARED, most: int = TOP) -> DataFrame:
+    """docs: doc_id, text, held_out.  doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), passes."""
     spark = docs.sparkSession
     counts = written(word_counts(docs.where("NOT held_out")), "hmm-counts")
     whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = int(whole["n"]), int(whole["v"])
-    top, c = common_words(counts)
-    shared = counts.groupBy(F.crc32("word").bitwiseAND(F.lit(SHARED - 1)).alias("b")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
-    mass = np.ones(SHARED)
-    seen = np.zeros(SHARED)
-    for r in shared:
+    top, c = common_words(counts, most)
+    mass = np.ones(shared)
+    seen = np.zeros(shared)
+    for r in counts.groupBy(F.crc32("word").bitwiseAND(F.lit(shared - 1)).alias("b")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
         mass[r["b"]] += r["c"] + r["v"]
         seen[r["b"]] += r["c"]
-    own = np.array([zlib.crc32(w) & (SHARED - 1) for w in top[:OWN]], dtype=np.int64)
-    np.subtract.at(mass, own, c[:OWN] + 1)
-    np.subtract.at(seen, own, c[:OWN])
-    unigram = 1 + np.concatenate((np.pad(c[:OWN], (0, OWN - len(c[:OWN]))), seen))
+    home = np.array([zlib.crc32(w) & (shared - 1) for w in top[:own]], dtype=np.int64)
+    np.subtract.at(mass, home, c[:own] + 1)
+    np.subtract.at(seen, home, c[:own])
+    unigram = 1 + np.concatenate((np.pad(c[:own], (0, own - len(c[:own]))), seen))
     unigram /= unigram.sum()
-    log_share = np.concatenate((np.zeros(OWN), np.log10(mass)))
+    log_share = np.concatenate((np.zeros(own), np.log10(mass)))
 
-    table = written(symbolized(docs, top, c), "hmm-symbols")
-    model = HiddenMarkov.start(unigram)
-    for _ in range(passes):
-        model = baum_welch(table, model, unigram)
+    table = written(symbolized(docs, top, c, own, shared), "hmm-symbols")
+    model, logs = train(table, unigram, n, passes)
 
     @tidy_batches
     def run(batches):
@@ -293,7 +304,7 @@ def score_documents(docs: DataFrame, passes: int = 2) -> DataFrame:
     return slim.join(scored, "uid").join(rare, "uid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("tf", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("log_all") + log_rare - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"),
-        (F.col("log_symbols") + F.col("log_shared") + log_rare).alias("score"),
+        (F.col("log_symbols") + F.col("log_shared") + log_rare).alias("score"), F.lit(len(logs)).cast("long").alias("passes"),
     )
 
 
