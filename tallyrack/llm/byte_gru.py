@@ -1,14 +1,15 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads a text in windows of ``WINDOW`` bytes, forwards and
-backwards, with the state reset at each window; so every byte of a whole text
-is labelled, and windows of many documents run side by side as columns of one
-matrix.  The document's probability of a language is the mean over its bytes.
+The network reads a text forwards and backwards in spans of ``SPAN`` bytes that
+overlap by ``HALO`` bytes on either side, which warm the states up; so every
+byte of a whole text is labelled with its context on both sides, and spans of
+many documents run side by side as columns of one matrix.  The document's
+probability of a language is the mean over its bytes.
 
 It is trained in numpy by backpropagation through time on a bounded sample: at
-most about ``per_lang`` labelled documents of each of the ``max_langs``
-commonest languages, and ``sample_chars`` characters of each from a place that
-its hash names.  Prediction sees the text alone.
+most about ``per_lang`` labelled documents of each language, and ``sample_chars``
+characters of each from a place that its hash names, in windows of ``WINDOW``
+bytes.  Prediction sees the text alone.
 
 Null texts and texts without a letter are ``und`` with score 0, as is all when
 there is nothing to learn from.  Repeated rows and null ids stay rows; other
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import crc_bucket, tidy_batches
 
 WINDOW = 64
+SPAN, HALO = 256, 32
 f32 = np.float32
 
 
@@ -95,26 +97,11 @@ class ByteGru:
         """windows: (n, WINDOW) bytes; labels: the index of each window's language."""
         rng = np.random.default_rng(seed)
         by_lang = [np.flatnonzero(labels == k) for k in range(len(self.langs))]
-        params = [self.ahead.table, self.ahead.inner, self.behind.table, self.behind.inner, self.out, self.bias]
+        params = self.params()
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        order, k = list(range(WINDOW)), self.ahead.hidden
         for step in range(1, steps + 1):
             pick = np.concatenate([rng.choice(own, -(-batch // len(by_lang))) for own in by_lang if len(own)])
-            xs, y = np.ascontiguousarray(windows[pick].T), labels[pick]
-            a, b = self.ahead.run(xs, order), self.behind.run(xs, order[::-1])
-            truth = np.zeros((len(self.langs), len(pick)), dtype=f32)
-            truth[y, np.arange(len(y))] = 1
-            errors, d_out = [], np.zeros_like(self.out)
-            for t in order:
-                state = np.concatenate((a[t][4], b[t][4]))
-                p = self._softmax(self.out @ state + self.bias)
-                errors.append((p - truth) / f32(WINDOW * len(y)))
-                d_out += errors[t] @ state.T
-            grads = [
-                *self.ahead.gradients(xs, order, a, lambda t: self.out[:, :k].T @ errors[t]),
-                *self.behind.gradients(xs, order[::-1], b, lambda t: self.out[:, k:].T @ errors[t]),
-                d_out, sum(errors).sum(axis=1, keepdims=True),
-            ]
+            grads = self.loss_gradients(np.ascontiguousarray(windows[pick].T), labels[pick])
             pace = f32(rate * min(1.0, 2 * (1 - step / (steps + 1))))
             for p, g, m, v in zip(params, grads, first, second, strict=True):
                 np.clip(g, -1, 1, out=g)
@@ -122,6 +109,27 @@ class ByteGru:
                 v += f32(0.01) * (g * g - v)
                 p -= pace * (m / f32(1 - 0.9**step)) / (np.sqrt(v / f32(1 - 0.99**step)) + f32(1e-8))
 
+    def params(self) -> list[np.ndarray]:
+        return [self.ahead.table, self.ahead.inner, self.behind.table, self.behind.inner, self.out, self.bias]
+
+    def loss_gradients(self, xs: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        """Gradients of the mean cross-entropy over all positions of (WINDOW, n) bytes, by backpropagation through time."""
+        order, k = list(range(len(xs))), self.ahead.hidden
+        a, b = self.ahead.run(xs, order), self.behind.run(xs, order[::-1])
+        truth = np.zeros((len(self.langs), len(y)), dtype=f32)
+        truth[y, np.arange(len(y))] = 1
+        errors, d_out = [], np.zeros_like(self.out)
+        for t in order:
+            state = np.concatenate((a[t][4], b[t][4]))
+            p = self._softmax(self.out @ state + self.bias)
+            errors.append((p - truth) / f32(len(xs) * len(y)))
+            d_out += errors[t] @ state.T
+        return [
+            *self.ahead.gradients(xs, order, a, lambda t: self.out[:, :k].T @ errors[t]),
+            *self.behind.gradients(xs, order[::-1], b, lambda t: self.out[:, k:].T @ errors[t]),
+            d_out, sum(errors).sum(axis=1, keepdims=True),
+        ]
+
     @staticmethod
     def _softmax(x: np.ndarray) -> np.ndarray:
         x -= x.max(axis=0)
@@ -129,64 +137,73 @@ class ByteGru:
         x /= x.sum(axis=0)
         return x
 
-    def windows(self, xs: np.ndarray, sizes: np.ndarray, each=None) -> np.ndarray:
-        """Summed probabilities (language, window) of (WINDOW, n) bytes, of which ``sizes`` count."""
-        k, whole = self.ahead.hidden, bool((sizes == WINDOW).all())
+    def spans(self, xs: np.ndarray, low: np.ndarray, high: np.ndarray, each=None) -> np.ndarray:
+        """Summed probabilities (language, span) of (HALO + SPAN + HALO, n) bytes, of which [low, high) are text; halos don't count."""
+        k, steps = self.ahead.hidden, len(xs)
+        ragged = bool((low > 0).any() or (high < steps).any())
         h = np.zeros((k, xs.shape[1]), dtype=f32)
-        part = np.empty((WINDOW, len(self.langs), xs.shape[1]), dtype=f32)
-        for t in range(WINDOW):
+        part = np.empty((SPAN, len(self.langs), xs.shape[1]), dtype=f32)
+        for t in range(HALO + SPAN):
             h = self.ahead.step(self.ahead.table, h, xs[t])[0]
-            np.matmul(self.out[:, :k], h, out=part[t])
+            if ragged and t < HALO:
+                h *= t >= low
+            if t >= HALO:
+                np.matmul(self.out[:, :k], h, out=part[t - HALO])
         h = np.zeros_like(h)
         total = np.zeros((len(self.langs), xs.shape[1]), dtype=f32)
-        for t in range(WINDOW - 1, -1, -1):
+        for t in range(steps - 1, HALO - 1, -1):
             h = self.behind.step(self.behind.table, h, xs[t])[0]
-            if not whole:
-                h *= t < sizes
+            if ragged:
+                h *= t < high
+            if t >= HALO + SPAN:
+                continue
             p = self.out[:, k:] @ h
-            p += part[t]
+            p += part[t - HALO]
             p += self.bias
             p = self._softmax(p)
-            if not whole:
-                p *= t < sizes
+            if ragged:
+                p *= t < high
             if each is not None:
-                each[t] = p
+                each[t - HALO] = p
             total += p
         return total
 
+    @staticmethod
+    def _laid_out(text: bytes):
+        """The spans of a text with their halos, and where their text starts and ends."""
+        n = -(-len(text) // SPAN)
+        padded = np.zeros(n * SPAN + 2 * HALO, dtype=np.uint8)
+        padded[HALO : HALO + len(text)] = np.frombuffer(text, dtype=np.uint8)
+        rows = np.lib.stride_tricks.sliding_window_view(padded, SPAN + 2 * HALO)[::SPAN]
+        start = SPAN * np.arange(n) - HALO
+        return rows, np.maximum(0, -start), np.minimum(SPAN + 2 * HALO, len(text) - start)
+
     def label_bytes(self, text: bytes) -> list[str]:
         """The language of every byte."""
-        n = -(-len(text) // WINDOW)
-        raw = np.frombuffer(text.ljust(n * WINDOW, b"\0"), dtype=np.uint8).reshape(n, WINDOW)
-        sizes = np.minimum(WINDOW, len(text) - WINDOW * np.arange(n))
-        each = np.empty((WINDOW, len(self.langs), n), dtype=f32)
-        self.windows(np.ascontiguousarray(raw.T), sizes, each)
+        rows, low, high = self._laid_out(text)
+        each = np.empty((SPAN, len(self.langs), len(rows)), dtype=f32)
+        self.spans(np.ascontiguousarray(rows.T), low, high, each)
         best = each.argmax(axis=1).T.ravel()[: len(text)]
         return [self.langs[i] for i in best]
 
     def documents(self, texts: list[bytes], columns: int = 4096) -> np.ndarray:
         """Mean probabilities (document, language) over all bytes of each text."""
         sums = np.zeros((len(texts), len(self.langs)))
+        columns = max(64, min(columns, (1 << 22) // (SPAN * len(self.langs))))
         i = 0
         while i < len(texts):
             j, n = i, 0
-            while j < len(texts) and (j == i or n + -(-len(texts[j]) // WINDOW) <= 16 * columns):
-                n += -(-len(texts[j]) // WINDOW)
+            while j < len(texts) and (j == i or n + -(-len(texts[j]) // SPAN) <= 4 * columns):
+                n += -(-len(texts[j]) // SPAN)
                 j += 1
-            raw = np.zeros((n, WINDOW), dtype=np.uint8)
-            flat, owner, sizes, at = raw.reshape(-1), np.empty(n, dtype=np.int64), np.full(n, WINDOW), 0
-            for d in range(i, j):
-                text = texts[d]
-                if text:
-                    m = -(-len(text) // WINDOW)
-                    flat[at * WINDOW : at * WINDOW + len(text)] = np.frombuffer(text, dtype=np.uint8)
-                    owner[at : at + m] = d
-                    sizes[at + m - 1] = len(text) - (m - 1) * WINDOW
-                    at += m
-            order = np.argsort(sizes < WINDOW, kind="stable")
-            for s in range(0, n, columns):
-                pick = order[s : s + columns]
-                np.add.at(sums, owner[pick], self.windows(np.ascontiguousarray(raw[pick].T), sizes[pick]).T)
+            laid = [(d, *self._laid_out(texts[d])) for d in range(i, j) if texts[d]]
+            if laid:
+                owner = np.repeat([d for d, *_ in laid], [len(r) for _, r, _, _ in laid])
+                rows, low, high = (np.concatenate([x[c] for x in laid]) for c in (1, 2, 3))
+                order = np.argsort((low > 0) | (high < SPAN + 2 * HALO), kind="stable")
+                for s in range(0, len(rows), columns):
+                    pick = order[s : s + columns]
+                    np.add.at(sums, owner[pick], self.spans(np.ascontiguousarray(rows[pick].T), low[pick], high[pick]).T)
             i = j
         return sums / np.maximum(1, np.array([len(t) for t in texts]))[:, None]
 
