@@ -102,6 +102,12 @@ def read_formatted(formatted: Column, template: Template | None = None) -> Colum
     ))
 
 
+def trained_text(turns: Column, template: Template | None = None) -> Column:
+    """The text under the loss mask, from the turns that ``read_formatted`` found."""
+    template = template or Template()
+    return F.array_join(F.transform(F.filter(turns, lambda t: t["role"].isin(*template.trained)), lambda t: t["text"]), "")
+
+
 PROBE = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -112,10 +118,8 @@ def op2_chat_format(spark, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"),
     )
     done = format_chats(turns.unionByName(probe)).select(
-        "conv_id", "valid", "error_turn", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"),
-        F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "").alias("loss_text"),
-    )
-    read = done.withColumn("turns", read_formatted(F.col("formatted")))
+        "conv_id", "valid", "error_turn", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"))
+    read = done.withColumn("turns", read_formatted(F.col("formatted"))).withColumn("loss_text", trained_text(F.col("turns")))
     return read.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
