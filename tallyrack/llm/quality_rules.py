@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, written
+from .common import quoted, SPACE, written
 
 RUN = 5
 #: Statistics that a rule may test; ratios of the counts below.
@@ -56,17 +56,16 @@ def _repeat_words(hashes: Column) -> Column:
     return _let(F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), among)
 
 
-def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_upper, n_marks, n_digits, n_distinct."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, text_hash, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_upper, n_marks, n_digits, n_distinct of each row."""
     without = lambda pattern: (F.length("_t") - F.length(F.regexp_replace("_t", pattern, ""))).cast("long")
     words = F.col("_w")
-    kept = docs.columns
-    one = docs.withColumn("_t", text)
+    raw = F.col(quoted(text_col)).cast("string")
+    one = docs.select(F.col(quoted(id_col)).alias("id"), F.xxhash64(raw).alias("text_hash"), F.coalesce(raw, F.lit("")).alias("_t"))
     two = one.withColumn("_w", F.array_remove(F.split("_t", SPACE), "")).withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     three = two.withColumn("_h", F.when(F.size("_w") >= RUN, F.slice(F.transform(words, lambda w, i: F.xxhash64(F.slice(words, i + 1, RUN))), 1, F.size("_w") - RUN + 1)).otherwise(F.array().cast("array<bigint>")))
     return three.select(
-        *[F.col(f"`{c}`") for c in kept],
+        "id", "text_hash",
         F.size("_w").cast("long").alias("n_words"), F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         without("[#*$%&|<>]").alias("n_symbols"), F.size("_l").cast("long").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
@@ -111,11 +110,11 @@ def _gain(p: float, n: float, p0: float, n0: float) -> float:
     return p * (math.log2((p + 1) / (p + n + 2)) - math.log2((p0 + 1) / (p0 + n0 + 2))) if p else 0.0
 
 
-def learn(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", bins: int = 32, max_rules: int = 8, max_conditions: int = 3, precision: float = 0.9, least_share: float = 0.002) -> DecisionList:
+def learn(stats: DataFrame, labels: DataFrame, label_id: str = "doc_id", label_col: str = "quality", bins: int = 32, max_rules: int = 8, max_conditions: int = 3, precision: float = 0.9, least_share: float = 0.002) -> DecisionList:
     """Learn rules that find label 0 from the statistics of labelled rows."""
-    worst = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_y"))
+    worst = labels.where(F.col(label_col).isNotNull() & F.col(label_id).isNotNull()).groupBy(F.col(label_id).alias("_id")).agg(F.min(label_col).alias("_y"))
     values = [F.coalesce(F.expr(e), F.lit(0.0)).alias(f) for f, e in FEATURES.items()]
-    known = stats.withColumn("_id", F.col(id_col)).where(f"NOT ({BASE_FAILED})").select("_id", *values).join(worst, "_id")
+    known = stats.withColumn("_id", F.col("id")).where(f"NOT ({BASE_FAILED})").select("_id", *values).join(worst, "_id")
     names = list(FEATURES)
     points = [i / bins for i in range(1, bins)]
     row = known.agg(*[F.percentile_approx(f, points, 2000).alias(f) for f in names]).first()
@@ -185,19 +184,19 @@ def verdict(rules: DecisionList) -> Column:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` that pass the base rules and the list learned from ``labels``, all columns kept.
+    """``docs`` that pass the base rules and the list learned from ``labels``, all columns kept, whatever their names.
 
     The statistics are written once, for learning and for the verdict; texts
     then move at most once.
     """
-    text_hash = F.xxhash64(F.col("text").cast("string"))
-    stats = written(statistics(docs.select("doc_id", text_hash.alias("text_hash"), "text")).drop("text"), "quality-statistics")
+    stats = written(statistics(docs), "quality-statistics")
     rules = learn(stats, labels)
-    bad = stats.where(~verdict(rules)).select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (text_hash == F.col("_bad_hash")), "left_anti")
+    bad = stats.where(~verdict(rules)).select("id", "text_hash").distinct()
+    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64(F.col("text").cast("string")).alias("own_hash"))
+    return rows.join(bad, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("text_hash")), "left_anti").select("row.*")
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
-    stats = written(statistics(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("text"), "quality-statistics")
+    stats = written(statistics(spark.read.parquet(f"{sf_dir}/documents.parquet")), "quality-statistics")
     rules = learn(stats, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.expr(BASE_FAILED).alias("base_failed"), verdict(rules).alias("kept"))
+    return stats.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.expr(BASE_FAILED).alias("base_failed"), verdict(rules).alias("kept"))

@@ -128,7 +128,9 @@ def test_chat_format(spark):
     turns = [(1, i, ("user", "assistant")[i % 2], t, 0) for i, t in enumerate(odd)] + [(2, 0, "assistant", "x", 0), (3, 0, "us%0A\n<er", None, 0), (None, None, None, None, 0), (4, 0, "user", "q", 0), (4, 1, "assistant", "r", 0)]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, valid int")
     done = chat_format.format_chats(df)
-    from pyspark.sql import functions as F
+    masked = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: chat_format.unescape(s["text"])), "")
+    read = chat_format.read_formatted(F.array_join(F.transform("segments", lambda s: s["text"]), ""))
+    assert all(r["a"] == r["b"] for r in done.select(masked.alias("a"), chat_format.trained_text(read).alias("b")).collect())
     text = F.array_join(F.transform("segments", lambda s: s["text"]), "")
     got = {r["conv_id"]: r for r in done.select("conv_id", "valid", "error_turn", chat_format.read_formatted(text).alias("turns")).collect()}
     assert [t["text"] for t in got[1]["turns"]] == odd and not got[1]["valid"]
@@ -138,7 +140,6 @@ def test_chat_format(spark):
 
 
 def test_hidden_markov(spark, rows, none):
-    from pyspark.sql import functions as F
     got = hidden_markov.score_documents(rows.select("doc_id", "text", F.lit(False).alias("held_out"))).collect()
     assert len(got) == len(ROWS) and all(np.isfinite(r["score"]) and r["n_known"] == r["n_tokens"] for r in got)
     assert hidden_markov.score_documents(none.select("doc_id", "text", F.lit(False).alias("held_out"))).count() == 0
@@ -146,6 +147,53 @@ def test_hidden_markov(spark, rows, none):
     assert all(np.isfinite(r["score"]) and r["n_known"] == 0 for r in unseen)
 
 
+def test_hidden_markov_scores_equal_plain(spark):
+    """Scores, token by token in plain recursions, with few symbols, many shared classes' words and words met by the join."""
+    import zlib
+
+    rng, own, shared, most = random.Random(5), 4, 4, 7
+    docs = [(i, " ".join(rng.choice(["the", "a", "of", "x1", "y2", "Z3", "q4", "r5", f"w{rng.randint(0, 9)}"]) for _ in range(rng.randint(0, 9))), i % 4 == 0) for i in range(40)]
+    docs.append((40, "never seen words the", True))
+    df = spark.createDataFrame(docs, "doc_id long, text string, held_out boolean")
+    got = {r["doc_id"]: r for r in hidden_markov.score_documents(df, passes=2, own=own, shared=shared, most=most).collect()}
+    tokens = {i: [*(w.encode() for w in t.lower().split()), b""] for i, t, _ in docs}
+    count: dict = {}
+    for i, _, held in docs:
+        for w in tokens[i] if not held else ():
+            count[w] = count.get(w, 0) + 1
+    kept = hidden_markov.common_words(spark.createDataFrame([(bytearray(w), c) for w, c in count.items()], "word binary, c long"), most)[0]
+    assert len(kept) <= most
+    ranked = sorted(kept, key=lambda w: (-count[w], w))[:own]
+    symbol = lambda w: ranked.index(w) if w in ranked else own + (zlib.crc32(w) & (shared - 1))
+    unigram, mass = np.ones(own + shared), np.ones(own + shared)
+    for w, c in count.items():
+        unigram[symbol(w)] += c
+        mass[symbol(w)] += (c + 1) * (w not in ranked)
+    unigram /= unigram.sum()
+    model = hidden_markov.HiddenMarkov.start(unigram)
+    seen = [np.array([symbol(w) for w in tokens[i]], dtype=np.uint16) for i, _, held in docs if not held]
+    for _ in range(2):
+        first, moves, emits, _ = model.expected(hidden_markov._Packed(seen))
+        first, moves, emits = first + 1, moves + 1, emits + 50 * unigram[:, None]
+        model = hidden_markov.HiddenMarkov(first / first.sum(), moves / moves.sum(axis=1, keepdims=True), emits / emits.sum(axis=0))
+    for i, _, _ in docs:
+        a, log = model.first.astype(float), 0.0
+        for t, w in enumerate(tokens[i]):
+            a = (a @ model.moves if t else a) * model.emits[symbol(w)]
+            log += np.log10(a.sum() * (1 if w in ranked else (count.get(w, 0) + 1) / mass[symbol(w)]))
+            a = a / a.sum()
+        assert abs(got[i]["score"] - log) < 1e-3 * max(1, abs(log)) and got[i]["passes"] == 2
+
+
+def test_baum_welch_stops_by_likelihood(spark):
+    rng = random.Random(7)
+    texts = [" ".join(f"{'ab'[k % 2]}{rng.randint(0, 20)}" for k in range(30)) for _ in range(60)]
+    table = spark.createDataFrame([(np.array([int(w[1:]) + 21 * (w[0] == "b") for w in t.split()], np.uint16).tobytes(), False) for t in texts], "symbols binary, held_out boolean")
+    unigram = np.full(42, 1 / 42)
+    _, logs = hidden_markov.train(table, unigram, 1800, passes=12, least_gain=0.0005)
+    assert all(b >= a - 1 for a, b in zip(logs, logs[1:], strict=False)) and logs[-1] > logs[0] and len(hidden_markov.train(table, unigram, 1800, passes=12, least_gain=9.0)[1]) == 2
+
+
 def test_forward_backward_equal_enumeration():
     rng = np.random.default_rng(0)
     m = hidden_markov.HiddenMarkov(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(5), 3).T)
@@ -172,7 +220,9 @@ def test_forward_backward_equal_enumeration():
 
 def test_quality_rules(spark, rows, none):
     labels = spark.createDataFrame([(1, 0), (3, None), (5, 1), (5, 0), (None, 0)], "doc_id long, quality int")
+    rows = rows.selectExpr("*", "1 AS _bad_id", "2 AS _bad_hash", "3 AS n_lines", "4 AS _t", "5 AS _w", "6 AS _l", "7 AS _h", "8 AS id", "9 AS text_hash", "10 AS f_words", "11 AS row")
     kept = quality_rules.keep_good(rows, labels)
+    assert all(tuple(r[-11:]) == tuple(range(1, 12)) for r in kept.collect())
     assert kept.columns == rows.columns and {r["doc_id"] for r in kept.collect()} <= {5, 6, 7, 8, None}
     assert quality_rules.keep_good(none, labels).count() == 0 and quality_rules.keep_good(rows, labels.limit(0)).count() >= 3
 
@@ -183,9 +233,9 @@ def test_learned_list_separates(spark):
         words = [rng.choice("alpha beta gamma delta epsilon".split()) + str(rng.randint(0, 999)) for _ in range(40)]
         data.append((i, " ".join(w + "##" if i % 4 == 0 else w for w in words), int(i % 4 != 0)))
     df = spark.createDataFrame(data, "doc_id long, text string, quality int")
-    rules = quality_rules.learn(quality_rules.statistics(df.select("doc_id", "text")).drop("text"), df.select("doc_id", "quality"))
+    rules = quality_rules.learn(quality_rules.statistics(df), df.select("doc_id", "quality"))
     assert rules.rules and rules.sql.startswith("CASE WHEN")
-    got = quality_rules.statistics(df).where(quality_rules.verdict(rules)).select("quality").collect()
+    got = quality_rules.statistics(df).where(quality_rules.verdict(rules)).join(df, F.col("id") == F.col("doc_id")).select("quality").collect()
     assert len(got) == 300 and all(r["quality"] == 1 for r in got)
 
 
@@ -195,10 +245,66 @@ def test_byte_gru(spark, rows, none):
     assert len(got) == len(ROWS) and all((r["lang_pred"] == "und") == (r["score"] == 0) for r in got)
     assert sum(r["lang_pred"] == "und" for r in got) == 5
     assert byte_gru.fit(none) is None and {r["lang_pred"] for r in byte_gru.predict(rows, None).collect()} == {"und"}
-    text = ("x" * 150).encode()
-    assert len(model.label_bytes(text)) == 150
-    each = np.empty((byte_gru.WINDOW, 2, 1), dtype=np.float32)
-    assert model.documents([text, b""]).shape == (2, 2) and each.size
+    assert model.documents([b"x" * 150, b""]).shape == (2, 2)
+
+
+def _plain_gru(layer, data: bytes, order) -> dict:
+    """States of a gated recurrent layer, one position at a time."""
+    k, h, states = layer.hidden, np.zeros(layer.hidden), {}
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for t in order:
+        x = layer.table[data[t]].astype(float)
+        r, z = sigmoid(x[:k] + layer.inner[:k] @ h), sigmoid(x[k : 2 * k] + layer.inner[k : 2 * k] @ h)
+        c = np.tanh(x[2 * k :] + layer.inner[2 * k :] @ (h * r))
+        h = z * h + (1 - z) * c
+        states[t] = h
+    return states
+
+
+def test_byte_gru_pooling_equals_plain():
+    model, rng = byte_gru.ByteGru(["a", "b", "c"], hidden=3, seed=5), random.Random(2)
+    texts = [bytes(rng.randrange(256) for _ in range(n)) for n in (0, 1, 31, 256, 257, 300, 1000)]
+    got = model.documents(texts, columns=2)
+    for text, row in zip(texts, got, strict=True):
+        sums, labels = np.zeros(3), []
+        for s in range(0, len(text), byte_gru.SPAN):
+            low, high = max(0, s - byte_gru.HALO), min(len(text), s + byte_gru.SPAN + byte_gru.HALO)
+            a, b = _plain_gru(model.ahead, text, range(low, high)), _plain_gru(model.behind, text, range(high - 1, low - 1, -1))
+            for t in range(s, min(len(text), s + byte_gru.SPAN)):
+                p = np.exp(model.out @ np.concatenate((a[t], b[t])) + model.bias[:, 0])
+                sums += p / p.sum()
+                labels.append("abc"[int(p.argmax())])
+        assert np.allclose(row, sums / max(1, len(text)), atol=1e-4)
+        if text:
+            assert np.mean([x == y for x, y in zip(model.label_bytes(text), labels, strict=True)]) > 0.99
+
+
+def test_byte_gru_training_gradient():
+    """The gradients of every parameter, through both directions, the output and its bias."""
+    model, rng = byte_gru.ByteGru(["a", "b"], hidden=3, seed=6), np.random.default_rng(3)
+    xs, y = rng.integers(0, 256, (byte_gru.WINDOW, 5)).astype(np.uint8), np.array([0, 1, 1, 0, 1])
+
+    def loss() -> float:
+        total = 0.0
+        for j in range(5):
+            data = xs[:, j].tobytes()
+            a, b = _plain_gru(model.ahead, data, range(len(data))), _plain_gru(model.behind, data, range(len(data) - 1, -1, -1))
+            for t in range(len(data)):
+                s = model.out @ np.concatenate((a[t], b[t])) + model.bias[:, 0]
+                total += np.log(np.exp(s).sum()) - s[y[j]]
+        return total / (len(xs) * 5)
+
+    grads = model.loss_gradients(xs, y)
+    places = [(3, 2), (7, 1), (int(xs[4, 0]), 5), (int(xs[60, 3]), 1)]
+    for p, g in zip(model.params(), grads, strict=True):
+        at = places[0] if p.shape[0] > 3 and p.shape[0] < 256 else places[2] if p.shape[0] == 256 else (1, min(2, p.shape[1] - 1))
+        old = p[at]
+        p[at] = old + 1e-2
+        up = loss()
+        p[at] = old - 1e-2
+        down = loss()
+        p[at] = old
+        assert abs((up - down) / 2e-2 - g[at]) < 0.02 * max(0.05, abs(g[at]))
 
 
 def test_byte_gru_learns_every_language_and_short_texts(spark):

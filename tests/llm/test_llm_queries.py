@@ -52,6 +52,29 @@ def test_op4_statistics(spark, docs):
         assert row.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0]) and not (row.base_failed and row.kept)
 
 
+def test_op4_kept_equals_plain(spark, docs):
+    """The verdict, by walking the learned list in plain code over plain statistics."""
+    import regex
+
+    from tallyrack.llm import quality_rules as Q
+
+    rules = Q.learn(Q.statistics(spark.read.parquet(f"{SF}/documents.parquet")), spark.read.parquet(f"{SF}/labels.parquet")).rules
+    got = QUERIES["op4_quality_rules"](spark, SF).toPandas().set_index("doc_id")
+    assert rules
+    for i, t in zip(docs.doc_id, docs.text, strict=True):
+        w, row = WORDS.findall(t), got.loc[i]
+        n, chars = max(1, len(w)), max(1, sum(map(len, w)))
+        lines = [x for x in t.split("\n") if WORDS.search(x)]
+        value = {
+            "f_words": len(w), "f_word_length": sum(map(len, w)) / n, "f_symbols": row.n_symbols / chars, "f_upper": len(regex.findall(r"\p{Lu}", t)) / chars,
+            "f_marks": len(regex.findall(r"[^\p{L}\p{N}\s]", t)) / chars, "f_digits": len(regex.findall(r"\p{N}", t)) / chars, "f_dup_lines": row.n_dup_lines / max(1, len(lines)),
+            "f_repeats": row.n_repeat_words / n, "f_distinct": len(set(w)) / n,
+        }
+        assert not set(value) ^ set(Q.FEATURES)
+        rejected = any(all((value[c.feature] > c.at) == c.above for c in rule) for rule in rules)
+        assert row.kept == (not row.base_failed and not rejected)
+
+
 def test_op5_held_out_accuracy(spark, docs):
     got = QUERIES["op5_byte_gru"](spark, SF).toPandas().merge(docs, on="doc_id")
     assert len(got) == len(docs) and got.score.between(0, 1).all()
