@@ -13,14 +13,30 @@ from pyspark.sql import functions as F
 
 
 def certificate_status(rows: DataFrame, now: int) -> DataFrame:
-    """Ordered checks: missing, invalid, stale, mismatch, rejected, accepted."""
-    c = F.col("certificate_id")
-    status = (F.when(~F.col("requires_certificate"), "not_required").when(c.isNull(), "missing").when(~F.col("digest").rlike(r"\A[0-9a-f]{64}\z"), "invalid")
-              .when((F.col("valid_from") > now) | (F.col("valid_to") < now), "stale").when(F.col("subject") != F.col("action_id"), "mismatch")
-              .when(~F.col("verified"), "rejected").otherwise("accepted"))
+    """Ordered checks: missing, invalid, stale, mismatch, rejected, accepted.
+
+    The gate is shut unless proved open: a check whose input is null fails, and
+    a null requirement counts as one.
+    """
+    fails = lambda c: F.coalesce(c, F.lit(True))
+    malformed = fails(~F.col("digest").rlike(r"\A[0-9a-f]{64}\z")) | fails(F.col("valid_from") > F.col("valid_to"))
+    status = (F.when(~fails(F.col("requires_certificate")), "not_required").when(F.col("certificate_id").isNull(), "missing").when(malformed, "invalid")
+              .when((F.col("valid_from") > now) | (F.col("valid_to") < now), "stale").when(fails(F.col("subject") != F.col("action_id")), "mismatch")
+              .when(fails(~F.col("verified")), "rejected").otherwise("accepted"))
     return rows.withColumn("certificate_status", status)
 
 
+def resource_cost(rows: DataFrame, cpu_budget_ms: int = 600_000, memory_budget: int = 4 << 30) -> DataFrame:
+    """rows: cpu_ms, peak_bytes.  Adds cost_num / cost_den: the larger share of its budget, compared by cross-multiplying and reduced."""
+    cpu, memory = F.col("cpu_ms").cast("decimal(38,0)") * memory_budget, F.col("peak_bytes").cast("decimal(38,0)") * cpu_budget_ms
+    num, den = F.when(cpu > memory, F.col("cpu_ms")).otherwise(F.col("peak_bytes")), F.when(cpu > memory, F.lit(cpu_budget_ms)).otherwise(F.lit(memory_budget))
+    pair = lambda x, y: F.struct(x.alias("a"), y.alias("b"))
+    steps = F.sequence(F.lit(1), F.lit(64))  # Euclid needs fewer for such denominators
+    gcd = F.aggregate(steps, pair(num.cast("long"), den.cast("long")), lambda p, _: F.when(p["b"] == 0, p).otherwise(pair(p["b"], p["a"] % p["b"])), lambda p: p["a"])
+    rows = rows.withColumn("_gcd", gcd)
+    return rows.withColumn("cost_num", F.floor(num / F.col("_gcd")).cast("long")).withColumn("cost_den", F.floor(den / F.col("_gcd")).cast("long")).drop("_gcd")
+
+
 def expected_risks(state: DataFrame, action: DataFrame, loss: DataFrame, lambda_num: int, lambda_den: int) -> DataFrame:
     """risk_num / risk_den of every action that costs at most 1 and has a loss for every state."""
     total = state.groupBy("request_id").agg(F.sum("weight").alias("total"), F.count("*").alias("states"))

@@ -37,19 +37,32 @@ def lineage_edges(rows: DataFrame) -> DataFrame:
 def validate_ledger(evidence: DataFrame) -> DataFrame:
     """evidence: model_id, ordinal, evidence_id, dependence, parent_id (nullable), factor_key.
 
-    A parent must be an earlier row of the model; an exact duplicate must have
-    its parent's factor; correlated or unknown dependence is not supported.
+    One status a row.  A parent must be an earlier row of the model, the first
+    of its id; an exact duplicate must have its parent's factor; correlated or
+    unknown dependence is not supported.
     """
-    parent = evidence.select("model_id", F.col("evidence_id").alias("parent_id"), F.col("ordinal").alias("parent_ordinal"), F.col("factor_key").alias("parent_factor"))
-    rows = evidence.join(parent, ["model_id", "parent_id"], "left")
-    first = F.row_number().over(W.partitionBy("model_id", "evidence_id").orderBy("ordinal")) == 1
+    nth = F.row_number().over(W.partitionBy("model_id", "evidence_id").orderBy("ordinal"))
+    rows = evidence.withColumn("_nth", nth)
+    parent = rows.where("_nth = 1").select("model_id", F.col("evidence_id").alias("parent_id"), F.col("ordinal").alias("parent_ordinal"), F.col("factor_key").alias("parent_factor"))
+    rows = rows.join(parent, ["model_id", "parent_id"], "left")
     late = F.col("parent_id").isNotNull() & (F.col("parent_ordinal").isNull() | (F.col("parent_ordinal") >= F.col("ordinal")))
-    status = (F.when(~first, "duplicate_id").when(late, "invalid_schema").when(F.col("dependence").isin("correlated", "unknown"), "unsupported_input")
+    status = (F.when(F.col("_nth") > 1, "duplicate_id").when(F.col("evidence_id").isNull() | late, "invalid_schema").when(F.coalesce(F.col("dependence").isin("correlated", "unknown"), F.lit(True)), "unsupported_input")
               .when((F.col("dependence") == "exact_duplicate") & F.col("parent_id").isNull(), "invalid_schema")
-              .when((F.col("dependence") == "exact_duplicate") & (F.col("factor_key") != F.col("parent_factor")), "invalid_schema").otherwise("success"))
+              .when((F.col("dependence") == "exact_duplicate") & ~F.col("factor_key").eqNullSafe(F.col("parent_factor")), "invalid_schema").otherwise("success"))
     return rows.select("model_id", "ordinal", "evidence_id", status.alias("status"))
 
 
+def match_schema(rows: DataFrame, schema_id: str, version: int) -> DataFrame:
+    """Rows of exactly this schema and version; nothing is migrated."""
+    return rows.where((F.col("schema_id") == schema_id) & (F.col("schema_version") == version))
+
+
+def parity_split(rows: DataFrame, name: str) -> DataFrame:
+    """Adds number (the last digits of the name before an extension) and split: public if even, held_out if odd, none without a number."""
+    number = F.nullif(F.regexp_extract(name, r"([0-9]+)[^0-9/]*$", 1), F.lit("")).cast("long")
+    return rows.withColumn("number", number).withColumn("split", F.when(number % 2 == 0, "public").when(number % 2 == 1, "held_out"))
+
+
 def remaining(planned: DataFrame, done: DataFrame, excluded: DataFrame, key: str) -> DataFrame:
     """What is left to run: planned less finished less excluded."""
     return planned.join(done.select(key), key, "left_anti").join(excluded.select(key), key, "left_anti")
