@@ -82,6 +82,38 @@ def test_learner_stream_equals_batch(spark, tmp_path):
             assert abs(batch[r["stream_id"], r["seq"]] - r["p_mix"]) < 1e-9
 
 
+def test_streams_take_rows_in_order_whatever_their_arrival(spark, tmp_path):
+    """More rows of a key than an Arrow batch, arriving backwards."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        rows = spark.range(60).selectExpr("0 AS stream_id", "id AS seq", "CAST(id % 7 AS DOUBLE) AS value", "'value' AS kind")
+        batch = {r["seq"]: r["w"] for r in monitor.cusum(rows, 1.0, 5.0, 3.0, 1e9).collect()}
+        back = rows.orderBy(F.desc("seq"))
+        seen = _run_stream(spark, tmp_path, back, lambda s: monitor_stream(s, 1.0, 5.0, 3.0, 1e9), "back").collect()
+        assert len(seen) == 60 and all(abs(batch[r["seq"]] - r["w"]) < 1e-9 for r in seen)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_monitor_stream_holds_off_and_skips(spark, tmp_path):
+    kinds = {5: "reset", 9: "reset", 12: "reset"}
+    rows = spark.createDataFrame([(0, i, 50.0, kinds.get(i, "value")) for i in range(16)], "stream_id long, seq long, value double, kind string")
+    seen = _run_stream(spark, tmp_path, rows, lambda s: monitor_stream(s, 10.0, 30.0, 20.0, 1.0, every=2, hold_off=3), "hold").orderBy("seq").collect()
+    # each second value counts and alarms, three are held off, then a reset starts anew
+    assert [r["status"] for r in seen] == ["skipped", "alarm", "frozen", "frozen", "frozen", "reset", "skipped", "alarm", "frozen", "reset_blocked", "frozen", "frozen", "reset", "skipped", "alarm", "frozen"]
+
+
+def test_learner_stream_scores_without_learning(spark, tmp_path):
+    learn = [(0, 2 * i, f"o{i}", "training", "c", "completed" if i % 3 else "not_completed", "learn") for i in range(12)]
+    score = [(0, 2 * i + 1, None, None, "c", None, "score") for i in range(12)]
+    schema = "stream_id long, seq long, observation_id string, partition string, context string, outcome string, kind string"
+    both = _run_stream(spark, tmp_path, spark.createDataFrame(learn + score, schema), learner_stream, "both").collect()
+    only = {r["seq"]: r["p_mix"] for r in _run_stream(spark, tmp_path, spark.createDataFrame(learn, schema), learner_stream, "only").collect()}
+    got = {r["seq"]: r for r in both}
+    assert all(got[k]["p_mix"] == p for k, p in only.items()) and {got[k]["status"] for k in range(1, 24, 2)} == {"scored"}
+    assert all(got[k]["p_mix"] == only[k + 1] for k in range(1, 22, 2))  # what the next row is predicted with
+
+
 def test_partitions_apart(spark):
     ids = lambda *x: spark.createDataFrame([(v,) for v in x], "observation_id string")
     assert calibration.overlapping_ids({"fitting": ids("a", "b"), "calibration": ids("c"), "final": ids("d")}).count() == 0
