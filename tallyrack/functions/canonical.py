@@ -27,8 +27,7 @@ def encode(value) -> str:
             raise NotCanonical("integer range")
         return str(value)
     if isinstance(value, str):
-        out = json.dumps(value, ensure_ascii=False)
-        return re.sub("[\x7f]", lambda m: m[0], out)
+        return json.dumps(value, ensure_ascii=False)
     if isinstance(value, list):
         return "[" + ",".join(map(encode, value)) + "]"
     if isinstance(value, dict):

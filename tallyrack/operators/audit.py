@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyrack.sources.shared import written
+
 
 def exact_duplicates(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Digest groups with more than one row: digest, n, first_id."""
@@ -18,21 +20,32 @@ def element_sets(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(F.col(id_col).alias("id"), F.size(lines).alias("size"), F.explode(F.transform(lines, F.md5)).alias("element"))
 
 
+def element_classes(sets: DataFrame) -> DataFrame:
+    """id, class_id: the least id with an equal element set."""
+    signed = sets.groupBy("id").agg(F.md5(F.array_join(F.sort_array(F.collect_list("element")), "")).alias("digest"))
+    least = signed.groupBy("digest").agg(F.min("id").alias("class_id"))
+    return signed.join(least, "digest").select("id", "class_id")
+
+
 def near_duplicates(sets: DataFrame, percent: int = 95, same_size: bool = False) -> DataFrame:
-    """Pairs of ids whose element sets have Jaccard at least ``percent`` but are not equal: a, b, shared, jaccard.
+    """Pairs of classes of equal element sets whose Jaccard is at least ``percent``: a, b (least ids), n_a, n_b (members), shared, jaccard.
 
     Prefix filtering: only the rarest size - ceil(t size) + 1 elements of a set
     are joined, which loses no pair; candidates are then counted in full.
+    Copies are one class, so they make no pairs among themselves.
     """
+    classes = written(element_classes(sets), "element-classes")
+    members = classes.groupBy(F.col("class_id").alias("id")).agg(F.count("*").alias("members"))
+    sets = sets.join(members, "id")
     df = sets.groupBy("element").agg(F.count("*").alias("df"))
     order = F.row_number().over(W.partitionBy("id").orderBy("df", "element"))
     prefix = sets.join(df, "element").withColumn("rank", order).where((F.col("rank") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1) & (F.col("df") > 1))
-    a, b = (prefix.select("element", F.col("id").alias(x), F.col("size").alias(f"size_{x}")) for x in "ab")
+    a, b = (prefix.select("element", F.col("id").alias(x), F.col("size").alias(f"size_{x}"), F.col("members").alias(f"n_{x}")) for x in "ab")
     fits = (F.col("size_a") == F.col("size_b")) if same_size else (F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent)
-    pairs = a.join(b, "element").where((F.col("a") < F.col("b")) & fits).select("a", "b", "size_a", "size_b").distinct()
-    counted = pairs.join(sets.select(F.col("id").alias("a"), "element"), "a").join(sets.select(F.col("id").alias("b"), "element"), ["b", "element"]).groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("shared"))
+    pairs = a.join(b, "element").where((F.col("a") < F.col("b")) & fits).select("a", "b", "size_a", "size_b", "n_a", "n_b").distinct()
+    counted = pairs.join(sets.select(F.col("id").alias("a"), "element"), "a").join(sets.select(F.col("id").alias("b"), "element"), ["b", "element"]).groupBy("a", "b", "size_a", "size_b", "n_a", "n_b").agg(F.count("*").alias("shared"))
     union = F.col("size_a") + F.col("size_b") - F.col("shared")
-    return counted.where((F.col("shared") * 100 >= union * percent) & (F.col("shared") < union)).select("a", "b", "shared", (F.col("shared") / union).alias("jaccard"))
+    return counted.where(F.col("shared") * 100 >= union * percent).select("a", "b", "n_a", "n_b", "shared", (F.col("shared") / union).alias("jaccard"))
 
 
 def leakage(public: DataFrame, held_out: DataFrame, reasons: dict[str, tuple[str, str]]) -> DataFrame:
@@ -71,6 +84,40 @@ def bench_summary(attempts: DataFrame) -> DataFrame:
         F.max("wall_ms").alias("longest"), F.max("peak_rss").alias("peak_rss"))
 
 
+def status_histogram(attempts: DataFrame) -> DataFrame:
+    """system, system_status, n."""
+    return attempts.groupBy("system", "system_status").agg(F.count("*").alias("n"))
+
+
+def compare_systems(attempts: DataFrame, baseline: str) -> DataFrame:
+    """Per other system: both_completed, verified (equal exact counts), mismatched, and the share of verified among both.
+
+    attempts: case_id, system, system_status, exact_count; one row for each case and system.
+    """
+    exact = attempts.where("system_status = 'exact'")
+    base = exact.where(F.col("system") == baseline).select("case_id", F.col("exact_count").alias("base"))
+    other = attempts.where(F.col("system") != baseline).join(base, "case_id", "left")
+    both = (F.col("system_status") == "exact") & F.col("base").isNotNull()
+    same = both & (F.col("exact_count") == F.col("base"))
+    out = other.groupBy("system").agg(F.count("*").alias("runs"), F.count_if(both).alias("both_completed"), F.count_if(same).alias("verified"))
+    return out.withColumn("mismatched", F.col("both_completed") - F.col("verified")).withColumn("share", F.when(F.col("both_completed") > 0, F.col("verified") / F.col("both_completed")))
+
+
+def evaluation_gate(attempts: DataFrame, expected: int, baseline: str) -> DataFrame:
+    """One row: records, complete (every expected case once in each system), mismatches, verified, passed."""
+    per = attempts.groupBy("system", "case_id").agg(F.count("*").alias("n")).groupBy("system").agg(F.count("*").alias("cases"), F.max("n").alias("most"))
+    whole = per.agg(F.coalesce(F.min((F.col("cases") == expected) & (F.col("most") == 1)), F.lit(False)).alias("complete"), F.coalesce(F.max("cases"), F.lit(0)).alias("records"))
+    found = compare_systems(attempts, baseline).agg(F.coalesce(F.sum("mismatched"), F.lit(0)).alias("mismatches"), F.coalesce(F.sum("verified"), F.lit(0)).alias("verified"))
+    rows = whole.join(found, F.lit(True))  # one row each
+    return rows.select("records", "complete", "mismatches", "verified", (F.col("complete") & (F.col("mismatches") == 0) & (F.col("verified") > 0)).alias("passed"))
+
+
+def origin_counts(sources: DataFrame) -> DataFrame:
+    """sources: sources array<string>.  origin (first word of a record) and how many records name it."""
+    first = sources.select(F.explode("sources").alias("record")).select(F.get(F.split(F.trim("record"), r"\s+"), F.lit(0)).alias("origin"))
+    return first.where("origin <> ''").groupBy("origin").agg(F.count("*").alias("n"))
+
+
 def invariance(rows: DataFrame, group: str, value: str) -> DataFrame:
     """Whether all members of a group have one value."""
     return rows.groupBy(group).agg(F.count("*").alias("n"), (F.countDistinct(value) == 1).alias("invariant"))

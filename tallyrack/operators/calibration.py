@@ -6,11 +6,12 @@ Missing outcomes count in totals and sharpness, not in scores.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyrack.functions.scalars import Z95, entropy, log_loss, prediction_set, valid_identifier, wilson
+from tallyrack.sources.shared import written
 
 
 def validate(forecasts: DataFrame) -> DataFrame:
@@ -72,13 +73,27 @@ def subgroups(forecasts: DataFrame, least: int = 30) -> DataFrame:
         F.count_if("shift").alias("shifted"), (F.count("y") < least).alias("below_minimum"))
 
 
+def _running(rows: DataFrame, order: Column, sums: dict[str, str]) -> DataFrame:
+    """``rows`` with running sums in ``order`` and, as total, the last of the first one.
+
+    Rows are dealt by ranges of the order and written; each range sums its own
+    rows and takes the sums of the ranges before it, a row per task.
+    """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    dealt = written(rows.withColumn("_key", order).repartitionByRange(parts, "_key").withColumn("_part", F.spark_partition_id()), "running")
+    ahead = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    each = dealt.groupBy("_part").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    each = each.select("_part", *[F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(f"_{n}") for n in sums], F.sum(next(iter(sums))).over(W.partitionBy()).alias("total"))
+    upto = W.partitionBy("_part").orderBy("_key").rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = dealt.join(F.broadcast(each), "_part")  # a row per task
+    return placed.select(*rows.columns, *[(F.sum(c).over(upto) + F.col(f"_{n}")).alias(n) for n, c in sums.items()], "total")
+
+
 def risk_coverage(forecasts: DataFrame) -> DataFrame:
     """By descending confidence, ties together: retained rows, errors, coverage and risk."""
     rows = forecasts.where("y IS NOT NULL").groupBy(F.greatest(F.col("p"), 1 - F.col("p")).alias("confidence")).agg(F.count("*").alias("n"), F.count_if((F.col("p") >= 0.5) != F.col("y")).alias("e"))
-    # a row per distinct confidence is left here
-    upto = W.orderBy(F.desc("confidence")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    total = F.sum("n").over(W.partitionBy())
-    rows = rows.select("confidence", F.sum("n").over(upto).alias("retained"), F.sum("e").over(upto).alias("errors"), total.alias("total"))
+    rows = _running(rows, -F.col("confidence"), {"retained": "n", "errors": "e"})
     return rows.select("confidence", "retained", "errors", (F.col("retained") / F.col("total")).alias("coverage"), (F.col("errors") / F.col("retained")).alias("risk"))
 
 
@@ -89,7 +104,7 @@ def conformal_threshold(forecasts: DataFrame, alpha_percent: int) -> DataFrame:
     """
     score = F.when(F.col("y"), 1 - F.col("p")).otherwise(F.col("p"))
     scores = forecasts.where("y IS NOT NULL").groupBy(score.alias("score")).agg(F.count("*").alias("c"))
-    ranked = scores.select("score", F.sum("c").over(W.orderBy("score")).alias("upto"), F.sum("c").over(W.partitionBy()).alias("n"))
+    ranked = _running(scores, F.col("score"), {"upto": "c"}).withColumnRenamed("total", "n")
     k = F.floor(((F.col("n") + 1) * (100 - alpha_percent) + 99) / 100).cast("long")
     return ranked.withColumn("k", k).groupBy("n", "k").agg(F.coalesce(F.min(F.when(F.col("upto") >= F.col("k"), F.col("score"))), F.lit(float("inf"))).alias("threshold"))
 

@@ -20,9 +20,10 @@ def conditional_mass(domains: dict[str, DataFrame], allowed: list[DataFrame], ev
     whose columns are variables.  An empty set of variables has one assignment.
     """
     evidence, query = evidence if evidence is not None else F.lit(True), query if query is not None else F.lit(True)
-    rows, seen = None, set()
-    for relation in allowed:
-        relation = relation.distinct()
+    rows, seen, left = None, set(), [r.distinct() for r in allowed]
+    while left:  # a relation that shares a variable comes before one that shares none
+        at = next((i for i, r in enumerate(left) if seen & set(r.columns)), 0)
+        relation = left.pop(at)
         shared = [c for c in relation.columns if c in seen]
         rows = relation if rows is None else rows.join(relation, shared) if shared else rows.join(relation, F.lit(True))
         seen |= set(relation.columns)

@@ -50,3 +50,10 @@ def mixture(rows: DataFrame) -> DataFrame:
 def mixture_summary(rows: DataFrame) -> DataFrame:
     """Log score and counts of each stream."""
     return mixture(experts(rows)).groupBy("stream_id").agg(F.count("*").alias("n"), F.sum("y").alias("completed"), F.sum("log_score").alias("log_score"))
+
+
+def snapshot(rows: DataFrame) -> DataFrame:
+    """The learner's counts after the accepted rows (see ``experts``): stream_id, kind (global, context, previous), key, seen, completed."""
+    known = rows.withColumn("prev", F.coalesce(F.lag("y").over(W.partitionBy("stream_id").orderBy("seq")).cast("string"), F.lit("start")))
+    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("key")) for k, c in (("global", F.lit("all")), ("context", F.col("context")), ("previous", F.col("prev")))])).alias("k")
+    return known.select("stream_id", "y", keys).groupBy("stream_id", "k.kind", "k.key").agg(F.count("*").alias("seen"), F.sum("y").alias("completed"))

@@ -148,7 +148,8 @@ def exact_counts(formulas: DataFrame, **options) -> DataFrame:
         for frame in frames:
             yield pd.DataFrame([count_text(i, t, **options) for i, t in zip(frame["formula_id"], frame["text"], strict=True)], columns=names)
 
-    return formulas.select("formula_id", "text").mapInPandas(run, RESULT)
+    dealt = formulas.select("formula_id", "text").repartition("formula_id")  # small inputs come in few files
+    return dealt.mapInPandas(run, RESULT)
 
 
 def enumerate_counts(literals: DataFrame, sizes: DataFrame, most: int = 20) -> DataFrame:
@@ -156,11 +157,9 @@ def enumerate_counts(literals: DataFrame, sizes: DataFrame, most: int = 20) -> D
 
     A clause is two bit masks, a formula an array of them; no join per world.
     """
-    var = F.abs("lit") - 1
     masks = literals.groupBy("formula_id", "clause_id").agg(
         F.bit_or(F.when(F.col("lit") > 0, F.expr("shiftleft(1L, cast(abs(lit) - 1 AS int))")).otherwise(0)).alias("pos"),
         F.bit_or(F.when(F.col("lit") < 0, F.expr("shiftleft(1L, cast(abs(lit) - 1 AS int))")).otherwise(0)).alias("neg"))
-    del var
     packed = masks.groupBy("formula_id").agg(F.collect_list(F.struct("pos", "neg")).alias("clauses"))
     rows = sizes.where(F.col("n") <= most).join(packed, "formula_id", "left").withColumn("world", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, cast(n AS int)) - 1"))))
     good = F.forall(F.coalesce("clauses", F.array().cast("array<struct<pos:bigint,neg:bigint>>")), lambda c: (c["pos"].bitwiseAND(F.col("world")) != 0) | (c["neg"].bitwiseAND(F.bitwise_not("world")) != 0))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyrack.functions import canonical
 from tallyrack.functions import scalars as S
-from tallyrack.operators import audit, calibration, count_index, decision, finite, graph, learning, monitor, records, run, wmc
+from tallyrack.operators import audit, calibration, count_index, decision, finite, graph, learning, monitor, records, run, validate, wmc
 from tallyrack.sources import archive
 
 QUERIES: dict = {}
@@ -80,15 +80,15 @@ def belief_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LITERALS = """
-SELECT o_orderkey % 40 AS formula_id, o_orderkey AS clause_id,
+SELECT o_orderkey // 20 AS formula_id, o_orderkey AS clause_id,
        CAST(CASE WHEN (o_orderkey + o_custkey * i) % 2 = 0 THEN 1 ELSE -1 END * (1 + (o_custkey * (i + 1) + o_orderkey // 40 * i) % 8) AS INTEGER) AS lit
-FROM orders, (SELECT unnest([0, 1, 2]) AS i) WHERE o_orderkey < 800
+FROM orders, (SELECT unnest([0, 1, 2]) AS i)
 """
 
 
 def _literals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "orders").where("o_orderkey < 800").select("o_orderkey", "o_custkey", F.explode(F.array(*map(F.lit, range(3)))).alias("i"))
-    return rows.selectExpr("o_orderkey % 40 AS formula_id", "o_orderkey AS clause_id", "CAST(CASE WHEN (o_orderkey + o_custkey * i) % 2 = 0 THEN 1 ELSE -1 END * (1 + (o_custkey * (i + 1) + (o_orderkey div 40) * i) % 8) AS INT) AS lit")
+    rows = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.explode(F.array(*map(F.lit, range(3)))).alias("i"))
+    return rows.selectExpr("o_orderkey div 20 AS formula_id", "o_orderkey AS clause_id", "CAST(CASE WHEN (o_orderkey + o_custkey * i) % 2 = 0 THEN 1 ELSE -1 END * (1 + (o_custkey * (i + 1) + (o_orderkey div 40) * i) % 8) AS INT) AS lit")
 
 
 _MODELS = f"""
@@ -118,6 +118,28 @@ def wmc_solver(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("formula_id").cast("long").alias("formula_id"), F.col("num").cast("long").alias("models"))
 
 
+@query(f"""
+WITH l AS ({_LITERALS}), f AS (SELECT DISTINCT formula_id FROM l),
+t AS (SELECT formula_id, v, CAST((formula_id * 3 + v * 5) % 9 + 1 AS BIGINT) AS t FROM f, range(1, 9) AS r(v)),
+w AS (SELECT formula_id, unnest(range(256)) AS world FROM f),
+bad AS (SELECT DISTINCT formula_id, world FROM (SELECT formula_id, world, clause_id FROM w JOIN l USING (formula_id) GROUP BY ALL
+        HAVING NOT bool_or(((world >> (abs(lit) - 1)) & 1) = CASE WHEN lit > 0 THEN 1 ELSE 0 END))),
+ok AS (SELECT * FROM w ANTI JOIN bad USING (formula_id, world)),
+m AS (SELECT formula_id, world, CAST(product(CASE WHEN (world >> (v - 1)) & 1 = 1 THEN t ELSE 10 - t END) AS BIGINT) AS mass FROM ok JOIN t USING (formula_id) GROUP BY formula_id, world)
+SELECT f.formula_id, CAST(coalesce(sum(mass), 0) AS BIGINT) AS mass FROM f LEFT JOIN m USING (formula_id) GROUP BY f.formula_id
+""")
+def wmc_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact weights in tenths: the mass of all models in units of 10**-8."""
+    tenths = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda v: F.struct(v.alias("v"), ((F.col("id") * 3 + v * 5) % 9 + 1).alias("t")))
+    line = lambda v, sign, t: F.concat(F.lit("c p weight "), F.lit(sign), v.cast("string"), F.lit(" "), t.cast("string"), F.lit("/10 0"))
+    lines = F.flatten(F.transform(tenths, lambda x: F.array(line(x["v"], "", x["t"]), line(x["v"], "-", 10 - x["t"]))))
+    texts = _formula_texts(spark, sf_dir).withColumn("id", F.col("formula_id").cast("long"))
+    texts = texts.select("formula_id", F.concat("text", F.lit("\n"), F.array_join(lines, "\n"), F.lit("\n")).alias("text"))
+    got = wmc.exact_counts(texts)
+    mass = F.col("num").cast("decimal(20,0)") * F.lit(10**8).cast("decimal(9,0)")
+    return got.select(F.col("formula_id").cast("long").alias("formula_id"), F.floor(mass / F.col("den").cast("decimal(9,0)")).cast("long").alias("mass"))
+
+
 @query(f"SELECT formula_id, true AS invariant FROM ({_MODELS})")
 def wmc_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts, runs = _formula_texts(spark, sf_dir), None
@@ -338,16 +360,18 @@ def decide_abstain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH r AS (SELECT s_suppkey, 'a' || s_suppkey AS action_id, s_suppkey % 5 <> 0 AS need, CASE WHEN s_suppkey % 7 <> 0 THEN 'c' || s_suppkey END AS cert,
-  CASE WHEN s_suppkey % 11 = 0 THEN 'zz' ELSE sha256(CAST(s_suppkey AS VARCHAR)) END AS digest, s_suppkey % 40 AS vf, s_suppkey % 40 + 60 AS vt,
-  CASE WHEN s_suppkey % 13 = 0 THEN 'other' ELSE 'a' || s_suppkey END AS subj, s_suppkey % 3 <> 0 AS ver FROM supplier)
-SELECT action_id, CASE WHEN NOT need THEN 'not_required' WHEN cert IS NULL THEN 'missing' WHEN digest = 'zz' THEN 'invalid' WHEN vf > 30 OR vt < 30 THEN 'stale'
-  WHEN subj <> action_id THEN 'mismatch' WHEN NOT ver THEN 'rejected' ELSE 'accepted' END AS certificate_status FROM r
+  CASE WHEN s_suppkey % 11 = 0 THEN 'zz' WHEN s_suppkey % 17 <> 1 THEN sha256(CAST(s_suppkey AS VARCHAR)) END AS digest,
+  CASE WHEN s_suppkey % 19 <> 2 THEN s_suppkey % 40 END AS vf, s_suppkey % 40 + CASE WHEN s_suppkey % 29 = 3 THEN -1 ELSE 60 END AS vt,
+  CASE WHEN s_suppkey % 13 = 0 THEN 'other' WHEN s_suppkey % 23 <> 4 THEN 'a' || s_suppkey END AS subj, CASE WHEN s_suppkey % 7 <> 5 THEN s_suppkey % 3 <> 0 END AS ver FROM supplier)
+SELECT action_id, CASE WHEN NOT need THEN 'not_required' WHEN cert IS NULL THEN 'missing' WHEN digest IS NULL OR digest = 'zz' OR vf IS NULL OR vf > vt THEN 'invalid' WHEN vf > 30 OR vt < 30 THEN 'stale'
+  WHEN subj IS DISTINCT FROM action_id THEN 'mismatch' WHEN ver IS DISTINCT FROM true THEN 'rejected' ELSE 'accepted' END AS certificate_status FROM r
 """)
 def certificate_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _t(spark, sf_dir, "supplier").selectExpr(
         "concat('a', s_suppkey) AS action_id", "s_suppkey % 5 <> 0 AS requires_certificate", "CASE WHEN s_suppkey % 7 <> 0 THEN concat('c', s_suppkey) END AS certificate_id",
-        "CASE WHEN s_suppkey % 11 = 0 THEN 'zz' ELSE sha2(CAST(s_suppkey AS STRING), 256) END AS digest", "s_suppkey % 40 AS valid_from", "s_suppkey % 40 + 60 AS valid_to",
-        "CASE WHEN s_suppkey % 13 = 0 THEN 'other' ELSE concat('a', s_suppkey) END AS subject", "s_suppkey % 3 <> 0 AS verified")
+        "CASE WHEN s_suppkey % 11 = 0 THEN 'zz' WHEN s_suppkey % 17 <> 1 THEN sha2(CAST(s_suppkey AS STRING), 256) END AS digest",
+        "CASE WHEN s_suppkey % 19 <> 2 THEN s_suppkey % 40 END AS valid_from", "s_suppkey % 40 + CASE WHEN s_suppkey % 29 = 3 THEN -1 ELSE 60 END AS valid_to",
+        "CASE WHEN s_suppkey % 13 = 0 THEN 'other' WHEN s_suppkey % 23 <> 4 THEN concat('a', s_suppkey) END AS subject", "CASE WHEN s_suppkey % 7 <> 5 THEN s_suppkey % 3 <> 0 END AS verified")
     return decision.certificate_status(rows, 30).select("action_id", "certificate_status")
 
 
@@ -418,10 +442,11 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT doc_id AS id, list_distinct([x FOR x IN string_split(text, chr(10)) IF trim(x) <> '']) AS l FROM documents),
-e AS (SELECT id, len(l) AS size, unnest(l) AS x FROM s),
-p AS (SELECT a.id AS a, b.id AS b, a.size AS sa, b.size AS sb, count(*) AS shared FROM e a JOIN e b ON a.x = b.x AND a.id < b.id GROUP BY ALL)
-SELECT a, b, shared, round(shared / (sa + sb - shared), 6) AS jaccard FROM p WHERE shared * 100 >= (sa + sb - shared) * 60 AND shared < sa + sb - shared
+WITH s AS (SELECT doc_id AS id, list_sort(list_distinct([x FOR x IN string_split(text, chr(10)) IF trim(x) <> ''])) AS l FROM documents),
+c AS (SELECT l, min(id) AS id, count(*) AS n FROM s WHERE len(l) > 0 GROUP BY l),
+e AS (SELECT id, n, len(l) AS size, unnest(l) AS x FROM c),
+p AS (SELECT a.id AS a, b.id AS b, a.n AS n_a, b.n AS n_b, a.size AS sa, b.size AS sb, count(*) AS shared FROM e a JOIN e b ON a.x = b.x AND a.id < b.id GROUP BY ALL)
+SELECT a, b, n_a, n_b, shared, round(shared / (sa + sb - shared), 6) AS jaccard FROM p WHERE shared * 100 >= (sa + sb - shared) * 60
 """)
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.near_duplicates(audit.element_sets(_t(spark, sf_dir, "documents"), "doc_id", "text"), 60).withColumn("jaccard", F.round("jaccard", 6))
@@ -473,7 +498,7 @@ def bench_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, regexp_full_match(source, '[A-Za-z0-9][A-Za-z0-9._:-]{0,127}') AS source_ok, regexp_full_match(left(text, 40), '[A-Za-z0-9][A-Za-z0-9._:-]{0,127}') AS text_ok,
+SELECT doc_id, regexp_full_match(source, '[A-Za-z0-9][A-Za-z0-9._:-]{0,127}') AS source_ok, regexp_full_match(text, '[A-Za-z0-9][A-Za-z0-9._:-]{0,127}') AS text_ok,
   CASE WHEN doc_id % 64 = 0 THEN 0 ELSE length(bin(doc_id % 64)) END AS width, CASE WHEN doc_id % 3 <> 0 THEN 'success' WHEN doc_id % 2 = 0 THEN 'non_identified' ELSE 'unsupported_input' END AS causal FROM documents
 """)
 def scalar_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -514,24 +539,24 @@ def validate_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT 'o' || o_orderkey AS record_id, ord, CASE ord WHEN 0 THEN 'source' ELSE 'evidence' END AS kind, CASE ord WHEN 0 THEN 'c' || o_custkey ELSE o_orderpriority END AS id,
-  CASE ord WHEN 0 THEN 'derived_from' ELSE 'supports' END AS relation FROM orders, (SELECT unnest([0, 1]) AS ord) WHERE o_orderkey % 10 = 0
+  CASE ord WHEN 0 THEN 'derived_from' ELSE 'supports' END AS relation FROM orders, (SELECT unnest([0, 1]) AS ord)
 """)
 def lineage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     edge = lambda k, i, r: F.struct(F.lit(k).alias("kind"), i.alias("id"), F.lit(r).alias("relation"))
-    rows = _t(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select(F.concat(F.lit("o"), "o_orderkey").alias("record_id"), F.array(edge("source", F.concat(F.lit("c"), "o_custkey"), "derived_from"), edge("evidence", F.col("o_orderpriority"), "supports")).alias("lineage"))
+    rows = _t(spark, sf_dir, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("record_id"), F.array(edge("source", F.concat(F.lit("c"), "o_custkey"), "derived_from"), edge("evidence", F.col("o_orderpriority"), "supports")).alias("lineage"))
     return records.lineage_edges(rows)
 
 
 _LEDGER = """
-SELECT o_custkey % 20 AS model_id, o_orderkey AS ordinal, 'e' || (o_orderkey - CASE WHEN o_orderkey % 23 = 0 THEN 20 ELSE 0 END) AS evidence_id,
+SELECT o_orderkey % 20 AS model_id, o_orderkey AS ordinal, 'e' || (o_orderkey - CASE WHEN o_orderkey % 23 = 0 THEN 20 ELSE 0 END) AS evidence_id,
   CASE o_orderkey % 5 WHEN 0 THEN 'exact_duplicate' WHEN 1 THEN 'correlated' ELSE 'independent' END AS dependence, CASE WHEN o_orderkey % 3 = 0 THEN 'e' || (o_orderkey - 20 * (o_orderkey % 4 - 1)) END AS parent_id, o_totalprice > 150000 AS factor_key
-FROM orders WHERE o_orderkey < 4000
+FROM orders
 """
 
 
 @query(f"""
-WITH e AS ({_LEDGER}), j AS (SELECT e.*, p.ordinal AS po, p.factor_key AS pf, row_number() OVER (PARTITION BY e.model_id, e.evidence_id ORDER BY e.ordinal) = 1 AS first
-  FROM e LEFT JOIN e p ON p.model_id = e.model_id AND p.evidence_id = e.parent_id)
+WITH r AS ({_LEDGER}), e AS (SELECT *, row_number() OVER (PARTITION BY model_id, evidence_id ORDER BY ordinal) = 1 AS first FROM r),
+j AS (SELECT e.*, p.ordinal AS po, p.factor_key AS pf FROM e LEFT JOIN (SELECT * FROM e WHERE first) p ON p.model_id = e.model_id AND p.evidence_id = e.parent_id)
 SELECT model_id, ordinal, evidence_id, CASE WHEN NOT first THEN 'duplicate_id' WHEN parent_id IS NOT NULL AND (po IS NULL OR po >= ordinal) THEN 'invalid_schema' WHEN dependence IN ('correlated', 'unknown') THEN 'unsupported_input'
   WHEN dependence = 'exact_duplicate' AND parent_id IS NULL THEN 'invalid_schema' WHEN dependence = 'exact_duplicate' AND factor_key <> pf THEN 'invalid_schema' ELSE 'success' END AS status FROM j
 """)
@@ -541,13 +566,12 @@ def validate_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH RECURSIVE l AS ({_LITERALS}), v AS (SELECT DISTINCT formula_id * 100 + abs(lit) AS node, 1000000 + clause_id AS other FROM l WHERE clause_id < 200),
+WITH RECURSIVE l AS ({_LITERALS}), v AS (SELECT DISTINCT formula_id * 100 + abs(lit) AS node, -1 - clause_id AS other FROM l),
 b AS (SELECT node, other FROM v UNION SELECT other, node FROM v), r AS (SELECT node, node AS x FROM b UNION SELECT r.node, b.other FROM r JOIN b ON b.node = r.x)
 SELECT node, min(x) AS component FROM r GROUP BY node
 """)
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lits = _literals(spark, sf_dir).where("clause_id < 200")
-    return graph.connected_components(lits.selectExpr("formula_id * 100 + abs(lit) AS src", "1000000 + clause_id AS dst"))
+    return graph.connected_components(_literals(spark, sf_dir).selectExpr("formula_id * 100 + abs(lit) AS src", "-1 - clause_id AS dst"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0")
@@ -600,12 +624,176 @@ def clause_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH n AS (SELECT formula_id, clause_id, list(DISTINCT lit) AS s FROM ({_LITERALS}) GROUP BY ALL), c AS (SELECT * FROM n WHERE len([x FOR x IN s IF list_contains(s, -x)]) = 0)
-SELECT count(DISTINCT formula_id) AS formulas, count(DISTINCT formula_id) AS parsed, CAST(count(DISTINCT formula_id) * 8 AS BIGINT) AS variables, count(*) AS clauses, CAST(sum(len(s)) AS BIGINT) AS literals, CAST(max(len(s)) AS BIGINT) AS longest FROM c
+SELECT count(DISTINCT formula_id) AS formulas, count(DISTINCT formula_id) AS parsed, CAST(count(DISTINCT formula_id) * 8 AS BIGINT) AS variables, count(*) AS clauses, CAST(sum(len(s)) AS BIGINT) AS literals, CAST(max(len(s)) AS BIGINT) AS longest,
+  count(*) FILTER (len(s) = 1) AS units, round(sum(len(s)) / count(*), 6) AS mean_width, CAST(0 AS BIGINT) AS weighted, CAST(0 AS BIGINT) AS parse_errors, CAST(min(n) AS BIGINT) AS least_clauses, CAST(max(n) AS BIGINT) AS greatest_clauses
+FROM (SELECT *, count(*) OVER (PARTITION BY formula_id) AS n FROM c)
 """)
 def audit_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive.audit_rollup(archive.audit_formulas(_formula_texts(spark, sf_dir))).select("formulas", "parsed", "variables", "clauses", "literals", "longest")
+    return archive.audit_rollup(archive.audit_formulas(_formula_texts(spark, sf_dir))).select(
+        "formulas", "parsed", "variables", "clauses", "literals", "longest", "units", F.round("mean_width", 6).alias("mean_width"), "weighted", "parse_errors", "least_clauses", "greatest_clauses")
 
 
 @query()
 def canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "events").select("event_id", canonical.check_canonical("props").alias("c")).select("event_id", "c.status")
+
+
+# ------------------------------------------------------------------ validators
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 17 = 0 THEN 'schema' WHEN o_orderkey % 13 = 0 OR o_orderkey % 19 = 0 THEN 'ineligible' WHEN o_orderkey % 11 = 0 THEN 'missing'
+  WHEN o_custkey * 1000 > 1000000 OR o_orderkey * 3000 > 10000000 THEN 'over_cap' ELSE 'ok' END AS status FROM orders
+""")
+def feature_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", "CASE WHEN o_orderkey % 34 = 0 THEN 'other' WHEN o_orderkey % 17 <> 0 THEN 'structure' END AS schema_id", "1 AS schema_version", "CASE WHEN o_orderkey % 13 <> 0 THEN o_orderkey % 19 <> 0 END AS eligible",
+        "CAST(o_custkey AS BIGINT) * 1000 AS variables", "CAST(o_orderkey AS BIGINT) * 3000 AS clauses", "CASE WHEN o_orderkey % 11 <> 0 THEN 5 END AS literals")
+    return validate.feature_status(rows, "structure", 1).select("o_orderkey", "status")
+
+
+@query("""
+SELECT s_suppkey, s_suppkey % 3 <> 0 AND s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0 AND s_suppkey % 11 <> 0 AND s_suppkey % 13 <> 0 AND s_suppkey % 17 <> 0 AS valid FROM supplier
+""")
+def detector_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey", "CASE WHEN s_suppkey % 3 = 0 THEN 60D ELSE 40D END AS before", "CASE WHEN s_suppkey % 5 = 0 THEN double('NaN') ELSE 60D END AS after", "CASE WHEN s_suppkey % 7 = 0 THEN 1e-200 ELSE 2.0D END AS sigma",
+        "CASE WHEN s_suppkey % 11 = 0 THEN double('Infinity') ELSE 2.0D END AS threshold", "CASE WHEN s_suppkey % 13 = 0 THEN 0 ELSE 1 END AS every", "CASE WHEN s_suppkey % 17 <> 0 THEN 3 END AS hold_off")
+    return validate.detector_valid(rows).select("s_suppkey", "valid")
+
+
+@query("""
+WITH b AS (SELECT l_orderkey AS run_id, l_linenumber % 5 AS variable, CASE WHEN l_quantity > 30 THEN 'unresolved' ELSE 'resolved' END AS resolution, CASE WHEN l_partkey % 9 <> 0 AND l_quantity <= 30 THEN 'e' || l_partkey END AS entity,
+             l_suppkey % 7 = 0 AS listed, l_partkey % 4 = 0 AS needed FROM lineitem),
+t AS (SELECT *, count(*) OVER (PARTITION BY run_id, variable) AS times FROM b)
+SELECT run_id, variable, status, count(*) AS n FROM (SELECT *, CASE WHEN variable < 1 OR variable > 3 OR times > 1 OR (resolution = 'resolved' AND (entity IS NULL OR listed)) THEN 'invalid_schema'
+  WHEN needed AND resolution = 'unresolved' THEN 'unsupported_input' ELSE 'success' END AS status FROM t) GROUP BY ALL
+""")
+def identity_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _t(spark, sf_dir, "lineitem")
+    rows = items.selectExpr(
+        "l_orderkey AS run_id", "l_linenumber % 5 AS variable", "CASE WHEN l_quantity > 30 THEN 'unresolved' ELSE 'resolved' END AS resolution", "CASE WHEN l_partkey % 9 <> 0 AND l_quantity <= 30 THEN concat('e', l_partkey) END AS entity_id",
+        "CASE WHEN l_suppkey % 7 = 0 THEN array('x1') END AS candidates", "l_partkey % 4 = 0 AS required")
+    sizes = items.selectExpr("l_orderkey AS run_id", "3 AS variables").distinct()
+    return validate.identity_status(rows, sizes).groupBy("run_id", "variable", "status").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH f AS (SELECT o_custkey AS model_id, o_orderkey // 2 AS fact_id, o_orderpriority AS predicate FROM orders), p AS (SELECT o_custkey AS model_id, o_orderkey // 2 AS fact_id, o_orderkey % 10 - 1 AS w FROM orders WHERE o_orderkey % 7 <> 0
+   UNION ALL SELECT o_custkey, -o_orderkey, 1 FROM orders WHERE o_orderkey % 31 = 0),
+m AS (SELECT DISTINCT model_id FROM f), a AS (SELECT model_id, fact_id, count(*) AS n FROM f GROUP BY ALL), b AS (SELECT model_id, fact_id, count(*) AS n FROM p GROUP BY ALL),
+i AS (SELECT model_id, 'semantics' AS issue FROM m WHERE model_id % 5 = 0 UNION ALL SELECT model_id, 'limits' FROM m WHERE model_id % 6 = 0
+  UNION ALL SELECT model_id, 'fact_repeated' FROM a WHERE n > 1 UNION ALL SELECT model_id, 'prior_repeated' FROM b WHERE n > 1 UNION ALL SELECT model_id, 'prior_undeclared' FROM b ANTI JOIN a USING (model_id, fact_id)
+  UNION ALL SELECT model_id, 'prior_missing' FROM a ANTI JOIN b USING (model_id, fact_id) UNION ALL SELECT model_id, 'predicate' FROM f WHERE NOT regexp_full_match(predicate, '[A-Za-z0-9][A-Za-z0-9._:-]{0,127}')
+  UNION ALL SELECT model_id, 'prior_weight' FROM p WHERE w < 0)
+SELECT model_id, issue, count(*) AS n FROM i GROUP BY ALL
+""")
+def belief_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _t(spark, sf_dir, "orders")
+    facts = orders.selectExpr("o_custkey AS model_id", "CAST(o_orderkey div 2 AS STRING) AS fact_id", "o_orderpriority AS predicate")
+    priors = orders.where("o_orderkey % 7 <> 0").selectExpr("o_custkey AS model_id", "CAST(o_orderkey div 2 AS STRING) AS fact_id", "o_orderkey % 10 - 1 AS false_weight", "1 AS true_weight")
+    priors = priors.union(orders.where("o_orderkey % 31 = 0").selectExpr("o_custkey", "CAST(-o_orderkey AS STRING)", "1", "1"))
+    models = orders.selectExpr("o_custkey AS model_id").distinct().selectExpr("model_id", "'belief' AS schema_id", "'training' AS partition", "CASE WHEN model_id % 5 = 0 THEN 'closed_world' ELSE 'open_world' END AS semantics", "CASE WHEN model_id % 6 = 0 THEN 64 ELSE 63 END AS max_facts")
+    return validate.belief_issues(models, facts, priors, "belief")
+
+
+@query("""
+WITH v AS (SELECT o_orderkey // 8 AS task_id, o_orderkey % 4 AS variable FROM orders WHERE o_orderkey % 8 < 4 OR o_orderkey % 37 = 0),
+d AS (SELECT o_orderkey // 8 AS task_id, o_orderkey % 4 AS variable, x AS value, CASE WHEN o_orderkey % 53 = 0 AND x = 1 THEN -1 ELSE 1 END AS weight FROM orders, (SELECT unnest([0, 1, 2]) AS x) WHERE o_orderkey % 8 < 4),
+r AS (SELECT DISTINCT o_orderkey // 8 AS task_id, CASE WHEN o_orderkey % 41 = 0 THEN 9 ELSE o_orderkey % 4 END AS variable, o_custkey % CASE WHEN o_orderkey % 7 = 0 THEN 4 ELSE 3 END AS value FROM orders),
+n AS (SELECT task_id, variable, count(*) AS c FROM v GROUP BY ALL), bad AS (SELECT task_id FROM n WHERE c > 1 UNION SELECT task_id FROM d WHERE weight < 0),
+u AS (SELECT task_id, count(*) AS undeclared FROM r ANTI JOIN n USING (task_id, variable) GROUP BY 1),
+o AS (SELECT task_id, count(*) AS outside FROM r SEMI JOIN n USING (task_id, variable) ANTI JOIN d USING (task_id, variable, value) GROUP BY 1)
+SELECT t.task_id, CASE WHEN t.task_id IN (SELECT task_id FROM bad) OR coalesce(undeclared, 0) + coalesce(outside, 0) > 0 THEN 'invalid_schema' ELSE 'success' END AS status, coalesce(undeclared, 0) AS undeclared, coalesce(outside, 0) AS outside
+FROM (SELECT DISTINCT task_id FROM v) t LEFT JOIN u USING (task_id) LEFT JOIN o USING (task_id)
+""")
+def finite_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _t(spark, sf_dir, "orders").withColumn("task_id", F.expr("o_orderkey div 8"))
+    variable = "concat('v', o_orderkey % 4) AS variable"
+    variables = orders.where("o_orderkey % 8 < 4 OR o_orderkey % 37 = 0").selectExpr("task_id", variable)
+    values = orders.where("o_orderkey % 8 < 4").selectExpr("task_id", "o_orderkey", variable, "explode(array(0, 1, 2)) AS x").selectExpr("task_id", "variable", "CAST(x AS STRING) AS value", "CASE WHEN o_orderkey % 53 = 0 AND x = 1 THEN -1 ELSE 1 END AS weight")
+    references = orders.selectExpr("task_id", "CASE WHEN o_orderkey % 41 = 0 THEN 'v9' ELSE concat('v', o_orderkey % 4) END AS variable", "CAST(o_custkey % CASE WHEN o_orderkey % 7 = 0 THEN 4 ELSE 3 END AS STRING) AS value")
+    return validate.finite_task_status(variables, values, references)
+
+
+@query("SELECT p_partkey, p_name, CASE WHEN p_partkey % 2 = 0 THEN 'public' ELSE 'held_out' END AS split FROM part WHERE p_partkey % 3 = 1 AND p_partkey % 2 = 1")
+def parity_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _t(spark, sf_dir, "part").selectExpr("p_partkey", "p_name", "concat('dir2/case', p_partkey, '.cnf.xz') AS member", "CASE WHEN p_partkey % 3 = 1 THEN 'case' WHEN p_partkey % 3 = 2 THEN 'other' END AS schema_id", "CAST(p_partkey % 2 AS INT) AS schema_version")
+    return records.parity_split(records.match_schema(part, "case", 1), "member").select("p_partkey", "p_name", "split")
+
+
+@query("""
+WITH r AS (SELECT event_id, CAST(floor(value * 4000) AS BIGINT) AS cpu, CAST(event_id % 4000 AS BIGINT) * 1048576 AS mem FROM events),
+c AS (SELECT *, CAST(cpu AS HUGEINT) * 4294967296 > CAST(mem AS HUGEINT) * 600000 AS by_cpu FROM r), g AS (SELECT *, CASE WHEN by_cpu THEN gcd(cpu, 600000) ELSE gcd(mem, 4294967296) END AS g FROM c)
+SELECT event_id, CASE WHEN by_cpu THEN cpu // g ELSE mem // g END AS cost_num, CASE WHEN by_cpu THEN 600000 // g ELSE 4294967296 // g END AS cost_den FROM g
+""")
+def resource_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "events").selectExpr("event_id", "CAST(floor(value * 4000) AS BIGINT) AS cpu_ms", "CAST(event_id % 4000 AS BIGINT) * 1048576 AS peak_bytes")
+    return decision.resource_cost(rows).select("event_id", "cost_num", "cost_den")
+
+
+@query("SELECT split_part(trim(x), ' ', 1) AS origin, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS x FROM conversations) WHERE regexp_matches(trim(x), '^[A-Za-z]+ ') GROUP BY 1")
+def origin_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x).rlike("^[A-Za-z]+ "))
+    return audit.origin_counts(_t(spark, sf_dir, "conversations").select(lines.alias("sources")))
+
+
+@query(_ATTEMPTS + "SELECT system, system_status, count(*) AS n FROM s GROUP BY ALL")
+def status_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.status_histogram(_attempts(spark, sf_dir))
+
+
+_RUNS = """
+WITH a AS (SELECT s_suppkey AS case_id, x AS system, CASE WHEN s_suppkey % (3 + len(x)) = 0 THEN 'timeout' ELSE 'exact' END AS status, s_suppkey * 7 + CASE WHEN x = 'third' AND s_suppkey % 29 = 0 THEN 1 ELSE 0 END AS found FROM supplier, (SELECT unnest(['base', 'other', 'third']) AS x)),
+b AS (SELECT a.*, e.found AS base FROM a LEFT JOIN a e ON e.case_id = a.case_id AND e.system = 'base' AND e.status = 'exact'),
+c AS (SELECT system, count(*) AS runs, count(*) FILTER (status = 'exact' AND base IS NOT NULL) AS both_completed, count(*) FILTER (status = 'exact' AND base = found) AS verified FROM b WHERE system <> 'base' GROUP BY system)
+"""
+
+
+def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "supplier").selectExpr("s_suppkey AS case_id", "explode(array('base', 'other', 'third')) AS system")
+    return rows.selectExpr("case_id", "system", "CASE WHEN case_id % (3 + length(system)) = 0 THEN 'timeout' ELSE 'exact' END AS system_status",
+                           "CASE WHEN case_id % (3 + length(system)) <> 0 THEN CAST(case_id * 7 + CASE WHEN system = 'third' AND case_id % 29 = 0 THEN 1 ELSE 0 END AS STRING) END AS exact_count")
+
+
+@query(_RUNS + "SELECT system, runs, both_completed, verified, both_completed - verified AS mismatched, round(verified / both_completed, 6) AS share FROM c")
+def compare_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.compare_systems(_compared(spark, sf_dir), "base").withColumn("share", F.round("share", 6))
+
+
+@query(_RUNS + "SELECT (SELECT count(*) FROM supplier) AS records, true AS complete, CAST(sum(both_completed - verified) AS BIGINT) AS mismatches, CAST(sum(verified) AS BIGINT) AS verified, sum(both_completed - verified) = 0 AS passed FROM c")
+def evaluation_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.evaluation_gate(_compared(spark, sf_dir), _t(spark, sf_dir, "supplier").count(), "base")
+
+
+@query("""
+WITH a AS (SELECT 'fitting' AS part, o_custkey AS id FROM orders WHERE o_orderkey % 9 = 0 UNION ALL SELECT 'calibration', o_custkey FROM orders WHERE o_orderkey % 9 = 1 UNION ALL SELECT 'final', -o_orderkey FROM orders WHERE o_orderkey % 900 = 2)
+SELECT CAST(id AS VARCHAR) AS observation_id, count(*) AS n, string_agg(DISTINCT part, ',' ORDER BY part) AS parts FROM a GROUP BY id HAVING count(*) > 1 OR id < 0
+""")
+def overlapping_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _t(spark, sf_dir, "orders")
+    parts = {"fitting": ("o_custkey", "o_orderkey % 9 = 0"), "calibration": ("o_custkey", "o_orderkey % 9 = 1"), "final": ("-o_orderkey", "o_orderkey % 900 = 2")}
+    found = calibration.overlapping_ids({name: orders.where(rows).selectExpr(f"{ids} AS observation_id") for name, (ids, rows) in parts.items()})
+    return found.select("observation_id", "n", F.array_join("partitions", ",").alias("parts"))
+
+
+_SNAPSHOT = _PREQ + """, k AS (SELECT stream_id, 'global' AS kind, 'all' AS key, y FROM p UNION ALL SELECT stream_id, 'context', context, y FROM p UNION ALL SELECT stream_id, 'previous', prev, y FROM p),
+snap AS (SELECT stream_id, kind, key, count(*) AS seen, CAST(sum(y) AS BIGINT) AS completed FROM k GROUP BY ALL)
+"""
+
+
+@query(_SNAPSHOT + "SELECT * FROM snap")
+def preq_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learning.snapshot(_prequential(spark, sf_dir))
+
+
+@query(_SNAPSHOT + """, broken AS (SELECT stream_id, kind, key, seen + CASE WHEN stream_id % 5 = 0 AND kind = 'context' AND key = (SELECT min(key) FROM snap s WHERE s.stream_id = snap.stream_id AND s.kind = 'context') THEN 1 ELSE 0 END AS seen, completed FROM snap),
+ids AS (SELECT stream_id, count(*) - CASE WHEN stream_id % 7 = 0 THEN 1 ELSE 0 END AS n FROM p GROUP BY stream_id)
+SELECT stream_id, concat_ws(',', CASE WHEN stream_id % 5 = 0 THEN 'context_total' END, CASE WHEN stream_id % 7 = 0 THEN 'id_total' END) AS issues FROM ids WHERE stream_id % 5 = 0 OR stream_id % 7 = 0""")
+def snapshot_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _prequential(spark, sf_dir)
+    state = learning.snapshot(rows)
+    least = state.where("kind = 'context'").groupBy("stream_id").agg(F.min("key").alias("least"))
+    broken = state.join(least, "stream_id").withColumn("seen", F.col("seen") + F.when((F.col("stream_id") % 5 == 0) & (F.col("kind") == "context") & (F.col("key") == F.col("least")), 1).otherwise(0)).drop("least")
+    last = rows.groupBy("stream_id").agg(F.max("seq").alias("last"))
+    ids = rows.join(last, "stream_id").where("stream_id % 7 <> 0 OR seq < last").select("stream_id", F.col("seq").cast("string").alias("observation_id"))
+    return validate.snapshot_issues(broken, ids)

@@ -16,10 +16,11 @@ from tallyrack.sources.dimacs import parse
 MEMBER = "archive string, member string, n_bytes long, sha256 string, text string, status string"
 
 
-def archive_members(spark: SparkSession, path: str, most_bytes: int = 64 << 20) -> DataFrame:
+def archive_members(spark: SparkSession, path: str, most_bytes: int = (2 << 30) - 1) -> DataFrame:
     """One row per file of the tar archives at ``path``; ``.xz`` members are unpacked.
 
-    A member over ``most_bytes`` keeps its row with status resource_limit and no text.
+    A member over ``most_bytes`` (by default what one value of Spark can hold)
+    keeps its row with status resource_limit and no text.
     """
 
     def run(frames):
@@ -67,10 +68,16 @@ def audit_formulas(formulas: DataFrame) -> DataFrame:
 
 
 def audit_rollup(stats: DataFrame) -> DataFrame:
+    """One row over the formulas of ``audit_formulas``: counts by outcome, sums, extremes and means of the structure, provenance, copies."""
     ok = F.col("status") == "success"
+    sums = [F.sum(c).alias(n) for c, n in (("variables", "variables"), ("clauses", "clauses"), ("literals", "literals"), ("units", "units"), ("weighted", "weighted_variables"))]
+    ends = [f(c).alias(f"{n}_{c}") for f, n in ((F.min, "least"), (F.max, "greatest")) for c in ("variables", "clauses", "literals")]
     return stats.agg(
-        F.count("*").alias("formulas"), F.count_if(ok).alias("parsed"), F.sum("variables").alias("variables"), F.sum("clauses").alias("clauses"), F.sum("literals").alias("literals"),
-        F.max("longest").alias("longest"), F.count_if(F.col("weighted") > 0).alias("weighted"), F.countDistinct("canonical").alias("distinct_canonical"))
+        F.count("*").alias("formulas"), F.count_if(ok).alias("parsed"), F.count_if(F.col("status") == "parse_error").alias("parse_errors"), F.count_if(F.col("status") == "unsupported_input").alias("unsupported"), *sums, *ends,
+        F.max("longest").alias("longest"), F.count_if(F.col("weighted") > 0).alias("weighted"), F.count_if(F.col("weighted") == F.col("variables")).alias("fully_weighted"), F.count_if(F.col("units") > 0).alias("with_units"),
+        F.count_if(F.col("clauses") == 0).alias("without_clauses"), F.count_if(F.col("longest") <= 2).alias("binary"), F.count_if(F.size("sources") > 0).alias("with_sources"), F.sum(F.when(ok, F.size("sources"))).alias("sources"),
+        F.count_if(F.size("clause_hashes") < F.col("clauses")).alias("with_repeated_clauses"), F.countDistinct("canonical").alias("distinct_canonical"), (F.count("canonical") - F.countDistinct("canonical")).alias("copies"),
+        (F.sum("literals") / F.sum("clauses")).alias("mean_width"), (F.sum("clauses") / F.sum("variables")).alias("clause_ratio"), F.percentile_approx("variables", 0.5, 10_000).alias("median_variables"), F.percentile_approx("clauses", 0.5, 10_000).alias("median_clauses"))
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -82,5 +89,10 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def manifest(lines: DataFrame) -> DataFrame:
-    """Rows, good rows and bytes-free digest of each file: order-insensitive over line digests."""
-    return lines.groupBy("file").agg(F.count("*").alias("rows"), F.count_if(F.col("status") == "success").alias("good"), F.sha2(F.concat_ws("", F.sum(F.conv(F.substring("digest", 1, 8), 16, 10).cast("decimal(38,0)")).cast("string")), 256).alias("digest"))
+    """Rows, good rows and digest of each file, whatever the order of its lines.
+
+    Lines are dealt by their own digest; the sorted digests of each share are
+    hashed, then the hashes of the shares.
+    """
+    share = lines.groupBy("file", F.substring("digest", 1, 3).alias("_share")).agg(F.count("*").alias("rows"), F.count_if(F.col("status") == "success").alias("good"), F.sha2(F.array_join(F.sort_array(F.collect_list("digest")), ""), 256).alias("d"))
+    return share.groupBy("file").agg(F.sum("rows").alias("rows"), F.sum("good").alias("good"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_share", "d"))), lambda x: x["d"]), ""), 256).alias("digest"))

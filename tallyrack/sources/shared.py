@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; set here only where it is unset."""
+    """The folder named by ``spark.checkpoint.dir``; a folder of this machine only where it is unset and Spark runs on this machine alone."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tallyrack.local.shared", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="tallyrack-")
         atexit.register(shutil.rmtree, found[7:], ignore_errors=True)
