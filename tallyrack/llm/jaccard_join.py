@@ -17,7 +17,9 @@
     components are one bucket, and trees are run once more.
 5.  Connected components of the verified links give component_id.
 
-Buckets over ``BUCKET`` classes are dealt into blocks.  In step 4 a bucket holds
+Buckets over ``BUCKET`` classes are dealt into blocks, which then meet through
+two members of each component, so that a large group of near copies is mostly
+one component before step 4.  In step 4 a bucket holds
 sets of two neighbouring size bands only, as sizes of linked sets differ by the
 threshold at most, and a larger one is dealt into all pairs of blocks; so no
 task holds an unbounded bucket and no link is lost.
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import blocks_of, hashed_documents, mix64, pack_sorted, quoted, rolling, shuffle_partitions, tidy, tidy_batches, U64, unpack_sorted, utf8, written
 from .components import components
 
-BUCKET = 2048
+BUCKET = 512
 LEAF = 16
 #: at most so many crowded groups (of some 30 bytes) are broadcast; beyond, joins on a group are cut into slices
 FEW, SLICES = 1 << 18, 8
@@ -273,6 +275,14 @@ def similar_documents(docs: DataFrame, width: int, threshold: int, id_col: str =
     near = written(_in_buckets(sized.select(F.xxhash64("kind", "token", salt).alias("bucket"), "uid", "n", F.col("uid").alias("label"), "shared"), threshold), "jaccard-links")
 
     labels = components(near)
+    dealt_out = written(sized.where("size IS NOT NULL").select("kind", "token", "uid"), "jaccard-dealt")
+    if not dealt_out.isEmpty():  # parts of crowded buckets meet through two members of each component
+        of = dealt_out.join(labels.withColumnRenamed("node", "uid"), "uid", "left").select("kind", "token", "uid", F.coalesce("label", "uid").alias("label"))
+        drawn = F.struct(F.xxhash64("uid", F.lit(7)), "uid")
+        ends = of.groupBy("kind", "token", "label").agg(F.min(drawn).alias("a"), F.max(drawn).alias("b")).select("kind", "token", "label", F.explode(F.array_distinct(F.array("a.uid", "b.uid"))).alias("uid"))
+        salt = F.pmod(F.xxhash64("uid", F.lit(11)), F.coalesce(F.ceil(F.col("size") / BUCKET), F.lit(1)).cast("long"))
+        again = _with_sizes(ends, ["kind", "token"], BUCKET).select(F.xxhash64("kind", "token", salt).alias("bucket"), "uid", "label").join(classes.select("uid", "n", "shared"), "uid")
+        labels = components(labels.select(F.col("node").alias("src"), F.col("label").alias("dst")).union(_in_buckets(again, threshold)))
     named = classes.select("uid", "n", "prefix").join(labels.withColumnRenamed("node", "uid"), "uid", "left").select("uid", "n", F.coalesce("label", "uid").alias("label"), "prefix")
     tokens = named.select("uid", "n", "label", F.explode("prefix").alias("token"), F.pmod(F.xxhash64("uid"), F.lit(SLICES)).cast("int").alias("slice"))
     open_tokens = tokens.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("z")).where("a <> z")
