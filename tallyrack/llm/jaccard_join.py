@@ -21,8 +21,8 @@ Buckets over ``BUCKET`` classes are dealt into blocks, which then meet through
 two members of each component, so that a large group of near copies is mostly
 one component before step 4.  In step 4 a bucket holds
 sets of two neighbouring size bands only, as sizes of linked sets differ by the
-threshold at most, and a larger one is dealt into all pairs of blocks; so no
-task holds an unbounded bucket and no link is lost.
+threshold at most, and a larger one is dealt into the pairs of blocks that hold
+different components; so no task holds an unbounded bucket and no link is lost.
 
 Null texts and texts without words have an empty set and no link.  Null ids
 come last in the order of ids.  Rows of equal id are different documents, told
@@ -245,13 +245,37 @@ def _in_buckets(rows: DataFrame, threshold: int) -> DataFrame:
     return dealt.mapInArrow(_linked(threshold), "src long, dst long")
 
 
-def _with_sizes(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """``rows`` (with uid) with the size of their group where it is over ``most``, null elsewhere; no group meets in one task."""
-    full = written(rows.groupBy(*keys).agg(F.count("*").alias("size")).where(F.col("size") > most), "jaccard-full")
-    if full.count() <= FEW:
-        return rows.join(F.broadcast(full), keys, "left")  # counted here
+def _meet(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` (with uid) left joined with the few rows of ``groups``; no group of ``rows`` meets in one task."""
+    groups = written(groups, "jaccard-groups")
+    if groups.count() <= FEW:
+        return rows.join(F.broadcast(groups), keys, "left")  # counted here
     cut = rows.withColumn("slice", F.pmod(F.xxhash64("uid"), F.lit(SLICES)).cast("int"))
-    return cut.join(full.withColumn("slice", F.explode(F.array(*[F.lit(i) for i in range(SLICES)]))), [*keys, "slice"], "left").drop("slice")
+    return cut.join(groups.withColumn("slice", F.explode(F.array(*[F.lit(i) for i in range(SLICES)]))), [*keys, "slice"], "left").drop("slice")
+
+
+def _with_sizes(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """``rows`` with the size of their group where it is over ``most``, null elsewhere."""
+    return _meet(rows, rows.groupBy(*keys).agg(F.count("*").alias("size")).where(F.col("size") > most), keys)
+
+
+def _across_labels(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Buckets in which every two rows of a group with different labels meet: bucket, uid, n, label.
+
+    A label with many rows has blocks of its own, other labels share blocks;
+    blocks meet in pairs, but for two of the same label, which is one component.
+    """
+    sized = written(_with_sizes(rows, [*keys, "label"], BUCKET), "jaccard-rest")
+    place = lambda salt: F.pmod(salt, F.coalesce(F.ceil(F.col("size") / BUCKET), F.lit(1)).cast("long"))
+    large = sized.where("size IS NOT NULL").withColumn("own", F.col("label")).withColumn("block", place(F.xxhash64("uid", F.lit(5)))).drop("size")
+    other = _with_sizes(sized.where("size IS NULL").drop("size"), keys, BUCKET).withColumn("own", F.lit(None).cast("long")).withColumn("block", place(F.xxhash64("label"))).drop("size")
+    placed = written(large.unionByName(other), "jaccard-blocks")
+    name = lambda x: F.concat_ws(":", x["own"], x["block"])
+    lists = placed.groupBy(*keys).agg(F.collect_set(F.struct("own", "block")).alias("blocks")).where(F.size("blocks") > 1)
+    met = _meet(placed, lists, keys).withColumn("me", F.struct("own", "block"))
+    partners = F.filter("blocks", lambda b: F.col("own").isNull() | b["own"].isNull() | (b["own"] != F.col("own")))
+    met = met.withColumn("with", F.explode(F.coalesce(partners, F.array("me"))))
+    return met.select(F.xxhash64(*keys, F.least(name(F.col("me")), name(F.col("with"))), F.greatest(name(F.col("me")), name(F.col("with")))).alias("bucket"), "uid", "n", "label")
 
 
 def similar_documents(docs: DataFrame, width: int, threshold: int, id_col: str = "doc_id", text_col: str = "text", units: int = 5000) -> DataFrame:
@@ -291,10 +315,7 @@ def similar_documents(docs: DataFrame, width: int, threshold: int, id_col: str =
     # a little wider than the threshold allows, so rounding can't set linked sizes two bands apart
     band = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / threshold) * (1 + 1e-9))) if threshold < 100 else F.col("n")
     rest = rest.withColumn("band", F.explode(F.array(band, band + 1)))
-    n_blocks = F.coalesce(F.ceil(F.col("size") / (2 * BUCKET)), F.lit(1)).cast("int")
-    paired = _with_sizes(rest, ["a", "z", "band"], 2 * BUCKET).withColumn("blocks", n_blocks).withColumn("i", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    bucket = F.xxhash64("a", "z", "band", F.least("i", "j"), F.greatest("i", "j")).alias("bucket")
-    wide = paired.select(bucket, "uid", "n", "label").join(classes.select("uid", "shared"), "uid")
+    wide = _across_labels(rest, ["a", "z", "band"]).join(classes.select("uid", "shared"), "uid")
     far = _in_buckets(wide, threshold)
 
     final = components(labels.select(F.col("node").alias("src"), F.col("label").alias("dst")).union(far))
