@@ -1,18 +1,14 @@
-"""The sequential learner and the change monitor as keyed streaming state."""
+"""The change monitor over any values as keyed streaming state (see ``controller`` and ``learner`` for the other two)."""
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 MONITOR = "stream_id long, seq long, w double, alarm boolean, status string"
 MONITOR_STATE = "total double, least double, frozen boolean, seen long, held long"
-LEARNER = "stream_id long, seq long, p_mix double, log_score double, status string"
-LEARNER_STATE = "n long, ones long, keys string, scores string, prev string, streaming boolean, ids string"
 
 
 def _in_order(frames) -> pd.DataFrame:
@@ -24,7 +20,8 @@ def monitor_stream(rows: DataFrame, before: float, after: float, sigma: float, t
     """rows: stream_id, seq, value, kind ('value' or 'reset').  CUSUM of each ``every``-th value until an alarm freezes the stream.
 
     The next ``hold_off`` values are only counted; a reset before they are used
-    up, or without an alarm, is blocked, and one after starts anew.
+    up, or without an alarm, is blocked, and one after starts anew.  Values that
+    are null or not finite are ``non_finite`` and change nothing.
     """
     gain, middle = (after - before) / (sigma * sigma), (before + after) / 2
 
@@ -38,6 +35,8 @@ def monitor_stream(rows: DataFrame, before: float, after: float, sigma: float, t
                     continue
                 total, least, frozen, seen = 0.0, 0.0, False, 0
                 out.append((key[0], seq, 0.0, False, "reset"))
+            elif not np.isfinite(np.float64(np.nan if value is None else value)):
+                out.append((key[0], seq, total - least, frozen, "non_finite"))
             elif frozen:
                 held = max(0, held - 1)
                 out.append((key[0], seq, total - least, True, "frozen"))
@@ -55,58 +54,3 @@ def monitor_stream(rows: DataFrame, before: float, after: float, sigma: float, t
         state.update((total, least, frozen, seen, held))
 
     return rows.groupBy("stream_id").applyInPandasWithState(step, MONITOR, MONITOR_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def learner_stream(rows: DataFrame, most_ids: int = 10_000) -> DataFrame:
-    """rows: stream_id, seq, observation_id, partition, context, outcome and, if given, kind.  Predict, then update, as the batch form does.
-
-    Rows of kind 'score' are predicted from the state and leave it as it is.
-    """
-    import json
-
-    def step(key, frames, state):
-        n, ones, keys, scores, prev, streaming, ids = state.get if state.exists else (0, 0, "{}", "[0, 0, 0]", "start", False, "[]")
-        keys, scores, ids = json.loads(keys), json.loads(scores), set(json.loads(ids))
-        out = []
-        for row in _in_order(frames).itertuples(index=False):
-            scored = row.kind == "score"  # reads the state and leaves it alone
-            status = "scored" if scored else "accepted"
-            if scored:
-                pass
-            elif row.partition not in ("training", "streaming"):
-                status = "unauthorized"
-            elif row.partition == "training" and streaming:
-                status = "late_training"
-            elif row.outcome not in ("completed", "not_completed"):
-                status = "non_result"
-            elif row.observation_id in ids:
-                status = "duplicate"
-            elif len(ids) >= most_ids:
-                status = "resource_limit"
-            if status not in ("accepted", "scored"):
-                out.append((key[0], row.seq, None, None, status))
-                continue
-            names = ["g", "c:" + row.context, "p:" + prev]
-            p = [(keys.get(k, [0, 0])[1] + 1) / (keys.get(k, [0, 0])[0] + 2) for k in names]
-            top = max(scores)
-            w = [math.exp(s - top) for s in scores]
-            mix = sum(a * b for a, b in zip(w, p, strict=True)) / sum(w)
-            if scored:
-                out.append((key[0], row.seq, mix, None, status))
-                continue
-            y = int(row.outcome == "completed")
-            out.append((key[0], row.seq, mix, math.log(mix if y else 1 - mix), status))
-            for i, k in enumerate(names):
-                seen = keys.setdefault(k, [0, 0])
-                seen[0] += 1
-                seen[1] += y
-                scores[i] += math.log(p[i] if y else 1 - p[i])
-            n, ones, prev = n + 1, ones + y, str(y)
-            streaming = streaming or row.partition == "streaming"
-            ids.add(row.observation_id)
-        yield pd.DataFrame(out, columns=["stream_id", "seq", "p_mix", "log_score", "status"])
-        state.update((n, ones, json.dumps(keys), json.dumps(scores), prev, streaming, json.dumps(sorted(ids))))
-
-    if "kind" not in rows.columns:
-        rows = rows.withColumn("kind", F.lit("learn"))
-    return rows.groupBy("stream_id").applyInPandasWithState(step, LEARNER, LEARNER_STATE, "append", GroupStateTimeout.NoTimeout)

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from tallyrack.functions import scalars as S
 from tallyrack.operators import calibration, finite, learning, monitor
-from tallyrack.streaming.stateful import learner_stream, monitor_stream
+from tallyrack.streaming import learner
+from tallyrack.streaming.rocks import state_on_disk
+from tallyrack.streaming.stateful import monitor_stream
 
 
 def _domain(spark, name, values):
@@ -52,9 +54,10 @@ def test_scalar_predicates(spark):
 def _run_stream(spark, tmp_path, rows, build, name):
     path = str(tmp_path / name)
     rows.coalesce(1).write.parquet(path)
-    q = build(spark.readStream.schema(rows.schema).parquet(path)).writeStream.format("memory").queryName(name).outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
+    with state_on_disk(spark):
+        q = build(spark.readStream.schema(rows.schema).parquet(path)).writeStream.format("memory").queryName(name).outputMode("append").start()
+        q.processAllAvailable()
+        q.stop()
     return spark.table(name)
 
 
@@ -75,7 +78,7 @@ def test_learner_stream_equals_batch(spark, tmp_path):
     status = {(r["stream_id"], r["seq"]): r["status"] for r in learning.accept(rows).collect()}
     accepted = learning.accept(rows).where("status = 'accepted'").withColumn("y", (F.col("outcome") == "completed").cast("int"))
     batch = {(r["stream_id"], r["seq"]): r["p_mix"] for r in learning.mixture(learning.experts(accepted)).collect()}
-    seen = _run_stream(spark, tmp_path, rows, learner_stream, "learn").collect()
+    seen = _run_stream(spark, tmp_path, rows, learner.learned, "learn").collect()
     assert {(r["stream_id"], r["seq"]): r["status"] for r in seen} == status
     for r in seen:
         if r["status"] == "accepted":
@@ -103,12 +106,18 @@ def test_monitor_stream_holds_off_and_skips(spark, tmp_path):
     assert [r["status"] for r in seen] == ["skipped", "alarm", "frozen", "frozen", "frozen", "reset", "skipped", "alarm", "frozen", "reset_blocked", "frozen", "frozen", "reset", "skipped", "alarm", "frozen"]
 
 
+def test_monitor_stream_leaves_out_what_is_no_number(spark, tmp_path):
+    rows = spark.createDataFrame([(0, i, v, "value") for i, v in enumerate([None, float("nan"), float("inf"), 500.0, None])], "stream_id long, seq long, value double, kind string")
+    seen = _run_stream(spark, tmp_path, rows, lambda s: monitor_stream(s, 10.0, 30.0, 20.0, 1.0), "odd").orderBy("seq").collect()
+    assert [r["status"] for r in seen] == ["non_finite"] * 3 + ["alarm", "non_finite"] and seen[3]["w"] > 1
+
+
 def test_learner_stream_scores_without_learning(spark, tmp_path):
     learn = [(0, 2 * i, f"o{i}", "training", "c", "completed" if i % 3 else "not_completed", "learn") for i in range(12)]
     score = [(0, 2 * i + 1, None, None, "c", None, "score") for i in range(12)]
     schema = "stream_id long, seq long, observation_id string, partition string, context string, outcome string, kind string"
-    both = _run_stream(spark, tmp_path, spark.createDataFrame(learn + score, schema), learner_stream, "both").collect()
-    only = {r["seq"]: r["p_mix"] for r in _run_stream(spark, tmp_path, spark.createDataFrame(learn, schema), learner_stream, "only").collect()}
+    both = _run_stream(spark, tmp_path, spark.createDataFrame(learn + score, schema), learner.learned, "both").collect()
+    only = {r["seq"]: r["p_mix"] for r in _run_stream(spark, tmp_path, spark.createDataFrame(learn, schema), learner.learned, "only").collect()}
     got = {r["seq"]: r for r in both}
     assert all(got[k]["p_mix"] == p for k, p in only.items()) and {got[k]["status"] for k in range(1, 24, 2)} == {"scored"}
     assert all(got[k]["p_mix"] == only[k + 1] for k in range(1, 22, 2))  # what the next row is predicted with
