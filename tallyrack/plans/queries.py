@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyrack.functions import canonical
 from tallyrack.functions import scalars as S
-from tallyrack.operators import audit, calibration, count_index, decision, finite, graph, learning, monitor, records, run, validate, wmc
+from tallyrack.operators import audit, calibration, count_index, decision, elimination, finite, graph, learning, monitor, records, run, similarity, validate, wmc
 from tallyrack.sources import archive
+from tallyrack.sources.shared import written
+from tallyrack.streaming import controller, learner
+from tallyrack.streaming.rocks import state_on_disk
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -60,23 +63,26 @@ def finite_degenerate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return none.union(zero).select(F.col("numerator").cast("long").alias("numerator"), F.col("denominator").cast("long").alias("denominator"), "satisfiable", "status")
 
 
-_PRIORS = [(4, 1), (3, 7), (1, 1), (5, 2), (2, 3), (1, 4), (6, 1), (2, 2)]
-_FACTORS = [([0, 1], [0, 1, 1, 1]), ([2], [1, 3]), ([3, 4, 5], [1, 0, 2, 1, 1, 1, 0, 3]), ([1, 6], [2, 1, 1, 2]), ([6, 7], [1, 1, 0, 1])]
-
-
-def _belief_sql() -> str:
-    bit = lambda i: f"((w >> {i}) & 1)"
-    terms = [f"CASE WHEN {bit(i)} = 1 THEN {b} ELSE {a} END" for i, (a, b) in enumerate(_PRIORS)]
-    terms += [f"([{', '.join(map(str, table))}])[1 + {' + '.join(f'{bit(v)} * {1 << k}' for k, v in enumerate(scope))}]" for scope, table in _FACTORS]
-    mass = " * ".join(f"CAST({t} AS BIGINT)" for t in terms)
-    facts = " UNION ALL ".join(f"SELECT {i} AS fact, CAST(sum(CASE WHEN {bit(i)} = 1 THEN m ELSE 0 END) AS BIGINT) AS mass_true, CAST(sum(m) AS BIGINT) AS mass FROM x" for i in range(len(_PRIORS)))
-    return f"WITH x AS (SELECT w, {mass} AS m FROM range({1 << len(_PRIORS)}) AS r(w)) {facts}"
-
-
-@query(_belief_sql())
+@query("""
+WITH f AS (SELECT l_orderkey AS model_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS fact, CAST(l_quantity AS BIGINT) % 4 + 1 AS w0, l_suppkey % 5 AS w1, l_partkey AS p FROM lineitem),
+g AS (SELECT model_id, list(f ORDER BY fact) AS f, count(*) AS n FROM f GROUP BY model_id),
+w AS (SELECT model_id, f, n, unnest(range(CAST(1 << n AS BIGINT))) AS w FROM g),
+m AS (SELECT model_id, n, w, list_reduce(list_transform(range(n), lambda i: CASE WHEN (w >> i) & 1 = 1 THEN f[i + 1].w1 ELSE f[i + 1].w0 END
+  * CASE WHEN i + 1 = n THEN 1 ELSE [1 + f[i + 1].p % 2, f[i + 1].p % 3, f[i + 1].p // 2 % 3, 1 + f[i + 1].p % 4][CAST(((w >> i) & 1) + 2 * ((w >> (i + 1)) & 1) + 1 AS BIGINT)] END), lambda a, b: a * b) AS m FROM w),
+t AS (SELECT model_id, unnest(range(n)) AS i, w, m FROM m)
+SELECT model_id, CAST(i + 1 AS BIGINT) AS fact, CASE WHEN sum(m) > 0 THEN 'success' ELSE 'zero_normalizer' END AS status, CAST(coalesce(sum(m) FILTER ((w >> i) & 1 = 1), 0) AS BIGINT) AS mass_true, CAST(sum(m) AS BIGINT) AS mass FROM t GROUP BY model_id, i
+""")
 def belief_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = finite.belief_marginals(spark, _PRIORS, _FACTORS)
-    return got.select("fact", F.col("mass_true").cast("long").alias("mass_true"), F.col("mass").cast("long").alias("mass"))
+    """Each order is a model, its lines are facts, and lines that follow each other share a factor."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    facts = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("model_id"), F.row_number().over(order).cast("long").alias("fact"), F.col("l_quantity").cast("long").alias("q"), F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p"))
+    priors = facts.select("model_id", "fact", (F.col("q") % 4 + 1).alias("false_weight"), (F.col("s") % 5).alias("true_weight"))
+    last = F.max("fact").over(Window.partitionBy("model_id"))
+    pairs = facts.withColumn("last", last).where("fact < last")
+    weights = F.array(1 + F.col("p") % 2, F.col("p") % 3, F.floor(F.col("p") / 2) % 3, 1 + F.col("p") % 4)
+    factors = pairs.select("model_id", F.col("fact").alias("factor_id"), F.array("fact", F.col("fact") + 1).alias("scope"), weights.alias("weights"))
+    got = elimination.marginals(priors, factors)
+    return got.select("model_id", "fact", "status", F.col("mass_true").cast("long").alias("mass_true"), F.col("mass").cast("long").alias("mass"))
 
 
 _LITERALS = """
@@ -194,6 +200,15 @@ def preq_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.mixture(learning.experts(_prequential(spark, sf_dir))).select("stream_id", "seq", F.round("p_mix", 7).alias("p_mix"))
 
 
+@query(_PREQ + "SELECT stream_id, seq, round(p_mix, 7) AS p_mix, round(ln(CASE WHEN y = 1 THEN p_mix ELSE 1 - p_mix END), 6) AS log_score, 'accepted' AS status FROM m")
+def learner_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming learner's processor over the whole table at once."""
+    rows = _prequential(spark, sf_dir).select("stream_id", "seq", F.col("seq").cast("string").alias("observation_id"), F.lit("streaming").alias("partition"), "context", F.when(F.col("y") == 1, "completed").otherwise("not_completed").alias("outcome"))
+    with state_on_disk(spark):
+        got = written(learner.learned(rows), "learner-replay")
+    return got.select("stream_id", "seq", F.round("p_mix", 7).alias("p_mix"), F.round("log_score", 6).alias("log_score"), "status")
+
+
 @query(_PREQ + "SELECT stream_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(y) AS BIGINT) AS completed, round(sum(ln(CASE WHEN y = 1 THEN p_mix ELSE 1 - p_mix END)), 5) AS log_score FROM m GROUP BY stream_id")
 def preq_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.mixture_summary(_prequential(spark, sf_dir)).select("stream_id", "n", "completed", F.round("log_score", 5).alias("log_score"))
@@ -238,6 +253,40 @@ def cusum_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.first_alarms(_cusum(spark, sf_dir)).select("stream_id", "first_alarm", F.round("peak", 6).alias("peak"), "n")
 
 
+@query("""
+WITH e AS (SELECT user_id AS stream_id, event_id, {'r': event_type = 'error', 's': event_type <> 'signup', 'ok': event_id % 97 <> 0, 'n': CAST(floor(value) AS BIGINT) % 130,
+  'fz': false, 'hold': 0, 'k': 0, 'w': 0.0::DOUBLE, 'c': [0, 0, 0, 0, 0, 0, 0, 0]} AS x FROM events),
+f AS (SELECT stream_id, list_reduce(list(x ORDER BY event_id), lambda a, r: CASE
+    WHEN r.r AND a.fz AND a.hold = 0 THEN {'r': r.r, 's': r.s, 'ok': r.ok, 'n': r.n, 'fz': false, 'hold': 0, 'k': 0, 'w': 0.0::DOUBLE, 'c': list_transform(a.c, lambda v, i: v + CASE WHEN i = 1 THEN 1 ELSE 0 END)}
+    WHEN r.r THEN {'r': r.r, 's': r.s, 'ok': r.ok, 'n': r.n, 'fz': a.fz, 'hold': a.hold, 'k': a.k, 'w': a.w, 'c': list_transform(a.c, lambda v, i: v + CASE WHEN i = 2 THEN 1 ELSE 0 END)}
+    WHEN NOT r.s THEN {'r': r.r, 's': r.s, 'ok': r.ok, 'n': r.n, 'fz': a.fz, 'hold': a.hold, 'k': a.k, 'w': a.w, 'c': list_transform(a.c, lambda v, i: v + CASE WHEN i = 3 THEN 1 ELSE 0 END)}
+    WHEN a.fz THEN {'r': r.r, 's': r.s, 'ok': r.ok, 'n': r.n, 'fz': true, 'hold': greatest(0, a.hold - 1), 'k': a.k, 'w': a.w, 'c': list_transform(a.c, lambda v, i: v + CASE WHEN i = 4 THEN 1 ELSE 0 END)}
+    WHEN NOT r.ok OR r.n = 0 OR r.n > 128 THEN {'r': r.r, 's': r.s, 'ok': r.ok, 'n': r.n, 'fz': true, 'hold': 3, 'k': a.k, 'w': a.w, 'c': list_transform(a.c, lambda v, i: v + CASE WHEN i = 5 THEN 1 ELSE 0 END)}
+    WHEN (a.k + 1) % 2 = 1 THEN {'r': r.r, 's': r.s, 'ok': r.ok, 'n': r.n, 'fz': false, 'hold': a.hold, 'k': a.k + 1, 'w': a.w, 'c': list_transform(a.c, lambda v, i: v + CASE WHEN i = 6 THEN 1 ELSE 0 END)}
+    WHEN a.w + 2.0 * (ln(1 + r.n) - 3.25) > 3.0 THEN {'r': r.r, 's': r.s, 'ok': r.ok, 'n': r.n, 'fz': true, 'hold': 3, 'k': a.k + 1, 'w': a.w + 2.0 * (ln(1 + r.n) - 3.25), 'c': list_transform(a.c, lambda v, i: v + CASE WHEN i = 7 THEN 1 ELSE 0 END)}
+    ELSE {'r': r.r, 's': r.s, 'ok': r.ok, 'n': r.n, 'fz': false, 'hold': a.hold, 'k': a.k + 1, 'w': greatest(0.0, a.w + 2.0 * (ln(1 + r.n) - 3.25)), 'c': list_transform(a.c, lambda v, i: v + CASE WHEN i = 8 THEN 1 ELSE 0 END)} END,
+  {'r': false, 's': false, 'ok': false, 'n': 0::BIGINT, 'fz': false, 'hold': 0, 'k': 0, 'w': 0.0::DOUBLE, 'c': [0, 0, 0, 0, 0, 0, 0, 0]}) AS z FROM e GROUP BY stream_id)
+SELECT stream_id, z.c[1]::BIGINT AS resets, z.c[2]::BIGINT AS blocked, z.c[3]::BIGINT AS rejected, z.c[4]::BIGINT AS held, z.c[5]::BIGINT AS broken, z.c[6]::BIGINT AS skipped, z.c[7]::BIGINT AS alarms, z.c[8]::BIGINT AS observed,
+       z.fz AS frozen, z.hold::BIGINT AS hold_off, round(z.w, 6) AS cusum FROM f
+""")
+def controller_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The controller over the whole table: one search, then outcomes, rows of another partition and resets by event type."""
+    ev = _t(spark, sf_dir, "events")
+    rows = ev.select(
+        F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "reset").otherwise("observe").alias("kind"), F.when(F.col("event_type") == "signup", "final_test").otherwise("streaming").alias("partition"),
+        F.concat(F.lit("e"), F.col("event_id")).alias("source_id"), F.lit("s").alias("suite_id"), (F.col("event_id") % 97 != 0).alias("success"), (F.floor("value") % 130).alias("nodes"), F.lit(None).cast("array<struct<node_limit:bigint,completed:bigint,mean_log_nodes:double>>").alias("scores"))
+    grid = F.array(*[F.struct(F.lit(n).cast("long").alias("node_limit"), F.lit(3).cast("long").alias("completed"), F.lit(m).alias("mean_log_nodes")) for n, m in ((64, 2.5), (128, 3.0))])
+    first = rows.groupBy("stream_id").agg((F.min("seq") - 1).alias("seq")).select("stream_id", "seq", F.lit("search").alias("kind"), F.lit("development").alias("partition"), F.lit("suite").alias("source_id"), F.lit("s").alias("suite_id"), F.lit(None).cast("boolean").alias("success"), F.lit(None).cast("long").alias("nodes"), grid.alias("scores"))
+    with state_on_disk(spark):
+        got = written(controller.controlled(rows.unionByName(first), controller.Detector(sigma=0.5, threshold=3.0, every=2)), "controller-replay")
+    is_ = lambda c, v: F.count_if(F.col(c) == v)
+    latest = lambda c: F.max_by(c, "seq").alias(c)
+    return got.groupBy("stream_id").agg(
+        is_("decision", "reset").alias("resets"), is_("decision", "reset_blocked").alias("blocked"), is_("decision", "rejected_partition").alias("rejected"), F.count_if((F.col("decision") == "alarm_frozen") & F.col("event").isNull()).alias("held"),
+        is_("event", "invariant_rollback").alias("broken"), F.count_if((F.col("decision") == "unchanged") & F.col("event").isNull()).alias("skipped"), is_("event", "shift_alarm_rollback").alias("alarms"), is_("event", "residual_observed").alias("observed"),
+        latest("frozen"), latest("hold_off"), F.round(F.max_by("cusum", "seq"), 6).alias("cusum"))
+
+
 @query("SELECT stream_id, seq, k FROM (SELECT user_id AS stream_id, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) WHERE k % 8 = 0")
 def cusum_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _t(spark, sf_dir, "events").select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"))
@@ -400,7 +449,7 @@ def index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _records(spark, sf_dir)
     parts = None
     for shard in range(4):
-        one = count_index.build(rows.where(F.col("record_id") % 4 == shard)).withColumn("shard", F.lit(0))
+        one = count_index.build(rows.where(F.col("record_id") % 4 == shard)).withColumn("shard", F.lit(shard))
         parts = one if parts is None else parts.unionByName(one)
     return count_index.merge(parts)
 
@@ -452,6 +501,21 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.near_duplicates(audit.element_sets(_t(spark, sf_dir, "documents"), "doc_id", "text"), 60).withColumn("jaccard", F.round("jaccard", 6))
 
 
+@query("""
+WITH s AS (SELECT doc_id % 2 AS side, coalesce(list_sort(list_distinct([md5(x) FOR x IN string_split(text, chr(10)) IF trim(x) <> ''])), []) AS l, coalesce(lang, '') AS kind FROM documents),
+c AS (SELECT side, kind, l, count(*) AS n FROM s GROUP BY ALL), e AS (SELECT *, unnest(l) AS x FROM c),
+p AS (SELECT a.kind, a.l AS la, b.l AS lb, a.n AS left_n, b.n AS right_n, count(*) AS shared FROM e a JOIN e b ON a.x = b.x AND a.kind = b.kind AND a.side = 0 AND b.side = 1 GROUP BY ALL
+      UNION ALL SELECT a.kind, a.l, b.l, a.n, b.n, 0 FROM c a JOIN c b ON a.kind = b.kind AND len(a.l) = 0 AND len(b.l) = 0 AND a.side = 0 AND b.side = 1)
+SELECT kind, sha256(array_to_string(la, '')) AS left_set, sha256(array_to_string(lb, '')) AS right_set, left_n, right_n, shared, round(CASE WHEN len(la) = 0 THEN 1.0 ELSE shared / (len(la) + len(lb) - shared) END, 6) AS jaccard
+FROM p WHERE shared * 100 >= (len(la) + len(lb) - shared) * 70
+""")
+def similarity_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of even against those of odd id, of one language, whose sets of lines are alike."""
+    lines = similarity.distinct_elements(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""))
+    rows = _t(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("")).alias("kind"), lines.alias("elements"), (F.col("doc_id") % 2).alias("side")).withColumn("set", similarity.set_digest(F.col("elements")))
+    return similarity.set_links(rows.where("side = 0"), rows.where("side = 1"), 70).withColumn("jaccard", F.round("jaccard", 6))
+
+
 @query("""
 WITH d AS (SELECT doc_id, text, unnest(list_distinct([x FOR x IN string_split(text, chr(10)) IF trim(x) <> ''])) AS x FROM documents),
 b AS (SELECT item_id, text, unnest(list_distinct([x FOR x IN string_split(text, chr(10)) IF trim(x) <> ''])) AS x FROM benchmark),
