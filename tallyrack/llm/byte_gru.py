@@ -7,13 +7,15 @@ many documents run side by side as columns of one matrix.  The document's
 probability of a language is the mean over its bytes.
 
 It is trained in numpy by backpropagation through time on a bounded sample: at
-most about ``per_lang`` labelled documents of each language, and ``sample_chars``
-characters of each from a place that its hash names, in windows of ``WINDOW``
-bytes.  Prediction sees the text alone.
+most about ``per_lang`` labelled documents of each language, drawn by a hash of
+id and text, and ``per_text`` windows of ``WINDOW`` bytes of each, at places
+that hashes draw from equal stretches of its whole text.  Prediction sees the
+text alone, and all of it.
 
 Null texts and texts without a letter are ``und`` with score 0, as is all when
 there is nothing to learn from.  Repeated rows and null ids stay rows; other
-columns are ignored.
+columns are ignored, whatever their names.  A text must fit in a row; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -208,24 +210,26 @@ class ByteGru:
         return sums / np.maximum(1, np.array([len(t) for t in texts]))[:, None]
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 500, sample_chars: int = 640) -> ByteGru | None:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 500, per_text: int = 20) -> ByteGru | None:
     """Train on a bounded sample of labelled rows; None if there is none."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang")).where("lang IS NOT NULL AND length(text) > 0")
     share = (1_000_000 * F.least(F.lit(1.0), 1.5 * per_lang / F.count("*"))).cast("long")
-    shares = rows.groupBy(F.col(lang_col).alias("_lang")).agg(share.alias("_share"))
+    shares = rows.groupBy(F.col("lang").alias("of")).agg(share.alias("share"))
     counts = shares.collect()  # a row per language
     if not counts:
         return None
     shares = labelled.sparkSession.createDataFrame(counts, shares.schema)
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1_000_000))
-    start = F.pmod(F.xxhash64(F.col(id_col), F.lit(5)), F.greatest(F.length(text_col) - sample_chars, F.lit(1))).cast("int") + 1
-    got = rows.join(F.broadcast(shares), F.col(lang_col) == F.col("_lang")).where(draw < F.col("_share")).select(F.col(lang_col).alias("lang"), F.substring(F.col(text_col), start, F.lit(sample_chars)).alias("text"), F.xxhash64(id_col).alias("h")).limit(2 * per_lang * len(counts)).collect()
-    langs = sorted({r["lang"] for r in got if r["text"]})
+    drawn = rows.withColumn("h", F.xxhash64("id", "text", F.lit(17))).join(F.broadcast(shares), F.col("lang") == F.col("of")).where(F.pmod("h", F.lit(1_000_000)) < F.col("share"))
+    free = F.greatest(F.length("text") - WINDOW, F.lit(0))
+    pieces = F.least(F.lit(per_text), F.ceil(F.length("text") / (WINDOW // 2)).cast("int"))
+    place = lambda i: F.floor(free * (i + F.pmod(F.xxhash64("h", i), F.lit(1000)) / 1000) / pieces).cast("int") + 1
+    windows_of = F.transform(F.sequence(F.lit(0), pieces - 1), lambda i: F.substring(F.col("text"), place(i), F.lit(WINDOW)))
+    got = drawn.select("lang", "h", windows_of.alias("windows")).limit(2 * per_lang * len(counts)).collect()
+    langs = sorted({r["lang"] for r in got})
     windows, labels = [], []
-    for r in sorted(got, key=lambda r: (r["h"] or 0, r["lang"], r["text"])):
-        data = r["text"].encode()
-        for at in range(0, max(len(data) - WINDOW // 2, min(1, len(data))), WINDOW // 2):  # short texts give one window
-            windows.append(data[at : at + WINDOW].ljust(WINDOW, b" "))
+    for r in sorted(got, key=lambda r: (r["h"], r["lang"], r["windows"])):
+        for w in r["windows"]:
+            windows.append(w.encode()[:WINDOW].ljust(WINDOW, b" "))
             labels.append(langs.index(r["lang"]))
     if not windows:
         return None

@@ -556,3 +556,16 @@ def test_packing_and_ranges(spark):
     got = spark.range(0, 2100, 7).select("id", range_index(F.col("id"), bounds).alias("k")).collect()
     assert all(r["k"] == sum(b < r["id"] for b in bounds) for r in got)
     assert pa is not None
+
+
+def test_op5_draws_from_whole_texts_and_null_ids(spark):
+    """The languages differ in the last third of long texts only; ids are null, and columns have the names of old helpers."""
+    rng = random.Random(2)
+    words = {"aa": "kato miru sano", "bb": "xyz qwv zzx"}
+    said = lambda lang, n: " ".join(rng.choice(words[lang].split()) for _ in range(n))
+    rows = [(None, "0 1 2 3 " * 250 + said(lang, 200), lang, "x", 1) for lang in words for _ in range(1000)]
+    model = byte_gru.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string, _lang string, _share int"), per_lang=100)
+    asked = [(i, said(lang, 40), lang) for i, lang in enumerate(list(words) * 10)]
+    got = {r["doc_id"]: r["lang_pred"] for r in byte_gru.predict(spark.createDataFrame(asked, "doc_id long, text string, lang string"), model).collect()}
+    assert sum(got[i] == lang for i, _, lang in asked) >= 18
+    assert byte_gru.fit(spark.createDataFrame([(None, "a b c", "aa")] * 6 + [(None, "x y z", "bb")] * 6, "doc_id long, text string, lang string"), per_lang=2).langs
