@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrack.llm.common import written
+from tallyrack.llm.common import quoted, written
 from tallyrack.llm.jaccard_join import keep_one_per_component
 from tallyrack.llm.piece_codec import encode_decode
 from tallyrack.llm.quality_rules import keep_good
@@ -27,7 +27,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of strings of 200 bytes that recur; n_chars follows."""
     cut = remove_repeated_bytes(docs)
-    return cut.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    return cut.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(quoted(c)) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
