@@ -80,7 +80,7 @@ def format_duration(seconds: Column) -> Column:
 
 def causal_policy(interventional: Column, graph: Column, positivity: Column, ignorability: Column, estimator: Column) -> Column:
     """Only observational requests are answered here; others say what is missing."""
-    return F.when(~interventional, "success").when(~graph | ~positivity | ~ignorability, "non_identified").when(~estimator, "unsupported_input").otherwise("unsupported_input")
+    return F.when(~interventional, "success").when(~graph | ~positivity | ~ignorability, "non_identified").otherwise("unsupported_input")
 
 
 def _normalize(text: str) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyrack.sources.shared import written
+from tallyrack.operators import similarity
 
 
 def exact_duplicates(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -14,38 +14,29 @@ def exact_duplicates(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.groupBy(F.sha2(F.col(text_col), 256).alias("digest")).agg(F.count("*").alias("n"), F.min(id_col).alias("first_id")).where("n > 1")
 
 
-def element_sets(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, element (digest of a distinct non-empty line), size of the set."""
-    lines = F.array_distinct(F.filter(F.split(text_col, "\n"), lambda x: F.trim(x) != ""))
-    return rows.select(F.col(id_col).alias("id"), F.size(lines).alias("size"), F.explode(F.transform(lines, F.md5)).alias("element"))
+def near_duplicates(rows: DataFrame, percent: int = 95) -> DataFrame:
+    """rows: id, elements (array<string>) and, if given, kind; ids may repeat or be null.
 
-
-def element_classes(sets: DataFrame) -> DataFrame:
-    """id, class_id: the least id with an equal element set."""
-    signed = sets.groupBy("id").agg(F.md5(F.array_join(F.sort_array(F.collect_list("element")), "")).alias("digest"))
-    least = signed.groupBy("digest").agg(F.min("id").alias("class_id"))
-    return signed.join(least, "digest").select("id", "class_id")
-
-
-def near_duplicates(sets: DataFrame, percent: int = 95, same_size: bool = False) -> DataFrame:
-    """Pairs of classes of equal element sets whose Jaccard is at least ``percent``: a, b (least ids), n_a, n_b (members), shared, jaccard.
-
-    Prefix filtering: only the rarest size - ceil(t size) + 1 elements of a set
-    are joined, which loses no pair; candidates are then counted in full.
-    Copies are one class, so they make no pairs among themselves.
+    Pairs of classes of equal element sets, of one kind, whose Jaccard is at
+    least ``percent``: kind, a, b (least ids, a first), n_a, n_b (rows), shared,
+    jaccard.  Copies are one class, so they make no pairs among themselves.
     """
-    classes = written(element_classes(sets), "element-classes")
-    members = classes.groupBy(F.col("class_id").alias("id")).agg(F.count("*").alias("members"))
-    sets = sets.join(members, "id")
-    df = sets.groupBy("element").agg(F.count("*").alias("df"))
-    order = F.row_number().over(W.partitionBy("id").orderBy("df", "element"))
-    prefix = sets.join(df, "element").withColumn("rank", order).where((F.col("rank") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1) & (F.col("df") > 1))
-    a, b = (prefix.select("element", F.col("id").alias(x), F.col("size").alias(f"size_{x}"), F.col("members").alias(f"n_{x}")) for x in "ab")
-    fits = (F.col("size_a") == F.col("size_b")) if same_size else (F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent)
-    pairs = a.join(b, "element").where((F.col("a") < F.col("b")) & fits).select("a", "b", "size_a", "size_b", "n_a", "n_b").distinct()
-    counted = pairs.join(sets.select(F.col("id").alias("a"), "element"), "a").join(sets.select(F.col("id").alias("b"), "element"), ["b", "element"]).groupBy("a", "b", "size_a", "size_b", "n_a", "n_b").agg(F.count("*").alias("shared"))
-    union = F.col("size_a") + F.col("size_b") - F.col("shared")
-    return counted.where(F.col("shared") * 100 >= union * percent).select("a", "b", "n_a", "n_b", "shared", (F.col("shared") / union).alias("jaccard"))
+    kind = F.col("kind") if "kind" in rows.columns else F.lit(0)
+    signed = rows.select("id", kind.alias("kind"), similarity.distinct_elements(F.col("elements")).alias("elements")).withColumn("set", similarity.set_digest(F.col("elements")))
+    links = similarity.set_links(signed, signed, percent, once=True)
+    least = signed.groupBy("kind", "set").agg(F.min("id").alias("id"))
+    for side in ("left", "right"):
+        name = least.select(F.col("kind").alias("k"), F.col("set").alias(f"{side}_set"), F.col("id").alias(f"{side}_id"))
+        links = links.join(name, [f"{side}_set"]).where(F.col("k").eqNullSafe(F.col("kind"))).drop("k")
+    swap = F.coalesce(F.col("left_id") > F.col("right_id"), F.col("left_id").isNull())
+    pick = lambda c, first: F.when(swap == first, F.col(f"right_{c}")).otherwise(F.col(f"left_{c}"))
+    return links.select("kind", pick("id", True).alias("a"), pick("id", False).alias("b"), pick("n", True).alias("n_a"), pick("n", False).alias("n_b"), "shared", "jaccard")
+
+
+def near_formulas(stats: DataFrame, percent: int = 95) -> DataFrame:
+    """stats: rows of ``archive.audit_formulas``.  Pairs of parsed formulas over equally many variables whose distinct clauses are alike (see ``near_duplicates``)."""
+    parsed = stats.where("status = 'success'")
+    return near_duplicates(parsed.select(F.col("formula_id").alias("id"), F.col("variables").alias("kind"), F.col("clause_hashes").alias("elements")), percent).withColumnRenamed("kind", "variables")
 
 
 def leakage(public: DataFrame, held_out: DataFrame, reasons: dict[str, tuple[str, str]]) -> DataFrame:

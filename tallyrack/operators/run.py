@@ -26,17 +26,18 @@ def run_formulas(formulas: DataFrame, build_id: str, wall_limit_nodes: int = 10_
     return rows.withColumn("semantic_sha256", F.sha2(payload, 256))
 
 
-def clause_factors(literals: DataFrame) -> DataFrame:
+def clause_factors(literals: DataFrame, most: int = 16) -> DataFrame:
     """literals: formula_id, clause_id, lit.  formula_id, clause_id, scope, table, duplicate_of.
 
     Each clause becomes a 0/1 table over its variables (by variable, negative
     first; the first is the lowest bit); a repeated clause points to its first.
+    A clause over more than ``most`` variables has no table (null).
     """
     sets = literals.groupBy("formula_id", "clause_id").agg(F.array_sort(F.collect_set("lit"), lambda a, b: F.when(F.abs(a) != F.abs(b), F.abs(a) - F.abs(b)).otherwise(a - b)).alias("lits"))
     scope = F.array_distinct(F.transform("lits", lambda x: F.abs(x)))
-    world = F.sequence(F.lit(0), F.pow(F.lit(2), F.size("scope")).cast("int") - 1)
+    world = F.sequence(F.lit(0), F.pow(F.lit(2), F.least(F.size("scope"), F.lit(most))).cast("int") - 1)
     holds = lambda w: F.exists("lits", lambda x: F.floor(w / F.pow(F.lit(2), F.array_position("scope", F.abs(x)) - 1)).cast("int") % 2 == F.when(x > 0, 1).otherwise(0))
-    rows = sets.withColumn("scope", scope).withColumn("table", F.transform(world, lambda w: F.when(holds(w), 1).otherwise(0)))
+    rows = sets.withColumn("scope", scope).withColumn("table", F.when(F.size("scope") <= most, F.transform(world, lambda w: F.when(holds(w), 1).otherwise(0))))
     key = F.array_join(F.col("lits").cast("array<string>"), " ")
     first = rows.groupBy("formula_id", key.alias("key")).agg(F.min("clause_id").alias("first"))
     return rows.withColumn("key", key).join(first, ["formula_id", "key"]).select("formula_id", "clause_id", "scope", "table", F.when(F.col("first") != F.col("clause_id"), F.col("first")).alias("duplicate_of"))

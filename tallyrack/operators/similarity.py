@@ -83,16 +83,17 @@ def _keys(ordered: DataFrame, own: str, percent: int) -> DataFrame:
     return rows.select("kind", F.col("e.element").alias("element"), F.col(bands[0]).alias("left_band"), F.col(bands[1]).alias("right_band"), F.col("set").alias(f"{own}_set"), F.col("size").alias(f"{own}_size"), (F.col("place") + 1).alias(f"{own}_place"))
 
 
-def set_links(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
+def set_links(left: DataFrame, right: DataFrame, percent: int, once: bool = False) -> DataFrame:
     """left, right: kind, set, elements (see ``distinct_elements``), a row each.
 
     Pairs of classes of one kind whose Jaccard is ``percent`` or more: kind,
     left_set, right_set, left_n, right_n (rows of each), shared, jaccard.
+    ``once``: both sides are the same rows; each pair of different classes comes once.
     """
     sides = [written(_classes(x.select("kind", "set", "elements")), "set-classes") for x in (left, right)]
     named = [c.select("kind", F.col("set").alias(f"{s}_set"), F.col("n").alias(f"{s}_n"), F.col("elements").alias(f"{s}_elements"), F.col("size").alias(f"{s}_size")) for c, s in zip(sides, ("left", "right"), strict=True)]
     equal = named[0].join(named[1], (named[0]["left_set"] == named[1]["right_set"]) & named[0]["kind"].eqNullSafe(named[1]["kind"])).select(
-        named[0]["kind"], "left_set", "right_set", "left_n", "right_n", F.col("left_size").cast("long").alias("shared"), F.lit(1.0).alias("jaccard"))
+        named[0]["kind"], "left_set", "right_set", "left_n", "right_n", F.col("left_size").cast("long").alias("shared"), F.lit(1.0).alias("jaccard")).where(F.lit(not once))
     if percent >= 100:
         return equal
     everything = sides[0].withColumn("side", F.lit("left")).unionByName(sides[1].withColumn("side", F.lit("right")))
@@ -101,7 +102,7 @@ def set_links(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
     need = overlap_needed(F.col("left_size"), F.col("right_size"), percent)
     within = (F.least("left_size", "right_size") * 100 >= F.greatest("left_size", "right_size") * percent) & (F.least(F.col("left_size") - F.col("left_place"), F.col("right_size") - F.col("right_place")) + 1 >= need)
     met = keys[0].withColumnRenamed("kind", "k").join(keys[1], (F.col("k").eqNullSafe(F.col("kind"))) & (keys[0]["element"] == keys[1]["element"]) & (keys[0]["left_band"] == keys[1]["left_band"]) & (keys[0]["right_band"] == keys[1]["right_band"]))
-    pairs = met.where((F.col("left_set") != F.col("right_set")) & within).select(keys[1]["kind"], "left_set", "right_set").distinct()
+    pairs = met.where(((F.col("left_set") < F.col("right_set")) if once else (F.col("left_set") != F.col("right_set"))) & within).select(keys[1]["kind"], "left_set", "right_set").distinct()
     full = pairs.withColumnRenamed("kind", "k")
     for side, name in zip(named, ("left", "right"), strict=True):
         full = full.join(side.withColumnRenamed("kind", f"{name}_kind").withColumnRenamed(f"{name}_set", "s"), (F.col(f"{name}_set") == F.col("s")) & F.col("k").eqNullSafe(F.col(f"{name}_kind"))).drop("s")

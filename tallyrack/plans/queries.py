@@ -498,7 +498,8 @@ p AS (SELECT a.id AS a, b.id AS b, a.n AS n_a, b.n AS n_b, a.size AS sa, b.size
 SELECT a, b, n_a, n_b, shared, round(shared / (sa + sb - shared), 6) AS jaccard FROM p WHERE shared * 100 >= (sa + sb - shared) * 60
 """)
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.near_duplicates(audit.element_sets(_t(spark, sf_dir, "documents"), "doc_id", "text"), 60).withColumn("jaccard", F.round("jaccard", 6))
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    return audit.near_duplicates(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), lines.alias("elements")), 60).drop("kind").withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query("""

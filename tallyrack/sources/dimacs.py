@@ -19,6 +19,10 @@ class Unsupported(ValueError):
     status = "unsupported_input"
 
 
+class TooLarge(ValueError):
+    status = "resource_limit"
+
+
 def parse_weight(token: str) -> Fraction:
     """Fraction, decimal or scientific notation, exactly."""
     if not 0 < len(token) <= MOST_TOKEN:
@@ -54,17 +58,29 @@ def clean_clause(literals: list[int]) -> tuple[int, ...] | None:
     return None if any(a == -b for a, b in zip(unique, unique[1:], strict=False)) else tuple(unique)
 
 
-def parse(text: str, most_variables: int = 1_000_000, most_clauses: int = 10_000_000) -> Formula:
-    """Parse ``p cnf``, ``c t wmc``, ``c p weight L W 0`` and clauses; ParseError or Unsupported otherwise."""
+def parse(text: str | None, most_variables: int = 1_000_000, most_clauses: int = 10_000_000, most_literals: int = 100_000_000, most_bytes: int = 1 << 30, most_line: int = 1 << 26) -> Formula:
+    """Parse ``p cnf``, ``c t wmc``, ``c p weight L W 0`` and clauses; ParseError (also for null), Unsupported or TooLarge (sizes in characters) otherwise."""
+    if text is None:
+        raise ParseError("no text")
+    if len(text) > most_bytes:
+        raise TooLarge("text")
+    read = 0
     f, declared, given, open_clause, count = Formula(), None, {}, [], 0
     for line in text.split("\n"):
+        if len(line) > most_line:
+            raise TooLarge("line")
         fields = line.split()
         if not fields:
             continue
         if fields[0] == "c":
-            if fields[1:2] == ["t"] and fields[2:] != ["wmc"]:
-                raise Unsupported("problem type")
+            if fields[1:2] == ["t"]:
+                if len(fields) != 3:
+                    raise ParseError("problem type line")
+                if fields[2] != "wmc":
+                    raise Unsupported("problem type")
             if fields[1:2] == ["p"]:
+                if len(fields) < 3:
+                    raise ParseError("weight line")
                 if fields[2:3] != ["weight"]:
                     raise Unsupported(" ".join(fields[:3]))
                 if len(fields) != 6 or fields[5] != "0" or not re.fullmatch(r"-?[0-9]+", fields[3]) or int(fields[3]) == 0:
@@ -78,7 +94,7 @@ def parse(text: str, most_variables: int = 1_000_000, most_clauses: int = 10_000
                 raise ParseError("header")
             f.variables, declared = int(fields[2]), int(fields[3])
             if f.variables > most_variables or declared > most_clauses:
-                raise Unsupported("too large")
+                raise TooLarge("declared size")
             continue
         if declared is None:
             raise ParseError("clause before header")
@@ -86,6 +102,9 @@ def parse(text: str, most_variables: int = 1_000_000, most_clauses: int = 10_000
             if not re.fullmatch(r"-?[0-9]+", token):
                 raise ParseError(f"literal {token!r}")
             literal = int(token)
+            read += literal != 0
+            if read > most_literals:
+                raise TooLarge("literals")
             if literal == 0:
                 count += 1
                 if (clause := clean_clause(open_clause)) is not None:
