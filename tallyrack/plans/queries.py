@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyrack.functions import canonical
 from tallyrack.functions import scalars as S
-from tallyrack.operators import audit, calibration, count_index, decision, elimination, finite, graph, learning, monitor, records, run, similarity, validate, wmc
+from tallyrack.operators import audit, calibration, count_index, decision, elimination, finite, graph, guarded, learning, monitor, records, run, similarity, validate, wmc
 from tallyrack.sources import archive
 from tallyrack.sources.shared import written
 from tallyrack.streaming import controller, learner
@@ -407,6 +407,40 @@ def decide_abstain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision.decide(_risks(spark, sf_dir), 0, 1)
 
 
+_GUARDED = """
+WITH c AS (SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS id FROM customer),
+st AS (SELECT k, i, (k * (i + 3)) % 7 + 1 AS w, i = 2 AND k % 5 = 0 AS unresolved FROM c, range(3) t(i)),
+rq AS (SELECT k, id, k % 11 <> 0 AS up, k % 17 <> 0 AND k % 19 <> 0 AS exact, k % 19 = 0 AS void, sum(w) AS total, sum(w) FILTER (unresolved) AS open FROM c JOIN st USING (k) GROUP BY k, id),
+ac AS (SELECT k, j, (k + j) % 6 AS cost, j % 2 AS priority, (k + j) % 4 = 0 AS need, k % 3 <> 0 AND (k + j) % 8 <> 0 AS okay, k % 29 = 0 AND j = 1 AS unnamed FROM c, range(3) t(j)),
+lo AS (SELECT k, j, i, (k * (j + 1) + i * 5) % 9 AS loss FROM ac JOIN st USING (k) WHERE NOT (k % 23 = 0 AND j = 1 AND i = 1)),
+f AS (SELECT k, concat_ws(',', CASE WHEN void THEN 'exactness' END, CASE WHEN k % 13 = 0 THEN 'distribution' END, CASE WHEN k % 29 = 0 THEN 'action' END, CASE WHEN k % 23 = 0 THEN 'loss' END) AS faults FROM rq),
+ri AS (SELECT k, j, priority, 4 * 2 * sum(loss * w) + any_value(total) * any_value(cost) AS num, any_value(total) * 8 AS den FROM ac JOIN lo USING (k, j) JOIN st USING (k, i) JOIN rq USING (k) WHERE cost <= 4 AND (NOT need OR okay) GROUP BY k, j, priority),
+be AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY num, priority, j) AS rn FROM ri)
+SELECT id AS request_id, CASE WHEN NOT up OR NOT exact THEN 'abstention' WHEN faults <> '' THEN 'invalid' WHEN coalesce(open, 0) * 4 > total OR num IS NULL OR num >= den * 5 THEN 'abstention' ELSE 'selected' END AS status,
+  CASE WHEN NOT up THEN 'upstream' WHEN NOT exact THEN 'not_exact' WHEN faults <> '' THEN faults WHEN coalesce(open, 0) * 4 > total THEN 'unresolved' WHEN num IS NULL THEN 'no_admissible' WHEN num >= den * 5 THEN 'risk' ELSE 'least_risk' END AS reason,
+  CASE WHEN up AND exact AND faults = '' AND coalesce(open, 0) * 4 <= total AND num < den * 5 THEN 'a' || j END AS action_id,
+  CASE WHEN up AND exact AND faults = '' AND coalesce(open, 0) * 4 <= total AND num IS NOT NULL THEN CAST(num AS BIGINT) ELSE 0 END AS best_num, CASE WHEN up AND exact AND faults = '' AND coalesce(open, 0) * 4 <= total AND num IS NOT NULL THEN CAST(den AS BIGINT) ELSE 0 END AS best_den, CAST(coalesce(open, 0) AS BIGINT) AS unresolved
+FROM rq JOIN f USING (k) LEFT JOIN be ON be.k = rq.k AND rn = 1
+"""
+
+
+@query(_GUARDED)
+def guarded_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for each customer, with three states and three actions, some with certificates, some broken."""
+    c = _t(spark, sf_dir, "customer").selectExpr("c_custkey AS k", "CAST(c_custkey AS STRING) AS request_id")
+    state = c.select("k", "request_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i")).selectExpr("k", "request_id", "concat('s', i) AS state_id", "i", "(k * (i + 3)) % 7 + 1 AS weight", "i = 2 AND k % 5 = 0 AS unresolved")
+    request = state.groupBy("k", "request_id").agg(F.sum("weight").alias("w")).selectExpr(
+        "request_id", "CASE WHEN k % 11 = 0 THEN 'timeout' ELSE 'success' END AS upstream_status", "CASE WHEN k % 19 = 0 THEN 'not_applicable' WHEN k % 17 = 0 THEN 'approximate' ELSE 'exact' END AS exactness", "sha2(request_id, 256) AS subject_sha256", "w + CAST(k % 13 = 0 AS INT) AS total")
+    okay = "k % 3 <> 0 AND (k + j) % 8 <> 0"
+    action = c.select("k", "request_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("j")).selectExpr(
+        "k", "j", "request_id", "concat('a', j) AS action_id", "CASE WHEN k % 29 = 0 AND j = 1 THEN '' ELSE 'l' END AS label", "'{}' AS output", "sha2(CAST(j AS STRING), 256) AS claim_sha256", "j % 2 AS priority", "(k + j) % 6 AS cost_num", "4 AS cost_den", "(k + j) % 4 = 0 AS requires_certificate",
+        "'sound' AS property_id", "concat('c', j) AS certificate_id", "sha2('d', 256) AS digest", "1 AS valid_from", "CASE WHEN k % 2 = 0 OR (k + j) % 8 <> 0 THEN 9 ELSE 2 END AS valid_to", "concat('a', j) AS for_action", "sha2(request_id, 256) AS for_subject",
+        f"CASE WHEN {okay} THEN sha2(CAST(j AS STRING), 256) END AS for_claim", "'sound' AS for_property", "'v' AS verifier_id", "'1' AS verifier_version", "true AS verified")
+    loss = action.select("k", "j", "request_id", "action_id").join(state.select("k", "i", "state_id"), "k").where("NOT (k % 23 = 0 AND j = 1 AND i = 1)").selectExpr("request_id", "action_id", "state_id", "(k * (j + 1) + i * 5) % 9 AS loss")
+    policy = guarded.Policy(resource=(1, 2), abstain=(5, 1), unresolved=(1, 4), verifier_id="v", verifier_version="1", now=5)
+    return guarded.decide(request, state.drop("k", "i"), action.drop("k", "j"), loss, policy).na.fill(0, ["best_num", "best_den"])
+
+
 @query("""
 WITH r AS (SELECT s_suppkey, 'a' || s_suppkey AS action_id, s_suppkey % 5 <> 0 AS need, CASE WHEN s_suppkey % 7 <> 0 THEN 'c' || s_suppkey END AS cert,
   CASE WHEN s_suppkey % 11 = 0 THEN 'zz' WHEN s_suppkey % 17 <> 1 THEN sha256(CAST(s_suppkey AS VARCHAR)) END AS digest,
