@@ -16,7 +16,7 @@ from tallyrack.sources.dimacs import Formula, parse
 RESULT = "formula_id string, status string, satisfiable boolean, num string, den string, nodes long, splits long, propagations long, diagnostic string"
 
 
-class _Limit(Exception):
+class Limit(Exception):
     pass
 
 
@@ -28,12 +28,20 @@ class Solver:
         self.node_limit, self.seconds, self.depth_limit = node_limit, seconds, depth_limit
         self.nodes = self.splits = self.propagations = 0
 
-    def solve(self, f: Formula) -> tuple[Fraction, bool]:
+    def solve(self, f: Formula, given=()) -> tuple[Fraction, bool]:
+        """The mass of the models in which the literals ``given`` hold, and whether there is one."""
         self.f, self.until = f, time.monotonic() + self.seconds if self.seconds else None
         old = sys.getrecursionlimit()
         sys.setrecursionlimit(max(old, 4 * self.depth_limit + 1000))
         try:
-            return self._count(f.clauses, frozenset(range(1, f.variables + 1)), 0)
+            clauses, weight = f.clauses, Fraction(1)
+            for literal in given:
+                weight *= f.weight(literal)
+                clauses = self._assign(clauses, literal)
+                if clauses is None:
+                    return Fraction(0), False
+            value, sat = self._count(clauses, frozenset(range(1, f.variables + 1)) - {abs(x) for x in given}, 0)
+            return weight * value, sat
         finally:
             sys.setrecursionlimit(old)
 
@@ -60,9 +68,9 @@ class Solver:
     def _count(self, clauses, scope, depth) -> tuple[Fraction, bool]:
         self.nodes += 1
         if self.node_limit and self.nodes > self.node_limit or depth > self.depth_limit:
-            raise _Limit("resource_limit")
-        if self.until and not self.nodes & 255 and time.monotonic() > self.until:
-            raise _Limit("timeout")
+            raise Limit("resource_limit")
+        if self.until and time.monotonic() > self.until:
+            raise Limit("timeout")
         weight = Fraction(1)
         if any(not c for c in clauses):
             return Fraction(0), False
@@ -133,7 +141,7 @@ def count_text(formula_id: str, text: str, **options) -> dict:
     try:
         value, sat = solver.solve(parse(text))
         row |= {"status": "success", "satisfiable": sat, "num": str(value.numerator), "den": str(value.denominator)}
-    except _Limit as e:
+    except Limit as e:
         row |= {"status": str(e)}
     except ValueError as e:
         row |= {"status": getattr(e, "status", "parse_error"), "diagnostic": str(e)}
