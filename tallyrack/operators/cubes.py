@@ -66,7 +66,7 @@ def counted(formulas: DataFrame, node_budget: int = 20_000, seconds: float = 60.
 
     A cube (literals taken as true) that isn't counted within ``node_budget``
     nodes and ``seconds`` is replaced by up to ``ways`` cubes, which any task
-    may take in the next round.  The cubes of a formula are dealt over shares,
+    may take in the next round.  The first round takes each formula whole; later the cubes of a formula are dealt over shares,
     each of which gets the text once, so one large formula fills the cluster.
     Counts are integers over the product of the weights' denominators and are
     summed by groups of nine digits.  Each round is a written table.
@@ -78,45 +78,49 @@ def counted(formulas: DataFrame, node_budget: int = 20_000, seconds: float = 60.
     spark = formulas.sparkSession
     names = [c.split()[0] for c in WORK.replace(", ", ",").split(",")]
 
-    def worker(last):
-        def work(key, texts, cubes):
-            blank = {"formula_id": key[0], "satisfiable": None, "limbs": None, "scale": None, "children": None, "nodes": 0, "diagnostic": None}
-            if texts["unlike"].iloc[0]:
-                return pd.DataFrame([blank | {"status": "invalid_input", "diagnostic": "one id, several texts"}], columns=names)
+    def work(formula_id, text, unlike, cubes, last):
+        blank = {"formula_id": formula_id, "satisfiable": None, "limbs": None, "scale": None, "children": None, "nodes": 0, "diagnostic": None}
+        if unlike:
+            return [blank | {"status": "invalid_input", "diagnostic": "one id, several texts"}]
+        try:
+            f = parse(text)
+        except ValueError as e:
+            return [blank | {"status": getattr(e, "status", "parse_error"), "diagnostic": str(e)}]
+        scale = prod(lcm(a.denominator, b.denominator) for a, b in f.weights.values())
+        rows = []
+        for cube in cubes:
+            given = [int(x) for x in cube]
+            solver = Solver(node_limit=node_budget, seconds=seconds, **options)
             try:
-                f = parse(texts["text"].iloc[0])
-            except ValueError as e:
-                return pd.DataFrame([blank | {"status": getattr(e, "status", "parse_error"), "diagnostic": str(e)}], columns=names)
-            scale = prod(lcm(a.denominator, b.denominator) for a, b in f.weights.values())
-            rows = []
-            for cube in cubes["lits"]:
-                given = [int(x) for x in cube]
-                solver = Solver(node_limit=node_budget, seconds=seconds, **options)
-                try:
-                    value, sat = solver.solve(f, given)
-                    row = {"status": "leaf", "satisfiable": sat, "limbs": _limbs(int(value * scale)), "scale": str(scale)}
-                except Limit as e:
-                    row = {"status": str(e)} if last else {"status": "open", "children": split(f, given, ways)}
-                rows.append(blank | row | {"nodes": solver.nodes})
-            return pd.DataFrame(rows, columns=names)
-
-        return work
+                value, sat = solver.solve(f, given)
+                row = {"status": "leaf", "satisfiable": sat, "limbs": _limbs(int(value * scale)), "scale": str(scale)}
+            except Limit as e:
+                row = {"status": str(e)} if last else {"status": "open", "children": split(f, given, ways)}
+            rows.append(blank | row | {"nodes": solver.nodes})
+        return rows
+
+    def first(frames):
+        for frame in frames:
+            yield pd.DataFrame([row for r in frame.itertuples(index=False) for row in work(r.formula_id, r.text, r.unlike, [()], rounds <= 1)], columns=names)
+
+    def later(last):
+        return lambda key, texts, cubes: pd.DataFrame(work(key[0], texts["text"].iloc[0], texts["unlike"].iloc[0], cubes["lits"], last), columns=names)
 
     texts = written(formulas.where("formula_id IS NOT NULL").groupBy(F.col("formula_id").cast("string").alias("formula_id")).agg(
         F.min("text").alias("text"), (F.count_distinct("text") + F.max(F.col("text").isNull().cast("int")) > 1).alias("unlike")), "cube-texts")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    waiting, shares, every = texts.select(F.col("formula_id").alias("formula_id"), F.array().cast("array<int>").alias("lits")), 1, None
-    for turn in range(rounds):
-        cubes = waiting.withColumn("share", F.pmod(F.xxhash64("lits"), F.lit(shares)))
-        sent = texts.join(cubes.select(F.col("formula_id").alias("to"), F.col("share").alias("at")).distinct(), F.col("formula_id") == F.col("to")).select("to", "at", "text", "unlike")
-        both = sent.groupBy("to", "at").cogroup(cubes.groupBy("formula_id", "share"))
-        done = written(both.applyInPandas(worker(turn == rounds - 1), WORK), "cubes")
-        every = done if every is None else every.unionByName(done)
+    every = done = written(texts.repartition("formula_id").mapInPandas(first, WORK), "cubes")
+    for turn in range(1, rounds):
         waiting = done.where("status = 'open'").select("formula_id", F.explode("children").alias("lits"))
         left, wide = waiting.groupBy("formula_id").agg(F.count("*").alias("n")).agg(F.sum("n"), F.max("n")).first()
         if not left:
             break
-        shares = max(1, min(parts, wide), wide // 10_000)
+        shares = max(1, min(wide, 4 * parts * wide // left), wide // 10_000)  # some tasks' worth of groups in all, none without bound
+        cubes = waiting.withColumn("share", F.pmod(F.xxhash64("lits"), F.lit(shares)))
+        sent = texts.join(cubes.select(F.col("formula_id").alias("to"), F.col("share").alias("at")).distinct(), F.col("formula_id") == F.col("to")).select("to", "at", "text", "unlike")
+        both = sent.groupBy("to", "at").cogroup(cubes.groupBy("formula_id", "share"))
+        done = written(both.applyInPandas(later(turn == rounds - 1), WORK), "cubes")
+        every = every.unionByName(done)
     failed = F.max(F.when(~F.col("status").isin("leaf", "open"), F.col("status")))
     sums = every.groupBy("formula_id").agg(F.coalesce(failed, F.lit("success")).alias("status"), F.coalesce(F.bool_or("satisfiable"), F.lit(False)).alias("sat"), F.max("scale").alias("scale"), F.sum("nodes").alias("nodes"), F.count("*").alias("cubes"), F.max("diagnostic").alias("diagnostic"))
     places = every.where("status = 'leaf'").select("formula_id", F.posexplode("limbs").alias("place", "d")).groupBy("formula_id", "place").agg(F.sum("d").alias("d"))

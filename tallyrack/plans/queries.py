@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyrack.functions import canonical
 from tallyrack.functions import scalars as S
-from tallyrack.operators import audit, calibration, count_index, decision, elimination, finite, graph, guarded, learning, monitor, records, run, similarity, validate, wmc
+from tallyrack.operators import audit, calibration, count_index, cubes, decision, digests, elimination, finite, graph, guarded, learning, monitor, records, run, search, similarity, validate, wmc
 from tallyrack.sources import archive
 from tallyrack.sources.shared import written
 from tallyrack.streaming import controller, learner
@@ -124,6 +124,13 @@ def wmc_solver(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("formula_id").cast("long").alias("formula_id"), F.col("num").cast("long").alias("models"))
 
 
+@query(_MODELS)
+def wmc_cubes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same counts with so small a budget that many formulas are split."""
+    got = cubes.counted(_formula_texts(spark, sf_dir), node_budget=24, ways=4)
+    return got.select(F.col("formula_id").cast("long").alias("formula_id"), F.col("num").cast("long").alias("models"))
+
+
 @query(f"""
 WITH l AS ({_LITERALS}), f AS (SELECT DISTINCT formula_id FROM l),
 t AS (SELECT formula_id, v, CAST((formula_id * 3 + v * 5) % 9 + 1 AS BIGINT) AS t FROM f, range(1, 9) AS r(v)),
@@ -304,6 +311,16 @@ def grid_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("node_limit", "completed", "nodes", F.round("mean_log_nodes", 6).alias("mean_log_nodes"), "chosen")
 
 
+@query()
+def search_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The node budget for the formulas, each checked against its enumerated models; no SQL, as nodes are the solver's."""
+    lits = _literals(spark, sf_dir)
+    models = wmc.enumerate_counts(lits, lits.select("formula_id", F.lit(8).alias("n")).distinct())
+    cases = _formula_texts(spark, sf_dir).withColumnRenamed("formula_id", "case_id").join(models.select(F.col("formula_id").cast("string").alias("case_id"), F.col("models").alias("expected")), "case_id")
+    got = search.search(cases.selectExpr("*", "'development' AS partition", "expected > 0 AS satisfiable"), [1, 2, 4, 8, 16, 32, 64, 128])
+    return got.withColumn("mean_log_nodes", F.round("mean_log_nodes", 6))
+
+
 # ----------------------------------------------------------------- calibration
 
 _FORECASTS = """
@@ -896,3 +913,38 @@ def snapshot_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = rows.groupBy("stream_id").agg(F.max("seq").alias("last"))
     ids = rows.join(last, "stream_id").where("stream_id % 7 <> 0 OR seq < last").select("stream_id", F.col("seq").cast("string").alias("observation_id"))
     return validate.snapshot_issues(broken, ids)
+
+
+# --------------------------------------------------------------------- digests
+
+_TREE_COLUMNS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"]
+
+
+def _row_sha(columns: list[str]) -> str:
+    return "sha256(concat_ws(',', " + ", ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), 'null')" for c in columns) + "))"
+
+
+def _tree_sql(table: str, columns: list[str], most: int = 6) -> str:
+    level = lambda i: f"""l{i} AS (SELECT * FROM leaves WHERE level = {i} UNION ALL
+      SELECT {i}, substr(prefix, 1, {i}), CAST(sum(n) AS BIGINT), sha256(string_agg(prefix || '=' || digest, chr(10) ORDER BY prefix || '=' || digest)) FROM l{i + 1} GROUP BY 2)"""
+    return f"""WITH c AS (SELECT {_row_sha(columns)} AS d, count(*) AS c FROM {table} GROUP BY 1),
+      k AS (SELECT CAST(greatest(0, ceil(ln(greatest(count(*), 1) / {digests.LEAF_ROWS}.0) / ln(16) - 1e-9)) AS INTEGER) AS level FROM {table}),
+      leaves AS (SELECT level, substr(d, 1, level) AS prefix, CAST(sum(c) AS BIGINT) AS n, sha256(string_agg(d || 'x' || c, chr(10) ORDER BY d || 'x' || c)) AS digest FROM c, k GROUP BY ALL),
+      l{most} AS (SELECT * FROM leaves WHERE level = {most}), """ + ", ".join(level(i) for i in range(most - 1, -1, -1)) + " " + " UNION ALL ".join(f"SELECT level, prefix, n, digest FROM l{i}" for i in range(most + 1))
+
+
+@query(_tree_sql("lineitem", _TREE_COLUMNS))
+def tree_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.tree(_t(spark, sf_dir, "lineitem"), _TREE_COLUMNS)
+
+
+@query("""
+WITH b AS (SELECT doc_id, CASE WHEN doc_id % 41 = 3 THEN text || '.' ELSE text END AS text, lang FROM documents WHERE doc_id % 53 <> 7 UNION ALL SELECT doc_id, text, lang FROM documents WHERE doc_id % 61 = 11),
+u AS (SELECT doc_id, text, lang, 1 AS one, 0 AS other FROM documents UNION ALL SELECT doc_id, text, lang, 0, 1 FROM b)
+SELECT doc_id, sha256(text) AS text_sha256, lang, CAST(sum(one) AS BIGINT) AS n_one, CAST(sum(other) AS BIGINT) AS n_other FROM u GROUP BY doc_id, text, lang HAVING sum(one) <> sum(other)
+""")
+def tree_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an edited, thinned and partly doubled version of the documents changes, found by their digest trees."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    other = docs.where("doc_id % 53 <> 7").withColumn("text", F.expr("CASE WHEN doc_id % 41 = 3 THEN concat(text, '.') ELSE text END")).unionByName(docs.where("doc_id % 61 = 11"))
+    return digests.changes(docs, other).select("doc_id", F.sha2("text", 256).alias("text_sha256"), "lang", "n_one", "n_other")

@@ -12,10 +12,10 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_canonical_json_equals_plain(spark):
-    """Of the queries without SQL, this one; ``normalize_surfaces`` has its own test below."""
+    """Of the queries without SQL, this one; the others have their own tests below."""
     import json
 
-    assert set(QUERIES) - set(SQL) == {"canonical_json", "normalize_surfaces"}
+    assert set(QUERIES) - set(SQL) == {"canonical_json", "normalize_surfaces", "search_budget"}
     got = {r["event_id"]: r["status"] for r in QUERIES["canonical_json"](spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/events.parquet").select("event_id", "props").collect():
         try:
@@ -44,3 +44,20 @@ def test_surfaces_and_identifiers_use_the_whole_text(spark, tmp_path):
     assert got == {i: None if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()) for i, t in enumerate(texts)}
     okay = {r["doc_id"] for r in QUERIES["scalar_checks"](spark, str(tmp_path)).where("text_ok").collect()}
     assert okay == {4, 5, 8}
+
+
+def test_search_budget_equals_the_full_grid(spark):
+    from tallyrack.operators.wmc import exact_counts
+    from tallyrack.plans.queries import _formula_texts
+
+    texts = _formula_texts(spark, SF).cache()
+    n = texts.count()
+    got = {r["node_limit"]: r for r in QUERIES["search_budget"](spark, SF).collect()}
+    most = -1
+    for limit in sorted(got):
+        done = [r["nodes"] for r in exact_counts(texts, node_limit=limit).where("status = 'success'").collect()]
+        assert (got[limit]["completed"], got[limit]["nodes"] or 0) == (len(done), sum(done))
+        if len(done) > most:
+            best, most = limit, len(done)
+    assert [x for x in got if got[x]["chosen"]] == [best] and sum(r["tried"] for r in got.values()) < n * len(got)
+    texts.unpersist()
