@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyrack.functions import canonical
 from tallyrack.functions import scalars as S
-from tallyrack.operators import audit, calibration, count_index, cubes, decision, digests, elimination, finite, graph, guarded, learning, monitor, records, run, search, similarity, validate, wmc
+from tallyrack.operators import audit, calibration, count_index, cubes, decision, digests, elimination, evidence, finite, graph, guarded, learning, monitor, records, run, search, similarity, validate, wmc
 from tallyrack.sources import archive
 from tallyrack.sources.shared import written
 from tallyrack.streaming import controller, learner
@@ -948,3 +948,38 @@ def tree_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     other = docs.where("doc_id % 53 <> 7").withColumn("text", F.expr("CASE WHEN doc_id % 41 = 3 THEN concat(text, '.') ELSE text END")).unionByName(docs.where("doc_id % 61 = 11"))
     return digests.changes(docs, other).select("doc_id", F.sha2("text", 256).alias("text_sha256"), "lang", "n_one", "n_other")
+
+
+# -------------------------------------------------------------------- evidence
+
+_EVIDENCE = [
+    "o_orderkey % 20 AS model_id", "o_orderkey AS ordinal", "'e' || (o_orderkey - CASE WHEN o_orderkey % 23 = 0 THEN 20 ELSE 0 END) AS evidence_id", "CASE WHEN o_orderkey % 19 = 4 THEN NULL ELSE 's' || o_custkey END AS source_id",
+    "CASE WHEN o_orderkey % 29 = 0 THEN '2024-13-01T00:00:00Z' ELSE '2024-01-01T00:00:00Z' END AS observed_at", "CASE WHEN o_orderkey % 31 = 0 THEN '' ELSE o_orderpriority END AS reference", "CASE WHEN o_orderkey % 37 = 0 THEN 'final_test' ELSE 'training' END AS part",
+    "CASE WHEN o_orderkey % 4 = 0 THEN 'hard_constraint' ELSE 'likelihood' END AS semantics",
+    "CASE o_orderkey % 7 WHEN 0 THEN 'exact_duplicate' WHEN 1 THEN 'model_factor' WHEN 2 THEN 'correlated' WHEN 3 THEN 'unknown' WHEN 4 THEN 'other' ELSE 'independent' END AS dependence",
+    "'f' || (o_custkey % 10) AS f1", "'f' || CASE WHEN o_orderkey % 17 = 0 THEN o_custkey % 10 ELSE o_custkey % 10 + 1 END AS f2", "CASE WHEN o_orderkey % 43 = 0 THEN -1 ELSE o_orderkey % 3 END AS v3", "o_orderkey % 41 = 0 AS short",
+    "CASE WHEN o_orderkey % 7 IN (0, 2, 3) OR o_orderkey % 47 = 0 THEN 'e' || (o_orderkey - 20 * (o_orderkey % 5 - 1)) END AS parent_id", "CASE WHEN o_orderkey % 53 = 0 THEN 'near' WHEN o_orderkey % 7 = 0 THEN 'exact_duplicate' WHEN o_orderkey % 7 = 2 THEN 'correlated' ELSE 'unknown' END AS relation",
+]
+
+
+@query(f"""
+WITH e AS (SELECT {", ".join(_EVIDENCE)} FROM orders), fst AS (SELECT model_id, evidence_id, min(ordinal) AS first_at FROM e GROUP BY ALL), p AS (SELECT e.* FROM e JOIN fst USING (model_id, evidence_id) WHERE ordinal = first_at),
+j AS (SELECT e.*, first_at, p.ordinal AS p_at, (e.semantics, e.f1, e.f2, e.v3, e.short) = (p.semantics, p.f1, p.f2, p.v3, p.short) AS same FROM e JOIN fst USING (model_id, evidence_id) LEFT JOIN p ON p.model_id = e.model_id AND p.evidence_id = e.parent_id),
+i AS (SELECT model_id, ordinal, [x FOR x IN [
+  CASE WHEN source_id IS NULL THEN 'source_id' END, CASE WHEN observed_at LIKE '2024-13%' THEN 'observed_at' END, CASE WHEN reference = '' THEN 'reference' END, CASE WHEN part <> 'training' THEN 'partition' END,
+  CASE WHEN dependence = 'other' THEN 'dependence' END, CASE WHEN short THEN 'table_size' END, CASE WHEN f1 = f2 OR f2 = 'f10' THEN 'scope' END, CASE WHEN v3 < 0 THEN 'likelihood' END, CASE WHEN semantics = 'hard_constraint' AND v3 NOT IN (0, 1) THEN 'hard_values' END,
+  CASE WHEN ordinal > first_at THEN 'evidence_id_repeated' END, CASE WHEN parent_id IS NOT NULL AND NOT regexp_full_match(parent_id, '[A-Za-z0-9][A-Za-z0-9._:-]*') THEN 'dependency_id' END, CASE WHEN parent_id IS NOT NULL AND relation = 'near' THEN 'relation' END,
+  CASE WHEN parent_id IS NOT NULL AND coalesce(p_at >= ordinal, true) THEN 'parent' END, CASE WHEN dependence = 'exact_duplicate' AND relation = 'exact_duplicate' AND p_at < ordinal AND NOT same THEN 'duplicate_factor' END,
+  CASE dependence WHEN 'independent' THEN CASE WHEN parent_id IS NOT NULL THEN 'links' END WHEN 'model_factor' THEN CASE WHEN semantics <> 'hard_constraint' OR parent_id IS NOT NULL THEN 'links' END
+    WHEN 'exact_duplicate' THEN CASE WHEN parent_id IS NULL OR relation <> 'exact_duplicate' THEN 'links' END WHEN 'correlated' THEN CASE WHEN parent_id IS NULL OR relation <> 'correlated' THEN 'links' END
+    WHEN 'unknown' THEN CASE WHEN parent_id IS NOT NULL AND relation <> 'unknown' THEN 'links' END END
+  ] IF x IS NOT NULL] AS issues FROM j)
+SELECT model_id, ordinal, array_to_string(list_sort(issues), ',') AS issues, len(issues) = 0 AS ok FROM i
+""")
+def evidence_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "orders").selectExpr(*_EVIDENCE)
+    one = lambda v: f"named_struct('num', CAST({v} AS DECIMAL(38,0)), 'den', CAST(1 AS DECIMAL(38,0)))"
+    rows = rows.selectExpr("*", "part AS partition", "'v1' AS extractor", "array(f1, f2) AS scope", f"slice(array({one(1)}, {one(0)}, {one('v3')}, {one(1)}), 1, if(short, 3, 4)) AS likelihood", "if(parent_id IS NULL, array(), array(named_struct('evidence_id', parent_id, 'relation', relation))) AS dependencies")
+    models = rows.select("model_id").distinct().selectExpr("model_id", "'training' AS partition")
+    facts = _t(spark, sf_dir, "orders").selectExpr("o_orderkey % 20 AS model_id", "explode(transform(sequence(0, 9), x -> 'f' || x)) AS fact_id").distinct()
+    return evidence.evidence_issues(rows, models, facts).select("model_id", "ordinal", F.array_join("issues", ",").alias("issues"), "ok")
