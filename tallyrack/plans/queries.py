@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyrack.functions import canonical
 from tallyrack.functions import scalars as S
-from tallyrack.operators import audit, calibration, count_index, cubes, decision, digests, elimination, evidence, finite, graph, guarded, learning, monitor, records, run, search, similarity, validate, wmc
+from tallyrack.operators import audit, calibration, count_index, cubes, decision, digests, elimination, evidence, finite, graph, guarded, learning, monitor, protocol, records, run, search, similarity, validate, wmc
 from tallyrack.sources import archive
 from tallyrack.sources.shared import written
 from tallyrack.streaming import controller, learner
@@ -394,6 +394,24 @@ def prediction_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibration.prediction_sets(rows, calibration.conformal_threshold(rows, 10))
 
 
+def _cells(section: str, item: str, sql: str, measures: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{section}' AS section, {item} AS item, '{m}' AS measure, round(CAST({m} AS DOUBLE), 6) AS value FROM ({sql})" for m in measures.split())
+
+
+@query(" UNION ALL ".join([
+    _cells("score", "score", SQL["calibration_scores"], "n mean se low high"), _cells("bin", "CAST(bin AS VARCHAR)", SQL["reliability_bins"], "n mean_p rate low high"),
+    _cells("bin", "CAST(i AS VARCHAR)", _FORECASTS + "SELECT i, count(observation_id) AS issued FROM range(10) t(i) LEFT JOIN f ON least(CAST(floor(p * 10) AS INTEGER), 9) = i GROUP BY i", "issued"),
+    _cells("sharpness", "'all'", SQL["sharpness"], "n mean_p mean_confidence mean_entropy least greatest"), _cells("subgroup", "subgroup", SQL["subgroup_counts"], "total scored missing errors shifted below_minimum"),
+    _cells("risk_coverage", "CAST(retained AS VARCHAR)", SQL["risk_coverage"], "confidence retained errors coverage risk"), _cells("conformal", "'threshold'", SQL["conformal_threshold"], "n k threshold"),
+    "SELECT 'conformal' AS section, 'status' AS item, 'alpha_percent' AS measure, CAST(10 AS DOUBLE) AS value"]))
+def calibration_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _forecasts(spark, sf_dir)
+    frozen = protocol.Protocol("quality", "1", "remainder", "build-1", "labels", "documents", "1", "every document", alpha_percent=10, exchangeable=True, basis="ids say nothing about quality")
+    ids = {"fitting": _t(spark, sf_dir, "customer").selectExpr("'c' || c_custkey AS observation_id"), "calibration": rows.select(F.col("observation_id").cast("string").alias("observation_id")), "final_test": _t(spark, sf_dir, "supplier").selectExpr("'s' || s_suppkey AS observation_id")}
+    got = protocol.report(frozen, rows.withColumn("partition", F.lit("calibration")).withColumn("partition_id", F.lit("labels")), ids)
+    return got.select("section", "item", "measure", F.round("value", 6).alias("value"))
+
+
 # -------------------------------------------------------------------- decision
 
 _DECIDE = """
