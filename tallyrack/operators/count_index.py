@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyrack.sources.shared import written
+
 KEYS = ["subject_key", "relation_key", "answer_key"]
 
 
@@ -23,21 +25,31 @@ def merge(parts: DataFrame) -> DataFrame:
     return parts.groupBy(*KEYS).agg(F.sum("count").alias("count"), F.min(F.struct("shard", "ord", "answer_surface")).alias("s")).select(*KEYS, F.col("s.answer_surface").alias("answer_surface"), "count")
 
 
-def shard_plan(records: DataFrame, shards: int, order: str) -> DataFrame:
-    """Contiguous balanced shards in order, the first ones larger by one.
+def numbered(records: DataFrame, order: list[str], within: list[str] = ()) -> DataFrame:
+    """Adds row, the place from 0 by ``order`` and then ``within`` (nulls first), and total.
 
-    Rows are numbered from per-range counts, so no task sees them all.
+    Ranges go by ``order`` alone, whose values are sampled.  Rows are numbered
+    from per-range counts, so no task sees them all; ranges are written first,
+    for drawn anew they could fall elsewhere.
     """
-    spark = records.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    ranged = records.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id())
+    parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    ranged = written(records.repartitionByRange(parts, *order).sortWithinPartitions(*order, *within).withColumn("_part", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id()), "numbered")
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_mono").alias("_lead"))
-    before = counts.select("_part", "_lead", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(W.partitionBy()).alias("_total"))
-    placed = ranged.join(F.broadcast(before), "_part").withColumn("_row", F.col("_before") + F.col("_mono") - F.col("_lead"))  # a row per task
-    size, larger = F.floor(F.col("_total") / shards), F.col("_total") % shards
+    before = counts.select("_part", "_lead", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(W.partitionBy()).alias("total"))
+    placed = ranged.join(F.broadcast(before), "_part")  # a row per task
+    return placed.withColumn("row", F.col("_before") + F.col("_mono") - F.col("_lead")).drop("_part", "_mono", "_lead", "_before")
+
+
+def balanced(row: str, total: str, shards: int) -> Column:
+    """The shard of a row by its number: contiguous ranges, the first ones larger by one."""
+    size, larger = F.floor(F.col(total) / shards), F.col(total) % shards
     edge = larger * (size + 1)
-    shard = F.when(F.col("_row") < edge, F.floor(F.col("_row") / (size + 1))).otherwise(larger + F.floor((F.col("_row") - edge) / F.greatest(size, F.lit(1))))
-    return placed.withColumn("shard", shard.cast("int")).drop("_part", "_mono", "_lead", "_before", "_total", "_row")
+    return F.when(F.col(row) < edge, F.floor(F.col(row) / (size + 1))).otherwise(larger + F.floor((F.col(row) - edge) / F.greatest(size, F.lit(1)))).cast("int")
+
+
+def shard_plan(records: DataFrame, shards: int, order: str) -> DataFrame:
+    """Adds shard: contiguous balanced shards in order, the first ones larger by one."""
+    return numbered(records, [order]).withColumn("shard", balanced("row", "total", shards)).drop("row", "total")
 
 
 def ranked(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
