@@ -1003,7 +1003,7 @@ _UNLOST = "shard <> 2 AND NOT (shard = 1 AND row % 13 = 0)"
 @query(f"""
 WITH r AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row, o_orderkey || '|' || o_orderpriority AS line, CAST(ntile(12) OVER (ORDER BY o_orderkey) - 1 AS INTEGER) AS shard FROM orders),
 e AS (SELECT {", ".join(_EDITED)} FROM r WHERE {_UNLOST}), kept AS ({_seal_sql("r")}), seen AS ({_seal_sql("e")})
-SELECT shard, k.start, k.stop, k.records, k.bytes, k.digest, coalesce(s.records, 0) AS seen_records, coalesce(s.bytes, 0) AS seen_bytes,
+SELECT shard, coalesce(k.start, -1) AS start, coalesce(k.stop, -1) AS stop, coalesce(k.records, -1) AS records, coalesce(k.bytes, -1) AS bytes, k.digest, coalesce(s.records, 0) AS seen_records, coalesce(s.bytes, 0) AS seen_bytes,
   CASE WHEN k.records IS NULL THEN 'unexpected' WHEN s.records IS NULL THEN 'missing' WHEN k.records <> s.records THEN 'records' WHEN (k.start, k.stop) <> (s.start, s.stop) THEN 'range'
     WHEN k.bytes <> s.bytes THEN 'bytes' WHEN k.digest <> s.digest THEN 'digest' ELSE 'ok' END AS status
 FROM kept k FULL JOIN seen s USING (shard)
@@ -1011,7 +1011,7 @@ FROM kept k FULL JOIN seen s USING (shard)
 def shard_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a manifest of the orders says of an edited copy of its rows."""
     rows = written(shards.placed(_t(spark, sf_dir, "orders"), 12, "o_orderkey", F.expr("o_orderkey || '|' || o_orderpriority")), "shard-rows")
-    return shards.reconciled(shards.manifest(rows, 12), rows.where(_UNLOST).selectExpr(*_EDITED))
+    return shards.reconciled(shards.manifest(rows, 12), rows.where(_UNLOST).selectExpr(*_EDITED)).fillna(-1, ["start", "stop", "records", "bytes"])
 
 
 # -------------------------------------------------------------------- evidence
