@@ -55,14 +55,20 @@ def shard_plan(records: DataFrame, shards: int, order: str) -> DataFrame:
 def ranked(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """queries: query_id, subject_keys array, relation_key.  Top k by count, key; share over all candidates.
 
-    Aliases merge by the larger count, not the sum.
+    Aliases merge by the larger count, not the sum.  Queries that ask for the
+    same keys are one question: its candidates meet once, and only the k best
+    go to each of its queries.
     """
-    asked = queries.select("query_id", "relation_key", F.explode("subject_keys").alias("subject_key"))
-    found = asked.join(index, ["subject_key", "relation_key"]).groupBy("query_id", "answer_key").agg(F.max(F.struct("count", "answer_surface")).alias("m"))
-    found = found.select("query_id", "answer_key", F.col("m.count").alias("count"), F.col("m.answer_surface").alias("answer_surface"))
-    by = W.partitionBy("query_id")
-    out = found.select("*", F.sum("count").over(by).alias("total"), F.row_number().over(by.orderBy(F.desc("count"), "answer_key", "answer_surface")).alias("rank"))
-    return out.where(F.col("rank") <= k).withColumn("share", F.col("count") / F.col("total"))
+    keys = queries.select("query_id", F.explode("subject_keys").alias("subject_key"), "relation_key").where("subject_key IS NOT NULL AND relation_key IS NOT NULL")
+    asked = written(keys.groupBy("query_id").agg(F.array_sort(F.collect_set(F.struct("subject_key", "relation_key"))).alias("question")), "asked")
+    pairs = asked.select("question").distinct().select("question", F.inline("question"))
+    found = pairs.join(index, ["subject_key", "relation_key"]).groupBy("question", "answer_key").agg(F.max(F.struct("count", "answer_surface")).alias("m"))
+    found = found.select("question", "answer_key", F.col("m.count").alias("count"), F.col("m.answer_surface").alias("answer_surface"))
+    total = found.groupBy("question").agg(F.sum("count").alias("total"))
+    place = F.row_number().over(W.partitionBy("question").orderBy(F.desc("count"), "answer_key", "answer_surface"))
+    best = found.withColumn("rank", place).where(F.col("rank") <= k).join(total, "question")
+    best = best.groupBy("question").agg(F.collect_list(F.struct("answer_key", "count", "answer_surface", "total", "rank")).alias("best"))  # k
+    return asked.join(best, "question").select("query_id", F.inline("best")).withColumn("share", F.col("count") / F.col("total"))
 
 
 def evaluate(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
