@@ -13,7 +13,8 @@ Factors of one scope are first multiplied in groups of FEW, so a fact that
 stands in very many factors is no large group.  A second pass gives each
 bucket, from its parent's, the mass of all the rest.  Buckets are rows whose
 tables hold 2^width numbers; each round is a written table, so rounds and not
-models are what the driver knows.
+models are what the driver knows.  Tables that grow with the models meet by
+sorting: their files are so small, packed, that Spark would broadcast millions of rows.
 
 Statuses, for a whole model: ``invalid_schema`` (facts repeated or without
 prior, tables of the wrong size, weights that are null, negative or not whole),
@@ -55,6 +56,16 @@ def _left(a: Column, n: Column) -> Column:
     return F.call_function("shiftleft", a, n)
 
 
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is worked out once, where a name would be put in place and worked out for each world."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _met(left: DataFrame, right: DataFrame, keys: str | list[str], how: str = "inner") -> DataFrame:
+    """The join by sorting, never by a broadcast."""
+    return left.join(right.hint("merge"), keys, how)
+
+
 def _worlds(scope: Column) -> Column:
     return F.sequence(F.lit(0), _left(F.lit(1), F.size(scope)) - 1)
 
@@ -77,7 +88,9 @@ def _scatter(world: Column, places: Column) -> Column:
 def _marginal(table: Column, scope: Column, onto: Column) -> Column:
     """The table over ``scope`` summed to the facts of ``onto``."""
     kept, gone = _places(onto, scope), _places(F.array_except(scope, onto), scope)
-    return F.transform(_worlds(onto), lambda w: F.aggregate(F.transform(_worlds(gone), lambda c: F.get(table, _scatter(w, kept) + _scatter(c, gone))), _number(0), _plus))
+    put = lambda worlds, places: F.transform(worlds, lambda w: _scatter(w, places))
+    known = F.struct(table.alias("table"), _let(kept, lambda k: put(_worlds(k), k)).alias("kept"), _let(gone, lambda g: put(_worlds(g), g)).alias("gone"))
+    return _let(known, lambda x: F.transform(x["kept"], lambda k: F.aggregate(x["gone"], _number(0), lambda a, g: _plus(a, F.get(x["table"], k + g)))))
 
 
 def _product(factors: DataFrame, *keys: str) -> DataFrame:
@@ -85,7 +98,7 @@ def _product(factors: DataFrame, *keys: str) -> DataFrame:
     rows = factors.groupBy(*keys).agg(F.collect_list(F.struct("scope", "weights")).alias("f"))
     rows = rows.withColumn("u", F.array_sort(F.array_distinct(F.flatten(F.transform("f", lambda x: x["scope"])))))
     rows = rows.withColumn("p", F.transform("f", lambda x: F.struct(x["weights"].alias("weights"), _places(x["scope"], F.col("u")).alias("at"))))
-    table = F.transform(_worlds(F.col("u")), lambda w: F.aggregate(F.col("p"), _number(1), lambda a, x: _times(a, F.get(x["weights"], _gather(w, x["at"])))))
+    table = _let(F.col("p"), lambda p: F.transform(_worlds(F.col("u")), lambda w: F.aggregate(p, _number(1), lambda a, x: _times(a, F.get(x["weights"], _gather(w, x["at"]))))))
     return rows.select(*keys, F.col("u").alias("scope"), table.alias("weights"))
 
 
@@ -97,7 +110,7 @@ def _merged(factors: DataFrame, name: str) -> DataFrame:
         most = counts.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
         if most <= 1:
             return factors.drop("salt")
-        grouped = factors.join(counts, ["model_id", "scope"]).withColumn("part", F.pmod("salt", F.ceil(F.col("n") / FEW)))
+        grouped = _met(factors, counts, ["model_id", "scope"]).withColumn("part", F.pmod("salt", F.ceil(F.col("n") / FEW)))
         factors = written(_product(grouped.withColumnRenamed("scope", "s").withColumn("scope", F.col("s")), "model_id", "s", "part").withColumn("salt", F.xxhash64("part", F.lit(most))).drop("s", "part"), name)
 
 
@@ -114,21 +127,21 @@ def checked(priors: DataFrame, factors: DataFrame) -> tuple[DataFrame, DataFrame
     shape = F.coalesce((F.size("scope") == F.size(F.array_distinct("scope"))) & ~F.exists("scope", lambda x: x.isNull()) & (F.size("scope") > 0) & (F.size("scope") <= 24), F.lit(False))
     okay = shape & F.coalesce((F.size("weights") == F.when(shape, _left(F.lit(1), F.size("scope")))) & F.forall("weights", whole), F.lit(False))
     per = factors.groupBy("model_id").agg(F.max(~okay).alias("bad_factor"), F.max(F.coalesce(F.col("dependence").isin("correlated", "unknown"), F.lit(False))).alias("dependent"), F.max(F.coalesce("hard", F.lit(False))).alias("hard"))
-    unknown = factors.select("model_id", F.explode("scope").alias("fact")).join(priors.select("model_id", "fact"), ["model_id", "fact"], "left_anti").select("model_id", F.lit(True).alias("unknown")).distinct()
+    unknown = _met(factors.select("model_id", F.explode("scope").alias("fact")), priors.select("model_id", "fact"), ["model_id", "fact"], "left_anti").select("model_id", F.lit(True).alias("unknown")).distinct()
     no = lambda c: F.coalesce(c, F.lit(False))
-    models = own.join(per, "model_id", "left").join(unknown, "model_id", "left")
+    models = _met(_met(own, per, "model_id", "left"), unknown, "model_id", "left")
     status = F.when(F.col("bad") | no("bad_factor") | no("unknown"), "invalid_schema").when(no("dependent"), "unsupported_input").when(F.col("zero"), "zero_normalizer")
     models = written(models.select("model_id", status.alias("status"), no("hard").alias("hard")), "models")
     fine = models.where("status IS NULL").select("model_id")
     numbers = lambda c: F.transform(c, lambda x: x.cast(NUMBER))
-    return models, priors.join(fine, "model_id").select("model_id", F.array("fact").alias("scope"), numbers(F.array("false_weight", "true_weight")).alias("weights")), factors.join(fine, "model_id").select("model_id", "scope", numbers(F.col("weights")).alias("weights"))
+    return models, _met(priors, fine, "model_id").select("model_id", F.array("fact").alias("scope"), numbers(F.array("false_weight", "true_weight")).alias("weights")), _met(factors, fine, "model_id").select("model_id", "scope", numbers(F.col("weights")).alias("weights"))
 
 
 def _chosen(factors: DataFrame) -> DataFrame:
     """model_id, fact: the facts with fewer neighbours than their neighbours (ties by hash, so that a chain of equals is no chain of rounds)."""
     edges = factors.select("model_id", F.explode("scope").alias("fact"), "scope").select("model_id", "fact", F.explode("scope").alias("other")).distinct()
     degrees = edges.groupBy("model_id", "fact").agg(F.count("*").alias("degree"))
-    around = edges.join(degrees.withColumnsRenamed({"fact": "other", "degree": "d"}), ["model_id", "other"])
+    around = _met(edges, degrees.withColumnsRenamed({"fact": "other", "degree": "d"}), ["model_id", "other"])
     least = around.groupBy("model_id", "fact").agg(F.min(F.struct("d", F.xxhash64("other").alias("h"), "other")).alias("m"))  # a fact is its own neighbour
     return least.where(F.col("m.other") == F.col("fact")).select("model_id", "fact")
 
@@ -137,26 +150,28 @@ def marginals(priors: DataFrame, factors: DataFrame, width: int = 12) -> DataFra
     """model_id, fact, status, mass_true, mass: one row for each prior; masses are null unless the status is success, zero_normalizer or inconsistent."""
     models, units, rest = checked(priors, factors)
     scopes = units.unionByName(rest).withColumn("order", F.array_sort("scope"))
-    sorted_table = F.transform(_worlds(F.col("order")), lambda w: F.get(F.col("weights"), _gather(w, _places(F.col("scope"), F.col("order")))))
+    sorted_table = _let(_places(F.col("scope"), F.col("order")), lambda at: F.transform(_worlds(F.col("order")), lambda w: F.get(F.col("weights"), _gather(w, at))))
     open_ = _merged(scopes.select("model_id", sorted_table.alias("weights"), F.col("order").alias("scope")), "factors")
     pending, rounds, parents, wide = None, [], [], []
     while not open_.isEmpty():
         chosen = written(_chosen(open_), "chosen")
-        at = open_.select("*", F.explode("scope").alias("fact")).join(chosen, ["model_id", "fact"])
+        at = _met(open_.select("*", F.explode("scope").alias("fact")), chosen, ["model_id", "fact"])
         span = at.groupBy("model_id", "fact").agg(F.size(F.array_distinct(F.flatten(F.collect_set("scope")))).alias("n"))
         too_wide = written(span.where(F.col("n") > width).select("model_id").distinct(), "too-wide")
         wide.append(too_wide)
-        buckets = _product(at.join(too_wide, "model_id", "left_anti"), "model_id", "fact").withColumn("left", F.array_remove("scope", F.col("fact")))
+        none_wide = too_wide.isEmpty()  # mostly so, and then the tables need not move for it
+        narrow = lambda t: t if none_wide else _met(t, too_wide, "model_id", "left_anti")  # noqa: B023, E731
+        buckets = _product(narrow(at), "model_id", "fact").withColumn("left", F.array_remove("scope", F.col("fact")))
         buckets = written(buckets.withColumn("message", _marginal(F.col("weights"), F.col("scope"), F.col("left"))), "buckets")
         rounds.append(buckets)
         if pending is not None:
-            found = pending.select("model_id", "child", F.explode("left").alias("fact")).join(chosen, ["model_id", "fact"]).withColumnRenamed("fact", "parent")
+            found = _met(pending.select("model_id", "child", F.explode("left").alias("fact")), chosen, ["model_id", "fact"]).withColumnRenamed("fact", "parent")
             parents.append(written(found, "parents"))
-            pending = pending.join(parents[-1], ["model_id", "child"], "left_anti")
+            pending = _met(pending, parents[-1], ["model_id", "child"], "left_anti")
         sent = buckets.where(F.size("left") > 0)
         fresh = sent.select("model_id", F.col("fact").alias("child"), "left")
         pending = written(fresh if pending is None else pending.unionByName(fresh), "pending")
-        stay = open_.join(at.select("model_id", "scope").distinct(), ["model_id", "scope"], "left_anti").join(too_wide, "model_id", "left_anti")
+        stay = narrow(_met(open_, at.select("model_id", "scope").distinct(), ["model_id", "scope"], "left_anti"))
         open_ = _merged(stay.unionByName(sent.select("model_id", F.col("left").alias("scope"), F.col("message").alias("weights"))), "factors")
     return _spread(priors, models, rounds, parents, wide)
 
@@ -178,10 +193,10 @@ def _spread(priors: DataFrame, models: DataFrame, rounds: list[DataFrame], paren
         now = roots
         if done:
             above = _union(done).select("model_id", F.col("fact").alias("parent"), F.col("scope").alias("over"), "whole", "root")
-            met = buckets.where(F.size("left") > 0).join(up.withColumnRenamed("child", "fact"), ["model_id", "fact"]).join(above, ["model_id", "parent"])
+            met = _met(_met(buckets.where(F.size("left") > 0), up.withColumnRenamed("child", "fact"), ["model_id", "fact"]), above, ["model_id", "parent"])
             met = met.withColumn("outer", F.zip_with(_marginal(F.col("whole"), F.col("over"), F.col("left")), F.col("message"), lambda b, m: F.when(m == 0, _number(0)).otherwise(F.try_divide(b, m).cast(NUMBER))))
-            places = _places(F.col("left"), F.col("scope"))
-            table = F.transform(F.col("weights"), lambda v, w: _times(v, F.get(F.col("outer"), _gather(w, places))))
+            known = F.struct("outer", _places(F.col("left"), F.col("scope")).alias("at"))
+            table = _let(known, lambda x: F.transform(F.col("weights"), lambda v, w: _times(v, F.get(x["outer"], _gather(w, x["at"])))))
             now = now.unionByName(met.select("model_id", "fact", "scope", table.alias("whole"), "root"))
         done.append(written(now, "beliefs"))
     total = lambda t: F.aggregate(t, _number(0), _plus)
@@ -190,15 +205,15 @@ def _spread(priors: DataFrame, models: DataFrame, rounds: list[DataFrame], paren
     # the masses of a model's components multiply
     trees = _union([empty.select("model_id", "root", "part"), *[r.where(F.size("left") == 0).select("model_id", F.col("fact").alias("root"), total(F.col("weights")).alias("part")) for r in rounds]])
     mass = _components(trees)
-    rows = priors.join(models, "model_id").join(alone, ["model_id", "fact"], "left").join(mass, "model_id", "left")
+    rows = _met(_met(_met(priors, models, "model_id"), alone, ["model_id", "fact"], "left"), mass, "model_id", "left")
     if wide:
-        rows = rows.join(_union(wide).distinct().withColumn("wide", F.lit(True)), "model_id", "left")
+        rows = _met(rows, _union(wide).distinct().withColumn("wide", F.lit(True)), "model_id", "left")
     else:
         rows = rows.withColumn("wide", F.lit(None).cast("boolean"))
     yes = F.when(F.col("part") == 0, _number(0)).otherwise(_times(F.col("yes"), F.try_divide(F.col("mass"), F.col("part")).cast(NUMBER)))
-    rows = rows.withColumn("mass_true", yes)
+    rows = written(rows.withColumn("mass_true", yes), "masses")
     lost = written(rows.groupBy("model_id").agg(F.max(F.col("mass").isNull() | F.col("mass_true").isNull()).alias("lost")), "lost")
-    rows = rows.join(lost, "model_id")
+    rows = _met(rows, lost, "model_id")
     status = F.coalesce(F.col("status"), F.when(F.coalesce("wide", F.lit(False)) | F.col("lost"), "resource_limit").when(F.col("mass") > 0, "success").when(F.col("hard"), "inconsistent").otherwise("zero_normalizer"))
     told = status.isin("success", "inconsistent") | ((status == "zero_normalizer") & F.col("status").isNull())
     return rows.select("model_id", "fact", status.alias("status"), F.when(told, F.col("mass_true")).alias("mass_true"), F.when(told, F.col("mass")).alias("mass"))
@@ -212,7 +227,7 @@ def _components(trees: DataFrame) -> DataFrame:
         most = counts.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
         if most <= 1:
             return rows.select("model_id", F.col("part").alias("mass"))
-        grouped = rows.join(counts, "model_id").withColumn("g", F.pmod("salt", F.ceil(F.col("n") / FEW)))
+        grouped = _met(rows, counts, "model_id").withColumn("g", F.pmod("salt", F.ceil(F.col("n") / FEW)))
         parts = grouped.groupBy("model_id", "g").agg(F.collect_list(F.struct("part")).alias("p"), F.count_if(F.col("part") == 0).alias("zeros"))
         product = F.when(F.col("zeros") > 0, _number(0)).otherwise(F.aggregate("p", _number(1), lambda a, x: _times(a, x["part"])))
         rows = written(parts.select("model_id", product.alias("part"), F.xxhash64("g", F.lit(most)).alias("salt")), "components")

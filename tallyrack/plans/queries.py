@@ -78,9 +78,9 @@ def belief_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order is a model, its lines are facts, and lines that follow each other share a factor."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     facts = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("model_id"), F.row_number().over(order).cast("long").alias("fact"), F.col("l_quantity").cast("long").alias("q"), F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p"))
+    facts = written(facts.withColumn("last", F.max("fact").over(Window.partitionBy("model_id"))), "facts")
     priors = facts.select("model_id", "fact", (F.col("q") % 4 + 1).alias("false_weight"), (F.col("s") % 5).alias("true_weight"))
-    last = F.max("fact").over(Window.partitionBy("model_id"))
-    pairs = facts.withColumn("last", last).where("fact < last")
+    pairs = facts.where("fact < last")
     weights = F.array(1 + F.col("p") % 2, F.col("p") % 3, F.floor(F.col("p") / 2) % 3, 1 + F.col("p") % 4)
     factors = pairs.select("model_id", F.col("fact").alias("factor_id"), F.array("fact", F.col("fact") + 1).alias("scope"), weights.alias("weights"))
     got = elimination.marginals(priors, factors)

@@ -97,3 +97,21 @@ def test_no_rows_and_decimal_weights(spark):
     factors = spark.createDataFrame([], "model_id string, factor_id long, scope array<string>, weights array<int>")
     assert [tuple(map(str, r)) for r in marginals(priors, factors).collect()] == [("a", "x", "success", "1", "4")]
     assert marginals(priors.withColumn("true_weight", F.lit(0.5)), factors).first()["status"] == "invalid_schema"
+
+
+def test_tables_of_models_are_never_broadcast(spark, monkeypatch):
+    """Their files are small, packed, however many rows they hold; the driver would have to hold them all."""
+    plans = []
+    real = E.written
+
+    def spy(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(E, "written", spy)
+    priors = spark.createDataFrame([(m, f, 1, 2) for m in range(3) for f in range(4)], PRIORS)
+    factors = spark.createDataFrame([(m, f, [f, f + 1], [1, 2, 3, 1], False, None) for m in range(3) for f in range(3)], FACTORS)
+    got = marginals(priors, factors)
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+    assert got.count() == 12
