@@ -11,11 +11,18 @@ def cusum(rows: DataFrame, before: float, after: float, sigma: float, threshold:
     """rows: stream_id, seq, value.  Adds llr, w and alarm (w above threshold).
 
     w = max(0, w + llr) equals the running sum less its least value so far, 0 included.
+    Sums are exact, so that w at the threshold is no alarm by rounding; from a
+    stream's first value past 12 decimals or 10**12 on, they are sums of doubles.
     """
     by = W.partitionBy("stream_id").orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
-    llr = (after - before) / (sigma * sigma) * (F.col(value) - (before + after) / 2)
-    rows = rows.withColumn("llr", llr).withColumn("_sum", F.sum("llr").over(by))
-    return rows.withColumn("w", F.col("_sum") - F.least(F.lit(0.0), F.min("_sum").over(by))).withColumn("alarm", F.col("w") > threshold).drop("_sum")
+    scale, middle = (after - before) / (sigma * sigma), (before + after) / 2
+    rows = rows.withColumn("llr", scale * (F.col(value) - middle)).withColumn("_sum", F.sum("llr").over(by))
+    exact = F.when(F.abs(F.col(value)) < 1e12, F.col(value).try_cast("decimal(38,12)"))
+    step = exact - F.lit(middle).cast("decimal(38,12)") if scale >= 0 else F.lit(middle).cast("decimal(38,12)") - exact
+    rows = rows.withColumn("_rough", F.max(~F.coalesce(exact.cast("double") == F.col(value), F.col(value).isNull())).over(by)).withColumn("_exact", F.sum(step.cast("decimal(38,12)")).over(by))
+    rise = F.col("_exact") - F.least(F.lit(0).cast("decimal(38,12)"), F.min("_exact").over(by))
+    plain = F.col("_sum") - F.least(F.lit(0.0), F.min("_sum").over(by))
+    return rows.withColumn("w", F.when(F.col("_rough"), plain).otherwise(abs(scale) * rise.cast("double"))).withColumn("alarm", F.col("w") > threshold).drop("_sum", "_rough", "_exact")
 
 
 def first_alarms(rows: DataFrame) -> DataFrame:
