@@ -68,21 +68,28 @@ def _one_of(words: str, any_case: bool = False) -> str:
     return "(?:" + "|".join(f"{head(c)}(?:{'|'.join(rest)})" for c, rest in by.items()) + ")"
 
 
+def _possessive(run: str) -> str:
+    """``run`` with its last group repeated without a way back: Java keeps a stack frame for each turn of a loop that it may have to undo, so long runs would overflow."""
+    return f"{run}+"
+
+
 # cheap refusals stand first: these read every character of the corpus
 _IN_WORD = rf"\p{{L}}\p{{N}}{NUMBER}-{WORD}"
 _RUN = rf"{_one_of(NUMBERS, True)}(?:[ -]{_one_of(NUMBERS, True)})*"
-_NUMBER_WORDS = rf"(?=[bdefhmnostzBDEFHMNOSTZ])(?<![a-z])(?<![{_IN_WORD}]){_RUN}(?![{_IN_WORD}])"
+_NUMBER_WORD = rf"{_one_of(NUMBERS, True)}(?![{_IN_WORD}])"
+_NUMBER_WORDS = rf"(?=[bdefhmnostzBDEFHMNOSTZ])(?<![a-z])(?<![{_IN_WORD}]){_NUMBER_WORD}(?:[ -]{_NUMBER_WORD})*+"
 _STARTERS = rf"(?=[A-Z])(?<!\p{{L}}){_one_of(STARTERS)}(?!\p{{L}})"
 _NAME_RUN = r"\p{Lu}\p{Ll}\p{L}*(?: \p{Lu}\p{Ll}\p{L}*)*"
-_NAMES = rf"(?=\p{{Lu}})(?<![\p{{L}}{WORD}]){_NAME_RUN}"
+_NAMES = rf"(?=\p{{Lu}})(?<![\p{{L}}{WORD}]){_possessive(_NAME_RUN)}"
 _LONG = rf"{OPEN}((?:[^ {CLOSE}]+ ){{3,}}[^{CLOSE}]*){CLOSE}"
+_LONG_NAME = rf"{OPEN}((?:[^ {CLOSE}]+ ){{3}}[^{CLOSE}]*){CLOSE}"
 _UNITS = rf"([{SIGNS}]) ?{NUMBER}|{NUMBER} ?(?:({UNITS})([^\p{{L}}\p{{N}}]|$)|([{SIGNS}]))"
 _MARKS = rf"[^a-z\s\p{{L}}\p{{N}}{SIGNS}{NUMBER}-{JOIN}]+"
 
 
 def template(text: Column) -> Column:
     """The template's words."""
-    t = F.regexp_replace(F.regexp_replace(text, _PRIVATE, ""), _DIGITS, NUMBER)
+    t = F.regexp_replace(F.regexp_replace(text, _PRIVATE, ""), _possessive(_DIGITS), NUMBER)
     t = F.regexp_replace(F.regexp_replace(t, _NUMBER_WORDS, WORD), f"{NUMBER}[ -]{WORD}|{WORD}", NUMBER)
     t = _tag_names(t)
     t = F.lower(F.regexp_replace(t, f"{OPEN}[^{CLOSE}]*{CLOSE}", NAME))
@@ -92,13 +99,13 @@ def template(text: Column) -> Column:
 def _tag_names(text: Column) -> Column:
     """Names between OPEN and CLOSE; WORD shields what only starts a sentence, and goes with the marks."""
     shielded = F.regexp_replace(text, _STARTERS, f"{WORD}$0")
-    return F.regexp_replace(F.regexp_replace(shielded, _NAMES, f"{OPEN}$0{CLOSE}"), _LONG, "$1")
+    return F.regexp_replace(F.regexp_replace(shielded, _NAMES, f"{OPEN}$0{CLOSE}"), _LONG_NAME, "$1")
 
 
 def literal(text: Column) -> Column:
     """The words of ``text`` in place of the template's placeholders, one for one."""
     tagged = lambda kind: f"{OPEN}{kind}{CLOSE}"
-    t = F.regexp_replace(F.regexp_replace(text, _PRIVATE, ""), _DIGITS, tagged("$0"))
+    t = F.regexp_replace(F.regexp_replace(text, _PRIVATE, ""), _possessive(_DIGITS), tagged("$0"))
     t = F.regexp_replace(F.regexp_replace(t, _NUMBER_WORDS, tagged("$0")), rf"{CLOSE}[ -]{OPEN}(\p{{L}})", f"{JOIN}$1")
     values = F.transform(F.regexp_extract_all(t, F.lit(f"{OPEN}([^{CLOSE}]*){CLOSE}"), 1), lambda v: F.regexp_replace(v, "[ -]", JOIN))
     t = F.regexp_replace(t, f"{OPEN}[^{CLOSE}]*{CLOSE}", NUMBER)

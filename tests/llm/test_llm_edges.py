@@ -116,6 +116,17 @@ def test_literals_stand_beside_templates(spark):
         assert all(a == b for a, b in zip(r["t"], r["w"], strict=True) if not any("\ue000" <= c <= "\ue002" for c in a)), r
 
 
+def test_long_runs_of_slots_fit_the_stack(spark):
+    n = 20_000
+    runs = ["1" + ".1" * n, "Ab" + " Ab" * n, "one" + "-two" * n, "one" + " twofold" * n, "x one-twofold and six sixteenth seven-seventeen"]
+    df = spark.createDataFrame(list(enumerate(runs)), "i int, text string")
+    got = {r["i"]: r for r in df.select("i", template_decontam.template(F.col("text")).alias("t"), template_decontam.literal(F.col("text")).alias("w")).collect()}
+    number, name = template_decontam.NUMBER, template_decontam.NAME
+    assert got[0]["t"] == [number] and got[0]["w"] == [runs[0].replace(".", "")] and got[1]["t"] == ["ab"] * (n + 1) and got[2]["t"] == [number]
+    assert got[3]["t"] == [number] + ["twofold"] * n and name not in got[3]["t"]
+    assert got[4]["t"] == ["x", f"{number}twofold", "and", number, "sixteenth", number]
+
+
 def test_contaminated_are_dropped_whatever_the_columns(spark, rows):
     items = spark.createDataFrame([(0, PASSAGE)], "item_id long, text string")
     clash = rows.selectExpr("*", "doc_id AS own_id", "text AS own_hash", "1 AS text_hash", "2 AS row", "3 AS _bad_id", "4 AS _bad_hash", "5 AS `a.b`")
