@@ -30,8 +30,6 @@ from tallyrack.operators import count_index
 
 COUNTS = "subject_key string, relation_key string, answer_key string, answer_surface string, ord struct<id: bigint, place: int>, count bigint, batch bigint, part int"
 INDEX = "subject_key string, relation_key string, answer_key string, answer_surface string, count bigint, rank int, upto bigint, part int"
-#: the most files that an index part is written as
-FILES = 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -40,13 +38,24 @@ def part_of(subject: Column, parts: int) -> Column:
 
 
 def records(rows: DataFrame, config: dict) -> DataFrame:
-    """One row for each pair of neighbouring words: the columns that ``count_index.build`` takes."""
-    words = F.filter(F.split(F.col(config["text"]), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    texts = rows.select(F.monotonically_increasing_id().alias("record_id"), F.col(config["id"]).cast("long").alias("id"), F.coalesce(F.col(config["relation"]).cast("string"), F.lit("und")).alias("relation_key"), words.alias("w"))
-    lower = lambda w: F.translate(w, UPPER, LOWER)
-    paired = texts.where(F.size("w") > 1).select("record_id", "id", "relation_key", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(
-        i.alias("place"), F.get("w", i - 1).alias("subject"), F.get("w", i).alias("answer")))).alias("p"))
-    return paired.select("record_id", F.struct("id", F.col("p.place").alias("place")).alias("ord"), lower("p.subject").alias("subject_key"), "relation_key", lower("p.answer").alias("answer_key"), F.col("p.answer").alias("answer_surface"))
+    """One row for each different pair of neighbouring words of each record, at its first place: what ``count_index.build`` takes.
+
+    Texts are dealt to all tasks first, for a file may be read by few.  A
+    record's pairs are put in order inside its own row, so none of them moves
+    before it counts.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    rows = rows.select(*{config[c]: None for c in ("id", "text", "relation")}).repartition(tasks)
+    text = F.col(config["text"])
+    words = lambda t: F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    texts = rows.select(F.col(config["id"]).cast("long").alias("id"), F.coalesce(F.col(config["relation"]).cast("string"), F.lit("und")).alias("relation_key"), words(text).alias("w"), words(F.translate(text, UPPER, LOWER)).alias("k"))
+    pair = lambda i: F.struct(F.get("k", i - 1).alias("subject"), F.get("k", i).alias("answer"), i.alias("place"), F.get("w", i).alias("surface"))
+    places = F.when(F.size("w") > 1, F.sequence(F.lit(1), F.size("w") - 1))
+    pairs = texts.select("id", "relation_key", F.sort_array(F.transform(places, pair)).alias("pairs"))
+    before = lambda i: F.get("pairs", i - 1)
+    first = F.filter("pairs", lambda p, i: (i == 0) | (p["subject"] != before(i)["subject"]) | (p["answer"] != before(i)["answer"]))
+    once = pairs.select("id", "relation_key", F.explode(first).alias("p"))
+    return once.select(F.struct("id", F.col("p.place").alias("place")).alias("ord"), F.col("p.subject").alias("subject_key"), "relation_key", F.col("p.answer").alias("answer_key"), F.col("p.surface").alias("answer_surface"))
 
 
 def take_new(spark: SparkSession, source: str, output: str, config: dict) -> int:
@@ -79,12 +88,13 @@ def bring_up(spark: SparkSession, output: str, parts: int) -> list[int]:
         log.info("index: no part is behind")
         return stale
     some = counts.where(F.col("part").isin(stale))
-    merged = count_index.merge(some.withColumn("shard", F.lit(0))).withColumn("part", part_of(F.col("subject_key"), parts))
+    # one shuffle, by what sums, ranks and files have in common: the counts of a part's word
+    merged = count_index.merge(some.withColumn("shard", F.lit(0)).repartition("part", "subject_key"), ("part",))
     upto = some.groupBy("part").agg(F.max("batch").alias("upto"))
-    order = Window.partitionBy("subject_key", "relation_key").orderBy(F.desc("count"), "answer_key")
+    order = Window.partitionBy("part", "subject_key", "relation_key").orderBy(F.desc("count"), "answer_key")
     ranked = merged.withColumn("rank", F.row_number().over(order)).join(F.broadcast(upto), "part")  # a row for each part
     fresh = ranked.select("subject_key", "relation_key", "answer_key", "answer_surface", "count", "rank", "upto", "part")
-    fresh.repartition("part", F.xxhash64("subject_key") % FILES).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{output}/index")
+    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{output}/index")
     log.info("index: wrote %d rows in %d parts", index(spark, output).where(F.col("part").isin(stale)).count(), len(stale))
     return stale
 

@@ -14,15 +14,22 @@ KEYS = ["subject_key", "relation_key", "answer_key"]
 def build(records: DataFrame) -> DataFrame:
     """records: record_id, ord, subject_key, relation_key, answer_key, answer_surface.
 
-    A record counts a key once; the first surface in order is kept.
+    A record counts a key once; the first surface in order is kept.  Without
+    record_id, each row is a key's only one in its record.
     """
-    once = records.groupBy("record_id", *KEYS).agg(F.min(F.struct("ord", "answer_surface")).alias("s"))
+    once = records.select(*KEYS, F.struct("ord", "answer_surface").alias("s"))
+    if "record_id" in records.columns:
+        once = records.groupBy("record_id", *KEYS).agg(F.min(F.struct("ord", "answer_surface")).alias("s"))
     return once.groupBy(*KEYS).agg(F.min("s").alias("s"), F.count("*").alias("count")).select(*KEYS, F.col("s.answer_surface").alias("answer_surface"), F.col("s.ord").alias("ord"), "count")
 
 
-def merge(parts: DataFrame) -> DataFrame:
-    """parts: the columns of ``build`` and shard; counts add, the earliest shard's surface stays."""
-    return parts.groupBy(*KEYS).agg(F.sum("count").alias("count"), F.min(F.struct("shard", "ord", "answer_surface")).alias("s")).select(*KEYS, F.col("s.answer_surface").alias("answer_surface"), "count")
+def merge(parts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """parts: the columns of ``build`` and shard; counts add, the earliest shard's surface stays.
+
+    ``by`` are columns that follow from the key and stay, in front.
+    """
+    found = parts.groupBy(*by, *KEYS).agg(F.sum("count").alias("count"), F.min(F.struct("shard", "ord", "answer_surface")).alias("s"))
+    return found.select(*by, *KEYS, F.col("s.answer_surface").alias("answer_surface"), "count")
 
 
 def numbered(records: DataFrame, order: list[str], within: list[str] = ()) -> DataFrame:

@@ -96,3 +96,12 @@ def test_command_line(spark, growing, tmp_path):
     done = subprocess.run([sys.executable, "-m", "jobs.split_audit", folder, str(tmp_path / "cli"), "--config", str(tmp_path / "my.json")], capture_output=True, text=True, timeout=300, check=False)
     assert done.returncode == 0 and "held-out rows of" in done.stderr
     assert spark.read.parquet(str(tmp_path / "cli" / "audit")).count() > 0
+
+
+def test_pairs_of_one_file_are_made_by_many_tasks_and_once_a_record(spark, tmp_path):
+    one = str(tmp_path / "in")
+    spark.createDataFrame([(i, "A b a B a b", "en") for i in range(200)], "doc_id long, text string, lang string").coalesce(1).write.parquet(one)
+    found = word_index.records(spark.read.parquet(one), settings("word_index"))
+    assert found.select(F.spark_partition_id()).distinct().count() > 1
+    rows = found.groupBy("ord.id", "subject_key").agg(F.count("*").alias("n"), F.first("ord.place").alias("place"), F.first("answer_surface").alias("surface")).collect()
+    assert len(rows) == 400 and {(r["subject_key"], r["n"], r["place"], r["surface"]) for r in rows} == {("a", 1, 1, "b"), ("b", 1, 2, "a")}
