@@ -41,7 +41,9 @@ def run(spark: SparkSession, source: str, output: str, config: dict | None = Non
     public, held = (rows.where(s) for s in (~side, side))
     count = {"public": public.count(), "held": held.count()}
     log.info("read %d public and %d held-out rows of %s", count["public"], count["held"], source)
-    found = similarity.leakage_counts(signed(public, config), signed(held, config), config["percent"])
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    dealt = lambda x: signed(x.select(*{config[c]: None for c in ("id", "text")}).repartition(tasks), config)  # noqa: E731  (a file may be read by few tasks)
+    found = similarity.leakage_counts(dealt(public), dealt(held), config["percent"])
     audit = found.select(F.col("id").cast("long").alias("id"), "set", "n_identical", "n_canonical", "n_tags", "n_near", F.when(F.col("related"), "excluded").otherwise("clean").alias("verdict"))
     audit.repartition("verdict", F.xxhash64("id", "set") % FILES).write.mode("overwrite").partitionBy("verdict").parquet(f"{output}/audit")
     found = read(spark, output).groupBy("verdict").agg(F.count("*").alias("rows"), *[F.count_if(F.col(c) > 0).alias(c) for c in ("n_identical", "n_canonical", "n_tags", "n_near")])
