@@ -11,7 +11,8 @@
     piece has it, and whether many different ones have.
 3.  Equal pieces of a block are merged by their bytes.  Pieces whose key others
     have go to a bucket by key.  Pieces of a crowded key are first cut into
-    windows; windows whose hash recurs go to a bucket each.
+    stretches of windows whose hash recurs and that stand in one order in all
+    places, so a window's places lie in one stretch; each goes to its own bucket.
 4.  In a bucket, equal pieces are merged by their bytes, and the suffix array of
     the stretches that may recur in different pieces, built by linear grouping,
     decides: neighbours with a common prefix of ``length`` are repeated windows.
@@ -45,6 +46,8 @@ CROWD = 64
 CHUNK = 1 << 19
 PIECE = [("hash", "<u8"), ("pos", "<u4"), ("len", "<u2")]
 LARGEST = U64(0xFFFFFFFFFFFFFFFF)
+#: for the byte beside a window: its places differ in it, or a piece ends there
+OPEN = 256
 
 
 def _prefix_sums(buf: np.ndarray) -> np.ndarray:
@@ -170,7 +173,7 @@ def _route(group: pa.Table) -> pa.Table:
     return pa.table([group["blk"].combine_chunks(), group["part"].combine_chunks(), pa.array([zlib.compress(x.tobytes(), 1) for x in found], pa.binary())], schema=CODES)
 
 
-#: kind 0: spans pos, len of the block; 1: a piece for the bucket ``key``; 2: packed window hashes for part ``key``; 3: a piece of a crowded key
+#: kind 0: spans pos, len of the block; 1: a piece for the bucket ``key``; 2: packed window hashes for part ``key``, with the bytes before (pos) and behind (len) them; 3: a piece of a crowded key
 FOUND = pa.schema([("blk", pa.int32()), ("kind", pa.int32()), ("key", pa.int64()), ("at", pa.int64()), ("dup", pa.bool_()), ("data", pa.binary()), ("pos", pa.binary()), ("len", pa.binary())])
 FOUND_DDL = "blk int, kind int, key long, at long, dup boolean, data binary, pos binary, len binary"
 PIECES = pa.schema([("key", pa.int64()), ("blk", pa.int32()), ("at", pa.int64()), ("dup", pa.bool_()), ("data", pa.binary())])
@@ -205,6 +208,31 @@ def window_hashes(pieces: list[bytes], length: int):
     return np.concatenate(hashes), np.concatenate(owners), np.concatenate(places)
 
 
+def _groups(hashes: np.ndarray):
+    """An order that brings equal hashes together, and where each begins in it."""
+    order = np.argsort(hashes, kind="stable")
+    ranked = hashes[order]
+    return order, np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1]))[: len(ranked)])
+
+
+def _agreed(beside: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The byte that all of a group have beside them, else OPEN."""
+    if not len(first):
+        return np.empty(0, dtype="<u2")
+    ranked = beside[order]
+    least = np.minimum.reduceat(ranked, first)
+    return np.where(least == np.maximum.reduceat(ranked, first), least, OPEN).astype("<u2")
+
+
+def _beside(pieces: list[bytes], owners: np.ndarray, places: np.ndarray, length: int):
+    """The bytes before and behind each window in its piece, OPEN at the piece's ends."""
+    sizes = np.array([len(x) for x in pieces], dtype=np.int64)
+    data = np.frombuffer(b"".join(pieces), dtype=np.uint8).astype("<u2")
+    at = (np.cumsum(sizes) - sizes)[owners] + places
+    ends = places + length == sizes[owners]
+    return np.where(places == 0, OPEN, data[at - 1]), np.where(ends, OPEN, data[np.where(ends, 0, at + length)])
+
+
 def _same_windows(pieces: list[bytes], length: int):
     """Of windows whose hash recurs in the list: hashes, owners, places, and the first with the same bytes."""
     hashes, owners, places = window_hashes(pieces, length)
@@ -246,8 +274,9 @@ def _gather(length: int, bits: int):
             if len(hot):
                 many = np.bincount(same, minlength=len(same))[same] > 1
                 spans.append(((at[owners[hot]] + places[hot])[many].astype("<u4"), np.full(int(many.sum()), length, dtype="<u2")))
-            values = np.unique(hashes)
-            out += [(block, 2, p, None, None, pack_sorted(values[x]), None, None) for p, x in enumerate(_parts(values, bits)) if x.stop > x.start]
+            order, lead = _groups(hashes)
+            values, (before, behind) = hashes[order[lead]], (_agreed(x, order, lead) for x in _beside(own, owners, places, length))
+            out += [(block, 2, p, None, None, pack_sorted(values[x]), zlib.compress(before[x].tobytes(), 1), zlib.compress(behind[x].tobytes(), 1)) for p, x in enumerate(_parts(values, bits)) if x.stop > x.start]
             out += [(block, 3, None, a, t, x, None, None) for a, t, x in zip(at.tolist(), twice.tolist(), own, strict=True)]
         ready = np.flatnonzero(alone & (code != 2) & ((code == 1) | (kinds > 1)))
         for i in ready[np.argsort(e["pos"][ready])].tolist():  # neighbours overlap, which files keep small
@@ -262,15 +291,26 @@ def _gather(length: int, bits: int):
 
 @tidy
 def _recurring(group: pa.Table) -> pa.Table:
-    """Of each window hash of each block, whether another block has it."""
+    """Of each window hash of each block, whether another block has it, and whether all have one byte before, and one behind it."""
+    import zlib
+
     lists = [unpack_sorted(x) for x in group["data"].to_pylist()]
-    _, inverse, counts = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-    found = np.split(counts[inverse] > 1, np.cumsum([len(x) for x in lists])[:-1])
+    order, first = _groups(np.concatenate(lists))
+    sizes = np.diff(np.append(first, len(order)))
+    beside = [np.concatenate([np.frombuffer(zlib.decompress(x), dtype="<u2") for x in group[name].to_pylist()]) for name in ("pos", "len")]
+    answers = np.empty((3, len(order)), dtype=bool)
+    answers[:, order] = np.repeat([sizes > 1, *[_agreed(x, order, first) < OPEN for x in beside]], sizes, axis=1)
+    found = np.split(answers, np.cumsum([len(x) for x in lists])[:-1], axis=1)
     return pa.table([group["blk"].combine_chunks(), group["key"].combine_chunks().cast(pa.int32()), pa.array([np.packbits(x).tobytes() for x in found], pa.binary())], schema=CODES)
 
 
 def _windows(length: int, bits: int):
-    """The distinct windows of crowded keys that other blocks have too, each for a bucket of its own."""
+    """The distinct windows of crowded keys that other blocks have too, joined to stretches, each for a bucket of its own.
+
+    A window joins the one before it if in all blocks the one stands only before
+    the other and the other only behind the one.  So a stretch is the same
+    wherever one of its windows stands, and the first of them names its bucket.
+    """
     @tidy
     def windows(pieces: pa.Table, answers: pa.Table) -> pa.Table:
         if not pieces.num_rows or not answers.num_rows:
@@ -281,10 +321,13 @@ def _windows(length: int, bits: int):
         values = np.unique(hashes)
         answers = answers.sort_by([("part", "ascending")])
         sizes = [x.stop - x.start for x in _parts(values, bits) if x.stop > x.start]
-        known = np.concatenate([np.unpackbits(np.frombuffer(b, dtype=np.uint8), count=n).astype(bool) for n, b in zip(sizes, answers["codes"].to_pylist(), strict=True)])
-        hot = np.flatnonzero(known[np.searchsorted(values, hashes)])
-        owners, places, hashes = owners[hot], places[hot], hashes[hot]
-        found = [data[o][p : p + length] for o, p in zip(owners.tolist(), places.tolist(), strict=True)]
+        known = np.concatenate([np.unpackbits(np.frombuffer(b, dtype=np.uint8), count=3 * n).astype(bool).reshape(3, n) for n, b in zip(sizes, answers["codes"].to_pylist(), strict=True)], axis=1)
+        hot, before, behind = known[:, np.searchsorted(values, hashes)]
+        joined = np.zeros(len(hashes) + 1, dtype=bool)
+        joined[1:-1] = hot[1:] & hot[:-1] & before[1:] & behind[:-1] & (owners[1:] == owners[:-1])
+        start, stop = np.flatnonzero(hot & ~joined[:-1]), np.flatnonzero(hot & ~joined[1:])
+        owners, last, places, hashes = owners[start], places[stop], places[start], hashes[start]
+        found = [data[o][a : b + length] for o, a, b in zip(owners.tolist(), places.tolist(), last.tolist(), strict=True)]
         first = _merge(found)
         dup = (np.bincount(first, minlength=len(first)) > 1) | np.isin(np.arange(len(first)), first[twice[owners]])
         alone = np.flatnonzero(first == np.arange(len(first)))
@@ -455,7 +498,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 200, id_col: str = "doc
     sent = dealt.groupBy("blk").applyInArrow(_send(length, bits), SENT_DDL)
     codes = sent.repartition(tasks, "part").groupBy("part").applyInArrow(_route, "blk int, part int, codes binary")
     found = written(dealt.groupBy("blk").cogroup(codes.groupBy("blk")).applyInArrow(_gather(length, bits), FOUND_DDL), "suffix-pieces")
-    answers = found.where("kind = 2").select("key", "blk", "data").groupBy("key").applyInArrow(_recurring, "blk int, part int, codes binary")
+    answers = found.where("kind = 2").select("key", "blk", "data", "pos", "len").groupBy("key").applyInArrow(_recurring, "blk int, part int, codes binary")
     crowded = found.where("kind = 3").select("blk", "at", "dup", "data").groupBy("blk").cogroup(answers.groupBy("blk")).applyInArrow(_windows(length, bits), PIECES_DDL)
     pieces = found.where("kind = 1").select("key", "blk", "at", "dup", "data").union(crowded)
     compared = pieces.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(_compare(length), "blk int, pos binary, len binary")

@@ -580,3 +580,23 @@ def test_op5_draws_from_whole_texts_and_null_ids(spark):
     got = {r["doc_id"]: r["lang_pred"] for r in byte_gru.predict(spark.createDataFrame(asked, "doc_id long, text string, lang string"), model).collect()}
     assert sum(got[i] == lang for i, _, lang in asked) >= 18
     assert byte_gru.fit(spark.createDataFrame([(None, "a b c", "aa")] * 6 + [(None, "x y z", "bb")] * 6, "doc_id long, text string, lang string"), per_lang=2).langs
+
+
+def test_suffix_dedup_sends_a_crowded_passage_as_one_stretch(monkeypatch):
+    """A passage amid many different texts leaves a block as few rows, not as one for each of its windows."""
+    monkeypatch.setattr(suffix_dedup, "CROWD", 2)
+    rng, sent, windows = random.Random(3), [], suffix_dedup._windows
+
+    def counted(length, bits):
+        def run(pieces, answers):
+            sent.append(windows(length, bits)(pieces, answers))
+            return sent[-1]
+        return run
+
+    monkeypatch.setattr(suffix_dedup, "_windows", counted)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage = some(260)
+    texts = [some(300) + passage + some(300) for _ in range(12)]
+    want = _left_of(texts, 200)
+    assert _suffix_dedup_here(texts, 3, 1, 200) == want and all(len(a) <= len(b) - 260 for a, b in zip(want, texts, strict=True))
+    assert len(sent) == 3 and all(0 < t.num_rows <= 12 for t in sent)
