@@ -6,8 +6,9 @@ does over windows; rows of kind ``score`` are predicted only.
 
 State is typed: one row of sums, a map of counts by expert and key, a map of
 accepted ids.  A trigger reads and writes the entries that its rows touch, so
-its work grows with them and not with what was accepted before.  Rows of a key
-in one trigger are taken by seq and held together.
+its work grows with them and not with what was accepted before.  A new stream's
+state is empty and not asked for; a batch has no later trigger and writes none.
+Rows of a key in one trigger are taken by seq and held together.
 
 ``snapshot`` reads the state of a stopped stream as one table; ``faults`` says
 what is wrong with such a table; ``restored`` refuses it then, and otherwise is
@@ -41,8 +42,8 @@ ROUNDING = 1e-15
 
 
 class Learner(StatefulProcessor):
-    def __init__(self, most_ids: int, most_contexts: int):
-        self.most_ids, self.most_contexts = most_ids, most_contexts
+    def __init__(self, most_ids: int, most_contexts: int, keep: bool = True):
+        self.most_ids, self.most_contexts, self.keep = most_ids, most_contexts, keep
 
     def init(self, handle) -> None:
         self.sums = handle.getValueState("sums", SUMS)
@@ -69,14 +70,15 @@ class Learner(StatefulProcessor):
         self.sums.update(tuple(found))
 
     def handleInputRows(self, key, rows, timerValues):
-        accepted, completed, *scores, mixture, prev, streaming, contexts = self.sums.get() if self.sums.exists() else (0, 0, 0.0, 0.0, 0.0, 0.0, "start", False, 0)
+        found = self.sums.get() if self.sums.exists() else None
+        accepted, completed, *scores, mixture, prev, streaming, contexts = found or (0, 0, 0.0, 0.0, 0.0, 0.0, "start", False, 0)
         counts: dict = {}
         fresh: dict = {}
         changed = set()
 
         def count(at):
             if at not in counts:
-                counts[at] = tuple(self.counts.getValue(at)) if self.counts.containsKey(at) else (0, 0)
+                counts[at] = tuple(self.counts.getValue(at)) if found and self.counts.containsKey(at) else (0, 0)
             return counts[at]
 
         out = []
@@ -95,7 +97,7 @@ class Learner(StatefulProcessor):
                 status = "non_result"
             elif known(row.observation_id) is None:
                 status = "invalid_schema"
-            elif row.observation_id in fresh or self.ids.containsKey((row.observation_id,)):
+            elif row.observation_id in fresh or found and self.ids.containsKey((row.observation_id,)):
                 status = "duplicate"
             elif accepted >= self.most_ids or (contexts >= self.most_contexts and not count(("context", context))[0]):
                 status = "resource_limit"
@@ -121,11 +123,12 @@ class Learner(StatefulProcessor):
             accepted, completed, mixture, prev = accepted + 1, completed + y, mixture + gain, str(int(y))
             streaming = streaming or row.partition == "streaming"
             fresh[row.observation_id] = (accepted, row.partition)
-        for k in changed:
-            self.counts.updateValue(k, counts[k])
-        for k, v in fresh.items():
-            self.ids.updateValue((k,), v)
-        self.sums.update((accepted, completed, *scores, mixture, prev, streaming, contexts))
+        if self.keep:
+            for k in changed:
+                self.counts.updateValue(k, counts[k])
+            for k, v in fresh.items():
+                self.ids.updateValue((k,), v)
+            self.sums.update((accepted, completed, *scores, mixture, prev, streaming, contexts))
         yield pd.DataFrame(out, columns=["stream_id", "seq", "p_mix", "log_score", "status"]).astype({"seq": "Int64", "p_mix": "float64", "log_score": "float64"})
 
     def close(self) -> None:
@@ -136,7 +139,7 @@ def learned(rows: DataFrame, initial: DataFrame | None = None, most_ids: int = 1
     """One row of OUT for each input row; ``rows`` may be a stream or a batch.  Run it inside ``rocks.state_on_disk``."""
     if "kind" not in rows.columns:
         rows = rows.withColumn("kind", F.lit("learn"))
-    return rows.groupBy("stream_id").transformWithStateInPandas(Learner(most_ids, most_contexts), OUT, "append", "none", initial.groupBy("stream_id") if initial is not None else None)
+    return rows.groupBy("stream_id").transformWithStateInPandas(Learner(most_ids, most_contexts, rows.isStreaming), OUT, "append", "none", initial.groupBy("stream_id") if initial is not None else None)
 
 
 def snapshot(spark: SparkSession, checkpoint: str) -> DataFrame:

@@ -97,3 +97,66 @@ def test_sound_snapshots_and_limits(half):
     assert {r["faults"] for r in L.faults(half, most_ids=1, most_contexts=1).collect()} == {"most_contexts,most_ids"}
     with pytest.raises(ValueError, match="stream 0: most_ids"):
         L.restored(half, most_ids=2)
+
+
+class _Asked:
+    """State that counts what is asked of it."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def getValueState(self, *_):
+        return self.__class__()
+
+    getMapState = getValueState
+
+    def _call(self, f):
+        self.calls += 1
+        return f()
+
+    def exists(self):
+        return self._call(lambda: "v" in self.held)
+
+    def get(self):
+        return self._call(lambda: self.held["v"])
+
+    def update(self, v):
+        self._call(lambda: self.held.update(v=v))
+
+    def containsKey(self, k):
+        return self._call(lambda: k in self.held)
+
+    def getValue(self, k):
+        return self._call(lambda: self.held[k])
+
+    def updateValue(self, k, v):
+        self._call(lambda: self.held.update({k: v}))
+
+
+def test_a_new_streams_state_is_not_asked_row_by_row(rows):
+    """A batch asks once a key, a stream's first trigger only writes; later triggers still know the ids."""
+    pdf = rows.where("stream_id = 1").toPandas()
+    asked, results = [], []
+    for keep in (False, True):
+        one = L.Learner(1000, 1000, keep)
+        one.init(_Asked())
+        results.append([repr(r) for f in one.handleInputRows((1,), iter([pdf[:9], pdf[9:]]), None) for r in f.itertuples(index=False)])
+        asked.append([x.calls for x in (one.sums, one.counts, one.ids)])
+    assert results[0] == results[1] and len(results[0]) == len(pdf)
+    assert asked[0] == [1, 0, 0] and asked[1] == [2, len(one.counts.held), len(one.ids.held)] and one.ids.held
+    again = next(one.handleInputRows((1,), iter([pdf]), None))
+    assert not (again["status"] == "accepted").any() and (again["status"] == "duplicate").any()
+
+
+def test_a_batch_in_many_frames_equals_one(spark, rows):
+    """One call takes all rows of a key, however many frames bring them."""
+    key = lambda: sorted(map(repr, L.learned(rows).collect()))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with state_on_disk(spark):
+        whole = key()
+        spark.conf.set(name, "3")
+        try:
+            assert key() == whole
+        finally:
+            spark.conf.set(name, before)
