@@ -6,6 +6,7 @@ import sys
 import time
 from collections import Counter
 from fractions import Fraction
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,25 +31,32 @@ class Solver:
 
     def solve(self, f: Formula, given=()) -> tuple[Fraction, bool]:
         """The mass of the models in which the literals ``given`` hold, and whether there is one."""
-        self.f, self.until = f, time.monotonic() + self.seconds if self.seconds else None
+        self.f, self.weights, self.until = f, {}, time.monotonic() + self.seconds if self.seconds else None
         old = sys.getrecursionlimit()
         sys.setrecursionlimit(max(old, 4 * self.depth_limit + 1000))
         try:
-            clauses, weight = f.clauses, Fraction(1)
+            clauses, weight = f.clauses, 1
             for literal in given:
-                weight *= f.weight(literal)
+                weight *= self._weight(literal)
                 clauses = self._assign(clauses, literal)
                 if clauses is None:
                     return Fraction(0), False
             value, sat = self._count(clauses, frozenset(range(1, f.variables + 1)) - {abs(x) for x in given}, 0)
-            return weight * value, sat
+            return Fraction(weight * value), sat
         finally:
             sys.setrecursionlimit(old)
 
-    def _free(self, variables) -> Fraction:
-        out = Fraction(1)
+    def _weight(self, literal: int) -> int | Fraction:
+        """As an int where it is whole, which multiplies faster."""
+        if literal not in self.weights:
+            w = self.f.weight(literal)
+            self.weights[literal] = w.numerator if w.denominator == 1 else w
+        return self.weights[literal]
+
+    def _free(self, variables) -> int | Fraction:
+        out = 1
         for v in variables:
-            out *= self.f.weight(v) + self.f.weight(-v)
+            out *= self._weight(v) + self._weight(-v)
         return out
 
     @staticmethod
@@ -65,22 +73,27 @@ class Solver:
             out.append(c)
         return out
 
-    def _count(self, clauses, scope, depth) -> tuple[Fraction, bool]:
+    def _count(self, clauses, scope, depth) -> tuple[int | Fraction, bool]:
         self.nodes += 1
         if self.node_limit and self.nodes > self.node_limit or depth > self.depth_limit:
             raise Limit("resource_limit")
         if self.until and time.monotonic() > self.until:
             raise Limit("timeout")
-        weight = Fraction(1)
-        if any(not c for c in clauses):
-            return Fraction(0), False
-        while self.propagate and (unit := next((c[0] for c in clauses if len(c) == 1), None)) is not None:
+        weight = 1
+        if not depth and not all(clauses):  # further down none is empty
+            return 0, False
+        while self.propagate:
+            for c in clauses:
+                if len(c) == 1:
+                    break
+            else:
+                break
             self.propagations += 1
-            weight *= self.f.weight(unit)
-            scope = scope - {abs(unit)}
-            clauses = self._assign(clauses, unit)
+            weight *= self._weight(c[0])
+            scope = scope - {abs(c[0])}
+            clauses = self._assign(clauses, c[0])
             if clauses is None:
-                return Fraction(0), False
+                return 0, False
         if not clauses:
             return weight * self._free(scope), True
         if self.components:
@@ -93,25 +106,37 @@ class Solver:
                     value, ok = self._count(part, frozenset(variables), depth + 1)
                     weight, sat = weight * value, sat and ok
                     if not ok:
-                        return Fraction(0), False
+                        return 0, False
                 return weight * self._free(scope - used), sat
         v = self._branch(clauses)
-        total, sat = Fraction(0), False
+        total, sat = 0, False
         for literal in (-v, v):
             left = self._assign(clauses, literal)
             if left is not None:
                 value, ok = self._count(left, scope - {v}, depth + 1)
-                total, sat = total + self.f.weight(literal) * value, sat or ok
+                total, sat = total + self._weight(literal) * value, sat or ok
         return weight * total, sat
 
     def _branch(self, clauses) -> int:
         if not self.by_occurrence:
-            return min(abs(x) for c in clauses for x in c)
-        counts = Counter(abs(x) for c in clauses for x in c)
-        return min(counts, key=lambda v: (-counts[v], v))
+            return min(map(abs, chain.from_iterable(clauses)))
+        counts = Counter(map(abs, chain.from_iterable(clauses)))
+        most = max(counts.values())
+        return min(v for v, n in counts.items() if n == most)
 
     @staticmethod
     def _split(clauses):
+        seen, apart = {*clauses[0], *[-x for x in clauses[0]]}, clauses
+        for _ in range(3):  # most often all hang together
+            left = []
+            for c in apart:
+                if seen.isdisjoint(c):
+                    left.append(c)
+                elif not seen.issuperset(c):
+                    seen.update(c, [-x for x in c])
+            if not left:
+                return [(clauses, seen)]
+            apart = left
         lead: dict[int, int] = {}
 
         def find(v):
@@ -134,29 +159,44 @@ class Solver:
         return list(parts.values())
 
 
-def count_text(formula_id: str, text: str, **options) -> dict:
-    """Parse and solve one formula; data failures become statuses, never partial numbers."""
-    row = dict.fromkeys(("satisfiable", "num", "den", "diagnostic")) | {"formula_id": formula_id, "nodes": 0, "splits": 0, "propagations": 0}
-    solver = Solver(**options)
+def count_variants(formula_id: str, text: str, variants: list[dict]) -> list[dict]:
+    """Parse one formula and solve it with each set of options; data failures become statuses, never partial numbers."""
+    blank = dict.fromkeys(("satisfiable", "num", "den", "diagnostic")) | {"formula_id": formula_id, "nodes": 0, "splits": 0, "propagations": 0}
+    failed = lambda e: {"status": getattr(e, "status", "parse_error"), "diagnostic": str(e)}
     try:
-        value, sat = solver.solve(parse(text))
-        row |= {"status": "success", "satisfiable": sat, "num": str(value.numerator), "den": str(value.denominator)}
-    except Limit as e:
-        row |= {"status": str(e)}
+        formula = parse(text)
     except ValueError as e:
-        row |= {"status": getattr(e, "status", "parse_error"), "diagnostic": str(e)}
-    return row | {"nodes": solver.nodes, "splits": solver.splits, "propagations": solver.propagations}
+        return [blank | failed(e) for _ in variants]
+    rows = []
+    for options in variants:
+        solver = Solver(**options)
+        try:
+            value, sat = solver.solve(formula)
+            row = blank | {"status": "success", "satisfiable": sat, "num": str(value.numerator), "den": str(value.denominator)}
+        except Limit as e:
+            row = blank | {"status": str(e)}
+        except ValueError as e:
+            row = blank | failed(e)
+        rows.append(row | {"nodes": solver.nodes, "splits": solver.splits, "propagations": solver.propagations})
+    return rows
+
+
+def count_text(formula_id: str, text: str, **options) -> dict:
+    """One formula with one set of options."""
+    return count_variants(formula_id, text, [options])[0]
 
 
-def exact_counts(formulas: DataFrame, **options) -> DataFrame:
-    """formulas: formula_id, text.  One result row each; formulas are solved in parallel."""
+def exact_counts(formulas: DataFrame, variants: list[dict] | None = None, **options) -> DataFrame:
+    """formulas: formula_id, text.  One result row each, or one for each of ``variants`` (sets of options); formulas are solved in parallel."""
     names = [c.split()[0] for c in RESULT.split(", ")]
+    each = [options | v for v in variants or [{}]]
 
     def run(frames):
         for frame in frames:
-            yield pd.DataFrame([count_text(i, t, **options) for i, t in zip(frame["formula_id"], frame["text"], strict=True)], columns=names)
+            yield pd.DataFrame([row for i, t in zip(frame["formula_id"], frame["text"], strict=True) for row in count_variants(i, t, each)], columns=names)
 
-    dealt = formulas.select("formula_id", "text").repartition("formula_id")  # small inputs come in few files
+    parts = int(formulas.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    dealt = formulas.select("formula_id", "text").repartition(parts, "formula_id")  # by number, or few bytes that take long would go to few tasks
     return dealt.mapInPandas(run, RESULT)
 
 

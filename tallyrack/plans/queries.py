@@ -157,10 +157,7 @@ def wmc_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT formula_id, true AS invariant FROM ({_MODELS})")
 def wmc_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts, runs = _formula_texts(spark, sf_dir), None
-    for options in ({}, {"propagate": False}, {"components": False}, {"by_occurrence": False}):
-        one = wmc.exact_counts(texts, **options)
-        runs = one if runs is None else runs.unionByName(one)
+    runs = wmc.exact_counts(_formula_texts(spark, sf_dir), variants=[{}, {"propagate": False}, {"components": False}, {"by_occurrence": False}])
     return audit.invariance(runs, "formula_id", "num").select(F.col("formula_id").cast("long").alias("formula_id"), "invariant")
 
 

@@ -6,6 +6,7 @@ from fractions import Fraction
 
 import pytest
 
+from tallyrack.operators import wmc
 from tallyrack.operators.wmc import Solver, count_text, exact_counts
 from tallyrack.sources.dimacs import Formula, ParseError, parse, parse_weight
 
@@ -77,3 +78,44 @@ def test_spark_batch(spark):
 
 def test_parse_keeps_order():
     assert parse("p cnf 3 1\n-2 3 1 -2 0\n").clauses == [(1, -2, 3)]
+
+
+def test_variants_share_one_parse_and_equal_single_runs(monkeypatch):
+    read, whole = [], wmc.parse
+    monkeypatch.setattr(wmc, "parse", lambda t: read.append(t) or whole(t))
+    variants = [{}, {"propagate": False}, {"components": False}, {"by_occurrence": False}, {"node_limit": 1}]
+    for name, text in [*((k, v[0]) for k, v in CASES.items()), ("empty clause", "p cnf 2 2\n1 2 0\n0\n"), ("bad", "p cnf x\n"), ("null", None)]:
+        read.clear()
+        got = wmc.count_variants(name, text, variants)
+        assert len(read) == 1
+        assert got == [count_text(name, text, **v) for v in variants]
+
+
+def test_whole_weights_are_counted_in_integers():
+    """Only weights that are no integers cost fractions."""
+    solver = Solver()
+    assert solver.solve(parse("p cnf 3 2\n1 2 0\n-1 3 0\n")) == (Fraction(4), True)
+    assert solver.weights and all(type(w) is int for w in solver.weights.values())
+    f = parse("c t wmc\np cnf 2 1\nc p weight 1 0.5 0\nc p weight -1 0.5 0\n1 2 0\n")
+    value, sat = Solver().solve(f)
+    assert (value, sat) == (Fraction(3, 2), True) and type(value) is Fraction
+
+
+def test_split_finds_the_same_components():
+    rng = random.Random(8)
+    for _ in range(300):
+        n = rng.randint(1, 30)
+        clauses = [tuple({rng.choice((-1, 1)) * rng.randint(1, n) for _ in range(rng.randint(1, 3))}) for _ in range(rng.randint(1, 15))]
+        groups = []
+        for c in clauses:
+            own = {abs(x) for x in c}
+            for g in [g for g in groups if g & own]:
+                groups.remove(g)
+                own |= g
+            groups.append(own)
+        parts = Solver._split(clauses)
+        if len(groups) == 1:
+            assert len(parts) == 1 and parts[0][0] == clauses
+        else:
+            assert sorted(map(sorted, groups)) == sorted(sorted(v) for _, v in parts)
+            assert all(cs == [c for c in clauses if {abs(x) for x in c} <= v] for cs, v in parts)
