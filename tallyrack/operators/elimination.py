@@ -5,6 +5,11 @@ factor_id, scope (array of facts, the first is the lowest bit), weights (array
 of 2^k numbers), and, if given, hard (boolean) and dependence.  Weights are
 whole numbers, not negative.
 
+Models of up to FACTS facts, ROWS factors and ENTRIES numbers below 2^62 (nearly
+all, where there are many) are a row each: one shuffle brings a model's rows together, and each
+Arrow batch eliminates all its models of one shape at once, by greedy least
+degree, in integers that do not overflow.  The other models go by rounds over tables.
+
 A round takes from every model all facts with fewer neighbours than any of
 their neighbours have (ties by hash), so its facts do not touch and are
 eliminated side by side, in some log n rounds: the factors that hold a fact are multiplied into
@@ -27,12 +32,20 @@ and a hard factor), ``success``.  Factors whose dependence is
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import prod
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyrack.sources.shared import written
 
 FEW = 32
+FACTS, ROWS, ENTRIES = 32, 256, 4096
+SLICE = 1 << 20
 NUMBER = "decimal(38,0)"
 
 
@@ -114,19 +127,40 @@ def _merged(factors: DataFrame, name: str) -> DataFrame:
         factors = written(_product(grouped.withColumnRenamed("scope", "s").withColumn("scope", F.col("s")), "model_id", "s", "part").withColumn("salt", F.xxhash64("part", F.lit(most))).drop("s", "part"), name)
 
 
-def checked(priors: DataFrame, factors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(models: model_id, status or null; priors and factors of the models without one, as factors)."""
+def _complete(factors: DataFrame) -> DataFrame:
+    """The factors that count, with hard and dependence."""
     for name, default in (("hard", F.lit(False)), ("dependence", F.lit(None).cast("string"))):
         if name not in factors.columns:
             factors = factors.withColumn(name, default)
-    factors = factors.where(F.coalesce(F.col("dependence") != "exact_duplicate", F.lit(True)))
-    whole = lambda c: F.coalesce((c >= 0) & (c.cast(NUMBER) == c), F.lit(False))
-    own = priors.groupBy("model_id").agg(
-        (F.max(~whole(F.col("false_weight")) | ~whole(F.col("true_weight")) | F.col("fact").isNull()) | (F.count("fact") != F.count_distinct("fact"))).alias("bad"),
-        F.max(F.coalesce(F.col("false_weight") + F.col("true_weight") == 0, F.lit(False))).alias("zero"))
+    return factors.where(F.coalesce(F.col("dependence") != "exact_duplicate", F.lit(True)))
+
+
+def _whole(c: Column) -> Column:
+    return F.coalesce((c >= 0) & (c.cast(NUMBER) == c), F.lit(False))
+
+
+def _bad_prior() -> Column:
+    return ~_whole(F.col("false_weight")) | ~_whole(F.col("true_weight")) | F.col("fact").isNull()
+
+
+def _zero_prior() -> Column:
+    return F.coalesce(F.col("false_weight") + F.col("true_weight") == 0, F.lit(False))
+
+
+def _okay_factor() -> Column:
     shape = F.coalesce((F.size("scope") == F.size(F.array_distinct("scope"))) & ~F.exists("scope", lambda x: x.isNull()) & (F.size("scope") > 0) & (F.size("scope") <= 24), F.lit(False))
-    okay = shape & F.coalesce((F.size("weights") == F.when(shape, _left(F.lit(1), F.size("scope")))) & F.forall("weights", whole), F.lit(False))
-    per = factors.groupBy("model_id").agg(F.max(~okay).alias("bad_factor"), F.max(F.coalesce(F.col("dependence").isin("correlated", "unknown"), F.lit(False))).alias("dependent"), F.max(F.coalesce("hard", F.lit(False))).alias("hard"))
+    return shape & F.coalesce((F.size("weights") == F.when(shape, _left(F.lit(1), F.size("scope")))) & F.forall("weights", _whole), F.lit(False))
+
+
+def _dependent() -> Column:
+    return F.coalesce(F.col("dependence").isin("correlated", "unknown"), F.lit(False))
+
+
+def checked(priors: DataFrame, factors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(models: model_id, status or null; priors and factors of the models without one, as factors)."""
+    factors = _complete(factors)
+    own = priors.groupBy("model_id").agg((F.max(_bad_prior()) | (F.count("fact") != F.count_distinct("fact"))).alias("bad"), F.max(_zero_prior()).alias("zero"))
+    per = factors.groupBy("model_id").agg(F.max(~_okay_factor()).alias("bad_factor"), F.max(_dependent()).alias("dependent"), F.max(F.coalesce("hard", F.lit(False))).alias("hard"))
     unknown = _met(factors.select("model_id", F.explode("scope").alias("fact")), priors.select("model_id", "fact"), ["model_id", "fact"], "left_anti").select("model_id", F.lit(True).alias("unknown")).distinct()
     no = lambda c: F.coalesce(c, F.lit(False))
     models = _met(_met(own, per, "model_id", "left"), unknown, "model_id", "left")
@@ -148,6 +182,151 @@ def _chosen(factors: DataFrame) -> DataFrame:
 
 def marginals(priors: DataFrame, factors: DataFrame, width: int = 12) -> DataFrame:
     """model_id, fact, status, mass_true, mass: one row for each prior; masses are null unless the status is success, zero_normalizer or inconsistent."""
+    sizes = _sizes(priors, factors)
+    small = _small(priors, factors, sizes.where("small").select("model_id"), width)
+    large = sizes.where("NOT small").select("model_id")
+    if large.isEmpty():
+        return small
+    return small.unionByName(_by_rounds(_met(priors, large, "model_id", "left_semi"), _met(factors, large, "model_id", "left_semi"), width))
+
+
+def _sizes(priors: DataFrame, factors: DataFrame) -> DataFrame:
+    """model_id, small: the models with priors, and whether one row may hold them."""
+    fits = lambda c: F.coalesce(F.abs(c.try_cast("double")) < 2.0**62, c.isNull())
+    own = priors.select("model_id", F.lit(1).alias("facts"), F.lit(0).alias("rows"), F.lit(0).alias("entries"), (fits(F.col("false_weight")) & fits(F.col("true_weight"))).alias("fits"))
+    size = lambda c: F.coalesce(F.greatest(F.size(c), F.lit(0)), F.lit(0)).cast("long")
+    rest = factors.select("model_id", F.lit(0).alias("facts"), F.lit(1).alias("rows"), (size("scope") + size("weights")).alias("entries"), F.coalesce(F.forall("weights", fits), F.lit(True)).alias("fits"))
+    counts = own.unionByName(rest).where("model_id IS NOT NULL").groupBy("model_id").agg(*[F.sum(c).alias(c) for c in ("facts", "rows", "entries")], F.min("fits").alias("fits"))
+    small = (F.col("facts") <= FACTS) & (F.col("rows") <= ROWS) & (F.col("entries") <= ENTRIES) & F.col("fits")
+    return written(counts.where("facts > 0").select("model_id", small.alias("small")), "sizes")
+
+
+def _small(priors: DataFrame, factors: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """The marginals of the models of ``ids``, a row each until the end."""
+    factors = _complete(factors)
+    whole = lambda c: F.transform(c, lambda x: x.try_cast("long"))
+    units = priors.select("model_id", F.struct("fact", whole(F.array("false_weight", "true_weight")).alias("w")).alias("prior"), _bad_prior().alias("bad"), _zero_prior().alias("zero"))
+    tables = factors.select("model_id", F.struct("scope", whole(F.col("weights")).alias("w")).alias("factor"), (~_okay_factor()).alias("bad"), _dependent().alias("dependent"), F.coalesce("hard", F.lit(False)).alias("hard"))
+    any_ = lambda c: F.coalesce(F.max(c), F.lit(False)).alias(c)
+    rows = _met(units.unionByName(tables, allowMissingColumns=True), ids, "model_id")
+    rows = rows.groupBy("model_id").agg(F.array_sort(F.collect_list("prior")).alias("priors"), F.array_sort(F.collect_list("factor")).alias("factors"), *map(any_, ("bad", "zero", "dependent", "hard")))
+    rows = rows.withColumn("facts", F.col("priors.fact")).withColumn("scopes", F.col("factors.scope"))
+    unlike = F.col("bad") | (F.size("facts") != F.size(F.array_distinct("facts"))) | (F.size(F.array_except(F.flatten("scopes"), "facts")) > 0)
+    status = F.when(F.coalesce(unlike, F.lit(True)), "invalid_schema").when(F.col("dependent"), "unsupported_input").when(F.col("zero"), "zero_normalizer")
+    rows = rows.withColumn("status", status)
+    places = F.transform("scopes", lambda s: F.array_join(_places(s, F.col("facts")).cast("array<string>"), ","))
+    rows = rows.select("model_id", "facts", "status", "hard",
+                       F.when(F.col("status").isNull(), F.concat_ws(";", F.size("facts").cast("string"), places)).alias("shape"),
+                       F.when(F.col("status").isNull(), F.concat(F.flatten("priors.w"), F.flatten("factors.w"))).alias("numbers"))
+    kept = ["model_id", "facts", "status", "hard"]
+    masses = T.StructType([*rows.select(*kept).schema.fields, T.StructField("yes", T.ArrayType(T.DecimalType(38, 0))), T.StructField("mass", T.DecimalType(38, 0))])
+
+    def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yes, mass = _batch(batch.column("shape"), batch.column("numbers"), pa.compute.list_value_length(batch.column("facts")), width)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), yes, mass], names=[*kept, "yes", "mass"])
+
+    rows = rows.mapInArrow(solved, masses)
+    found = F.coalesce(F.col("status"), F.when(F.col("mass").isNull(), "resource_limit").when(F.col("mass") > 0, "success").when(F.col("hard"), "inconsistent").otherwise("zero_normalizer"))
+    rows = rows.select("model_id", found.alias("status"), "mass", F.explode(F.arrays_zip("facts", "yes")).alias("x"))
+    return rows.select("model_id", F.col("x.facts").alias("fact"), "status", F.col("x.yes").alias("mass_true"), "mass")
+
+
+def _batch(shapes: pa.Array, numbers: pa.ListArray, sizes: pa.Array, width: int) -> tuple[pa.Array, pa.Array]:
+    """For each model (one without a shape has nulls) the mass of each fact and its own."""
+    codes = shapes.dictionary_encode()
+    of, starts = np.asarray(codes.indices.fill_null(-1)), np.asarray(numbers.offsets)
+    flat, ends = np.asarray(numbers.values.fill_null(0)), np.cumsum(np.asarray(sizes))
+    at = np.concatenate(([0], ends)).astype(np.int32)
+    yes, mass = np.full(at[-1], None, object), np.full(len(of), None, object)
+    for code, shape in enumerate(codes.dictionary.to_pylist()):
+        first, *scopes = shape.split(";")
+        scopes = [(f,) for f in range(int(first))] + [tuple(map(int, s.split(","))) for s in scopes]
+        plan = _plan(scopes, width)
+        models = np.flatnonzero(of == code)
+        if plan is None:
+            continue
+        step = max(1, SLICE // sum(1 << len(over) for _, over, _ in plan))
+        for chunk in (models[i:i + step] for i in range(0, len(models), step)):
+            rows = flat[starts[chunk][:, None] + np.arange(sum(1 << len(s) for s in scopes))]
+            with np.errstate(over="ignore", invalid="ignore"):
+                fits = _solve(rows.astype(float), scopes, plan)[2] < 2.0**62  # false for what is no number
+            for some, kind in ((fits, np.int64), (~fits, object)):
+                if some.any():
+                    each, total, _ = _solve(rows[some].astype(kind), scopes, plan)
+                    told = total < 10**38
+                    mass[chunk[some]] = np.where(told, total, None)
+                    yes[at[chunk[some]][:, None] + np.arange(int(first))] = np.where(told[:, None], each, None)
+    number = pa.decimal128(38, 0)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(yes.tolist(), number)), pa.array(mass.tolist(), number)
+
+
+def _plan(scopes: list[tuple[int, ...]], width: int) -> list[tuple[int, tuple[int, ...], tuple[int, ...]]] | None:
+    """(fact, bucket's facts, facts left) in order of elimination, by least degree; None where a bucket is over more than ``width`` facts."""
+    near = {s[0]: {s[0]} for s in scopes if len(s) == 1}
+    for s in scopes:
+        for f in s:
+            near[f] |= set(s)
+    out = []
+    while near:
+        fact = min(near, key=lambda f: (len(near[f]), f))
+        over = near.pop(fact)
+        if len(over) > width:
+            return None
+        left = over - {fact}
+        for f in left:
+            near[f] = (near[f] | left) - {fact}
+        out.append((fact, tuple(sorted(over)), tuple(sorted(left))))
+    return out
+
+
+def _spread_over(table: np.ndarray, scope: tuple[int, ...], over: tuple[int, ...]) -> np.ndarray:
+    """``table`` (models, then an axis for each fact of ``scope``) with an axis for each fact of ``over``."""
+    order = sorted(range(len(scope)), key=scope.__getitem__)
+    return table.transpose(0, *[i + 1 for i in order]).reshape(len(table), *[2 if f in scope else 1 for f in over])
+
+
+def _solve(rows: np.ndarray, scopes: list, plan: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Masses of facts and of models that share ``scopes`` and differ in their numbers, and the greatest number met (of floats only)."""
+    n, at, factors, parts, buckets = len(rows), 0, [], {}, []
+    peak = np.zeros(n) if rows.dtype == float else None
+
+    def met(table: np.ndarray) -> np.ndarray:
+        if peak is not None:
+            np.maximum(peak, table.reshape(n, -1).max(1), out=peak)
+        return table
+
+    for s in scopes:  # the first fact is the lowest bit, so the last axis
+        factors.append((s[::-1], rows[:, at:at + (1 << len(s))].reshape(n, *[2] * len(s))))
+        at += 1 << len(s)
+    for fact, over, left in plan:
+        table = np.ones((n, *[2] * len(over)), rows.dtype)
+        for s, t in factors:
+            if fact in s:
+                table = met(table * _spread_over(t, s, over))
+        message = met(table.sum(over.index(fact) + 1))
+        factors = [(s, t) for s, t in factors if fact not in s]
+        if left:
+            factors.append((left, message))
+        else:
+            parts[fact] = message
+        buckets.append((table, message))
+    mass = met(prod(parts.values(), start=np.ones(n, rows.dtype)))
+    yes, beliefs = np.empty((n, len(plan)), rows.dtype), {}
+    for (fact, over, left), (table, message) in reversed(list(zip(plan, buckets, strict=True))):
+        if left:
+            up = next(f for f, _, _ in plan if f in left)  # the first one to go
+            wide, belief = beliefs[up]
+            outer = belief.sum(tuple(i + 1 for i, f in enumerate(wide) if f not in left)) // np.where(message == 0, 1, message)
+        else:
+            outer = prod((p for f, p in parts.items() if f != fact), start=np.ones(n, rows.dtype))
+        whole = met(table * _spread_over(met(outer), left, over))
+        beliefs[fact] = over, whole
+        yes[:, fact] = whole.sum(tuple(i + 1 for i, f in enumerate(over) if f != fact))[:, 1]
+    return yes, mass, peak
+
+
+def _by_rounds(priors: DataFrame, factors: DataFrame, width: int) -> DataFrame:
     models, units, rest = checked(priors, factors)
     scopes = units.unionByName(rest).withColumn("order", F.array_sort("scope"))
     sorted_table = _let(_places(F.col("scope"), F.col("order")), lambda at: F.transform(_worlds(F.col("order")), lambda w: F.get(F.col("weights"), _gather(w, at))))

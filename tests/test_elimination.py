@@ -115,3 +115,29 @@ def test_tables_of_models_are_never_broadcast(spark, monkeypatch):
     plans.append(got._jdf.queryExecution().executedPlan().toString())
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
     assert got.count() == 12
+
+
+def test_small_models_are_solved_in_a_row_each_like_by_rounds(spark, monkeypatch):
+    """No table of a round is written for them; numbers past 2^63, past 38 digits and broken models come out alike both ways."""
+    rng, names, real = random.Random(8), [], E.written
+
+    def spy(df, name):
+        names.append(name)
+        return real(df, name)
+
+    monkeypatch.setattr(E, "written", spy)
+    priors, factors = [], []
+    for m in range(40):
+        n, most = rng.randint(1, 6), 2**14 if m % 8 == 7 else 3
+        priors += [(m, 5 - f, rng.randint(0, most), rng.randint(1, most)) for f in range(n)]
+        for i in range(rng.randint(0, 7)):
+            scope = rng.sample([5 - f for f in range(n)], rng.randint(1, min(3, n)))
+            factors.append((m, i, scope, [rng.randint(0, 2) for _ in range(1 << len(scope))], m % 2 == 0, None))
+    priors += [(50, f, 1, 2**13) for f in range(6)] + [(51, f, 1, 2**26) for f in range(5)] + [(52, 1, -1, 2), (53, 1, 0, 0), (54, 1, 1, 1), (54, 1, 1, 1), (55, 1, 1, 1), (56, 1, 1, 1), (57, None, 1, 1), (58, 1, 2, 3)]
+    factors += [(55, 0, [1, 9], [1, 1, 1, 1], False, None), (56, 0, [1], [1, 1], False, "unknown"), (58, 0, [1], [5], False, "exact_duplicate"), (59, 0, [1], [1, 1], False, None)]
+    got = solved(spark, priors, factors)
+    assert set(names) == {"sizes"}
+    monkeypatch.setattr(E, "FACTS", 0)
+    assert got == solved(spark, priors, factors) and "buckets" in names
+    assert got[50, 3] == ("success", 2**13 * (1 + 2**13) ** 5, (1 + 2**13) ** 6) and got[51, 0] == ("resource_limit", None, None)
+    assert len(got) == len(set((m, f) for m, f, _, _ in priors)) and (59, 1) not in got
