@@ -15,12 +15,14 @@ def build(records: DataFrame) -> DataFrame:
     """records: record_id, ord, subject_key, relation_key, answer_key, answer_surface.
 
     A record counts a key once; the first surface in order is kept.  Without
-    record_id, each row is a key's only one in its record.
+    record_id, each row is a key's only one in its record, or with count the
+    sum of that many.
     """
-    once = records.select(*KEYS, F.struct("ord", "answer_surface").alias("s"))
+    once = records.select(*KEYS, F.struct("ord", "answer_surface").alias("s"), *(["count"] if "count" in records.columns else []))
     if "record_id" in records.columns:
         once = records.groupBy("record_id", *KEYS).agg(F.min(F.struct("ord", "answer_surface")).alias("s"))
-    return once.groupBy(*KEYS).agg(F.min("s").alias("s"), F.count("*").alias("count")).select(*KEYS, F.col("s.answer_surface").alias("answer_surface"), F.col("s.ord").alias("ord"), "count")
+    number = F.sum("count") if "count" in once.columns else F.count("*")
+    return once.groupBy(*KEYS).agg(F.min("s").alias("s"), number.alias("count")).select(*KEYS, F.col("s.answer_surface").alias("answer_surface"), F.col("s.ord").alias("ord"), "count")
 
 
 def merge(parts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

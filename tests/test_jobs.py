@@ -1,6 +1,7 @@
 """The jobs: against their SQL, over growing input, after failures, and from the command line."""
 
 import json
+import re
 import subprocess
 import sys
 
@@ -105,3 +106,33 @@ def test_pairs_of_one_file_are_made_by_many_tasks_and_once_a_record(spark, tmp_p
     assert found.select(F.spark_partition_id()).distinct().count() > 1
     rows = found.groupBy("ord.id", "subject_key").agg(F.count("*").alias("n"), F.first("ord.place").alias("place"), F.first("answer_surface").alias("surface")).collect()
     assert len(rows) == 400 and {(r["subject_key"], r["n"], r["place"], r["surface"]) for r in rows} == {("a", 1, 1, "b"), ("b", 1, 2, "a")}
+
+
+def test_what_one_batch_alone_has_counted_moves_once(spark, growing, tmp_path, monkeypatch):
+    """Its counts are ranked in the batch's own shuffle, in few packed rows; only a second batch has them summed."""
+    folder, steps = growing
+    output, merged, real = str(tmp_path / "out"), [], count_index.merge
+    monkeypatch.setattr(count_index, "merge", lambda *given: merged.append(given) or real(*given))
+    steps[0]()
+    assert len(word_index.run(spark, folder, output)["parts"]) == 16 and not merged
+    steps[2]()
+    assert len(word_index.run(spark, folder, output)["parts"]) == 16 and len(merged) == 1
+    packed = word_index._pairs(spark.read.parquet(folder), settings("word_index"))
+    assert packed.count() < word_index._unpacked(packed).count()
+
+
+def test_packed_pairs_keep_odd_ids_words_and_surfaces(spark):
+    texts = [(-5, "The cat\tthe CAT\x00 É é", "en"), (None, " The\x0bcat the Cat ", "en"), (2**63 - 1, "tHe cAt", "en"), (7, "b A", "en"), (7, "x b a", "en"), (7, "B a b A", None), (1, "one", "en"), (1, None, "en"), (1, "", "en"), (-(2**63), "B a ß\x0c\x85x", "en")]
+    want = {}
+    for number, text, lang in texts:
+        words, seen = [w for w in re.split("[\x20\x09-\x0d]+", text or "") if w], set()
+        keys = ["".join(c.lower() if "A" <= c <= "Z" else c for c in w) for w in words]
+        for place in range(1, len(words)):
+            key = (keys[place - 1], lang or "und", keys[place])
+            if key not in seen:
+                seen.add(key)
+                want.setdefault(key, []).append(((number is not None, number or 0, place), words[place]))
+    found = count_index.build(word_index._unpacked(word_index._pairs(spark.createDataFrame(texts, "doc_id long, text string, lang string").coalesce(1), settings("word_index"))))
+    got = {(r["subject_key"], r["relation_key"], r["answer_key"]): (r["ord"]["id"], r["ord"]["place"], r["answer_surface"], r["count"]) for r in found.collect()}
+    plain = {k: ((None if not (least := min(v))[0][0] else least[0][1]), least[0][2], least[1], len(v)) for k, v in want.items()}
+    assert got == plain and plain["the", "en", "cat"] == (None, 1, "cat", 3)
