@@ -139,7 +139,7 @@ def _packed(counts: DataFrame) -> DataFrame:
 
 
 def _dealt(packed: DataFrame, tasks: float) -> DataFrame:
-    """One shuffle, by what sums and ranks have in common, to so many tasks that each can sort its pairs in memory."""
+    """One shuffle, by what sums and ranks have in common, to so many tasks that each sorts about a slice's pairs."""
     return packed.repartition(max(math.ceil(tasks), packed.sparkSession.sparkContext.defaultParallelism), "subject_key", "relation_key")
 
 
